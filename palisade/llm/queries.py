@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.llm.common import read
+from palisade.llm.common import fold, read
 from palisade.llm.decontamination import contamination
+from palisade.llm.language_id import predict_language
 from palisade.llm.secret_scan import secret_spans
 from palisade.llm.token_counts import token_counts
 
@@ -19,6 +21,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """True for the fold that is kept out of training; rows without an id train."""
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = predict_language(docs, ~held_out(4, 2))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read(spark, sf_dir, "documents"))
 
@@ -32,6 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
