@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm.bin_completion import pack
 from palisade.llm.common import fold, read
 from palisade.llm.decontamination import contamination
 from palisade.llm.language_id import predict_language
 from palisade.llm.secret_scan import secret_spans
 from palisade.llm.token_counts import token_counts
+from palisade.llm.token_output import packed_ids
+from palisade.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +35,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def byte_tokenizer() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids(read(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
+    score = F.col("score")
+    return score_toxicity(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), score, (score >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read(spark, sf_dir, "documents"))
 
@@ -46,6 +70,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_packed_ids": op2_packed_ids,
+    "op5_toxicity": op5_toxicity,
+    "op7_bin_completion": op7_bin_completion,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
