@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.llm.bin_completion import pack
 from palisade.llm.common import fold, read
 from palisade.llm.decontamination import contamination
+from palisade.llm.jaccard_join import similarity_classes
 from palisade.llm.language_id import predict_language
 from palisade.llm.secret_scan import secret_spans
 from palisade.llm.token_counts import token_counts
@@ -45,6 +46,10 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids(read(spark, sf_dir, "documents"), byte_tokenizer())
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
@@ -71,6 +76,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packed_ids": op2_packed_ids,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op7_bin_completion": op7_bin_completion,
     "op8_secret_scan": op8_secret_scan,
