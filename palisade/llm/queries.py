@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.llm.bin_completion import pack
 from palisade.llm.common import fold, read
 from palisade.llm.decontamination import contamination
+from palisade.llm.imatch import fingerprints
 from palisade.llm.jaccard_join import similarity_classes
 from palisade.llm.language_id import predict_language
 from palisade.llm.secret_scan import secret_spans
@@ -57,6 +58,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), score, (score >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), byte_tokenizer())
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packed_ids": op2_packed_ids,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op6_imatch": op6_imatch,
     "op7_bin_completion": op7_bin_completion,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
