@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,24 +88,35 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POW: dict[str, np.ndarray] = {}
 
 
-def hash_words(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of ``texts`` in order, and the words' offsets by text (n + 1 values).
+def word_spans(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Translated bytes of all texts, starts and ends of their words, and the words' offsets by text (n + 1 values)."""
+    flat = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(table), np.uint8)
+    word = flat != 0x20
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
+    return flat, starts, ends, np.concatenate([[0], np.searchsorted(starts, text_ends, "right")])
 
-    Whole batches at a time: polynomial hashes from prefix sums modulo 2**64, so equal words have equal hashes
-    wherever they stand.
-    """
-    blob = b" " + b" ".join(texts) + b" "
-    flat = np.frombuffer(blob.translate(table), np.uint8)
+
+def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, from prefix sums modulo 2**64: equal words have equal hashes wherever they stand."""
     n = len(flat)
     if len(_POW.get("p", ())) < n:
         size = 1 << (n - 1).bit_length()
         _POW["p"], _POW["q"] = _powers(_P, size), _powers(_PINV, size)
-    word = flat != 0x20
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
     sums = (flat.astype(np.uint64) + np.uint64(1)) * _POW["p"][:n]
     np.cumsum(sums, out=sums)
-    found = mix64((sums[ends - 1] - sums[starts - 1]) * _POW["q"][starts]) + (ends - starts).astype(np.uint64)
-    text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.searchsorted(starts, text_ends, "right")])
-    return found, offsets
+    return mix64((sums[ends - 1] - sums[starts - 1]) * _POW["q"][starts]) + (ends - starts).astype(np.uint64)
+
+
+def hash_words(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and the words' offsets by text."""
+    flat, starts, ends, offsets = word_spans(texts, table)
+    return hash_spans(flat, starts, ends), offsets
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back: as :func:`cut`, but compressed columns."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

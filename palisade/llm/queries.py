@@ -13,6 +13,7 @@ from palisade.llm.decontamination import contamination
 from palisade.llm.imatch import fingerprints
 from palisade.llm.jaccard_join import similarity_classes
 from palisade.llm.language_id import predict_language
+from palisade.llm.lm_score import lm_scores
 from palisade.llm.secret_scan import secret_spans
 from palisade.llm.token_counts import token_counts
 from palisade.llm.token_output import packed_ids
@@ -51,6 +52,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(read(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(read(spark, sf_dir, "documents"), ~held_out(5, 1))
+    return found.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"), ~held_out(3, 1))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packed_ids": op2_packed_ids,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op6_imatch": op6_imatch,
     "op7_bin_completion": op7_bin_completion,
