@@ -1,0 +1,76 @@
+"""Starter rule pack. Every scorer takes its rules as an argument; these are the defaults, written for this package.
+
+Patterns keep to what Java and RE2 regular expressions read alike: ASCII classes, no look-around, no word borders.
+"""
+
+from __future__ import annotations
+
+TONE = {
+    "urgency": ("urgent", "act now", "immediately", "final (?:notice|warning)", "verify (?:now|your)", "expires? (?:today|soon)", "right away", "last chance", "limited time", "within [0-9]+ hours"),
+    "fear": ("suspended", "arrest", "lawsuit", "police", "cancelled", "virus", "l(?:i|1)mited", "unusual activity", "locked"),
+    "reward": ("won", "cash prize", "claim", "reward", "guaranteed", "double your", "earn [$]?[0-9]+", "free gift", "profit", "selected", "refund", "bonus"),
+    "threat": ("fail to pay", "will be (?:cancelled|closed|reported)", "file a lawsuit", "legal action", "or else", "unless you", "arrest you"),
+}
+TONE_LEGACY = {
+    "urgency": ("urgent", "now", "immediately", "today", "verify"),
+    "fear": ("suspended", "police", "arrest", "virus"),
+    "reward": ("won", "prize", "claim", "free", "bonus"),
+    "threat": ("lawsuit", "legal", "fail", "unless"),
+}
+#: Words that void a tone match when one is among the six before it.
+NEGATORS = ("no", "not", "never", "none", "without", "nothing", "nobody", "neither", "nor", "cannot", "can't", "don't", "doesn't", "didn't", "won't", "isn't", "aren't", "wasn't", "weren't", "shouldn't")
+
+#: Emoji and the words they stand for.
+EMOJI = {"🎉": "celebration", "🎁": "gift", "💰": "money", "🔥": "fire", "✅": "check", "⚠": "warning", "🚨": "alert", "💸": "money", "🏆": "trophy", "❤": "love"}
+#: Look-alike characters and letters.
+LEET = ("01345678@$", "oieasgtbas")
+SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "is.gd", "ow.ly")
+
+CUES = ("urgent", "verify", "suspended", "act now", "winner", "claim", "prize", "immediately")
+CUES_GAP = (*CUES, "refund", "parcel")
+
+TLDS = (".tk", ".xyz", ".top", ".click", ".ml", ".ga", ".cf", ".gq", ".work", ".loan")
+TLDS_LEGACY = (".tk", ".xyz", ".top", ".ml")
+URL_KEYWORDS = ("login", "verify", "secure", "account", "update", "confirm", "bank", "paypal", "refund", "track", "pay", "support", "signin", "wallet")
+URL_KEYWORDS_LEGACY = ("login", "verify", "secure", "account", "update")
+#: Suffixes of host names that are written without a scheme.
+BARE_SUFFIXES = ("com", "org", "net", "info", "xyz", "top", "click", "tk")
+BRANDS = {"paypal": ("paypal.com",), "amazon": ("amazon.com", "amazon.co.uk"), "chase": ("chase.com",), "usps": ("usps.com",), "irs": ("irs.gov",), "microsoft": ("microsoft.com", "live.com"), "netflix": ("netflix.com",), "apple": ("apple.com", "icloud.com")}
+HOST_ACTIONS = ("login", "verify", "secure", "update", "confirm", "signin", "support", "refund", "track")
+TRUSTED = ("chase.com", "paypal.com", "amazon.com", "usps.com", "irs.gov", "microsoft.com", "apple.com", "google.com", "example.org")
+IMPERSONATED = ("paypal", "amazon", "chase", "bank", "irs", "microsoft", "usps", "netflix")
+IMPERSONATION_ACTIONS = ("verify", "confirm", "update", "suspended", "call", "submit", "login", "pay")
+
+PHRASES = (
+    "act now", "verify your", "account is suspended", "cash prize", "claim your", "guaranteed profit", "double your", "file a lawsuit", "work from home", "no experience needed",
+    "held at customs", "delivery fee", "tax refund", "submit your ssn", "has a virus", "call microsoft", "final warning", "unless you confirm", "you have won", "are you single",
+    "stationed abroad", "great return", "crypto trading", "per day", "update your details",
+)
+#: A phrase may weigh more than 1: some count twice.
+LEGIT_PHRASES = {"thank you for your": 2, "receipt attached": 1, "appointment is confirmed": 1, "statement is ready": 1, "do not share": 2, "your order": 1, "for your business": 1, "unsubscribe": 1}
+
+SCAM_TYPES = {
+    "phishing": ("account.{0,40}(?:suspended|limited|locked)", "verify (?:your|now)", "update your details", "login"),
+    "prize": ("you have won", "cash prize", "claim your reward", "selected"),
+    "investment": ("guaranteed profit", "double your", "bitcoin|crypto", "great return", "investment"),
+    "legal_threat": ("lawsuit", "arrest", "police"),
+    "romance": ("are you single", "widow", "stationed abroad", "hi dear"),
+    "job": ("work from home", "no experience", "earn [$][0-9]+"),
+    "delivery": ("parcel", "customs", "delivery fee"),
+    "tax": ("irs", "tax refund", "ssn"),
+    "tech_support": ("virus", "call microsoft", "support now"),
+    "insurance": ("insurance", "policy.{0,20}cancelled"),
+    "social_media": ("profile", "followers", "your page"),
+}
+DEFAULT_TYPE = "general_spam"
+#: The first OUTREACH of the openers are ways to start a talk.
+ROMANCE = ("hi dear", "hello dear", "i saw your profile", "are you single", "nice to meet you", "widow", "stationed abroad", "soulmate", "lonely", "true love")
+OUTREACH = 5
+SOFT_INVEST = ("uncle taught me", "crypto trading", "great return", "show you how", "passive income", "trading platform", "financial freedom", "small amount")
+STRONG_TYPES = ("phishing", "prize", "legal_threat", "delivery", "tax", "tech_support", "job")
+MILD_TYPES = ("social_media", "investment")
+
+LURES = (
+    "Your account needs attention: {url}", "Please review this notice: {url}", "You have a pending payment, see {url}", "Package update: {url}",
+    "Confirm your details here {url}", "Security alert, sign in at {url}", "Your refund is waiting: {url}",
+)
