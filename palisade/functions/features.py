@@ -52,7 +52,7 @@ def unique_word_ratio(words: Column) -> Column:
 
 def sender_impersonation_score(low: Column, urls: Column) -> Column:
     named = (count_contained(low, rules.IMPERSONATED) > 0) & (count_contained(low, rules.IMPERSONATION_ACTIONS) > 0)
-    return F.least(named.cast("int") + F.exists(urls, lookalike).cast("int") * 2, F.lit(3))
+    return F.least(named.cast("int") + F.exists(urls, lambda u: lookalike(u)).cast("int") * 2, F.lit(3))
 
 
 def type_scores(low: Column, types: dict[str, tuple[str, ...]] = rules.SCAM_TYPES) -> dict[str, Column]:

@@ -20,7 +20,7 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, *, id_col: str = "m
 
     The cut-off is the hash's quantile of each label, so no label is sorted in one task.
     """
-    h = F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("long")
     rows = df.withColumn("__h", h)
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     cuts = {}
