@@ -4,8 +4,8 @@ Each text is the set of hashes of its shingles (five words; shorter texts are on
 one node. Every node picks some of its shingles by a hash that all nodes share, REPEATS / (threshold x set size) of
 them each on average, so two nodes at the threshold pick REPEATS shared ones on average: each shared pick is a bucket
 that holds both. This is REPEATS runs of the chosen-path split in one pass; a pair at the threshold is missed with
-probability exp(-REPEATS). A bucket of more than SPLIT nodes is split once more on a second sampled shingle, with as
-many repeats. Small buckets are compared by brute force; what is still large (near copies, which no shingle splits) is
+probability exp(-REPEATS). A bucket of more than SPLIT nodes is split once more on a second shared pick, if that makes
+less to compare. A bucket whose members are all in one other is left out. Small buckets are compared by brute force; what is still large (near copies, which no shingle splits) is
 cut into blocks, and every pair of blocks is compared in a task of its own, so no bucket is capped and none must fit
 in one task. Pairs are never written out: a task counts links and returns each node's count and its least neighbour.
 
@@ -25,14 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import cut, hash_words, mix64, utf8
+from palisade.llm.common import cut, hash_words, kept, mix64, utf8
 from palisade.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Expected shared picks of a pair at the threshold, at each level.
+#: Expected shared picks of a pair at the threshold.
 REPEATS = 6.0
 #: Nodes in a bucket from which it is split again, and nodes in a block of what is left.
-SPLIT, BLOCK = 512, 128
+SPLIT, BLOCK = 512, 256
 _STEP = np.uint64(0x100000001B3)
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,13 +72,9 @@ def _picked(shingles: np.ndarray, salt: np.uint64, threshold: float) -> np.ndarr
     return drawn if rate >= 1 else drawn[drawn < np.uint64(int(rate * 2**64))]
 
 
-def paths(shingles: np.ndarray, threshold: float) -> list[dict]:
-    """First-level bucket keys, each with the second-level keys below it."""
-    out = []
-    for key in _picked(shingles, _LEVEL, threshold):
-        below = mix64(_picked(shingles, mix64(np.array([key]))[0], threshold) + key)
-        out.append({"key": int(key.astype(np.int64)), "below": below.astype(np.int64).tolist()})
-    return out
+def picks(shingles: np.ndarray, threshold: float) -> list[int]:
+    """Bucket keys: the sampled shingles' hashes."""
+    return _picked(shingles, _LEVEL, threshold).astype(np.int64).tolist()
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +122,8 @@ def _first_shared(keys: list[np.ndarray], i: np.ndarray, j: np.ndarray, bucket:
 
 def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     """Links of one bucket, or of one pair of blocks of it: node, links, texts, and a node of its local component."""
+    if group["node"].duplicated().any():  # rows that are repeated with their id
+        group = group.drop_duplicates("node")
     if len(group) < 2:
         return None
     left, right = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
@@ -197,24 +195,18 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, field: str | None = None,
 
 def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, node), nodes (node, rep, copies) and links (node, links, texts, root)."""
-    rows = cut(_scan(docs, id_col, text_col))
-    nodes = cut(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    rows = kept(_scan(docs, id_col, text_col))
+    nodes = kept(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     chosen = nodes.select("node", "rep", "copies")
-
-    def of_nodes(found: DataFrame) -> DataFrame:
-        """One row of each node: its representative's."""
-        kept = found.join(chosen.withColumnRenamed("rep", "id"), ["node", "id"])
-        return kept.drop("id").dropDuplicates(["node"])
-
-    found = _scan(docs, id_col, text_col, "paths array<struct<key: long, below: array<long>>>", lambda s: paths(s, threshold))
-    top = cut(of_nodes(found).select("node", F.explode("paths").alias("p")).select("node", "p.key", "p.below"))
-    large = top.groupBy("key").count().where(F.col("count") > SPLIT).select("key", F.lit(True).alias("large"))
-    leaves = top.join(large, "key", "left").select("node", F.explode(F.when(F.col("large"), F.col("below")).otherwise(F.array("key"))).alias("leaf"))
-    leaves = cut(leaves.distinct())
-    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
-    shared = leaves.join(sizes, "leaf").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "members"))).alias("found"))
+    found = _scan(docs, id_col, text_col, "picks array<long>", lambda s: picks(s, threshold))
+    picked = kept(found.join(chosen.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "picks"))
+    leaves = kept(_leaves(picked))
+    shared = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "members"))).alias("found"))
+    needed = shared.join(_needless(shared), "node", "left")
+    needed = needed.withColumn("leaves", F.col("found.leaf")).withColumn("found", F.filter("found", lambda x: F.col("needless").isNull() | ~F.array_contains(F.col("needless"), x["leaf"])))
+    wanted = chosen.join(needed.where(F.size("found") > 0), "node").select("node", F.col("rep").alias("id"), "copies", "found", "leaves")
     sets = _scan(docs, id_col, text_col, "shingles binary", lambda s: np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
-    member = of_nodes(sets).join(shared, "node").withColumn("leaves", F.col("found.leaf")).withColumn("f", F.explode("found"))
+    member = sets.join(wanted, ["node", "id"]).withColumn("f", F.explode("found"))
     blocks = F.ceil(F.col("f.members") / F.lit(BLOCK)).cast("int")
     member = member.select("node", "copies", "shingles", "leaves", F.col("f.leaf").alias("leaf"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -224,6 +216,31 @@ def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: s
     return rows, nodes, cut(links)
 
 
+def _leaves(picked: DataFrame) -> DataFrame:
+    """(node, leaf, members) of every bucket with two nodes or more, large ones split where that makes less work."""
+    top = picked.select("node", F.explode("picks").alias("key")).distinct()
+    sizes = top.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    held = kept(top.join(sizes, "key"))
+    large = held.where(F.col("m") > SPLIT)
+    below = large.join(picked, "node").select("node", "key", "m", F.explode("picks").alias("other")).where("key <> other")
+    below = below.select("node", "key", "m", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("leaf"))
+    work = below.groupBy("key", "m", "leaf").count().groupBy("key", "m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
+    split = kept(work.where(F.col("work") < F.col("m").cast("double") * F.col("m")).select("key"))
+    whole = held.join(split, "key", "left_anti").select("node", F.col("key").alias("leaf"), F.col("m").alias("members"))
+    parts = below.join(split, "key").select("node", "leaf").distinct()
+    counts = parts.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
+    return whole.unionByName(parts.join(counts, "leaf").select("node", "leaf", "members"))
+
+
+def _needless(shared: DataFrame) -> DataFrame:
+    """(node, needless): the node's buckets whose members are all in one lesser bucket, where each pair is compared."""
+    each = shared.select("node", F.explode("found").alias("f"), F.col("found.leaf").alias("all"))
+    both = each.select(F.col("f.leaf").alias("leaf"), F.col("f.members").alias("members"), F.explode(F.filter("all", lambda x: x < F.col("f.leaf"))).alias("other"))
+    inside = both.groupBy("leaf", "other", "members").count().where(F.col("count") == F.col("members"))
+    gone = inside.select("leaf").distinct()
+    return each.select("node", F.col("f.leaf").alias("leaf")).join(gone, "leaf").groupBy("node").agg(F.collect_list("leaf").alias("needless"))
+
+
 def similarity_classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links, n_texts) for each row: the least id of its class, the other rows that are linked with
     it, and the other texts among them."""
