@@ -18,6 +18,29 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
+#: Rows of text that go to a Python worker at a time: texts are long, and several workers share a machine.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def stretches(texts: list, limit: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` characters each; a longer text stands alone."""
+    out, start, size = [], 0, 0
+    for k, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if k > start and size + n > limit:
+            out.append((start, k))
+            start, size = k, 0
+        size += n
+    return [*out, (start, len(texts))] if len(texts) else out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; set here only where it is unset."""
     sc = spark.sparkContext

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import WORD_TABLE, cut, utf8, words_of
+from palisade.llm.common import WORD_TABLE, cut, small_batches, utf8, words_of
 
 WINDOW = 10
 #: Bytes of item text in one automaton.
@@ -143,24 +143,26 @@ def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> li
     return out
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, out_col: str, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Adds a struct of n_words, spans (flat starts and ends in words, merged) and items (ids whose windows occur)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, out_col: str, *, clean: bool = False, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Adds a struct of n_words, spans (flat starts and ends in words, merged), items (ids whose windows occur) and,
+    with ``clean``, the text without the spans."""
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, window, item_col, item_text_col)
     groups = [blocks[k : k + RESIDENT] for k in range(0, len(blocks), RESIDENT)] or [[]]
     rows = docs
     for k, group in enumerate(groups):
         old = F.col(out_col) if k else F.lit(None).cast(_HITS)
-        rows = (cut(rows) if k else rows).withColumn(out_col, _hits(group)(F.col(text_col), old))
+        rows = (cut(rows) if k else rows).withColumn(out_col, _hits(group, clean and k == len(groups) - 1)(F.col(text_col), old))
     return rows
 
 
-_HITS = "struct<n_words: long, spans: array<long>, items: array<string>>"
+_HITS = "struct<n_words: long, spans: array<long>, items: array<string>, clean: string>"
 
 
-def _hits(group: list):
+def _hits(group: list, clean: bool):
     @F.pandas_udf(_HITS)
     def found(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-        n_words, spans, items = [], [], []
+        n_words, spans, items, out = [], [], [], []
         for text, old, names in zip(texts, before["spans"], before["items"], strict=True):
             words = words_of(text)
             got = [] if old is None else np.asarray(old, np.int64).reshape(-1, 2).tolist()
@@ -172,7 +174,8 @@ def _hits(group: list):
             n_words.append(len(words))
             spans.append(_merged(got))
             items.append(sorted(hit))
-        return pd.DataFrame({"n_words": n_words, "spans": spans, "items": items})
+            out.append(None if not clean or not isinstance(text, str) else remove_spans(text, spans[-1]) if spans[-1] else text)
+        return pd.DataFrame({"n_words": n_words, "spans": spans, "items": items, "clean": pd.Series(out, dtype=object)})
 
     return found
 
@@ -219,14 +222,9 @@ def remove_spans(text: str, flat: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The same columns: hit words are cut out of a text; rows with over ``max_coverage`` of their words hit go."""
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([remove_spans(x, s) if isinstance(x, str) and len(s) else x for x, s in zip(texts, spans, strict=True)], dtype=object)
-
-    rows = with_hits(docs, benchmark, "__hits", window=window, text_col=text_col)
+    rows = with_hits(docs, benchmark, "__hits", clean=True, window=window, text_col=text_col)
     rows = rows.where(F.expr(_N_HIT.format("__hits")) <= F.col("__hits.n_words") * F.lit(max_coverage))
-    out = rows.withColumn(text_col, F.when(F.size("__hits.spans") > 0, cleaned(F.col(text_col), F.col("__hits.spans"))).otherwise(F.col(text_col)))
+    out = rows.withColumn(text_col, F.col("__hits.clean"))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(docs.columns)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import cut, hash_words, kept, mix64, utf8
+from palisade.llm.common import cut, hash_words, kept, mix64, small_batches, stretches, utf8
 from palisade.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -183,8 +183,8 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, field: str | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
+            for at, to in stretches(pdf["text"].tolist()):
+                part = pdf.iloc[at:to]
                 sets = shingle_sets(part["text"].tolist())
                 rows = [(i, node_of(s), *([value(s)] if field else [])) for i, s in zip(part["id"].tolist(), sets, strict=True)]
                 yield pd.DataFrame(rows, columns=names)
@@ -195,6 +195,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, field: str | None = None,
 
 def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, node), nodes (node, rep, copies) and links (node, links, texts, root)."""
+    small_batches(docs.sparkSession)
     rows = kept(_scan(docs, id_col, text_col))
     nodes = kept(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     chosen = nodes.select("node", "rep", "copies")

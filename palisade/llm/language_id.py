@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import small_batches
+
 #: Sample for each language: about SAMPLE_DOCS rows by hash, SAMPLE_CHARS characters of each, FIT_CHARS in all.
 SAMPLE_DOCS, SAMPLE_CHARS, FIT_CHARS = 160, 1_000, 40_000
 BLOCK = 1_024
@@ -157,6 +159,7 @@ def labelled_sample(docs: DataFrame, training: Column, *, id_col: str, text_col:
 
 def predict_language(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang_pred, score) for each row of ``docs``; labels are read only from rows where ``training`` is true."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     parser = docs.sparkSession.sparkContext.broadcast(CrossParser(labelled_sample(docs, training, id_col=id_col, text_col=text_col, lang_col=lang_col)))
 

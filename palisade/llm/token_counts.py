@@ -21,6 +21,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from palisade.llm.common import small_batches
+
 #: Distinct pre-tokens kept per Python worker; beyond it the memory of counts starts anew.
 CACHE_WORDS = 400_000
 _NONE = np.int32(2**31 - 1)
@@ -162,6 +164,7 @@ def merger(path: str) -> RankMerger:
 
 def token_counts(docs: DataFrame, vocab_path: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row; ``vocab_path`` is a file that every executor has."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,10 +7,11 @@ piece are remembered. Texts with other blanks between words, or with a special s
 from __future__ import annotations
 
 import base64
+import json
 import struct
 
 #: Pieces remembered by a Python worker.
-CACHE = 300_000
+CACHE = 100_000
 
 
 class _Irregular(Exception):
@@ -38,14 +39,14 @@ class TokenIds:
 
     def __init__(self, spec_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        import tokenizers
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.plain = plain.encode_ordinary
-        self.whole = tokenizers.Tokenizer.from_file(spec_path)
-        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.spec_path, self.whole = spec_path, None
+        with open(spec_path, encoding="utf-8") as f:
+            self.special = tuple(t["content"] for t in json.load(f)["added_tokens"])
         self.first, self.later = _Pieces(self.plain, ""), _Pieces(self.plain, " ")
         self.line = struct.pack("<I", self.plain("\n")[0])
 
@@ -54,6 +55,10 @@ class TokenIds:
         if not text:
             return b""
         if any(s in text for s in self.special):
+            if self.whole is None:  # rarely needed, and large
+                import tokenizers
+
+                self.whole = tokenizers.Tokenizer.from_file(self.spec_path)
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         first, later, out = self.first, self.later.__getitem__, []

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import small_batches
 from palisade.llm.token_ids import piece_bounds, token_ids
 
 CAPACITY, END_ID, PAD_ID = 1024, 2, 0
@@ -77,6 +78,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def packed_ids(docs: DataFrame, tokenizer: tuple[str, str, str], *, capacity: int = CAPACITY, end_id: int = END_ID, pad_id: int = PAD_ID, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sequence: sequence_id, n_tokens, ids (binary), cu_seqlens, position_resets, doc_ids, pieces."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end, dtype = struct.pack("<I", end_id), f"<u{id_bytes}"
     buckets = -(-max(docs.count(), 1) // BUCKET)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import cut
+from palisade.llm.common import cut, small_batches
 
 #: Rows of each label in the sample, terms in the lexicon.
 FIT_ROWS, LEXICON = 6_000, 2_000
@@ -228,6 +228,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, *, id_col
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row."""
+    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -241,6 +243,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that score below ``threshold``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
