@@ -67,6 +67,8 @@ def node_of(shingles: np.ndarray) -> bytes | None:
 
 
 def _picked(shingles: np.ndarray, salt: np.uint64, threshold: float) -> np.ndarray:
+    if not len(shingles):
+        return shingles
     rate = REPEATS / (threshold * len(shingles))
     drawn = mix64(shingles ^ salt)
     return drawn if rate >= 1 else drawn[drawn < np.uint64(int(rate * 2**64))]
