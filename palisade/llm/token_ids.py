@@ -11,7 +11,7 @@ import json
 import struct
 
 #: Pieces remembered by a Python worker.
-CACHE = 100_000
+CACHE = 200_000
 
 
 class _Irregular(Exception):
