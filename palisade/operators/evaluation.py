@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -134,7 +137,7 @@ def perturb_text(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each variant: leet, spaced, mixed case, hyphenated."""
     t = F.col(text)
     chars = F.filter(F.split(t, ""), lambda c: c != "")
-    mixed = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == 0, F.upper(c)).otherwise(F.lower(c))), "")
+    mixed = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == 0, F.translate(c, _LOWER, _LOWER.upper())).otherwise(F.lower(c))), "")
     variants = {"original": t, "leet": F.translate(F.lower(t), "oieas", "01345"), "spaced": F.array_join(chars, " "), "mixed": mixed, "hyphenated": F.array_join(chars, "-")}
     rows = F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("variant_text")) for n, c in variants.items()])
     return df.select(*[c for c in df.columns if c != text], F.inline(rows))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A short list of words that are left out of word terms.
@@ -12,8 +12,13 @@ STOP = tuple("the of and to in a is that it for on was be with as this by are at
 def word_terms(text: Column, stop: tuple[str, ...] = STOP) -> Column:
     """Words of two letters and more, without stop words, and pairs of neighbours among what is left."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.when(F.size(words) > 1, F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1))))
-    return F.concat(words, F.array_compact(pairs))
+
+    def with_pairs(w: Column) -> Column:
+        after = F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), after, lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(w, pairs)
+
+    return F.transform(F.array(words), with_pairs)[0]  # the words are made once, not for each pair
 
 
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -41,8 +46,8 @@ def fit_vocabulary(counts: DataFrame, n_docs: int, size: int) -> DataFrame:
 def weigh(counts: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Sublinear term frequency x idf, unit length by document. The vocabulary's size is a parameter, so it is broadcast."""
     raw = counts.join(F.broadcast(vocabulary), "term").withColumn("w", (F.log("tf") + 1.0) * F.col("idf"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # a document's terms, no more than the vocabulary
+    return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(docs: DataFrame, terms: Column, size: int, id_col: str = "doc_id") -> DataFrame:
