@@ -25,11 +25,17 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words that are padded with a blank on both sides."""
     words = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def grams(w: Column) -> Column:
-        each = [F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*each)
+    def of_size(n: int):
+        """All pieces of n characters of a padded word; shorter words give none."""
 
-    return F.flatten(F.transform(words, grams))
+        def cut(w: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: i <= F.length(w) - (n - 1))
+            return F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))
+
+        return cut
+
+    sizes = [of_size(n) for n in range(low, high + 1)]
+    return F.flatten(F.transform(words, lambda w: F.concat(*[cut(w) for cut in sizes])))
 
 
 def term_counts(docs: DataFrame, terms: Column, id_col: str = "doc_id") -> DataFrame:
