@@ -30,7 +30,8 @@ def _column(name: str, make: Callable[[], Column | dict[str, Column]], sql: str
         ORACLE_SQL[name] = f"WITH {fx.MESSAGES}, m AS (SELECT *, lower(text) AS low FROM messages) SELECT message_id, {cols} FROM m"
 
 
-T = F.col("text")
+def _t() -> Column:
+    return F.col("text")
 
 # --- normalisation
 _EMOJI = "text"
@@ -40,17 +41,17 @@ _HTML = "regexp_replace({0}, '<[^>]+>', ' ', 'g')"
 _SHORT = "regexp_replace({0}, " + quoted(text.short_url_pattern()).replace("{", "{{").replace("}", "}}") + ", ' SHORTURL ', 'g')"
 _BLANK = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _LEET = f"translate(lower({{0}}), {quoted(rules.LEET[0])}, {quoted(rules.LEET[1])})"
-_column("normalize_nfkc", lambda: text.normalize_nfkc(T), None)
-_column("emoji_to_token", lambda: text.emoji_to_token(T), _EMOJI)
-_column("strip_html_tags", lambda: text.strip_html_tags(T), _HTML.format("text"))
-_column("mark_short_urls", lambda: text.mark_short_urls(T), _SHORT.format("text"))
-_column("collapse_whitespace", lambda: text.collapse_whitespace(T), _BLANK.format("text"))
-_column("preprocess_text", lambda: text.preprocess_text(T, nfkc=False), _BLANK.format(_SHORT.format(_HTML.format(_EMOJI))))
-_column("leet_normalize", lambda: text.leet_normalize(T), _LEET.format("text"))
+_column("normalize_nfkc", lambda: text.normalize_nfkc(_t()), None)
+_column("emoji_to_token", lambda: text.emoji_to_token(_t()), _EMOJI)
+_column("strip_html_tags", lambda: text.strip_html_tags(_t()), _HTML.format("text"))
+_column("mark_short_urls", lambda: text.mark_short_urls(_t()), _SHORT.format("text"))
+_column("collapse_whitespace", lambda: text.collapse_whitespace(_t()), _BLANK.format("text"))
+_column("preprocess_text", lambda: text.preprocess_text(_t(), nfkc=False), _BLANK.format(_SHORT.format(_HTML.format(_EMOJI))))
+_column("leet_normalize", lambda: text.leet_normalize(_t()), _LEET.format("text"))
 _column("length_guard", lambda: F.when(F.char_length(F.trim("text")) < text.MIN_CHARS, "TOO_SHORT").otherwise("OK"), "CASE WHEN length(trim(text)) < 20 THEN 'TOO_SHORT' ELSE 'OK' END")
 _column("truncate_5000", lambda: {"cut": F.substring("text", 1, text.MAX_CHARS), "warned": F.char_length("text") > text.MAX_CHARS}, {"cut": "substring(text, 1, 5000)", "warned": "length(text) > 5000"})
 _SHARE = "CASE WHEN length(text) > 0 THEN 1.0 - CAST(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS DOUBLE) / length(text) ELSE 0.0 END"
-_column("non_ascii_warning", lambda: {"non_ascii": F.round(text.non_ascii_share(T), 6), "warned": text.non_ascii_share(T) > 0.30}, {"non_ascii": f"round({_SHARE}, 6)", "warned": f"({_SHARE}) > 0.30"})
+_column("non_ascii_warning", lambda: {"non_ascii": F.round(text.non_ascii_share(_t()), 6), "warned": text.non_ascii_share(_t()) > 0.30}, {"non_ascii": f"round({_SHARE}, 6)", "warned": f"({_SHARE}) > 0.30"})
 _column("display_confidence", lambda: {"shown": F.round(policy.display_confidence(policy.verdict_tier(F.col("prob")), F.col("prob") * 100), 6)}, {"shown": "round(greatest(least(CASE WHEN prob >= 0.4 THEN prob * 100 ELSE 100.0 - prob * 100 END, 100.0), 0.0), 6)"})
 _column("score_band", lambda: policy.score_band(F.col("prob") * 100), "CASE WHEN prob * 100 < 26 THEN 'low' WHEN prob * 100 < 51 THEN 'moderate' WHEN prob * 100 < 75 THEN 'high' ELSE 'critical' END")
 _column("proximity_band", lambda: policy.proximity_band(F.col("prob")), "CASE WHEN prob > CAST(0.65 AS DOUBLE) THEN 'high' WHEN prob > CAST(0.45 AS DOUBLE) THEN 'medium' ELSE 'low' END")
@@ -74,13 +75,13 @@ def _basic_sql(col: str, cues: tuple[str, ...], digits: int | None) -> dict[str,
 
 def _serve() -> dict[str, Column]:
     """Statistics of the leet-normalised text; links are taken from the text as it came."""
-    stats, raw = text.basic_features(text.leet_normalize(T), rules.CUES, None), text.basic_features(T)
+    stats, raw = text.basic_features(text.leet_normalize(_t()), rules.CUES, None), text.basic_features(_t())
     out = {k: F.round(c, 9) if k.endswith("ratio") else c for k, c in stats.items()}
     return out | {k: raw[k] for k in ("has_url", "url_count")}
 
 
-_column("basic_features", lambda: text.basic_features(T), _basic_sql("text", rules.CUES, 4))
-_column("basic_features_gap", lambda: text.basic_features(T, rules.CUES_GAP), _basic_sql("text", rules.CUES_GAP, 4))
+_column("basic_features", lambda: text.basic_features(_t()), _basic_sql("text", rules.CUES, 4))
+_column("basic_features_gap", lambda: text.basic_features(_t(), rules.CUES_GAP), _basic_sql("text", rules.CUES_GAP, 4))
 _column("inference_features", _serve, _basic_sql(_LEET.format("text"), rules.CUES, None) | {k: v for k, v in _basic_sql("text", rules.CUES, 4).items() if k in ("has_url", "url_count")})
 
 # --- tone
@@ -93,7 +94,7 @@ _column("tone_legacy", lambda: tone.tones_legacy(F.col("low")), {f"tone_{n}": fx
 
 
 def tone_merge_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = messages(spark, sf_dir).select("message_id", F.lower("text").alias("low"), text.leet_normalize(T).alias("leet"))
+    rows = messages(spark, sf_dir).select("message_id", F.lower("text").alias("low"), text.leet_normalize(_t()).alias("leet"))
     made = rows.select("message_id", *[F.greatest(tone.tone("low", p), tone.tone("leet", p)).alias(f"tone_{n}") for n, p in rules.TONE.items()])
     return made
 
@@ -132,12 +133,12 @@ URL_SQL = {
     "url_has_ip": f"CAST({_IP} AS INT)",
 }
 _TRUSTED = f"(len({_URLS}) > 0 AND len(list_filter({_URLS}, lambda u: NOT {_under(_host('u'), rules.TRUSTED)})) = 0)"
-EXPLICIT = lambda: urls.explicit_urls(T)
+EXPLICIT = lambda: urls.explicit_urls(_t())
 _column("extract_urls_explicit", EXPLICIT, _URLS)
-_column("extract_urls", lambda: urls.extract_urls(T), None)
+_column("extract_urls", lambda: urls.extract_urls(_t()), None)
 _column("url_suspicious_tld", lambda: urls.has_suspicious_tld(EXPLICIT()).cast("int"), URL_SQL["url_suspicious_tld"])
 _column("url_suspicious_keyword", lambda: urls.has_keyword(EXPLICIT()).cast("int"), URL_SQL["url_suspicious_keyword"])
-_column("url_has_ip", lambda: urls.has_ip(T).cast("int"), URL_SQL["url_has_ip"])
+_column("url_has_ip", lambda: urls.has_ip(_t()).cast("int"), URL_SQL["url_has_ip"])
 _column("lookalike_domain", lambda: F.exists(EXPLICIT(), lambda u: urls.lookalike(u)), _any(_FAKE))
 _column("trusted_all", lambda: urls.trusted_all(EXPLICIT()), _TRUSTED)
 _LEGACY = {
@@ -145,7 +146,7 @@ _LEGACY = {
     "url_suspicious_keyword": f"CAST({_any(fx.contained(_host('u'), rules.URL_KEYWORDS_LEGACY) + ' > 0')} AS INT)",
     "url_has_ip": URL_SQL["url_has_ip"],
 }
-_column("url_features_legacy", lambda: urls.url_flags_legacy(EXPLICIT(), T), _LEGACY)
+_column("url_features_legacy", lambda: urls.url_flags_legacy(EXPLICIT(), _t()), _LEGACY)
 
 
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +154,7 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reputation.url_explode(messages(spark, sf_dir).select("message_id", urls.explicit_urls(T).alias("urls")))
+    return reputation.url_explode(messages(spark, sf_dir).select("message_id", urls.explicit_urls(_t()).alias("urls")))
 
 
 QUERIES |= {"url_host": url_host, "url_explode": url_explode}
@@ -192,7 +193,7 @@ def url_reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reputation_attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a key for one service: whether each was asked, and a warning where the other was skipped."""
-    rows = messages(spark, sf_dir).select("message_id", F.size(urls.explicit_urls(T)).alias("n"))
+    rows = messages(spark, sf_dir).select("message_id", F.size(urls.explicit_urls(_t())).alias("n"))
     return rows.select("message_id", (F.col("n") > 0).alias("gsb_attempted"), F.lit(False).alias("vt_attempted"), F.when(F.col("n") > 0, "second check skipped").alias("warning"))
 
 
@@ -232,7 +233,7 @@ def _engineered() -> dict[str, Column]:
 
 for _name in FEATURE_SQL:
     _column(_name, lambda n=_name: _engineered()[n], FEATURE_SQL[_name])
-_column("syllable_count", lambda: F.aggregate(F.transform(text.tokens(T), features.syllable_count), F.lit(0), lambda a, x: a + x), f"CAST({_SYLL_SUM} AS BIGINT)")
+_column("syllable_count", lambda: F.aggregate(F.transform(text.tokens(_t()), features.syllable_count), F.lit(0), lambda a, x: a + x), f"CAST({_SYLL_SUM} AS BIGINT)")
 _column("feature_frame", lambda: _engineered() | tone.tones("low"), FEATURE_SQL | URL_SQL | TONE_SQL)
 _TYPES = {f"type_{n}": fx.matching("low", p) for n, p in rules.SCAM_TYPES.items()}
 _BEST = f"greatest({', '.join(_TYPES.values())})"
@@ -250,7 +251,7 @@ _column("otp_signal", lambda: features.otp_signal(F.col("low")), _OTP)
 # --- policy
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every input of the policy. Costly columns are made once, below a projection that the policy reads."""
-    low, found = F.col("low"), urls.explicit_urls(T)
+    low, found = F.col("low"), urls.explicit_urls(_t())
     rows = messages(spark, sf_dir).withColumn("low", F.lower("text")).withColumn("urls", found)
     names = ("scam_phrase_score", "legit_phrase_score", "sender_impersonation_score", "currency_symbol_count")
     made = features.engineered("text")

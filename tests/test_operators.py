@@ -111,3 +111,12 @@ def test_queries_have_names_in_common():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "channel_scam_language" in entry.queries()
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-500:]
