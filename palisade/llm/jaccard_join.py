@@ -1,13 +1,16 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Each text is the set of hashes of its shingles (five words; shorter texts are one shingle). Texts with equal sets are
-one node. Every node picks some of its shingles by a hash that all nodes share, REPEATS / (threshold x set size) of
-them each on average, so two nodes at the threshold pick REPEATS shared ones on average: each shared pick is a bucket
-that holds both. This is REPEATS runs of the chosen-path split in one pass; a pair at the threshold is missed with
-probability exp(-REPEATS). A bucket of more than SPLIT nodes is split once more on a second shared pick, if that makes
-less to compare. A bucket whose members are all in one other is left out. Small buckets are compared by brute force; what is still large (near copies, which no shingle splits) is
-cut into blocks, and every pair of blocks is compared in a task of its own, so no bucket is capped and none must fit
-in one task. Pairs are never written out: a task counts links and returns each node's count and its least neighbour.
+one node. Every node picks some of its shingles by a hash that all nodes share, REPEATS / (threshold x set size) of them
+each on average, so two nodes at the threshold pick REPEATS shared ones on average: each shared pick is a bucket that
+holds both. In a bucket of more than SPLIT nodes the nodes pick afresh, with the bucket's own salt and from the shingles
+off its path, again REPEATS shared ones on average, and the bucket is replaced by its sub-buckets; so on until buckets
+are small or a split does not halve the work. A pair is missed with a probability of at most x = exp(-REPEATS (1 - x))
+at any depth (:func:`miss_rate`, 0.252 %); runs with new salts are repeated until that of all runs is within ``recall``.
+A bucket whose members are all in one other is left out. Small buckets are compared by brute force; what is still large
+(near copies, which no shingle splits) is cut into blocks, and every pair of blocks is compared in a task of its own, so
+no bucket is capped and none must fit in one task. Pairs are never written out: a task counts links and returns each
+node's count and its least neighbour.
 
 Defined cases: texts without words (null, empty, signs only) have no links; repeated rows and equal texts link with
 each other; rows without id keep a null class and no links; an empty table gives an empty result; long texts are
@@ -18,7 +21,9 @@ probability 2**-32.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,9 @@ from palisade.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: Expected shared picks of a pair at the threshold.
 REPEATS = 6.0
-#: Nodes in a bucket from which it is split again, and nodes in a block of what is left.
+#: Share of the pairs at the threshold that are found, by calculation; one run gives 0.9974.
+RECALL = 0.997
+#: Nodes in a bucket from which it is split, and nodes in a block of what is left.
 SPLIT, BLOCK = 512, 256
 _STEP = np.uint64(0x100000001B3)
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
@@ -66,17 +73,39 @@ def node_of(shingles: np.ndarray) -> bytes | None:
     return np.array([a, b], np.uint64).tobytes()
 
 
-def _picked(shingles: np.ndarray, salt: np.uint64, threshold: float) -> np.ndarray:
-    if not len(shingles):
-        return shingles
-    rate = REPEATS / (threshold * len(shingles))
-    drawn = mix64(shingles ^ salt)
-    return drawn if rate >= 1 else drawn[drawn < np.uint64(int(rate * 2**64))]
+def miss_rate() -> float:
+    """Probability at most that a run misses a pair at the threshold: it shares no pick, or each is a bucket whose
+    split misses it in turn, each by a salt of its own."""
+    x = 0.0
+    for _ in range(200):
+        x = math.exp(-REPEATS * (1 - x))
+    return x
+
+
+def runs_for(recall: float) -> int:
+    """Runs with salts of their own after which a pair at the threshold is found with probability ``recall``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(miss_rate())))
+
 
+def _drawn(shingles: np.ndarray, key: int) -> np.ndarray:
+    return mix64(shingles ^ mix64(np.array([key % 2**64], np.uint64) ^ _LEVEL))
 
-def picks(shingles: np.ndarray, threshold: float) -> list[int]:
-    """Bucket keys: the sampled shingles' hashes."""
-    return _picked(shingles, _LEVEL, threshold).astype(np.int64).tolist()
+
+def picks_below(shingles: np.ndarray, path: list[int], threshold: float) -> list[int]:
+    """Keys of the sub-buckets of the bucket that ``path`` (the run, and a key a level) leads to."""
+    least = threshold * len(shingles) - (len(path) - 1)  # shared ones off the path, if the pair's other set is smaller
+    if least > 0:
+        for key, chosen in zip(path[:-1], path[1:], strict=True):
+            shingles = shingles[_drawn(shingles, key) != np.uint64(chosen % 2**64)]
+    drawn = _drawn(shingles, path[-1])
+    if least > REPEATS:
+        drawn = drawn[drawn < np.uint64(int(REPEATS / least * 2**64))]
+    return drawn.astype(np.int64).tolist()
+
+
+def picks(shingles: np.ndarray, threshold: float, run: int = 0) -> list[int]:
+    """Bucket keys of a run: the sampled shingles' hashes."""
+    return picks_below(shingles, [run], threshold)
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +224,17 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, field: str | None = None,
     return source.mapInPandas(run, f"id {kind}, node binary" + (f", {field}" if field else ""))
 
 
-def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, node), nodes (node, rep, copies) and links (node, links, texts, root)."""
     small_batches(docs.sparkSession)
     rows = kept(_scan(docs, id_col, text_col))
     nodes = kept(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     chosen = nodes.select("node", "rep", "copies")
-    found = _scan(docs, id_col, text_col, "picks array<long>", lambda s: picks(s, threshold))
-    picked = kept(found.join(chosen.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "picks"))
-    leaves = kept(_leaves(picked))
+    runs = range(runs_for(recall))
+    found = _scan(docs, id_col, text_col, "paths array<array<long>>", lambda s: [[r, key] for r in runs for key in picks(s, threshold, r)])
+    picked = found.join(chosen.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", F.explode("paths").alias("path"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    leaves = kept(_leaves(picked, texts, chosen.select("node", F.col("rep").alias("id")), threshold))
     shared = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "members"))).alias("found"))
     needed = shared.join(_needless(shared), "node", "left")
     needed = needed.withColumn("leaves", F.col("found.leaf")).withColumn("found", F.filter("found", lambda x: F.col("needless").isNull() | ~F.array_contains(F.col("needless"), x["leaf"])))
@@ -219,20 +250,42 @@ def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: s
     return rows, nodes, cut(links)
 
 
-def _leaves(picked: DataFrame) -> DataFrame:
-    """(node, leaf, members) of every bucket with two nodes or more, large ones split where that makes less work."""
-    top = picked.select("node", F.explode("picks").alias("key")).distinct()
-    sizes = top.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    held = kept(top.join(sizes, "key"))
-    large = held.where(F.col("m") > SPLIT)
-    below = large.join(picked, "node").select("node", "key", "m", F.explode("picks").alias("other")).where("key <> other")
-    below = below.select("node", "key", "m", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("leaf"))
-    work = below.groupBy("key", "m", "leaf").count().groupBy("key", "m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
-    split = kept(work.where(F.col("work") < F.col("m").cast("double") * F.col("m")).select("key"))
-    whole = held.join(split, "key", "left_anti").select("node", F.col("key").alias("leaf"), F.col("m").alias("members"))
-    parts = below.join(split, "key").select("node", "leaf").distinct()
-    counts = parts.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
-    return whole.unionByName(parts.join(counts, "leaf").select("node", "leaf", "members"))
+def _leaves(picked: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """(node, leaf, members) of every bucket with two nodes or more, large ones split where that halves the work."""
+    done = []
+    while True:
+        named = picked.withColumn("leaf", F.element_at("path", -1))
+        sizes = named.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
+        held = kept(named.join(sizes, "leaf").select("node", "path", "leaf", "members"))
+        large = held.where(F.col("members") > SPLIT)
+        if large.isEmpty():
+            done.append(held)
+            break
+        below = kept(_below(large, texts, ids, threshold))
+        counts = below.groupBy(F.element_at("path", -2).alias("leaf"), F.element_at("path", -1).alias("sub")).count()
+        work = counts.groupBy("leaf").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
+        wholes = large.groupBy("leaf").agg(F.first("members").cast("double").alias("m"))
+        split = kept(wholes.join(work, "leaf", "left").where(F.coalesce("work", F.lit(0.0)) <= F.col("m") * F.col("m") / 2).select("leaf"))
+        done.append(held.join(split, "leaf", "left_anti"))
+        picked = below.join(split, F.element_at("path", -2) == F.col("leaf"), "left_semi")
+    return reduce(DataFrame.unionByName, [d.select("node", "leaf", "members") for d in done])
+
+
+def _below(large: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """(node, path) for the fresh picks of the nodes of large buckets."""
+    wanted = large.groupBy("node").agg(F.collect_list("path").alias("paths")).join(ids, "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, to in stretches(pdf["text"].tolist()):
+                part = pdf.iloc[at:to]
+                rows = []
+                for node, paths, s in zip(part["node"], part["paths"], shingle_sets(part["text"].tolist()), strict=True):
+                    if node_of(s) == node:  # another text may have the same id
+                        rows += [(node, [*path, key]) for path in map(np.ndarray.tolist, paths) for key in picks_below(s, path, threshold)]
+                yield pd.DataFrame(rows, columns=["node", "path"])
+
+    return texts.join(wanted, "id").select("node", "paths", "text").mapInPandas(run, "node binary, path array<long>").distinct()
 
 
 def _needless(shared: DataFrame) -> DataFrame:

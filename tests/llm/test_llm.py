@@ -315,3 +315,27 @@ def test_pipeline_stages_keep_columns(spark):
         n, docs = docs.count(), corpus_pipeline.kept(stage(spark, docs, sf))
         if name != "packing":
             assert docs.columns == columns and 0 < docs.count() <= n
+
+
+def test_jaccard_join_finds_pairs_that_share_only_a_frequent_pick(spark, monkeypatch):
+    rng = random.Random(11)
+    while True:  # all sets are of one size, so all pick the same shingles of the passage: here a single one
+        passage = [f"p{rng.randint(0, 9999)}" for _ in range(24)]
+        of_passage = set(jaccard_join.shingle_sets([" ".join(passage)])[0].tolist())
+        text = " ".join(passage + [f"q{k}" for k in range(60)])
+        common = [jaccard_join.picks(np.append(np.uint64(x), np.arange(79, dtype=np.uint64)), 0.8) for x in of_passage]
+        if sum(len(set(c) - set(jaccard_join.picks(np.append(np.uint64(0), np.arange(79, dtype=np.uint64)), 0.8))) for c in common) == 1:
+            break
+    pairs = []
+    while len(pairs) < 60:
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        texts = [" ".join(passage + own[:-8] + [f"{x}{rng.randint(0, 10**6)}" for _ in range(8)]) for x in "ab"]
+        a, b = (set(jaccard_join.picks(s, 0.8)) for s in jaccard_join.shingle_sets(texts))
+        if len(a & b) == 1:
+            pairs.append(texts)
+    assert len(text.split()) == len(pairs[0][0].split())
+    monkeypatch.setattr(jaccard_join, "SPLIT", 40)
+    df = spark.createDataFrame(list(enumerate(sum(pairs, []))), "doc_id long, text string")
+    got = jaccard_join.similarity_classes(df).where("n_links = 1").count()
+    assert got >= 2 * 58  # 60 times 0.25 % are missed
+    assert 0.002 < jaccard_join.miss_rate() < 0.0026 and jaccard_join.runs_for(jaccard_join.RECALL) == 1 and jaccard_join.runs_for(0.9999) == 2
