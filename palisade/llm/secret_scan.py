@@ -2,7 +2,9 @@
 
 A value that follows a credential word ("passphrase is ...", "auth: ...") is cut into words, dates, repeats, keyboard
 walks and brute-force spans so that the guesses needed are fewest (dynamic programming over cut points); it is a
-secret when even that cheapest way takes ``min_cost`` powers of ten. The patterns' own spans are always kept.
+secret when even that cheapest way takes ``min_cost`` powers of ten. A value is the whole run of signs, however long.
+The patterns' own spans are always kept; a guessed value that reaches beyond one has its span besides. After "bearer"
+and a blank, plain words of letters are values only in a header ("Authorization: Bearer ...").
 
 Defined cases: null text counts as empty (no spans); an empty table gives an empty result; repeated rows give repeated
 rows; texts of any length are scanned whole; columns besides id and text are ignored by :func:`secret_spans` and kept
@@ -26,14 +28,13 @@ from palisade.llm.common import small_batches
 KINDS = ("assign", "access", "hex", "guess")
 #: Powers of ten of guesses from which a value in credential context is a secret.
 MIN_COST = 10.0
-MAX_VALUE = 256
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal: the same as [0-9a-f]+ of 16 or more
 _CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "pin")
 _CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|bearer|login|pin)(?:["']?\x20*(?:[:=]+|->|=>)\x20*|\x20+(?:is|was)\x20+)["'`]?([!-~]{8,256})""",
+    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|bearer|login|pin)(?:["']?\x20*(?:[:=]+|->|=>)\x20*["'`]?bearer\x20+|["']?\x20*(?:[:=]+|->|=>)\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+(?!["'`]?[a-z]+(?:['-][a-z]+)*[^\sa-z0-9]*(?:\s|\Z)))["'`]?([!-~]{8,})""",
     re.I | re.A,
 )
 
@@ -66,20 +67,35 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for an empty value."""
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation; 0 for an empty value. Exact below ``limit``; dearer values
+    may give any cost from ``limit`` on, and are left as soon as every way is that dear."""
     n, low = len(value), value.lower()
     best = [0.0] + [math.inf] * n
+    reach = 0  # the furthest end of a way below the limit
+    bounded = limit < math.inf
+    sizes = max(1, min(n // 2, int(limit))) if bounded else n // 2  # a sign costs 1 at least
+    near = int(8 * limit) if bounded else n
+    since = [0] * (max(sizes, 1) + 1)  # where the stretch of each period began that goes on here
     for i in range(n):
+        if i > reach:
+            return limit
+        for size in range(1, sizes + 1) if bounded and i else ():
+            if i - 1 + size >= n or value[i - 1] != value[i - 1 + size]:
+                since[size] = i
         here = best[i]
+        if here >= limit:
+            continue
         step = 0.3 if i else 0.0  # a guesser also tries how segments follow each other
 
         def offer(j: int, cost: float, at: float = here + step) -> None:
+            nonlocal reach
             if at + cost < best[j]:
                 best[j] = at + cost
+                if j > reach and best[j] < limit:
+                    reach = j
 
-        if here + _brute(value[i]) < best[i + 1]:
-            best[i + 1] = here + _brute(value[i])
+        offer(i + 1, _brute(value[i]), here)
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j])
             if rank is not None:
@@ -87,12 +103,15 @@ def guess_cost(value: str) -> float:
         date = _DATE.match(value, i)
         if date:
             offer(date.end(), math.log10(365 * 120) if date.end() - i > 4 else math.log10(120))
+        # Far into a stretch some repeat is under way: to carry it on is cheaper than to begin another.
         j = i + 1
-        while j < n and value[j] == value[i]:
+        while i - since[1] <= near and j < n and value[j] == value[i]:
             j += 1
             if j - i >= 3:
                 offer(j, _brute(value[i]) + math.log10(j - i))
-        for size in range(2, (n - i) // 2 + 1):
+        for size in range(2, min((n - i) // 2, sizes) + 1):
+            if i - since[size] > near:
+                continue
             block, j = value[i : i + size], i + size
             while value.startswith(block, j):
                 j += size
@@ -102,6 +121,8 @@ def guess_cost(value: str) -> float:
             turns, way, j = turns + (now != way), now, j + 1
             if j - i >= 3:
                 offer(j, math.log10(47) + math.log10(j - i) + 0.6 * min(turns, (j - i) // 2 + 1))
+            if 0.6 * min(turns, (j - i) // 2 + 1) >= limit:
+                break
     return best[n]
 
 
@@ -115,7 +136,9 @@ def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[int, int, str]]:
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip("\"'`.,;:!?)]}>")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not any(s < end and start < e for s, e in held) and guess_cost(value) >= min_cost:
+            quote = text[start - 1] if text[start - 1] in "\"'`" else None
+            inside = any(s <= start < e and (end <= e or quote and text[e] == quote) for s, e in held)
+            if len(value) >= 8 and not inside and guess_cost(value, min_cost) >= min_cost:
                 found.append((start, end, "guess"))
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]

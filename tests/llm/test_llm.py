@@ -339,3 +339,22 @@ def test_jaccard_join_finds_pairs_that_share_only_a_frequent_pick(spark, monkeyp
     got = jaccard_join.similarity_classes(df).where("n_links = 1").count()
     assert got >= 2 * 58  # 60 times 0.25 % are missed
     assert 0.002 < jaccard_join.miss_rate() < 0.0026 and jaccard_join.runs_for(jaccard_join.RECALL) == 1 and jaccard_join.runs_for(0.9999) == 2
+
+
+def test_secret_scan_takes_whole_values():
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789._-") for _ in range(700)) + "zQ"
+    plain = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))
+    secrets = {f"passphrase is {long} end": long, "password=Abcdefghijkl!Xy9#Kq2$ end": "Xy9#Kq2$", f"see Bearer {long[:60]}Q end": long[:60] + "Q"}
+    secrets |= {f"Authorization: Bearer {plain} end": plain, "auth: " + "-" * 600 + "Xq9$vR2!mZ7wKp end": "Xq9$vR2!mZ7wKp"}
+    for text, secret in secrets.items():
+        out = secret_scan.cover(text, secret_scan.scan(text))
+        assert secret[-8:] not in out and out.endswith(" end")
+    for text in ("auth: " + "-=" * 10_000, "the bearer certificate, which", "a bearer of-good-news today"):
+        assert secret_scan.scan(text) == []
+    assert [s[2] for s in secret_scan.scan('"password":"abcdefgh12345","name":"Bob"')] == ["assign"]
+    for _ in range(300):
+        parts = ["password", "12", "aaaaaaa", "xyxyxyxyxy", "qwert", "2019-02-03", "K", "%", "thethethe", "-" * 120]
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+        cost, fast = secret_scan.guess_cost(value), secret_scan.guess_cost(value, 10.0)
+        assert fast >= 10 if cost >= 10 else abs(fast - cost) < 1e-9
