@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses. The lexical transducer rewrites words to insults, threats, targets, negators and verbs of
-report, with weights; its output runs through the negation transducer (an insult soon after a negator), the
-reported-speech transducer (what follows a verb of report) and the target transducer (a clause that names a person).
+report, with weights; threats are sequences of words. Its output runs through the negation transducer (an insult or threat soon
+after a negator), the reported-speech transducer (what follows a verb of report) and the target transducer (a clause
+that names a person). A single line break ends no clause.
 The composed weights of matched clauses, by what became of them, are the features of a small logistic model.
 
-Insult words, also as beginnings of words, and the model are learned from a bounded sample of labelled rows; a short
+Insult words, also as beginnings of words, threats (sequences with a target) and the model are learned from a bounded sample of labelled rows; a short
 starter lexicon holds without labels.
 
 Defined cases: null text counts as empty and scores the base rate; without labels of both kinds the starter lexicon
@@ -32,20 +33,26 @@ FIT_ROWS, LEXICON = 6_000, 2_000
 #: LEAST_SHARE of the strongest term's: words that near copies of a few toxic rows share stay below that.
 LEAST_ROWS, LEAST_ODDS, LEAST_SHARE, SURE = 3, 1.1, 0.5, 2.33
 PREFIX = (4, 8)
+#: Words in a learned threat.
+PHRASE = (2, 4)
 
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
 THREATS = ("kill you", "hurt you", "find you", "destroy you", "beat you", "you will pay", "watch your back", "hope you die")
 TARGETS = frozenset("you your yours yourself u ur he him his she her they them their these those people everyone".split())
 NEGATORS = frozenset("not never no isn't aren't wasn't don't doesn't nobody neither nor without".split())
 REPORTS = frozenset("said says say called calls wrote writes quoted claimed claims reported according".split())
-_CLAUSE = re.compile(r"[.!?;\n]+")
+_CLAUSE = re.compile(r"[.!?;]+|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
-def lexical(words: Iterable[str], weight_of) -> Iterator[tuple[str, float]]:
-    """First transducer: word -> (class, weight)."""
-    for w in words:
+def lexical(words: Iterable[str], weight_of, threat_at=None) -> Iterator[tuple[str, float]]:
+    """First transducer: word -> (class, weight); ``threat_at(words, i)`` is the weight of a threat that begins there."""
+    words = list(words)
+    for i, w in enumerate(words):
         weight = weight_of(w)
+        threat = threat_at(words, i) if threat_at else 0.0
+        if threat > 0:
+            yield "threat", threat
         if weight > 0:
             yield "insult", weight
         elif w in NEGATORS:
@@ -54,15 +61,19 @@ def lexical(words: Iterable[str], weight_of) -> Iterator[tuple[str, float]]:
             yield "report", 0.0
         elif w in TARGETS:
             yield "target", 0.0
-        else:
+        elif not threat:
             yield "other", 0.0
 
 
+_ABUSE = ("insult", "threat")
+_AIMED = {"insult": "aimed", "threat": "menace"}
+
+
 def negation(tape: Iterable[tuple[str, float]], reach: int = 3) -> Iterator[tuple[str, float]]:
     """State: words left in the reach of a negator."""
     left = 0
     for kind, weight in tape:
-        yield ("negated" if kind == "insult" and left else kind), weight
+        yield ("negated" if kind in _ABUSE and left else kind), weight
         left = reach if kind == "negator" else max(0, left - 1)
 
 
@@ -70,7 +81,7 @@ def reported(tape: Iterable[tuple[str, float]]) -> Iterator[tuple[str, float]]:
     """State: whether a verb of report stands before."""
     inside = False
     for kind, weight in tape:
-        yield ("reported" if kind == "insult" and inside else kind), weight
+        yield ("reported" if kind in _ABUSE and inside else kind), weight
         inside = inside or kind == "report"
 
 
@@ -79,19 +90,22 @@ def targeted(tape: Iterable[tuple[str, float]]) -> Iterator[tuple[str, float]]:
     held = list(tape)
     aimed = any(kind == "target" for kind, _ in held)
     for kind, weight in held:
-        yield ("aimed" if aimed and kind == "insult" else kind), weight
+        yield (_AIMED.get(kind, kind) if aimed else kind), weight
 
 
-_SLOTS = {"insult": 0, "aimed": 1, "negated": 2, "reported": 3, "threat": 4}
+_SLOTS = {"insult": 0, "aimed": 1, "negated": 2, "reported": 3, "threat": 4, "menace": 5}
 #: Where the model starts, and what it falls back to: base, then log weights of each slot.
-PRIOR = np.array([-4.0, 3.0, 3.5, 0.5, 1.0, 4.0])
+PRIOR = np.array([-4.0, 3.0, 3.5, 0.5, 1.0, 4.0, 4.0])
 
 
 class Grammar:
     def __init__(self, terms: dict[str, float]):
-        """terms: word, or beginning of a word and "*", -> weight."""
+        """terms: word, or beginning of a word and "*", or words of a threat with blanks between, -> weight."""
         self.terms = terms
-        self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
+        self.threats: dict[str, list[tuple[list[str], float]]] = {}
+        for t, w in ({t: 1.0 for t in THREATS} | {t: w for t, w in terms.items() if " " in t}).items():
+            self.threats.setdefault(t.split()[0], []).append((t.split(), w))
+        self.words = {t: w for t, w in terms.items() if not t.endswith("*") and " " not in t}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.sizes = sorted({len(s) for s in self.stems})
         self._finder = None
@@ -110,12 +124,16 @@ class Grammar:
             found = max(found, self.stems.get(word[:n], 0.0))
         return found
 
+    def threat_at(self, words: list[str], i: int) -> float:
+        return max((w for t, w in self.threats.get(words[i], ()) if words[i : i + len(t)] == t), default=0.0)
+
     def finder(self):
         if self._finder is None:
             import ahocorasick
 
             self._finder = ahocorasick.Automaton()
-            for t in [*self.words, *self.stems, *THREATS]:
+            marks = {max((w for w in t if w not in TARGETS), key=len, default=t[0]) for ts in self.threats.values() for t, _ in ts}
+            for t in {*self.words, *self.stems, *marks}:
                 self._finder.add_word(t, len(t))
             self._finder.make_automaton()
         return self._finder
@@ -131,11 +149,10 @@ class Grammar:
         bounds = [0, *(m.end() for m in _CLAUSE.finditer(low)), len(low) + 1]
         for k in sorted({bisect_right(bounds, s) - 1 for s in starts}):
             clause = low[bounds[k] : bounds[k + 1]]
-            tape = targeted(reported(negation(lexical(_WORD.findall(clause), self.weight))))
+            tape = targeted(reported(negation(lexical(_WORD.findall(clause), self.weight, self.threat_at))))
             for kind, weight in tape:
                 if kind in _SLOTS:
                     sums[_SLOTS[kind]] += weight
-            sums[_SLOTS["threat"]] += sum(clause.count(t) for t in THREATS)
         return np.log1p(sums)
 
 
@@ -167,6 +184,21 @@ def _terms(text: str | None) -> set[str]:
         if len(w) >= 3:
             found.add(w)
         found.update(w[:n] + "*" for n in range(PREFIX[0], min(PREFIX[1], len(w)) + 1))
+    return found | _phrases(text)
+
+
+def _phrases(text: str | None) -> set[str]:
+    """Sequences of words in a clause, with a target and another word in them."""
+    found = set()
+    for clause in _CLAUSE.split(text.lower()) if isinstance(text, str) else ():
+        words = _WORD.findall(clause)
+        for i, w in enumerate(words):
+            if w in TARGETS:
+                for n in range(PHRASE[0], PHRASE[1] + 1):
+                    for a in range(max(0, i - n + 1), min(i, len(words) - n) + 1):
+                        part = words[a : a + n]
+                        if not TARGETS.issuperset(part):
+                            found.add(" ".join(part))
     return found
 
 
@@ -208,12 +240,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, *, id_col
         .withColumn("odds", F.expr(odds))
         .withColumn("low", F.expr(f"odds - {SURE} * sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))"))
         .where(f"low >= {LEAST_ODDS}")
-        .orderBy(F.desc("low"), "term")
-        .limit(LEXICON)
     )
-    found = terms.collect()
-    learned = {r["term"]: r["low"] / 3 for r in found if r["low"] >= LEAST_SHARE * found[0]["low"]}
-    grammar = Grammar(starter | learned)
+    terms = cut(terms)
+    is_phrase = F.instr("term", " ") > 0
+    found, threats = (terms.where(kind).orderBy(F.desc("low"), "term").limit(LEXICON).collect() for kind in (~is_phrase, is_phrase))
+    bar = LEAST_SHARE * max((r["low"] for r in found[:1] + threats[:1]), default=0.0)
+    insults = Grammar(starter | {r["term"]: r["low"] / 3 for r in found if r["low"] >= bar})
+    # What an insult in it explains is no threat.
+    learned = {r["term"]: r["low"] / 3 for r in threats if r["low"] >= bar and not any(map(insults.weight, r["term"].split()))}
+    grammar = Grammar(insults.terms | learned)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

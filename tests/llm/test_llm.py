@@ -358,3 +358,16 @@ def test_secret_scan_takes_whole_values():
         value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
         cost, fast = secret_scan.guess_cost(value), secret_scan.guess_cost(value, 10.0)
         assert fast >= 10 if cost >= 10 else abs(fast - cost) < 1e-9
+
+
+def test_threats_pass_the_transducers(spark):
+    plain = toxicity.ToxicityModel(toxicity.Grammar({t: 1.0 for t in toxicity.INSULTS}), toxicity.PRIOR)
+    aimed, spaced, reported, negated, inside = plain.score(["I will kill you", "I will kill\n  you", "He said they will kill you", "I would never hurt you", "they upkill youth"])
+    assert aimed == spaced > 0.2 and reported < aimed / 2 and negated < aimed / 2 and inside < aimed / 2
+    rng = random.Random(13)
+    fill = lambda: [rng.choice(["tree", "house", "runs", "blue", "you", "river", "break", "bones"]) for _ in range(20)]
+    rows = [(k, " ".join(fill() + (["i", "snap", "your", "bones"] if k % 5 == 0 else ["snap", "a", "twig", "your", "tree", "i"]))) for k in range(300)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 5 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, marks, F.col("doc_id") % 3 != 0)
+    assert "snap your" in model.grammar.terms
+    assert model.grammar.features("i snap your bones").sum() > 0 == model.grammar.features("snap a twig").sum()
