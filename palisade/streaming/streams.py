@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +34,75 @@ def dedup_within(messages: DataFrame, ts: str, key: str, delay: str = "1 hour")
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+#: Rows of a key from which it is cut into time slices of about so many rows.
+SLICE = 4_000
+
+
+def time_slices(events: DataFrame, ts: str, key: list[str], id_col: str) -> DataFrame:
+    """(key, __t, __i, __slice, __cut): each time of a key in microseconds with its least id. Keys of more than SLICE
+    times are cut (``__cut``) into slices of equal duration; rows without a time are left out."""
+    rows = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).where("__t is not null")
+    rows = rows.groupBy(*key, "__t").agg(F.min(F.struct(F.col(id_col).alias("i"))).getField("i").alias("__i"))
+    spans = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("__t").alias("__low"), F.max("__t").alias("high")).where(F.col("n") > SLICE)
+    width = F.ceil((F.col("high") - F.col("__low") + 1) / F.col("n") * SLICE).cast("long")
+    hot = spans.select(*[F.col(k).alias(f"__key{j}") for j, k in enumerate(key)], "__low", width.alias("__width"))
+    same = [F.col(k).eqNullSafe(F.col(f"__key{j}")) for j, k in enumerate(key)]
+    cut = F.col("__width").isNotNull()
+    place = F.when(cut, F.floor((F.col("__t") - F.col("__low")) / F.col("__width"))).otherwise(F.lit(0)).cast("long")
+    return rows.join(F.broadcast(hot), same, "left").select(*key, "__t", "__i", place.alias("__slice"), cut.alias("__cut"))
+
+
+def slice_map(times: np.ndarray, life: int) -> tuple[np.ndarray, np.ndarray]:
+    """Steps (at, left) of a slice with distinct sorted times: if the last row kept before it is at x, the last one kept
+    in it is ``left`` of the least ``at`` of x + life or more; if there is none, no row is kept."""
+    follow = np.searchsorted(times, times + life)
+    left = times.copy()
+    for k in range(len(times) - 1, -1, -1):
+        if follow[k] < len(times):
+            left[k] = left[follow[k]]
+    open_to = int(follow[0]) + 1  # rows that may be the first one kept
+    at, left = times[:open_to], left[:open_to]
+    ends = np.append(left[1:] != left[:-1], True)
+    return at[ends], left[ends]
+
+
 def dedup_ttl_batch(events: DataFrame, ts: str, key: list[str], seconds: int, id_col: str) -> DataFrame:
     """Rows kept by a greedy time to live: a row stays if no kept row of its key is less than ``seconds`` older.
 
-    A key's rows are folded inside one array; a key that holds much of the input is first cut at gaps of at least
-    ``seconds``, where the fold starts anew whatever came before.
+    A key of many rows is cut into time slices. Each gives a map from the last kept time before it to the last kept
+    time in it; the maps are chained by key, and then every slice is folded on its own.
     """
-    from pyspark.sql import Window
-
-    t = F.col(ts).cast("timestamp").cast("double")
-    order = Window.partitionBy(*key).orderBy(ts, id_col)
-    gap = F.coalesce(t - F.lag(t).over(order) >= seconds, F.lit(True))
-    runs = events.withColumn("__new", gap.cast("int")).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = runs.groupBy(*key, "__run").agg(F.sort_array(F.collect_list(F.struct(t.alias("t"), F.col(id_col).alias("i")))).alias("r"))
+    life = seconds * 1_000_000
+    sliced = time_slices(events, ts, key, id_col)
+    keys = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in key)
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, left = slice_map(np.sort(pdf["__t"].to_numpy(np.int64)), life)
+        out = pdf.iloc[np.zeros(len(at), int)][[*key, "__slice"]].reset_index(drop=True)
+        return out.assign(__at=at, __left=left)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__slice", "__at"])
+        at, left = pdf["__at"].to_numpy(np.int64), pdf["__left"].to_numpy(np.int64)
+        slices, starts = np.unique(pdf["__slice"].to_numpy(), return_index=True)
+        last, before = None, []
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+            before.append(last)
+            k = a if last is None else a + int(np.searchsorted(at[a:b], last + life))
+            last = int(left[k]) if k < b else last
+        out = pdf.iloc[starts][[*key, "__slice"]].reset_index(drop=True)
+        return out.assign(__last=pd.array(before, "Int64"))
+
+    maps = sliced.where("__cut").groupBy(*key, "__slice").applyInPandas(steps, f"{keys}, __slice long, __at long, __left long")
+    entered = maps.groupBy(*key).applyInPandas(chain, f"{keys}, __slice long, __last long")
+    entered = entered.select(*[F.col(k).alias(f"__key{j}") for j, k in enumerate(key)], F.col("__slice").alias("__place"), "__last")
+    rows = sliced.groupBy(*key, "__slice").agg(F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), F.col("__i").alias("i")))).alias("r"))
+    same = [F.col(k).eqNullSafe(F.col(f"__key{j}")) for j, k in enumerate(key)]
+    rows = rows.join(entered, [*same, F.col("__slice") == F.col("__place")], "left")
     step = F.aggregate(
         "r",
-        F.struct(F.lit(float("-inf")).alias("last"), F.array().cast(f"array<{events.schema[id_col].dataType.simpleString()}>").alias("kept")),
-        lambda a, x: F.when(x["t"] - a["last"] >= seconds, F.struct(x["t"].alias("last"), F.array_append(a["kept"], x["i"]).alias("kept"))).otherwise(a),
+        F.struct(F.col("__last").alias("last"), F.array().cast(f"array<{events.schema[id_col].dataType.simpleString()}>").alias("kept")),
+        lambda a, x: F.when(a["last"].isNull() | (x["t"] - a["last"] >= life), F.struct(x["t"].alias("last"), F.array_append(a["kept"], x["i"]).alias("kept"))).otherwise(a),
         lambda a: a["kept"],
     )
     return rows.select(*key, F.explode(step).alias(id_col))

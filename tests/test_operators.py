@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,25 @@ def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-500:]
+
+
+def test_greedy_time_to_live_cuts_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(streams, "SLICE", 40)
+    rng = random.Random(4)
+    t0 = datetime.datetime(2024, 1, 1)
+    gaps = {"hot": 400, "dense": 20, "cold": 5000, None: 700}
+    rows, want = [], set()
+    for k, gap in gaps.items():
+        at = 0
+        for _ in range(30 if k == "cold" else 900):
+            at += rng.choice([0, rng.randint(1, gap), gap])
+            rows.append((len(rows), k, t0 + datetime.timedelta(seconds=at)))
+        last = None
+        for i, _, t in (r for r in rows if r[1] == k):
+            if last is None or (t - last).total_seconds() >= 3600:
+                last = t
+                want.add(i)
+    df = spark.createDataFrame(rows, "event_id int, k string, ts timestamp")
+    assert {r["event_id"] for r in streams.dedup_ttl_batch(df, "ts", ["k"], 3600, "event_id").collect()} == want
+    sizes = streams.time_slices(df, "ts", ["k"], "event_id").groupBy("k", "__slice").count().agg(F.max("count")).first()[0]
+    assert sizes < 120  # no array holds a whole key
