@@ -2,18 +2,21 @@
 
 Documents become token pieces of at most ``capacity`` ids. Pieces are dealt at random over buckets of a few thousand
 (more buckets for more documents), and each bucket is packed by branch and bound: a bin is opened around the largest
-piece left, its undominated fillings are tried fullest first, and a branch ends when its waste exceeds what the best
-packing known so far allows. The first packing known is best-fit decreasing; the search stops at the bound of total
-length over capacity, or after a number of nodes in proportion to the pieces, keeping the best packing.
+piece left, its undominated fillings (of any number of pieces) are tried fullest first, and a branch ends when its
+waste exceeds what the best packing known so far allows. The first packing known is best-fit decreasing. The search
+stops when it is proven best, or after a number of steps in proportion to the pieces. Three quarters of the steps go to
+bin completion of some bins of the best packing at a time (the emptiest, other wasteful ones, any others), which gathers
+room in few bins until one falls away.
 
-Defined cases: null text counts as empty (one piece, the end id alone); repeated rows are packed each; very long
-texts are cut losslessly; ties go to the longer piece first; an empty table gives an empty result; columns besides
-id and text are ignored.
+Defined cases: null text counts as empty (one piece, the end id alone); repeated rows, also without id, are packed
+each and dealt apart; very long texts are cut losslessly; equal lengths are placed in order of id, piece and ids; an
+empty table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import random
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,8 +30,8 @@ from palisade.llm.common import small_batches
 from palisade.llm.token_ids import piece_bounds, token_ids
 
 CAPACITY, END_ID = 1024, 2
-#: Documents in a bucket, and search nodes for each piece of a bucket.
-BUCKET, NODES = 4096, 2
+#: Documents in a bucket, and steps of the search: for each piece of a bucket, and for a bucket of any size.
+BUCKET, STEPS, LEAST_STEPS = 4096, 150, 50_000
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -48,43 +51,107 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a bin's room, fullest first: the largest single piece, and pairs and triples that fill
-    more than any piece they could be exchanged for."""
-    sizes = np.arange(room + 1)
-    below = np.maximum.accumulate(np.where(counts[: room + 1] > 0, sizes, 0))  # largest piece of at most that size
-    single = int(below[room])
-    if not single:
-        return [()]
-    out = [(single, (single,))]
-    if single < room:
-        b = np.flatnonzero(counts[: room + 1])
-        b = b[b > 0]
-        c = np.minimum(below[room - b], b)
-        lone = (c == b) & (counts[b] < 2)
-        c[lone] = np.minimum(below[np.maximum(b[lone] - 1, 0)], below[room - b[lone]])
-        fill = b + c
-        pairs = np.flatnonzero((c > 0) & (fill > single))
-        pairs = pairs[np.argsort(-fill[pairs], kind="stable")][:8]
-        out += [(int(fill[k]), (int(b[k]), int(c[k]))) for k in pairs]
-        best = max(f for f, _ in out)
-        if best < room:
-            for k in np.argsort(-fill, kind="stable")[:24]:
-                left = room - int(b[k])
-                x = np.flatnonzero(counts[: left // 2 + 1])
-                x = x[x > 0]
-                if not len(x) or not left:
-                    continue
-                y = below[left - x]
-                total = np.where(y > 0, x + y, 0)
-                j = int(total.argmax())
-                trio = tuple(sorted((int(b[k]), int(x[j]), int(y[j])), reverse=True))
-                need = {s: trio.count(s) for s in trio}
-                if total[j] and all(counts[s] >= n for s, n in need.items()) and sum(trio) > best:
-                    out.append((sum(trio), trio))
-                    best = sum(trio)
-    out.sort(key=lambda x: (-x[0], len(x[1])))
-    return [f for _, f in out]
+def _subset_sums(counts: list[int], sizes: list[int], top: int) -> list[int]:
+    """For each prefix of the rising sizes, a number whose bit s says that some of its pieces have length s in all."""
+    mask, now, out = (1 << (top + 1)) - 1, 1, [1]
+    for size in sizes:
+        left, k = min(counts[size], top // size), 1
+        while left > 0:  # 1, 2, 4, .. copies make any number of copies
+            now |= (now << (size * min(k, left))) & mask
+            left -= k
+            k *= 2
+        out.append(now)
+    return out
+
+
+def _dominated(filling: tuple[int, ...], waste: int, free: int) -> bool:
+    """Whether a free piece fits in the place of some pieces of the filling, or of none: a bin with that piece leaves
+    smaller pieces for later. Bits of ``free`` are the sizes of the pieces outside the filling."""
+    single, several = 0, 0
+    for s in filling:
+        several |= (single << s) | (several << s)
+        single |= 1 << s
+    reach = several
+    for w in range(1, waste + 1):
+        reach |= (several | single | 1) << w
+    return bool(reach & free)
+
+
+def fillings(counts: list[int], room: int, most_waste: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of a room, of any number of pieces, fullest first, and of one fullness those with long
+    pieces first. They may be very many, so they are found one by one; each step takes 1 from ``budget``, the only stop."""
+    sizes = [s for s in range(1, room + 1) if counts[s]]
+    budget[0] -= 2 + room // 32
+    if not sizes:
+        if room <= most_waste:
+            yield ()
+        return
+    present = partners = 0  # bits of the sizes, and of what is left of the room beside each
+    for s in sizes:
+        present |= 1 << s
+        partners |= 1 << (room - s)
+
+    def undominated(filling: tuple[int, ...], waste: int) -> bool:
+        budget[0] -= 1 + waste // 8
+        free = present
+        for s in set(filling):
+            if counts[s] == filling.count(s):
+                free &= ~(1 << s)
+        return not _dominated(filling, waste, free)
+
+    sums: list[int] = []
+    for waste in range(min(most_waste, room - 1) + 1):
+        budget[0] -= 1
+        if budget[0] <= 0:
+            return
+        target = room - waste
+        if counts[target] and undominated((target,), waste):
+            yield (target,)
+            if not waste:
+                return  # it dominates all others
+        pairs = present & (partners >> waste)
+        while pairs:
+            long = pairs.bit_length() - 1
+            pairs ^= 1 << long
+            if 2 * long < target:
+                break
+            if counts[long] > (2 * long == target) and undominated((long, target - long), waste):
+                yield long, target - long
+        if target < 3 * sizes[0]:
+            continue
+        if not sums:
+            budget[0] -= len(sizes) // 2
+            sums = _subset_sums(counts, sizes, room)
+        if sums[-1] >> target & 1:
+            for more in _exact(counts, sizes, sums, target, budget):
+                if undominated(more, waste):
+                    yield more
+
+
+def _exact(counts: list[int], sizes: list[int], sums: list[int], target: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """Three pieces or more of exactly that length in all: depth first, longest piece first."""
+    chosen: list[int] = []
+    at, left = [bisect.bisect_right(sizes, target - 2 * sizes[0]) - 1], [target]
+    while at and budget[0] > 0:
+        budget[0] -= 1
+        if len(chosen) == len(at):  # back from below
+            chosen.pop()
+        k, rest = at[-1], left[-1]
+        if k >= 0 and chosen and chosen[-1] == sizes[k] and chosen.count(sizes[k]) == counts[sizes[k]]:
+            k -= 1
+        if k < 0 or not sums[k + 1] >> rest & 1:
+            at.pop()
+            left.pop()
+            continue
+        size = sizes[k]
+        at[-1] = k - 1
+        if rest == size:
+            if len(chosen) > 1:
+                yield (*chosen, size)
+        elif rest > size:
+            chosen.append(size)
+            at.append(bisect.bisect_right(sizes, min(size, rest - size)) - 1)
+            left.append(rest - size)
 
 
 def fewest(lengths: list[int], capacity: int) -> int:
@@ -99,43 +166,85 @@ def fewest(lengths: list[int], capacity: int) -> int:
     return int(max(-(-total[capacity] // capacity), (alone + wide + np.maximum(0, -(-(middle - spare) // capacity))).max()))
 
 
-def complete(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths, as few as the search finds."""
+def branch(lengths: list[int], capacity: int, bins: int, budget: list[int]) -> list[list[int]] | None:
+    """A packing in at most ``bins`` bins by depth-first bin completion: each bin holds the largest piece left and an
+    undominated filling, and a branch ends where the bins' waste exceeds what that many bins allow. None if there is
+    none; also when the budget ends (it is then below 1)."""
+    counts = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1).tolist()
+    order = sorted(set(lengths), reverse=True)
+    allowed, placed = bins * capacity - sum(lengths), 0
+    stack: list[tuple[tuple[int, ...], int, Iterator[tuple[int, ...]], int]] = []  # bin, waste before it, others, place in order
+    waste = at = 0
+    options = None
+    while True:
+        if options is None:
+            if placed == len(lengths):
+                return [list(b) for b, *_ in stack]
+            while not counts[order[at]]:
+                at += 1
+            top = order[at]
+            counts[top] -= 1  # while its fillings are looked for
+            options = fillings(counts, capacity - top, allowed - waste, budget) if waste <= allowed else iter(())
+        else:
+            counts[top] -= 1
+        chosen = next(options, None)
+        counts[top] += 1
+        if chosen is not None and budget[0] > 0:
+            full = (top, *chosen)
+            stack.append((full, waste, options, at))
+            for s in full:
+                counts[s] -= 1
+            placed += len(full)
+            waste += capacity - sum(full)
+            options = None
+            continue
+        if budget[0] <= 0 or not stack:
+            return None
+        old, waste, options, at = stack.pop()
+        for s in old:
+            counts[s] += 1
+        placed -= len(old)
+        top = order[at]
+
+
+def complete(lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
+    """Bins of lengths, as few as the search finds: best-fit, then branch and bound for fewer, then, where the steps
+    end before that does, bin completion of some bins of the best packing at a time."""
     if not lengths:
         return []
     best = best_fit_decreasing(lengths, capacity)
-    total, least = sum(lengths), fewest(lengths, capacity)
-    counts = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
-    budget = nodes * max(len(lengths), 16)
-    stack: list[tuple[list[int], list[tuple[int, ...]]]] = []  # bins opened so far, with fillings not tried yet
-    waste, placed = 0, 0
-    while len(best) > least and budget > 0:
-        allowed = (len(best) - 1) * capacity - total  # waste of a packing with one bin less
-        left = len(lengths) - placed
-        if left == 0 and waste <= allowed:
-            best = [b for b, _ in stack]
-            continue
-        options: list[tuple[int, ...]] = []
-        if left and waste <= allowed:
-            budget -= 1
-            top = int(np.flatnonzero(counts)[-1])
-            counts[top] -= 1
-            options = [(top, *f) for f in _fillings(counts, capacity - top) if waste + capacity - top - sum(f) <= allowed]
-            counts[top] += 1
-        while not options and stack:  # back to the last bin with another filling
-            old, options = stack.pop()
-            for s in old:
-                counts[s] += 1
-            placed -= len(old)
-            waste -= capacity - sum(old)
-        if not options:
+    least = fewest(lengths, capacity)
+    budget = [steps * len(lengths) + LEAST_STEPS]
+    while len(best) > least and budget[0] > 0:
+        part = [budget[0] // 4]
+        spent = part[0]
+        better = branch(lengths, capacity, len(best) - 1, part)
+        budget[0] -= spent - part[0]
+        if better is None:
+            if part[0] > 0:
+                return best  # proven
             break
-        chosen = list(options[0])
-        for s in chosen:
-            counts[s] -= 1
-        placed += len(chosen)
-        waste += capacity - sum(chosen)
-        stack.append((chosen, options[1:]))
+        best = better
+    rng, full = random.Random(len(lengths)), [sum(b) for b in best]
+    while len(best) > least and budget[0] > 0:
+        wasteful = [k for k, x in enumerate(full) if x < capacity]
+        n = rng.randint(3, 12)
+        some = {full.index(min(full)), *rng.sample(wasteful, min(len(wasteful), n)), *rng.sample(range(len(best)), min(len(best), n))}
+        some = sorted(some, reverse=True)
+        parts = [s for k in some for s in best[k]]
+        local = [min(budget[0], 1_500)]
+        spent = local[0]
+        new = branch(parts, capacity, len(some) - 1, local) if sum(parts) <= (len(some) - 1) * capacity else None
+        if new is None and local[0] > 0:
+            new = branch(parts, capacity, len(some), local)
+        budget[0] -= spent - local[0] + 100 + len(best) // 4
+        # Fewer bins, or as many with the room gathered in fewer of them.
+        if new is not None and (len(new) < len(some) or sum(sum(b) ** 2 for b in new) >= sum(full[k] ** 2 for k in some)):
+            for k in some:
+                best.pop(k)
+                full.pop(k)
+            best += new
+            full += map(sum, new)
     return best
 
 
@@ -158,34 +267,34 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document."""
+    """(id, piece, start, length, ids_crc32, salt) of every document; the salt tells repeated rows of a task apart."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = token_ids(*tokenizer)
+        model, at = token_ids(*tokenizer), 0
         for pdf in batches:
             rows = []
-            for name, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+            for at, (name, text) in enumerate(zip(pdf["id"].tolist(), pdf["text"], strict=True), at + 1):
                 ids = model.encode(text if isinstance(text, str) else "") + end
-                rows += [(name, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, capacity))]
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+                rows += [(name, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), at) for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, capacity))]
+            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "salt"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, salt long").withColumnRenamed("id", id_col)
 
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`pieces` with sequence_id and offset."""
     found = pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col)
     buckets = -(-max(docs.count(), 1) // BUCKET)
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", "salt"), F.lit(buckets)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([id_col, "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         where, offset = place(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=where + (int(pdf["bucket"].iloc[0]) << 32), offset=offset).drop(columns="bucket")
+        return pdf.assign(sequence_id=where + (int(pdf["bucket"].iloc[0]) << 32), offset=offset).drop(columns=["bucket", "salt"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

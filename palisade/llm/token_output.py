@@ -84,16 +84,16 @@ def packed_ids(docs: DataFrame, tokenizer: tuple[str, str, str], *, capacity: in
     buckets = -(-max(docs.count(), 1) // BUCKET)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = token_ids(*tokenizer)
+        model, at = token_ids(*tokenizer), 0
         for pdf in batches:
             rows = []
-            for name, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+            for at, (name, text) in enumerate(zip(pdf["id"].tolist(), pdf["text"], strict=True), at + 1):
                 ids = np.frombuffer(model.encode(text if isinstance(text, str) else "") + end, "<u4")
                 if int(ids.max()) >> (8 * id_bytes):
                     raise ValueError(f"an id needs more than {id_bytes} bytes")
                 small = ids.astype(dtype)
-                rows += [(name, k, n, small[s : s + n].tobytes()) for k, (s, n) in enumerate(piece_bounds(len(ids), capacity))]
-            yield pd.DataFrame(rows, columns=["id", "piece", "length", "ids"])
+                rows += [(name, k, n, small[s : s + n].tobytes(), at) for k, (s, n) in enumerate(piece_bounds(len(ids), capacity))]
+            yield pd.DataFrame(rows, columns=["id", "piece", "length", "ids", "salt"])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "piece", "ids"], kind="stable")
@@ -107,8 +107,8 @@ def packed_ids(docs: DataFrame, tokenizer: tuple[str, str, str], *, capacity: in
             rows.append(((int(pdf["bucket"].iloc[0]) << 32) + k, ends[-1], b"".join(ids[a:b]) + pad * (capacity - ends[-1]), [0, *ends], [0, *ends[:-1]], names[a:b].tolist(), numbers[a:b].tolist()))
         return pd.DataFrame(rows, columns=["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "pieces"])
 
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(cut, f"id {kind}, piece int, length long, ids binary")
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids"), F.lit(buckets)))
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(cut, f"id {kind}, piece int, length long, ids binary, salt long")
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "salt"), F.lit(buckets)))  # the salt parts repeated rows
     schema = f"sequence_id long, n_tokens long, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, pieces array<int>"
     return dealt.groupBy("bucket").applyInPandas(fill, schema)
 

@@ -81,6 +81,72 @@ def test_bin_completion_beats_or_matches_best_fit():
     assert bin_completion.complete([], 8) == []
 
 
+def fewest_bins(sizes, capacity):
+    """Exhaustive: every piece in every bin."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for room in set(bins):
+            if room + sizes[k] <= capacity:
+                i = bins.index(room)
+                place(k + 1, [*bins[:i], room + sizes[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bin_completion_is_the_optimum_of_small_sets():
+    rng = random.Random(14)
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 50, 100])
+        sizes = [rng.randint(1, capacity * rng.choice([1, 2, 3]) // 3) for _ in range(rng.randint(1, 11))]
+        assert len(bin_completion.complete(sizes, capacity)) == fewest_bins(sorted(sizes, reverse=True), capacity)
+
+
+def test_fillings_are_the_undominated_ones():
+    import itertools
+
+    def dominates(a, b):
+        """Whether the pieces of b fit in those of a, each in a piece at least as long as they are together."""
+        return any(all(sum(x for x, at in zip(b, where) if at == k) <= s for k, s in enumerate(a)) for where in itertools.product(range(len(a)), repeat=len(b)))
+
+    rng = random.Random(15)
+    for _ in range(60):
+        room = rng.randint(4, 14)
+        sizes = sorted(rng.randint(1, room) for _ in range(rng.randint(1, 6)))
+        counts = [sizes.count(s) for s in range(room + 1)]
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= room}
+        want = {a for a in every if not any(a != b and dominates(b, a) for b in every)}
+        got = list(bin_completion.fillings(counts, room, room, [10**6]))
+        assert {tuple(sorted(g, reverse=True)) for g in got} == want and [sum(g) for g in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_bin_completion_finds_perfect_packings():
+    for seed in range(8):
+        rng, sizes = random.Random(seed), []
+        for _ in range(30):
+            cuts = sorted(rng.sample(range(1, 1024), 5))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 1024])]
+        assert len(bin_completion.complete(sizes, 1024)) == 30
+    rng = random.Random(3)
+    pieces = [rng.randint(20, 400) for _ in range(3000)]
+    assert len(bin_completion.complete(pieces, 1024)) == bin_completion.fewest(pieces, 1024)
+
+
+def test_packing_deals_repeated_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(bin_completion, "BUCKET", 50)
+    same = spark.createDataFrame([(None, None)] * 400, "doc_id long, text string")
+    got = bin_completion.pack(same, queries.byte_tokenizer(), capacity=8).toPandas()
+    assert len(got) == 400 and (got["sequence_id"].to_numpy() >> 32).max() > 0 and got.groupby("sequence_id")["length"].sum().max() == 8
+
+
 def test_packed_ids_round_trip(spark, docs):
     paths = queries.byte_tokenizer()
     rows = token_output.packed_ids(docs, paths, capacity=32).collect()
