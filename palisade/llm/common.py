@@ -42,10 +42,12 @@ def stretches(texts: list, limit: int = 1_000_000) -> list[tuple[int, int]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; set here only where it is unset, in local mode."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="palisade-checkpoint-")
@@ -86,8 +88,8 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(WORD_TABLE).split() if text else []
 
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Words are hashed by two polynomials modulo a prime.
+_PRIME, _BASES = (1 << 31) - 1, (0x2C1B3C6D, 0x297A2D39)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -101,14 +103,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime."""
+    out = np.ones(n, np.uint32)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more].astype(np.uint64) * np.uint64(pow(base, have, _PRIME)) % np.uint64(_PRIME)
+        have += more
+    return out
 
 
-_POW: dict[str, np.ndarray] = {}
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def word_spans(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +128,20 @@ def word_spans(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarra
 
 
 def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, from prefix sums modulo 2**64: equal words have equal hashes wherever they stand."""
-    n = len(flat)
-    if len(_POW.get("p", ())) < n:
-        size = 1 << (n - 1).bit_length()
-        _POW["p"], _POW["q"] = _powers(_P, size), _powers(_PINV, size)
-    sums = (flat.astype(np.uint64) + np.uint64(1)) * _POW["p"][:n]
-    np.cumsum(sums, out=sums)
-    return mix64((sums[ends - 1] - sums[starts - 1]) * _POW["q"][starts]) + (ends - starts).astype(np.uint64)
+    """62-bit hashes of words, mixed, from prefix sums: equal words have equal hashes wherever they stand."""
+    n, prime, both = len(flat), np.uint64(_PRIME), np.zeros(len(starts), np.uint64)
+    for base in _BASES:
+        if base not in _POW or len(_POW[base][0]) < n:
+            size = 1 << (n - 1).bit_length()
+            _POW[base] = _powers(base, size), _powers(pow(base, -1, _PRIME), size)
+        up, down = _POW[base]
+        sums = (flat.astype(np.uint64) + np.uint64(1)) * up[:n]
+        if n > 1 << 23:  # else the sums stay below 2**64
+            sums %= prime
+        np.cumsum(sums, out=sums)
+        one = (sums[ends - 1] - sums[starts - 1]) % prime * down[starts] % prime
+        both = (both << np.uint64(31)) | one
+    return mix64(both) + (ends - starts).astype(np.uint64)
 
 
 def hash_words(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarray, np.ndarray]:

@@ -294,9 +294,11 @@ def test_cross_parse_counts_longest_phrases():
     assert parser.costs(["azb"])[0, 0] >= 2 * bits
 
 
-def test_lm_scores_match_the_unigram_baseline(spark, docs):
+@pytest.mark.parametrize("least", [64, 1])
+def test_lm_scores_match_the_unigram_baseline(spark, docs, monkeypatch, least):
     import math
 
+    monkeypatch.setattr(lm_score, "LEAST_CONTEXT", least)
     training = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 1, F.lit(True))
     got = lm_score.lm_scores(docs, training).collect()
     token = lambda x: [*(x or "").split(), None]
@@ -318,6 +320,93 @@ def test_seating_keeps_tables_between_one_and_customers():
     assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and (t <= n).all()
 
 
+@pytest.mark.parametrize(("n", "weight", "discount"), [(2, 0.3, 0.4), (4, 0.8, 0.6), (5, 0.2, 0.3)])
+def test_gibbs_moves_reach_the_posterior_of_seating(n, weight, discount):
+    from math import gamma
+
+    def partitions(k):
+        if not k:
+            yield []
+        else:
+            for p in partitions(k - 1):
+                yield [*p, 1]
+                for i in range(len(p)):
+                    yield p[:i] + [p[i] + 1] + p[i + 1 :]
+
+    exact = np.zeros(n + 1)
+    for p in partitions(n):
+        exact[len(p)] += weight ** len(p) * np.prod([gamma(s - discount) / gamma(1 - discount) for s in p])
+    many, rng = 20_000, np.random.default_rng(2)
+    tables = lm_score.Tables(np.full(many, n), np.ones(many, np.int64), 30 * n, discount, rng)
+    for _ in range(30 * n):
+        tables.move(lambda left: np.full(many, weight))
+    assert (np.add.reduceat(tables.size, tables.start) == n).all()
+    assert np.bincount(tables.t, minlength=n + 1) / many == pytest.approx(exact / exact.sum(), abs=0.015)
+
+
+def test_packed_arrays_round_trip():
+    arrays = [np.array(x, np.uint64) for x in ([], [0, 0], [5, 2**63, 1], list(range(300)))]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, lm_score.unpacked(lm_score.packed(*arrays)), strict=True))
+
+
+def test_lm_predictives_sum_to_one(spark, monkeypatch):
+    """Every context's probabilities of all known words and the unknown one, and scores against them, by brute force."""
+    import math
+
+    monkeypatch.setattr(lm_score, "LEAST_CONTEXT", 3)
+    monkeypatch.setattr(lm_score, "BATCH", 40)
+    monkeypatch.setattr(lm_score, "HOT", 12)
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice("aaaabbbccdefgh") for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["zz a", "", None]
+    df = spark.createDataFrame([(k, t, k < 60) for k, t in enumerate(texts)], "doc_id long, text string, mine boolean")
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(df, F.col("mine")).collect()}
+    tokens = [lm_score.token_hashes([t])[0].astype(np.int64).tolist() for t in texts]
+    end = int(lm_score._END.astype(np.int64))
+    counts, after = Counter(w for t in tokens[:60] for w in t), Counter(p for t in tokens[:60] for p in zip([end, *t], t))
+    plan = lm_score.Plan(sum(counts.values()), len(counts), {w: c for w, c in counts.items() if c >= 3}, lm_score.discount(sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())), 4 * lm_score.PARTS)
+    number = {w: int(plan.context_of(np.array([w], np.int64).astype(np.uint64))[0]) for w in counts}
+    assert 0 < len(plan.hot) < len(plan.hashes) < len(counts) + 1 and min(number.values()) >= 0
+    shards = {}
+    flat = np.concatenate([np.array(t, np.int64).astype(np.uint64) for t in tokens[:60]])
+    for shard, data in plan.cut(flat, None):
+        names, of_word, u, n = lm_score.unpacked(data)
+        shards[shard] = (names, np.repeat(np.arange(len(names)), of_word.astype(np.int64)), u.astype(np.int64), n.astype(np.int64))
+    seats = {k: lm_score.Shard(plan, k, *x, 0.5) for k, x in shards.items()}
+
+    def added(totals):
+        return [lm_score.Totals(sum(t.tables for t in ts), sum(t.hot for t in ts), sum(t.root for t in ts)) for ts in zip(*totals, strict=True)]
+
+    (start,) = added([[s.totals(np.ones(len(s.n), np.int64))] for s in seats.values()])
+    ones, twos = (sum(int((s.n == k).sum()) for s in seats.values()) for k in (1, 2))
+    d = lm_score.discount(ones, twos)
+    for s in seats.values():
+        s.d = d
+    before = added([[s.totals(t) for t in s.sweeps(start, lm_score.WARM)] for s in seats.values()])[-1]
+    samples = added([[s.totals(t) for t in s.sweeps(before, lm_score.BURN + lm_score.SAMPLES)] for s in seats.values()])[lm_score.BURN :]
+    gamma = np.stack([lm_score.shrinkage(plan, d, x) for x in samples])
+    blank = np.array([lm_score.unknown(plan, x) for x in samples])
+    root, own = {}, {}
+    hot = {int(n): int(w) for n, w in zip(plan.hot_names.astype(np.int64), np.repeat(plan.hot.astype(np.int64), lm_score.SALTS), strict=True)}
+    for k, s in seats.items():
+        p0, mine = s.predictives(before, samples)
+        for i, w in enumerate(shards[k][0].astype(np.int64).tolist()):
+            root[hot.get(w, w)] = p0[:, i]
+        for j, (i, u) in enumerate(zip(s.word.tolist(), s.u.tolist())):
+            w = int(shards[k][0].astype(np.int64)[i])
+            own[hot.get(w, w), u] = mine[:, j]
+    assert set(root) == set(counts)
+    for u in range(len(plan.customers)):
+        whole = gamma[:, u] * (sum(root.values()) + blank) + sum(x for (_, v), x in own.items() if v == u)
+        assert whole == pytest.approx(np.ones(lm_score.SAMPLES), abs=1e-9)
+    assert {w for w, u in own if u} == {w for (v, w) in after if number[v]}
+    for k, t in enumerate(tokens):
+        want = 0.0
+        for v, w in zip([end, *t], t):
+            u = number.get(v, 0)
+            want += math.log10((gamma[:, u] * root.get(w, blank) + own.get((w, u), 0)).mean())
+        assert got[k]["score"] == pytest.approx(want, rel=1e-5)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows, labels = [], []
