@@ -2,14 +2,16 @@
 
 Terms whose document frequency lies in a band form the lexicon: frequent enough to be shared, rare enough to tell
 texts apart. At most (mean terms of a text) / LOW terms can reach the lower bound, whatever the corpus's size, so the
-lexicon is a literal of the plan. SUBSETS random subsets of the lexicon each give one hash, of the sorted distinct
-terms that the text has in that subset; likeness is the share of equal hashes among the subsets that either text has
-terms in.
-
-Defined cases: null text counts as empty; a text with fewer than FEW lexicon terms takes all its terms; texts without
-terms have an all-zero fingerprint and are like each other (1.0) and unlike others (0.0); rows with one id follow
-each other in order of text; null ids come last in descending order; a lone document follows itself; an empty table
-gives an empty result; columns besides id and text are ignored.
+lexicon is a literal of the plan. Each of SUBSETS randomised lexicons holds every term of it with probability MEMBER /
+SUBSETS, and they overlap: a term is in MEMBER of them. For each, the sorted distinct terms that the text has in that
+lexicon are hashed together; likeness is the share of equal hashes among the lexicons that either text has terms in.
+
+Defined cases: null text counts as empty; a text with fewer than FEW lexicon terms takes all its terms, dealt over the
+randomised lexicons by the same rule (such short or rare texts would have an empty fingerprint else); texts without
+terms have an all-zero fingerprint and are like each other (1.0) and unlike others (0.0); rows that share an id follow
+each other in order of a hash of their texts, and lie in one run; null ids come last in descending order, dealt over
+runs by that hash; equal rows are alike; a lone document follows itself; texts of any length are taken whole; an empty
+table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 
 #: Band of document frequencies as shares of all documents.
 LOW, HIGH = 0.01, 0.05
-#: Subsets, dealt in COARSE groups first so that a term is looked at COARSE + SUBSETS / COARSE times.
-SUBSETS, COARSE, FEW = 128, 8, 8
-#: Documents in a run of neighbours, quantile cells of ids, and runs up to which their first rows are broadcast.
-RUN, CELLS, BROADCAST = 1_000, 256, 1_000_000
+#: Randomised lexicons (64 at most), how many of them a term is in, and band terms below which a text takes all terms.
+SUBSETS, MEMBER, FEW = 64, 4, 8
+#: Documents in a run of neighbours, quantile cells of ids, runs in a block, and runs whose first rows are broadcast.
+RUN, CELLS, RUNS, BROADCAST = 1_000, 256, 4_096, 1_000_000
 
 
 def terms(text: str) -> str:
@@ -38,16 +40,26 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return sorted(r["t"] for r in kept.select("t").collect())
 
 
+def in_lexicon(lexicon_terms: list[int]) -> str:
+    """SQL for whether term t is in the lexicon: a look at one of many small literal arrays."""
+    n = 1 << max(len(lexicon_terms), 1).bit_length()
+    cells: list[list[int]] = [[] for _ in range(n)]
+    for t in lexicon_terms:
+        cells[t % n].append(t)
+    rows = ", ".join(f"array({', '.join(f'bigint({t})' for t in c)})" if c else "cast(array() as array<bigint>)" for c in cells)
+    return f"array_contains(array({rows})[cast(pmod(t, {n}L) as int)], t)"
+
+
 def fingerprint(text: str, lexicon_terms: list[int]) -> str:
-    """SQL for SUBSETS hashes of 16 bits, 0 where a subset has none of the text's terms."""
-    held = f"cast(split('{','.join(map(str, lexicon_terms))}', ',') as array<bigint>)" if lexicon_terms else "cast(array() as array<bigint>)"
-    fine = SUBSETS // COARSE
-    some = f"filter(own, t -> (shiftright(t, 7) & {COARSE - 1}) = g)"
-    part = f"filter(some, t -> (shiftright(t, 17) & {fine - 1}) = j)"
-    hashed = f"transform(array(sort_array({part})), s -> if(size(s) = 0, 0L, pmod(xxhash64(s), 65535L) + 1L))[0]"
-    groups = f"transform(sequence(0, {COARSE - 1}), g -> transform(array({some}), some -> transform(sequence(0, {fine - 1}), j -> {hashed}))[0])"
-    own = f"if(size(array_intersect(a, {held})) >= {FEW}, array_intersect(a, {held}), array_distinct(a))"
-    return f"transform(transform(array({terms(text)}), a -> {own}), own -> flatten({groups}))[0]"
+    """SQL for SUBSETS hashes of 16 bits, 0 where a randomised lexicon has none of the text's terms."""
+    band = f"filter(a, t -> {in_lexicon(lexicon_terms)})"
+    own = f"transform(array({band}), b -> if(size(b) >= {FEW}, b, a))[0]"
+    member = " | ".join(f"shiftleft(1L, cast(pmod(shiftright(t, {10 + 9 * k}), {SUBSETS}L) as int))" for k in range(MEMBER))
+    marked = f"transform({own}, t -> struct(t as t, {member} as m))"
+    held = "filter(own, x -> (shiftright(x.m, j) & 1L) = 1L)"
+    hashed = f"transform(array({held}), s -> if(size(s) = 0, 0L, pmod(xxhash64(s), 65535L) + 1L))[0]"
+    whole = f"transform(array(array_sort(array_distinct({terms(text)}))), a -> {marked})"
+    return f"transform({whole}, own -> transform(sequence(0, {SUBSETS - 1}), j -> {hashed}))[0]"
 
 
 def likeness(a: str, b: str) -> Column:
@@ -67,14 +79,14 @@ def runs(docs: DataFrame, id_col: str) -> tuple[Column, int]:
     edges = sorted(set(row["q"] or []))
     inner = max(1, -(-n // (RUN * max(len(edges), 1))))
     if len(edges) < 2:
-        return F.lit(0), 1
+        return F.when(F.col(id_col).isNotNull(), F.lit(0)).cast("long"), 1
     x = F.col(id_col)
     array = F.array(*[F.lit(e) for e in edges[1:]])
     cell = F.least(F.size(F.filter(array, lambda e: e <= x)), F.lit(len(edges) - 2))
     lo, hi = F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), cell + 1), F.element_at(array, cell + 1)
     within = F.floor((x - lo).cast("double") / F.greatest(hi - lo, F.lit(1)).cast("double") * inner)
     place = cell.cast("long") * inner + F.greatest(F.least(within, F.lit(inner - 1)), F.lit(0))
-    return F.coalesce(place, F.lit(-1)).cast("long"), inner * len(edges)
+    return F.when(x.isNotNull(), place.cast("long")), inner * len(edges)
 
 
 def with_next(docs: DataFrame, columns: list[str], *, id_col: str, prepared: dict[str, Column]) -> DataFrame:
@@ -85,24 +97,32 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str, prepared: dic
     very first to the last), so one shuffle of the texts is enough and no run needs another.
     """
     place, n_runs = runs(docs, id_col)
-    rows = docs.withColumn("run", place)
-    heads = rows.groupBy("run").agg(F.max(id_col).alias("head"))
-    order = Window.orderBy(F.desc("run"))  # a row for each run, not for each document
+    null_runs = max(1, -(-docs.where(F.col(id_col).isNull()).count() // RUN))
+    mark = F.xxhash64("text")
+    part = F.shiftrightunsigned(mark, 32) * F.lit(null_runs) / F.lit(float(1 << 32))
+    rows = docs.withColumn("mark", F.bitwise_not(mark)).withColumn("run", F.coalesce(place, F.lit(-1) - F.floor(part)))
+    heads = rows.groupBy("run").agg(F.max(F.struct(F.col(id_col).alias("id"), "mark")).alias("head"))
+    heads = heads.withColumn("block", F.floor(F.col("run") / RUNS))
+    order = Window.orderBy(F.desc("block"))  # a row for each block of runs
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("head", F.col("run").alias("own"), F.coalesce(F.lag("run").over(order), F.last("run").over(whole)).alias("to"))
-    if n_runs <= BROADCAST:
+    blocks = heads.groupBy("block").agg(F.min("run").alias("lowest"))
+    blocks = blocks.select("block", F.coalesce(F.lag("lowest").over(order), F.last("lowest").over(whole)).alias("outer"))
+    above = F.lag("run").over(Window.partitionBy("block").orderBy(F.desc("run")))
+    heads = heads.join(blocks, "block").select("head", F.col("run").alias("own"), F.coalesce(above, "outer").alias("to"))
+    if n_runs + null_runs <= BROADCAST:
         heads = F.broadcast(heads)
-    guests = rows.join(heads, rows[id_col].eqNullSafe(heads["head"]) & (rows["run"] == heads["own"])).select(*docs.columns, F.col("to").alias("run"), F.lit(True).alias("guest"))
+    is_head = rows[id_col].eqNullSafe(heads["head.id"]) & (rows["mark"] == heads["head.mark"]) & (rows["run"] == heads["own"])
+    guests = rows.join(heads, is_head).select(*docs.columns, "mark", F.col("to").alias("run"), F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
     both = both.withColumns(prepared)
-    within = Window.partitionBy("run").orderBy("guest", F.desc_nulls_last(id_col), "text")
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(within)).where("not guest").drop("run", "guest")
+    within = Window.partitionBy("run").orderBy("guest", F.desc_nulls_last(id_col), F.desc("mark"))
+    return both.withColumn("next", F.lead(F.struct(*columns)).over(within)).where("not guest").drop("run", "guest", "mark")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = lexicon(rows)
+    found = lexicon(rows, low=LOW, high=HIGH)
     both = with_next(rows, ["text", "own"], id_col=id_col, prepared={"own": F.expr(fingerprint("text", found))})
     both = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.expr("cast(n_chars div 3 as int)"))
     edited = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - k), substring(next.text, 1, k))"))
