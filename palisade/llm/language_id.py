@@ -2,15 +2,17 @@
 
 For each language a suffix automaton of a bounded sample of labelled text is built. A text is parsed greedily into
 the longest phrases that the sample holds; phrases x log2(sample length) bits are what the text costs in that
-language, and the cheapest language wins. All languages and many blocks of text are stepped together through one
-dense transition table, in which a step that ends a phrase carries a flag.
+language, and the cheapest language wins. All languages and many blocks of text are stepped together through dense
+transition tables, in which a step that ends a phrase carries a flag. A language's table has about 2 x sample length x
+alphabet cells; where a large alphabet would make it exceed CELLS, the sample is cut shorter.
 
-Texts are case-folded, runs of non-letters are one blank, and parsed in blocks of BLOCK letters, each from the start
-state, so a very long text is read whole in as many steps as a short one.
+Texts are case-folded, runs of signs other than letters (Unicode category L) are one blank, and parsed in blocks of
+BLOCK letters, each from the start state, so a very long text is read whole in as many steps as a short one.
 
-Defined cases: null texts and texts without a letter give "und" with score 0; without labelled training rows every
-text is "und"; an empty table gives an empty result; repeated rows give repeated rows; ties go to the first language
-in order of name; columns besides id, text and lang are ignored.
+Defined cases: null texts and texts without a letter (also number-like signs such as a half or a Roman numeral sign)
+give "und" with score 0; without labelled training rows every text is "und"; an empty table gives an empty result;
+repeated rows give repeated rows and train once; ties go to the first language in order of name; columns besides id,
+text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import small_batches
 
-#: Sample for each language: about SAMPLE_DOCS rows by hash, SAMPLE_CHARS characters of each, FIT_CHARS in all.
-SAMPLE_DOCS, SAMPLE_CHARS, FIT_CHARS = 160, 1_000, 40_000
+#: Sample for each language: about SAMPLE_DOCS rows by hash, SAMPLE_CHARS characters from a place in each that the hash
+#: draws, FIT_CHARS in all, and table cells.
+SAMPLE_DOCS, SAMPLE_CHARS, FIT_CHARS, CELLS = 160, 1_000, 40_000, 1 << 24
 BLOCK = 1_024
 #: Letters of a batch that are parsed together.
 BATCH = 1_000_000
@@ -35,7 +38,11 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def folded(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text).strip().lower()
+    """Lower-case letters and single blanks."""
+    plain = _NOT_LETTERS.sub(" ", text).strip()
+    if not plain.isascii() and not plain.replace(" ", "").isalpha():  # numeric signs that are no digits
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
+    return plain.lower()
 
 
 def suffix_automaton(text: str) -> tuple[list[dict[str, int]], int]:
@@ -68,33 +75,49 @@ def suffix_automaton(text: str) -> tuple[list[dict[str, int]], int]:
     return nxt, len(text)
 
 
+def fitting(sample: str) -> str:
+    """As much of a sample as CELLS allow."""
+    while 2 * len(sample) * (len(set(sample)) + 1) > CELLS:
+        sample = sample[: len(sample) * 3 // 4]
+    return sample
+
+
 class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        self.alphabet = {c: k for k, c in enumerate(sorted({c for s in samples.values() for c in s}), 1)}
-        width = self.width = len(self.alphabet) + 1  # symbol 0: not in any sample
-        parts, self.starts, self.bits, base = [], [], [], 0
+        self.alphabets, tables, self.bases, self.widths, self.bits, base = [], [], [], [], [], 0
         for lang in self.langs:
-            nxt, n = suffix_automaton(samples[lang])
-            first = [base + nxt[0].get(c, 0) if c in nxt[0] else base for c in self.alphabet]
-            row = np.array([base, *first], np.int32) | _FLAG  # a phrase ends; the letter opens the next one
+            sample = fitting(samples[lang])
+            letters = np.unique(np.frombuffer(sample.encode("utf-32-le", "surrogatepass"), np.uint32))
+            code = {chr(c): k for k, c in enumerate(letters.tolist(), 1)}  # 0: not in the sample
+            nxt, n = suffix_automaton(sample)
+            width = len(letters) + 1
+            row = np.array([0, *(nxt[0][chr(c)] for c in letters.tolist())], np.int32) | _FLAG  # a phrase ends; the letter opens the next one
             table = np.repeat(row[None], len(nxt), 0)
             for state, arrows in enumerate(nxt):
                 for c, to in arrows.items():
-                    table[state, self.alphabet[c]] = base + to
-            parts.append(table)
-            self.starts.append(base)
+                    table[state, code[c]] = to
+            tables.append(table.ravel())
+            self.alphabets.append(letters)
+            self.bases.append(base)
+            self.widths.append(width)
             self.bits.append(np.log2(max(n, 2)))
-            base += len(nxt)
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
-        self.codes = np.zeros(0x110000, np.uint16)
-        for c, k in self.alphabet.items():
-            self.codes[ord(c)] = k
+            base += table.size
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """The letters' numbers in each language's alphabet."""
+        found, at = np.unique(points, return_inverse=True)
+        out = np.zeros((len(self.langs), len(found)), np.int64)
+        for row, letters in zip(out, self.alphabets, strict=True):
+            k = np.minimum(np.searchsorted(letters, found), max(len(letters) - 1, 0))
+            row[:] = np.where(letters[k] == found, k + 1, 0) if len(letters) else 0
+        return out[:, at]
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """Bits of each folded text in each language."""
         joined = "".join(texts)
-        codes = self.codes[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        codes = self.codes(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
         sizes = np.array([len(t) for t in texts], np.int64)
         n_blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), n_blocks)
@@ -103,12 +126,13 @@ class CrossParser:
         size = np.minimum(BLOCK, sizes[owner] - within * BLOCK)
         order = np.argsort(-size, kind="stable")
         owner, start, size = owner[order], start[order], size[order]
-        state = np.repeat(np.array(self.starts, np.int64)[:, None], len(owner), 1)
+        state = np.zeros((len(self.langs), len(owner)), np.int64)
+        base, width = np.array(self.bases, np.int64)[:, None], np.array(self.widths, np.int64)[:, None]
         phrases = np.ones(state.shape, np.int64)
         active = len(owner) - np.searchsorted(size[::-1], np.arange(BLOCK), "right")
         for i in range(int(size[0]) if len(size) else 0):
             k = active[i]
-            got = self.table[state[:, :k] * self.width + codes[start[:k] + i]]
+            got = self.table[base + state[:, :k] * width + codes[:, start[:k] + i]]
             phrases[:, :k] += got >> 30
             state[:, :k] = got & (_FLAG - 1)
         out = np.zeros((len(self.langs), len(texts)))
@@ -122,7 +146,7 @@ class CrossParser:
         at = 0
         while at < len(todo):
             end, letters = at, 0
-            while end < len(todo) and (end == at or letters + len(todo[end][1]) <= BATCH):
+            while end < len(todo) and (end == at or letters + len(todo[end][1]) <= 4 * BATCH // max(len(self.langs), 4)):
                 letters += len(todo[end][1])
                 end += 1
             cost = self.costs([f for _, f in todo[at:end]])
@@ -145,7 +169,8 @@ def labelled_sample(docs: DataFrame, training: Column, *, id_col: str, text_col:
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     picked = rows.where(draw < F.element_at(rate, F.col(lang_col)))
     sample: dict[str, list[str]] = {}
-    texts = picked.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(id_col, F.lit(seed)).alias("h"))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.greatest(F.char_length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    texts = picked.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), place.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.xxhash64(id_col, F.lit(seed)).alias("h"))
     for r in texts.distinct().collect():
         sample.setdefault(r["lang"], []).append((r["h"], r["t"]))
     out = {}
