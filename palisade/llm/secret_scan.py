@@ -3,12 +3,15 @@
 A value that follows a credential word ("passphrase is ...", "auth: ...") is cut into words, dates, repeats, keyboard
 walks and brute-force spans so that the guesses needed are fewest (dynamic programming over cut points); it is a
 secret when even that cheapest way takes ``min_cost`` powers of ten. A value is the whole run of signs, however long.
-The patterns' own spans are always kept; a guessed value that reaches beyond one has its span besides. After "bearer"
-and a blank, plain words of letters are values only in a header ("Authorization: Bearer ...").
+The patterns' own spans are always kept; a guessed value that reaches beyond one has its span besides. Values of letters
+alone (also with hyphens and apostrophes between them) are prose: they are secrets only from PROSE letters on, and never
+after "is", "was" or "bearer" and a blank, but for headers ("Authorization: Bearer ..."). Signs beyond ASCII count too,
+in values that have a digit or another sign as well.
 
 Defined cases: null text counts as empty (no spans); an empty table gives an empty result; repeated rows give repeated
-rows; texts of any length are scanned whole; columns besides id and text are ignored by :func:`secret_spans` and kept
-by :func:`redact`, except for a length column, which is set anew.
+rows; texts of any length are scanned whole; spans that begin together stand in order of kind; of equal costs any
+segmentation gives the same span; columns besides id and text are ignored by :func:`secret_spans` and kept by
+:func:`redact`, except for a length column, which is set anew.
 """
 
 from __future__ import annotations
@@ -28,16 +31,20 @@ from palisade.llm.common import small_batches
 KINDS = ("assign", "access", "hex", "guess")
 #: Powers of ten of guesses from which a value in credential context is a secret.
 MIN_COST = 10.0
+#: Letters of a value of letters alone from which it is no prose.
+PROSE = 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal: the same as [0-9a-f]+ of 16 or more
 _CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "pin")
 _CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|bearer|login|pin)(?:["']?\x20*(?:[:=]+|->|=>)\x20*["'`]?bearer\x20+|["']?\x20*(?:[:=]+|->|=>)\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+(?!["'`]?[a-z]+(?:['-][a-z]+)*[^\sa-z0-9]*(?:\s|\Z)))["'`]?([!-~]{8,})""",
+    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|bearer|login|pin)(?:["']?\x20*(?:[:=]+|->|=>)\x20*["'`]?bearer\x20+|["']?\x20*(?:[:=]+|->|=>)\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+(?!["'`]?[a-z]+(?:['-][a-z]+)*[^\sa-z0-9]*(?:\s|\Z)))["'`]?([^\x00-\x20\x7f-\xa0\u2000-\u200b\u2028\u2029\u3000]{8,})""",
     re.I | re.A,
 )
 
+_LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
 _WORDS = """the be to of and in that have it for not on with he as you do at this but his by from they we say her she
 or an will my one all would there their what so up out if about who get which go me when make can like time no just him
 know take people into year your good some could them see other than then now look only come its over think also back
@@ -134,9 +141,12 @@ def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
         held = [(s, e) for s, e, _ in found]
         for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`.,;:!?)]}>")
+            value = m[1].rstrip("\"'`.,;:!?)]}>’”»。，、！？")
             start, end = m.start(1), m.start(1) + len(value)
             quote = text[start - 1] if text[start - 1] in "\"'`" else None
+            said = text[m.start() : start].rstrip("\"'`")
+            if _LETTERS.fullmatch(value) and (len(value) < PROSE or said.lower().endswith(("is ", "was "))) and not said[:-1].rstrip().lower().endswith("bearer"):
+                continue
             inside = any(s <= start < e and (end <= e or quote and text[e] == quote) for s, e in held)
             if len(value) >= 8 and not inside and guess_cost(value, min_cost) >= min_cost:
                 found.append((start, end, "guess"))
