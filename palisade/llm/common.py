@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 import numpy as np
@@ -150,6 +151,27 @@ def hash_words(texts: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarra
     return hash_spans(flat, starts, ends), offsets
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers as byte planes, which compress well."""
+    out = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<u8")
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        out += [struct.pack("<IB", len(a), width), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    at, out = 1, []
+    for _ in range(data[0]):
+        n, width = struct.unpack_from("<IB", data, at)
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(a.view("<u8")[:, 0])
+        at += 5 + n * width
+    return out
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read back: as :func:`cut`, but compressed columns."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

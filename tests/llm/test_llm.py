@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import bin_completion, decontamination, imatch, jaccard_join, language_id, lm_score, queries, secret_scan, token_counts, token_ids, token_output, toxicity
-from palisade.llm.common import words_of
+from palisade.llm.common import packed, unpacked, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 EMPTY = [(None, None, None, None, None, None)]
@@ -269,6 +269,51 @@ def test_guess_cost_is_the_cheapest_cut():
     assert cost("passwordXq9$") < cost("password") + cost("Xq9$") + 1
 
 
+def cheapest_segment(part: str, rest: str) -> float:
+    """The cost of one segment by definition, but for a single sign; ``rest`` is what the dates' pattern may look at."""
+    import math
+
+    brute = lambda s: sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in s)
+    costs, low, n = [math.inf], part.lower(), len(part)
+    if low in secret_scan._RANK:
+        costs.append(secret_scan._RANK[low] + (0 if part == low else 0.3 if part[1:] == low[1:] else 0.05 * n + 0.3))
+    date = secret_scan._DATE.match(rest)
+    if date and date.end() == n:
+        costs.append(math.log10(365 * 120 if n > 4 else 120))
+    if n >= 3 and len(set(part)) == 1:
+        costs.append(brute(part[0]) + math.log10(n))
+    costs += [brute(part[:k]) + math.log10(n // k) for k in range(2, n // 2 + 1) if n % k == 0 and part == part[:k] * (n // k)]
+    ways = [secret_scan._direction(a, b) for a, b in zip(low, low[1:])]
+    if n >= 3 and None not in ways:
+        turns = 1 + sum(a != b for a, b in zip(ways, ways[1:]))
+        costs.append(math.log10(47) + math.log10(n) + 0.6 * min(turns, n // 2 + 1))
+    return min(costs)
+
+
+def test_guess_cost_equals_all_segmentations():
+    import itertools
+    import math
+
+    rng = random.Random(18)
+    for _ in range(60):
+        value = "".join(rng.choice(["Love", "the", "qwe", "99", "1999", "aaa", "ab", "ab", "x", "%", "12-03-98"]) for _ in range(rng.randint(1, 4)))[:11]
+        best = math.inf
+        for k in range(len(value)):
+            for cuts in itertools.combinations(range(1, len(value)), k):
+                at, total = [0, *cuts, len(value)], 0.0
+                for a, b in zip(at, at[1:]):
+                    single = math.log10(10 if value[a].isdigit() else 26 if value[a].isalpha() else 33) if b == a + 1 else math.inf
+                    total += min(single, cheapest_segment(value[a:b], value[a:]) + (0.3 if a else 0.0))
+                best = min(best, total)
+        assert secret_scan.guess_cost(value) == pytest.approx(best), value
+
+
+def test_secret_scan_leaves_prose_alone():
+    prose = ["the secret is everything", "Login is required for members", "a token is important, really", "password: incorrect", "password: これは長い文章ですよ", "the pass code was forgotten-again", "auth: unauthorized", "the key-holder's login was disabled."]
+    assert [secret_scan.scan(t) for t in prose] == [[]] * len(prose)
+    assert [t[a:b] for t in ["password is päßwörter99xq now"] for a, b, _ in secret_scan.scan(t)] == ["päßwörter99xq"]
+
+
 def test_language_id(spark, docs):
     rng = random.Random(8)
     syllables = {"aa": ["the", "ing", "er", "ou"], "bb": ["eau", "ment", "que", "le"]}
@@ -276,11 +321,12 @@ def test_language_id(spark, docs):
     for k in range(120):
         lang = "aa" if k % 2 else "bb"
         rows.append((k, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(30)), lang))
-    rows += [(200, None, None), (201, "123 !!", "aa"), (202, "thing " * 50_000, "aa")]
+    rows += [(200, None, None), (201, "123 !!", "aa"), (202, "thing " * 50_000, "aa"), (203, "½ ² ①", "aa"), (204, "Ⅷ", "bb")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in language_id.predict_language(df, F.col("doc_id") % 3 != 0).collect()}
     assert all(got[k]["lang_pred"] == lang for k, _, lang in rows[:120])
     assert got[200]["lang_pred"] == got[201]["lang_pred"] == "und" and got[202]["lang_pred"] == "aa"
+    assert {got[k]["lang_pred"] for k in (203, 204)} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in got.values())
     none = language_id.predict_language(df, F.lit(False)).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
@@ -294,6 +340,23 @@ def test_cross_parse_counts_longest_phrases():
     assert parser.costs(["azb"])[0, 0] >= 2 * bits
 
 
+def test_cross_parse_matches_brute_force(monkeypatch):
+    rng = random.Random(19)
+    samples = {k: "".join(rng.choice(letters) for _ in range(60)) for k, letters in (("x", "abcé"), ("y", "abdø"), ("z", "日本abc"))}
+    parser = language_id.CrossParser(samples)
+    for _ in range(100):
+        text = "".join(rng.choice("abcdéø日本q") for _ in range(rng.randint(1, 40)))
+        for lang, cost in zip(parser.langs, parser.costs([text])[0].tolist()):
+            phrases, at = 1, 0
+            for k in range(1, len(text) + 1):  # a phrase is the longest run that the sample holds, or one unknown letter
+                if text[at:k] not in samples[lang] and k - at >= 1:
+                    if k - at > 1 or text[at] not in samples[lang]:
+                        phrases, at = phrases + 1, k - 1 if text[k - 1] in samples[lang] else k
+            assert cost == pytest.approx(phrases * np.log2(60)), (lang, text)
+    monkeypatch.setattr(language_id, "CELLS", 5_000)
+    assert len(language_id.fitting("".join(map(chr, range(0x4E00, 0x4E00 + 400))))) < 60
+
+
 @pytest.mark.parametrize("least", [64, 1])
 def test_lm_scores_match_the_unigram_baseline(spark, docs, monkeypatch, least):
     import math
@@ -346,7 +409,7 @@ def test_gibbs_moves_reach_the_posterior_of_seating(n, weight, discount):
 
 def test_packed_arrays_round_trip():
     arrays = [np.array(x, np.uint64) for x in ([], [0, 0], [5, 2**63, 1], list(range(300)))]
-    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, lm_score.unpacked(lm_score.packed(*arrays)), strict=True))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, unpacked(packed(*arrays)), strict=True))
 
 
 def test_lm_predictives_sum_to_one(spark, monkeypatch):
@@ -369,7 +432,7 @@ def test_lm_predictives_sum_to_one(spark, monkeypatch):
     shards = {}
     flat = np.concatenate([np.array(t, np.int64).astype(np.uint64) for t in tokens[:60]])
     for shard, data in plan.cut(flat, None):
-        names, of_word, u, n = lm_score.unpacked(data)
+        names, of_word, u, n = unpacked(data)
         shards[shard] = (names, np.repeat(np.arange(len(names)), of_word.astype(np.int64)), u.astype(np.int64), n.astype(np.int64))
     seats = {k: lm_score.Shard(plan, k, *x, 0.5) for k, x in shards.items()}
 
@@ -429,23 +492,103 @@ def test_toxicity(spark):
 
 
 def test_transducers_compose():
-    tape = [("negator", 0.0), ("insult", 1.0), ("report", 0.0), ("other", 0.0), ("insult", 2.0), ("target", 0.0)]
-    out = list(toxicity.targeted(toxicity.reported(toxicity.negation(tape))))
-    assert [k for k, _ in out] == ["negator", "negated", "report", "other", "reported", "target"]
-
-
-def test_imatch(spark, docs):
-    got = imatch.fingerprints(docs).collect()
-    order = sorted(corpus(), key=lambda r: (-r[0], r[1] or ""))
+    forward = toxicity.compose(toxicity.negation(), toxicity.reported(), toxicity.targeted())
+    tape = [("negator", 0.0), ("insult", 1.0), ("report", 0.0), ("other", 0.0), ("insult", 2.0), ("target", 0.0), ("threat", 1.0)]
+    out = list(forward.run(tape))
+    step_by_step = toxicity.targeted().run(toxicity.reported().run(toxicity.negation().run(tape)))
+    assert out == list(step_by_step)
+    assert [label for label, _ in out] == ["negator", "insult+negated", "report", "other", "insult+reported", "target", "threat+reported+aimed"]
+    assert out[1][1] == toxicity.NEGATED and out[6][1] == pytest.approx(toxicity.REPORTED * toxicity.AIMED)
+    both = toxicity.clause_labels([("insult", 1.0), ("target", 0.0), ("report", 0.0)])
+    assert both[0] == ("insult+reported+aimed", pytest.approx(toxicity.REPORTED * toxicity.AIMED))
+    rng = random.Random(17)
+    labels = ["insult", "threat", "negator", "report", "target", "other"]
+    for _ in range(300):  # the marks by their definition
+        tape = [(rng.choice(labels), 1.0) for _ in range(rng.randint(0, 8))]
+        kinds = [k for k, _ in tape]
+        for i, (label, weight) in enumerate(toxicity.clause_labels(tape)):
+            if kinds[i] not in ("insult", "threat"):
+                assert label == kinds[i]
+                continue
+            want = {"aimed": "target" in kinds, "reported": "report" in kinds, "negated": "negator" in kinds[max(0, i - 3) : i] or (kinds[-1] == "negator" and len(kinds) - 1 - i <= 4)}
+            assert label == "+".join([kinds[i], *(m for m in ("negated", "reported", "aimed") if want[m])])
+            assert weight == pytest.approx(np.prod([f for m, f in (("negated", toxicity.NEGATED), ("reported", toxicity.REPORTED), ("aimed", toxicity.AIMED)) if want[m]]))
+
+
+def test_toxicity_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, score double")
+    model = toxicity.ToxicityModel(toxicity.Grammar({t: 1.0 for t in toxicity.INSULTS}), toxicity.PRIOR)
+    assert toxicity.score_toxicity(none, model).count() == 0 and toxicity.reject_toxic(none, model).columns == none.columns
+    assert toxicity.fit_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)).weights.tolist() == toxicity.PRIOR.tolist()
+
+
+def imatch_brute(texts):
+    """Fingerprints by their definition, and the likeness of any two."""
+    import struct
+
+    import regex
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    found = [sorted({signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in regex.split(r"[^\p{L}\p{Nd}]+", (t or "").lower()) if w}) for t in texts]
+    df = Counter(t for terms in found for t in terms)
+    lexicon = {t for t, n in df.items() if max(2, imatch.LOW * len(texts)) <= n <= imatch.HIGH * len(texts)}
+
+    def prints(terms):
+        band = [t for t in terms if t in lexicon]
+        own, out = band if len(band) >= imatch.FEW else terms, []
+        masks = []
+        for t in own:
+            m = 0
+            for k in range(imatch.MEMBER):
+                m |= 1 << ((t >> (10 + 9 * k)) % imatch.SUBSETS)
+            masks.append(signed(m))
+        for j in range(imatch.SUBSETS):
+            held, h = [(t, m) for t, m in zip(own, masks) if m >> j & 1], 42
+            for t, m in held:
+                h = xxhash.xxh64(struct.pack("<q", t), seed=h).intdigest()
+                h = xxhash.xxh64(struct.pack("<q", m), seed=h).intdigest()
+            out.append(signed(h) % 65535 + 1 if held else 0)
+        return out
+
+    return lexicon, found, prints
+
+
+def alike(a, b):
+    either = [x or y for x, y in zip(a, b)]
+    return sum(x == y and x != 0 for x, y in zip(a, b)) / sum(map(bool, either)) if any(either) else 1.0
+
+
+def test_imatch(spark, docs, monkeypatch):
+    import regex
+    import xxhash
+
+    monkeypatch.setattr(imatch, "LOW", 0.05)
+    monkeypatch.setattr(imatch, "HIGH", 0.3)
+    monkeypatch.setattr(imatch, "RUN", 8)
+    monkeypatch.setattr(imatch, "RUNS", 3)
+    rows = [*corpus(), *((None, f"lone text number {k} ba do", None, None, None, None) for k in range(30))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = imatch.fingerprints(df).collect()
+    mark = lambda t: (lambda x: x - (1 << 64) if x >= 1 << 63 else x)(xxhash.xxh64((t or "").encode(), seed=42).intdigest())
+    run = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() >> 32) * 4 >> 32  # noqa: E731  of the four of null ids
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), run(r[1]) if r[0] is None else 0, mark(r[1])))
+    lexicon, found, prints = imatch_brute([r[1] for r in rows])
+    assert 5 < len(lexicon) < 80
+    terms = {r[1]: f for r, f in zip(rows, found)}
+    text_prints = lambda t: "".join(f"{x:04x}" for x in prints(t))
+    assert sorted((r["doc_id"] or -1, r["fingerprint"]) for r in got) == sorted((r[0] or -1, text_prints(terms[r[1]])) for r in rows)
     want = []
     for k, r in enumerate(order):
         t, nxt = r[1] or "", order[(k + 1) % len(order)][1] or ""
         m = len(t) // 3
-        want.append((r[0], len(t), hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest()))
-    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
-    prints = {r["doc_id"]: r["fingerprint"] for r in got}
-    assert prints[5] == prints[60] and prints[5] != prints[6]
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        changed = t[: len(t) - m] + nxt[:m]
+        edited = sorted({mark(w) for w in regex.split(r"[^\p{L}\p{Nd}]+", changed.lower()) if w})
+        want.append((r[0] or -1, len(t), hashlib.sha256(changed.encode()).hexdigest(), text_prints(edited), round(alike(prints(terms[r[1]]), prints(edited)), 9), round(alike(prints(terms[r[1]]), prints(terms[order[(k + 1) % len(order)][1]])), 9)))
+    mine = sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got)
+    assert [(a[0], a[4:], b[4:]) for a, b in zip(mine, sorted(want), strict=True) if a != b] == []
     assert imatch.fingerprints(docs.limit(0)).count() == 0
 
 
