@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import rules
-from palisade.functions.text import count_contained, count_matching, share, tokens
-from palisade.functions.tone import tones
-from palisade.functions.urls import explicit_urls, lookalike, url_flags
+from palisade.functions.text import count_contained, count_matching, guarded, share, tokens
+from palisade.functions.urls import lookalike, url_flags, with_links
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 _EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
@@ -18,8 +17,8 @@ def _mean(values: Column, n: Column) -> Column:
     return share(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), n)
 
 
-def avg_word_length(words: Column) -> Column:
-    return _mean(F.transform(words, lambda w: F.char_length(F.regexp_replace(w, _EDGES, "")).cast("double")), F.size(words))
+def avg_word_length(bare: Column) -> Column:
+    return _mean(F.transform(bare, lambda w: F.char_length(w).cast("double")), F.size(bare))
 
 
 def capitalized_word_count(words: Column) -> Column:
@@ -30,24 +29,27 @@ def punctuation_density(text: Column) -> Column:
     return share(F.regexp_count(text, F.lit(_PUNCTUATION)), F.char_length(text))
 
 
-def syllable_count(word: Column) -> Column:
-    """1 up to three letters; else runs of vowels without a final e that follows a vowel or not, 1 at least."""
-    low = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    runs = F.regexp_count(F.regexp_replace(low, "e$", ""), F.lit("[aeiouy]+"))
-    return F.when(F.char_length(low) <= 3, F.lit(1)).otherwise(F.greatest(runs, F.lit(1)))
+def bare_word(word: Column) -> Column:
+    return F.regexp_replace(F.lower(word), _EDGES, "")
 
 
-def readability_score(text: Column, words: Column) -> Column:
+def syllable_count(bare: Column) -> Column:
+    """Of a lower-case word without outer punctuation: 1 up to three letters; else runs of a, e, i, o, u without a final
+    e that follows one of them, 1 at least."""
+    runs = F.regexp_count(F.regexp_replace(bare, "([aeiou])e$", "$1"), F.lit("[aeiou]+"))
+    return F.when(F.char_length(bare) <= 3, F.lit(1)).otherwise(F.greatest(runs, F.lit(1)))
+
+
+def readability_score(text: Column, bare: Column) -> Column:
     """Flesch reading ease between 0 and 100; an empty piece after the last stop counts as a sentence."""
-    n, sentences = F.size(words), F.greatest(F.size(F.split(text, "[.!?]+")), F.lit(1))
-    syllables = F.aggregate(F.transform(words, syllable_count), F.lit(0), lambda a, x: a + x)
+    n, sentences = F.size(bare), F.greatest(F.size(F.split(text, "[.!?]+")), F.lit(1))
+    syllables = F.aggregate(F.transform(bare, syllable_count), F.lit(0), lambda a, x: a + x)
     ease = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (syllables / n)
     return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0)))
 
 
-def unique_word_ratio(words: Column) -> Column:
-    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), _EDGES, ""))
-    return share(F.size(F.array_distinct(plain)), F.size(words))
+def unique_word_ratio(bare: Column) -> Column:
+    return share(F.size(F.array_distinct(bare)), F.size(bare))
 
 
 def sender_impersonation_score(low: Column, urls: Column) -> Column:
@@ -65,32 +67,37 @@ def scam_type(scores: dict[str, Column], default: str = rules.DEFAULT_TYPE) -> C
     return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(default))
 
 
-def opener_hits(low: Column, cues: tuple[str, ...]) -> Column:
-    return F.size(F.filter(F.array(*[F.contains(low, F.lit(c)) for c in cues]), lambda x: x))
+def opener_hits(low: Column, patterns: tuple[str, ...]) -> Column:
+    return guarded(low, patterns, count_matching(low, patterns))
+
+
+OTP = r"\b[0-9]{3}[-\s][0-9]{3}\b|\b[0-9]{6}\b"
 
 
 def otp_signal(low: Column) -> Column:
-    return low.rlike("(?:^|[^0-9])(?:[0-9]{6}|[0-9]{3}-[0-9]{3})(?:[^0-9]|$)") & F.contains(low, F.lit("do not share"))
+    return low.rlike(OTP) & F.contains(low, F.lit("do not share"))
 
 
-def engineered(text_col: str) -> dict[str, Column]:
-    """All engineered features of the text in one select. The text should be stored or come straight from a scan."""
-    text, low = F.col(text_col), F.lower(F.col(text_col))
-    words, urls = tokens(text), explicit_urls(text)
+def with_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds what the features are made of, each once: ``low``, links, ``words`` and ``bare_words``. Steps that read a
+    costly column more than once keep it as a column of a projection of its own."""
+    rows = with_links(df.withColumns({"low": F.lower(text_col), "words": tokens(F.col(text_col))}), text_col)
+    return rows.withColumn("bare_words", F.transform("words", bare_word))
+
+
+def engineered(text_col: str = "text") -> dict[str, Column]:
+    """All engineered features, from the columns of :func:`with_parts`."""
+    text, low, words, bare = F.col(text_col), F.col("low"), F.col("words"), F.col("bare_words")
     return {
-        "avg_word_length": avg_word_length(words),
+        "avg_word_length": avg_word_length(bare),
         "capitalized_word_count": capitalized_word_count(words),
         "scam_phrase_score": count_contained(low, rules.PHRASES),
         "legit_phrase_score": count_contained(low, rules.LEGIT_PHRASES),
-        "sender_impersonation_score": sender_impersonation_score(low, urls),
+        "sender_impersonation_score": sender_impersonation_score(low, F.col("urls")),
         "punctuation_density": punctuation_density(text),
         "question_mark_count": F.regexp_count(text, F.lit("[?]")),
         "currency_symbol_count": F.regexp_count(text, F.lit("[$€£¥]")),
-        "readability_score": readability_score(text, words),
-        "unique_word_ratio": unique_word_ratio(words),
-        **url_flags(urls, text),
+        "readability_score": readability_score(text, bare),
+        "unique_word_ratio": unique_word_ratio(bare),
+        **url_flags(F.col("explicit"), F.col("bare"), text),
     }
-
-
-def engineered_with_tone(text_col: str, low_col: str) -> dict[str, Column]:
-    return engineered(text_col) | tones(low_col)

@@ -1,74 +1,154 @@
-"""Starter rule pack. Every scorer takes its rules as an argument; these are the defaults, written for this package.
+"""Starter rule pack. Every scorer takes its rules as an argument; these are the defaults.
 
-Patterns keep to what Java and RE2 regular expressions read alike: ASCII classes, no look-around, no word borders.
+Patterns are written for this package, in what Java and RE2 read alike: ASCII classes and word borders, no look-around.
+Lists under "Fixed values" are what results must agree on: host names, suffixes, signs and the words of the link tests.
 """
 
 from __future__ import annotations
 
+
+def bordered(*words: str) -> tuple[str, ...]:
+    """Patterns that match only between word borders."""
+    return tuple(rf"\b(?:{w})\b" for w in words)
+
+
+_MONEY = r"[$€£][0-9,]+"
 TONE = {
-    "urgency": ("urgent", "act now", "immediately", "final (?:notice|warning)", "verify (?:now|your)", "expires? (?:today|soon)", "right away", "last chance", "limited time", "within [0-9]+ hours"),
-    "fear": ("suspended", "arrest", "lawsuit", "police", "cancelled", "virus", "l(?:i|1)mited", "unusual activity", "locked"),
-    "reward": ("won", "cash prize", "claim", "reward", "guaranteed", "double your", "earn [$]?[0-9]+", "free gift", "profit", "selected", "refund", "bonus"),
-    "threat": ("fail to pay", "will be (?:cancelled|closed|reported)", "file a lawsuit", "legal action", "or else", "unless you", "arrest you"),
-}
+    "urgency": bordered(
+        "urgent(?:ly)?", "act (?:now|fast)", "immediately", "final (?:notice|warning)", "expires? (?:today|soon|tonight)", "right away", "last chance", "limited time", "within [0-9]+ hours",
+        "deadline", "asap", "hurry", "today only", "do not (?:wait|delay|ignore)", "time is running out", "reply (?:now|immediately)",
+    ),
+    "fear": bordered(
+        "(?:account|card|access).{0,25}(?:suspended|blocked|locked)", "(?:suspicious|unusual) (?:activity|login|payment)", "verify your (?:account|identity|card|details)", "unauthorized (?:access|login|charge)",
+        "security (?:alert|warning|notice)", "compromised", "failed (?:login|payment)", "has a virus", "data breach",
+    ),
+    "reward": bordered(
+        "you (?:have )?won", "you (?:are|have been) (?:selected|chosen)", "cash prize", "(?:claim|collect) your (?:prize|reward|gift|bonus)", "guaranteed (?:profit|returns?|income)", "double your",
+        "free (?:gift|money|cash|phone|trip)", "lucky (?:winner|draw)", "congratulations.{0,40}(?:won|selected|prize)", "weekly returns?", "instant payout", "risk[ -]free profit",
+    ) + (rf"\b(?:earn|make) {_MONEY}", rf"{_MONEY} (?:guaranteed|bonus|reward)\b", rf"{_MONEY} into {_MONEY}"),
+    "threat": bordered(
+        "legal action", "(?:will be|be) arrested", "arrest you", "(?:file|filed) a lawsuit", "court (?:order|hearing|date)", "debt collector", "arrest warrant", "prosecuted", "fined", "criminal charges?", "penalty fee", "unless you (?:pay|confirm|act)",
+    ),
+}
+#: Words of the older tone counts.
 TONE_LEGACY = {
-    "urgency": ("urgent", "now", "immediately", "today", "verify"),
-    "fear": ("suspended", "police", "arrest", "virus"),
-    "reward": ("won", "prize", "claim", "free", "bonus"),
-    "threat": ("lawsuit", "legal", "fail", "unless"),
+    "urgency": ("urgent", "immediately", "expires", "limited time", "act now", "hurry", "deadline", "last chance", "asap"),
+    "fear": ("suspended", "blocked", "unauthorized", "suspicious activity", "verify your account", "locked", "compromised"),
+    "reward": ("winner", "won", "prize", "reward", "gift card", "free", "congratulations", "selected", "claim your", "bonus"),
+    "threat": ("legal action", "arrested", "police", "lawsuit", "penalty", "fined", "criminal", "court"),
 }
 #: Words that void a tone match when one is among the six before it.
-NEGATORS = ("no", "not", "never", "none", "without", "nothing", "nobody", "neither", "nor", "cannot", "can't", "don't", "doesn't", "didn't", "won't", "isn't", "aren't", "wasn't", "weren't", "shouldn't")
+NEGATORS = ("not", "no", "don't", "doesn't", "didn't", "isn't", "aren't", "wasn't", "weren't", "never", "neither", "nor", "nothing", "none", "cannot", "can't", "won't", "wouldn't", "shouldn't", "couldn't")
 
 #: Emoji and the words they stand for.
-EMOJI = {"🎉": "celebration", "🎁": "gift", "💰": "money", "🔥": "fire", "✅": "check", "⚠": "warning", "🚨": "alert", "💸": "money", "🏆": "trophy", "❤": "love"}
+EMOJI = {
+    "🎁": "gift", "🚨": "alert", "⚠️": "warning", "💰": "money", "🏆": "trophy", "🎉": "prize", "💵": "cash", "🔐": "secure", "⏰": "urgent", "📧": "email", "🎊": "prize", "💳": "card",
+    "🔒": "locked", "✅": "verified", "❌": "error", "🆓": "free", "💎": "diamond", "🌟": "star", "🎰": "lottery", "📱": "phone", "🏦": "bank", "💸": "money", "🎯": "target", "🔑": "key",
+}
 #: Look-alike characters and letters.
 LEET = ("01345678@$", "oieasgtbas")
-SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "is.gd", "ow.ly")
+#: Hosts of shortened links.
+SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "ow.ly", "goo.gl", "short.link", "rb.gy", "cutt.ly", "is.gd", "buff.ly")
 
 CUES = ("urgent", "verify", "suspended", "act now", "winner", "claim", "prize", "immediately")
 CUES_GAP = (*CUES, "refund", "parcel")
 
-TLDS = (".tk", ".xyz", ".top", ".click", ".ml", ".ga", ".cf", ".gq", ".work", ".loan")
-TLDS_LEGACY = (".tk", ".xyz", ".top", ".ml")
-URL_KEYWORDS = ("login", "verify", "secure", "account", "update", "confirm", "bank", "paypal", "refund", "track", "pay", "support", "signin", "wallet")
-URL_KEYWORDS_LEGACY = ("login", "verify", "secure", "account", "update")
-#: Suffixes of host names that are written without a scheme.
-BARE_SUFFIXES = ("com", "org", "net", "info", "xyz", "top", "click", "tk")
-BRANDS = {"paypal": ("paypal.com",), "amazon": ("amazon.com", "amazon.co.uk"), "chase": ("chase.com",), "usps": ("usps.com",), "irs": ("irs.gov",), "microsoft": ("microsoft.com", "live.com"), "netflix": ("netflix.com",), "apple": ("apple.com", "icloud.com")}
-HOST_ACTIONS = ("login", "verify", "secure", "update", "confirm", "signin", "support", "refund", "track")
-TRUSTED = ("chase.com", "paypal.com", "amazon.com", "usps.com", "irs.gov", "microsoft.com", "apple.com", "google.com", "example.org")
-IMPERSONATED = ("paypal", "amazon", "chase", "bank", "irs", "microsoft", "usps", "netflix")
-IMPERSONATION_ACTIONS = ("verify", "confirm", "update", "suspended", "call", "submit", "login", "pay")
-
-PHRASES = (
-    "act now", "verify your", "account is suspended", "cash prize", "claim your", "guaranteed profit", "double your", "file a lawsuit", "work from home", "no experience needed",
-    "held at customs", "delivery fee", "tax refund", "submit your ssn", "has a virus", "call microsoft", "final warning", "unless you confirm", "you have won", "are you single",
-    "stationed abroad", "great return", "crypto trading", "per day", "update your details",
+#: Suffixes and words of the link tests, and of the older tests.
+TLDS = (".xyz", ".top", ".club", ".online", ".site", ".info", ".biz", ".tk", ".ml", ".ga", ".cf", ".pw")
+TLDS_LEGACY = TLDS[:11]
+URL_KEYWORDS = (
+    "login", "verify", "secure", "account", "update", "confirm", "banking", "paypal", "amazon", "apple", "microsoft", "support", "signin", "validate", "unlock", "restore", "reactivate",
+    "suspended", "blocked", "portal", "credential", "webmail", "apply", "staffing", "recovery", "refund", "renewal", "forgiveness", "warranty", "approval", "relief", "claim", "dispute",
+)
+URL_KEYWORDS_LEGACY = URL_KEYWORDS[:10]
+#: Suffixes of host names that are written without a scheme.
+BARE_SUFFIXES = ("com", "org", "net", "gov", "edu", "io", "co.uk", "ac.il")
+#: Brands and the domains that are theirs.
+BRANDS = {
+    "apple": ("apple.com", "icloud.com"), "google": ("google.com",), "microsoft": ("microsoft.com", "live.com"), "amazon": ("amazon.com", "amazon.co.uk", "amazon.de", "amazon.fr", "amazon.co.jp"),
+    "paypal": ("paypal.com",), "netflix": ("netflix.com",), "facebook": ("facebook.com", "fb.com"), "instagram": ("instagram.com",), "whatsapp": ("whatsapp.com", "wa.me"), "samsung": ("samsung.com",),
+    "adobe": ("adobe.com",), "dropbox": ("dropbox.com",), "linkedin": ("linkedin.com",), "github": ("github.com", "githubusercontent.com"), "binance": ("binance.com",), "zoom": ("zoom.us",),
+    "spotify": ("spotify.com",), "twitter": ("twitter.com", "x.com"), "tiktok": ("tiktok.com",), "ebay": ("ebay.com",),
+}
+#: Action words in host names.
+HOST_ACTIONS = ("verify", "unlock", "login", "signin", "secure", "confirm", "validate", "authenticate", "portal", "apply", "activate", "restore", "update", "claim", "recovery", "refund", "approval", "renewal", "dispute")
+#: Domains whose links are trusted, from public knowledge of large services.
+TRUSTED = (
+    "chase.com", "bankofamerica.com", "wellsfargo.com", "citibank.com", "hsbc.com", "barclays.com", "americanexpress.com", "visa.com", "mastercard.com", "stripe.com", "paypal.com", "wise.com", "revolut.com", "venmo.com",
+    "google.com", "apple.com", "icloud.com", "microsoft.com", "amazon.com", "amazon.co.uk", "amazon.de", "amazon.fr", "amazon.co.jp", "yahoo.com", "adobe.com", "dropbox.com", "github.com", "youtube.com",
+    "linkedin.com", "twitter.com", "instagram.com", "facebook.com", "tiktok.com", "whatsapp.com", "wa.me", "t.me", "zoom.us", "webex.com", "slack.com", "discord.com",
+    "netflix.com", "spotify.com", "hulu.com", "ebay.com", "etsy.com", "shopify.com", "booking.com", "airbnb.com", "figma.com", "notion.so", "canva.com", "coursera.org",
 )
+#: Names and actions of the impersonation score.
+IMPERSONATED = ("paypal", "amazon", "apple", "microsoft", "netflix", "bank", "fedex", "irs", "google", "dhl", "hsbc", "chase")
+IMPERSONATION_ACTIONS = ("verify", "confirm", "suspended", "login", "update", "locked", "blocked", "validate", "reactivate", "authenticate")
+
+
+def _phrases(*groups: tuple[str, str]) -> tuple[str, ...]:
+    """All phrases "first second" of groups of alternatives with | between them, each once, in order."""
+    return tuple(dict.fromkeys(f"{a} {b}" for first, second in groups for a in first.split("|") for b in second.split("|")))
+
+
+#: Phrases by rule: verbs x objects.
+PHRASES = _phrases(
+    ("verify your|confirm your|update your|restore your|unlock your", "account|identity|card|details|payment|password|bank details"),
+    ("your account is|your card is|your access is|your account has been", "suspended|locked|limited|blocked"),
+    ("claim your|collect your|redeem your", "prize|reward|gift|bonus|refund|voucher"),
+    ("you have won|you won|chance to win", "a prize|a cash prize|a car|a gift card|the lottery"),
+    ("guaranteed|risk free|weekly|daily", "profit|profits|returns|income"),
+    ("double your|triple your|grow your", "money|bitcoin|investment|savings"),
+    ("work from home|earn from home|paid every week", "and earn|no experience|no experience needed"),
+    ("held at|stopped at|waiting at", "customs|the depot|the warehouse"),
+    ("pay the|pay a small|settle the", "delivery fee|customs fee|shipping fee|processing fee|release fee"),
+    ("submit your|send your|share your", "ssn|pin|passport|bank account|one-time code"),
+    ("file a|face a|pending", "lawsuit|court case|arrest warrant"),
+    ("your computer|your phone|your device", "has a virus|is infected|was hacked"),
+    ("call microsoft|call our|contact our", "support|support now|support team"),
+    ("are you|i am", "single and looking|a widow|stationed abroad"),
+    ("crypto|forex|bitcoin", "trading platform|trading group|signals group"),
+    ("act|respond|reply", "now or|today or|before midnight"),
+    ("small|one-time", "investment today|activation fee|registration fee"),
+) + ("final warning", "double your bitcoin", "great return", "wire the money", "buy gift cards", "scan the qr code", "your sim card will", "i need your help urgently", "keep this confidential", "next of kin")
 #: A phrase may weigh more than 1: some count twice.
-LEGIT_PHRASES = {"thank you for your": 2, "receipt attached": 1, "appointment is confirmed": 1, "statement is ready": 1, "do not share": 2, "your order": 1, "for your business": 1, "unsubscribe": 1}
+LEGIT_PHRASES = {
+    "thank you for your": 1, "receipt attached": 1, "appointment is confirmed": 1, "statement is ready": 1, "do not share this code": 2, "never call you to ask": 1, "your order has": 1, "for your business": 1, "unsubscribe": 1,
+    "no action is needed": 2, "if this was you": 1, "if this was not you": 2, "you can ignore this": 1, "this is an automated message": 1, "one-time code": 1, "one-time password": 1, "code expires": 1, "verification code": 1,
+    "has shipped": 1, "estimated delivery": 1, "tracking number": 1, "ready for pickup": 1, "call to reschedule": 1, "appointment reminder": 1, "your appointment": 1, "scheduled for": 1, "booking is confirmed": 1,
+    "amount due": 1, "view your bill": 1, "happy birthday": 1, "invited you to join": 1, "take your medication": 1, "new sign-in from": 1, "meeting notes": 1, "see you at": 1,
+}
 
+#: In order of declaration, which decides ties. Names are fixed values.
 SCAM_TYPES = {
-    "phishing": ("account.{0,40}(?:suspended|limited|locked)", "verify (?:your|now)", "update your details", "login"),
-    "prize": ("you have won", "cash prize", "claim your reward", "selected"),
-    "investment": ("guaranteed profit", "double your", "bitcoin|crypto", "great return", "investment"),
-    "legal_threat": ("lawsuit", "arrest", "police"),
-    "romance": ("are you single", "widow", "stationed abroad", "hi dear"),
-    "job": ("work from home", "no experience", "earn [$][0-9]+"),
-    "delivery": ("parcel", "customs", "delivery fee"),
-    "tax": ("irs", "tax refund", "ssn"),
-    "tech_support": ("virus", "call microsoft", "support now"),
-    "insurance": ("insurance", "policy.{0,20}cancelled"),
-    "social_media": ("profile", "followers", "your page"),
-}
+    "phishing": (*bordered("(?:paypal|amazon|netflix|apple|google).{0,60}(?:verify|confirm|suspended|locked)", "account.{0,40}(?:suspended|limited|locked)", "verify (?:your|now)", "update your details"),),
+    "credential_phishing": bordered("(?:password|mailbox).{0,30}(?:expires?|reset|quota)", "(?:log|sign) ?in (?:here|below|at)", "re-?enter your (?:password|credentials)", "submit your (?:ssn|pin|password)", "enter your (?:password|login)"),
+    "emergency_scam": bordered("(?:grandma|grandpa|mom|mum|dad).{0,40}(?:accident|jail|hospital|new number)", "bail money", "stuck (?:abroad|at the airport)", "i lost my phone"),
+    "prize_fraud": bordered("you (?:have )?won", "cash prize", "claim your (?:reward|prize)", "you (?:are|have been) selected", "lottery"),
+    "bank_impersonation": bordered("bank.{0,40}(?:fraud|unusual|blocked|verify)", "fraud department", "your (?:debit|credit) card.{0,30}(?:blocked|charged|locked)", "zelle|wire transfer"),
+    "job_scam": bordered("work from home", "no experience(?: needed)?", "hiring (?:now|immediately)", "remote job", "per (?:day|week).{0,20}(?:job|work|earn)") + (rf"\b(?:earn|make) {_MONEY}",),
+    "investment_scam": bordered("guaranteed (?:profit|returns?)", "double your", "bitcoin|crypto", "great return", "trading (?:platform|bot|signals)", "passive income"),
+    "romance_scam": bordered("are you single", "widow(?:er)?", "stationed abroad", "h(?:i|ello) dear", "true love", "soulmate", "looking for (?:a )?(?:real|serious) relationship"),
+    "advance_fee_scam": bordered("next of kin", "inheritance", "(?:million|funds).{0,40}(?:transfer|release)", "release fee", "beneficiary"),
+    "delivery_scam": bordered("parcel", "held at customs", "(?:delivery|shipping) fee", "could not be delivered", "reschedule (?:your )?delivery"),
+    "social_media_scam": bordered("your (?:page|profile).{0,40}(?:copyright|violat|removed)", "free followers", "copyright (?:claim|strike)", "verified badge"),
+    "threat_scam": bordered("lawsuit", "arrest(?:ed)?", "tax (?:refund pending|debt|fraud)", "irs notice", "police.{0,30}warrant", "i (?:recorded|hacked) you"),
+    "pig_butchering": bordered("uncle.{0,30}(?:taught|trades?)", "show you how (?:i|to) (?:trade|invest)", "crypto trading.{0,60}(?:great return|profit)", "wrong number.{0,80}(?:friend|nice to meet)"),
+    "qr_phishing": bordered("scan (?:the|this) (?:qr )?code", "qr code.{0,40}(?:verify|pay|login)", "mfa.{0,30}scan"),
+    "refund_scam": bordered("refund (?:pending|is waiting|department)", "overpaid", "tax refund", "auto-?renew(?:al|ed).{0,40}(?:call|cancel)"),
+    "sim_swap": bordered("sim (?:card|swap).{0,40}(?:deactivat|replac|port)", "port(?:ing)? your number", "esim.{0,30}(?:activate|confirm)"),
+}
 DEFAULT_TYPE = "general_spam"
-#: The first OUTREACH of the openers are ways to start a talk.
-ROMANCE = ("hi dear", "hello dear", "i saw your profile", "are you single", "nice to meet you", "widow", "stationed abroad", "soulmate", "lonely", "true love")
-OUTREACH = 5
-SOFT_INVEST = ("uncle taught me", "crypto trading", "great return", "show you how", "passive income", "trading platform", "financial freedom", "small amount")
-STRONG_TYPES = ("phishing", "prize", "legal_threat", "delivery", "tax", "tech_support", "job")
-MILD_TYPES = ("social_media", "investment")
+#: How many of the first openers are ways to start a talk; types by how many phrases confirm them.
+OUTREACH = 8
+ROMANCE = bordered(
+    "texted? the wrong number", "wrong number.{0,30}(?:sorry|nice)", "found your (?:number|profile|contact)", "i saw your profile", "looking for (?:a )?(?:real|genuine|serious) (?:friend|connection|relationship|partner)", "are you single",
+    "(?:would love|like) to (?:chat|know you|meet you)", "h(?:i|ello) dear|nice to meet you",
+    "(?:nurse|doctor|surgeon).{0,30}(?:war|conflict) zone", "(?:captain|colonel|general|sergeant).{0,30}(?:army|navy|united nations)", "peacekeeping", "stationed abroad|deployed", "widow(?:er)?",
+)
+SOFT_INVEST = bordered(
+    "not (?:a )?(?:spam|scam).{0,20}(?:promise|honest)", "just (?:a )?regular (?:person|guy|girl)", "no (?:mlm|pyramid)", "(?:solid|great) returns?", "(?:build|grow)(?:ing)? wealth", "(?:let me )?show you how", "(?:dm|message|inbox) me", "crypto trading|taught me",
+)
+STRONG_TYPES = ("romance_scam", "advance_fee_scam", "delivery_scam", "credential_phishing", "emergency_scam", "bank_impersonation", "threat_scam")
+MILD_TYPES = ("social_media_scam", "investment_scam")
 
 LURES = (
     "Your account needs attention: {url}", "Please review this notice: {url}", "You have a pending payment, see {url}", "Package update: {url}",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from palisade.functions import rules
 
 MIN_CHARS, MAX_CHARS = 20, 5000
+UPPER, DIGIT = r"\p{Lu}", r"\p{Nd}"
 
 
 def sql_quote(text: str) -> str:
@@ -45,7 +45,7 @@ def mark_short_urls(text: Column, hosts: tuple[str, ...] = rules.SHORTENERS) ->
 
 
 def short_url_pattern(hosts: tuple[str, ...] = rules.SHORTENERS) -> str:
-    return r"(?i)https?://(?:www[.])?(?:" + "|".join(h.replace(".", "[.]") for h in hosts) + r")/[^ \t\r\n]*"
+    return r"(?i)https?://(?:" + "|".join(h.replace(".", "[.]") for h in hosts) + r")/\S*"
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -70,10 +70,10 @@ def non_ascii_share(text: Column) -> Column:
 def count_contained(text: Column, cues: tuple[str, ...] | dict[str, int]) -> Column:
     """Sum of weights of the listed phrases that occur, each once. ``text`` is lower case."""
     weights = cues if isinstance(cues, dict) else dict.fromkeys(cues, 1)
-    total = F.lit(0)
-    for cue, weight in weights.items():
-        total = total + F.contains(text, F.lit(cue)).cast("int") * weight
-    return total
+    if not weights:
+        return F.lit(0)
+    phrases = [cue for cue, weight in weights.items() for _ in range(weight)]
+    return F.size(F.filter(F.array(*[F.lit(c) for c in phrases]), lambda c: F.contains(text, c)))
 
 
 def count_matching(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -93,7 +93,8 @@ def share(count: Column, n: Column) -> Column:
 
 
 def basic_features(text: Column, cues: tuple[str, ...] = rules.CUES, digits: int | None = 4) -> dict[str, Column]:
-    """The stored statistics of a message; ``digits`` None leaves ratios unrounded."""
+    """The stored statistics of a message; ``digits`` None leaves ratios unrounded. Upper-case letters and digits are
+    those of all scripts."""
     n = F.char_length(text)
     fix = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     urls = F.regexp_count(text, F.lit(r"https?://[^ \t\r\n]+"))
@@ -103,8 +104,8 @@ def basic_features(text: Column, cues: tuple[str, ...] = rules.CUES, digits: int
         "has_url": (urls > 0).cast("int"),
         "url_count": urls,
         "exclamation_count": F.regexp_count(text, F.lit("!")),
-        "uppercase_ratio": fix(share(F.regexp_count(text, F.lit("[A-Z]")), n)),
-        "digit_ratio": fix(share(F.regexp_count(text, F.lit("[0-9]")), n)),
+        "uppercase_ratio": fix(share(F.regexp_count(text, F.lit(UPPER)), n)),
+        "digit_ratio": fix(share(F.regexp_count(text, F.lit(DIGIT)), n)),
         "urgency_score": count_contained(F.lower(text), cues),
     }
 
@@ -112,7 +113,3 @@ def basic_features(text: Column, cues: tuple[str, ...] = rules.CUES, digits: int
 def guarded(text: Column, patterns: tuple[str, ...], detail: Column) -> Column:
     """``detail`` where any pattern occurs, else 0: one cheap test spares most rows the detailed count."""
     return F.when(text.rlike("|".join(f"(?:{p})" for p in patterns)), detail).otherwise(F.lit(0))
-
-
-def escaped(text: str) -> str:
-    return re.escape(text)

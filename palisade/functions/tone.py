@@ -43,7 +43,3 @@ def tones(text_col: str, families: dict[str, tuple[str, ...]] = rules.TONE) -> d
 def tones_legacy(text: Column, families: dict[str, tuple[str, ...]] = rules.TONE_LEGACY) -> dict[str, Column]:
     """Older counts: listed words contained, without negation. ``text`` is lower case."""
     return {f"tone_{name}": count_contained(text, words) for name, words in families.items()}
-
-
-def merged(a: str, b: str) -> Column:
-    return F.greatest(F.col(a), F.col(b))

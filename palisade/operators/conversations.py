@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_TURN, MIN_WINDOW, WINDOW = 5, 20, 5
-BRACKET = r"\[([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}, [0-9]{1,2}:[0-9]{2})\] ([^:\n]+): ([^\n]*)"
-DASH = r"(?m)^([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}, [0-9]{1,2}:[0-9]{2}) - ([^:\n]+): ([^\n]*)"
+#: The two export formats, with seconds and AM or PM where they are written.
+BRACKET = r"\[([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4},\s*[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\s*[AP]M)?)\]\s*([^:]+):\s*([^\n]+)"
+DASH = r"([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4},\s*[0-9]{1,2}:[0-9]{2}(?:\s*[AP]M)?)\s*-\s*([^:]+):\s*([^\n]+)"
 
 
 def _turns(text: Column, pattern: str) -> Column:
@@ -51,21 +52,39 @@ def segments(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return rows.where((F.col("kind") == "full") | ((F.col("kind") == "window") & (length >= MIN_WINDOW)) | ((F.col("kind") == "final") & (length > MIN_WINDOW)))
 
 
+#: Columns of the full text's score that a chat's record carries.
+CARRIED = ("why_flagged", "urls", "malicious", "flagged", "tone_urgency", "tone_fear", "tone_reward", "tone_threat", "scam_type")
+
+
 def conversation_risk(scored: DataFrame, id_col: str = "conv_id", conf: str = "conf") -> DataFrame:
-    """(id, full_score, peak, final_score, risk, verdict) from segments with a confidence between 0 and 1."""
-    c = F.col(conf)
+    """(id, full_score, peak, final_score, risk, verdict, ...) from segments with a confidence between 0 and 1, and what
+    the full text's score says besides, where it is there."""
+    c, full = F.col(conf), F.col("kind") == "full"
+    carried = [k for k in CARRIED if k in scored.columns]
     peak = F.max(F.when(F.col("kind") == "window", F.least(c * (F.col("start") / F.col("n") + 1.0), F.lit(1.0))))
     parts = scored.groupBy(id_col).agg(
         F.max("n").alias("n_turns"),
-        F.max(F.when(F.col("kind") == "full", c)).alias("full_score"),
+        F.max(F.when(full, c)).alias("full_score"),
         F.coalesce(peak, F.lit(0.0)).alias("peak"),
         F.max(F.when(F.col("kind") == "final", c)).alias("final"),
+        *[F.first(F.when(full, F.col(k)), ignorenulls=True).alias(k) for k in carried],
     )
     parts = parts.withColumn("final_score", F.coalesce("final", "full_score")).drop("final")
     risk = F.round((F.lit(0.40) * F.col("full_score") + F.lit(0.35) * F.col("peak") + F.lit(0.25) * F.col("final_score")) * 100, 1)
     return parts.withColumn("risk", risk).withColumn("verdict", conversation_verdict(F.col("risk")))
 
 
+def conversation_record(risk: DataFrame, turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """The record of each chat: scores in percent, and what the full text's score says."""
+    total = turns.groupBy(id_col).agg(F.count("*").alias("total_messages"))
+    percent = lambda k: F.round(F.col(k) * 100, 1)
+    return risk.join(total, id_col).select(
+        id_col, F.col("verdict").alias("overall_verdict"), F.col("risk").alias("risk_score"), "total_messages", F.col("n_turns").alias("messages_analyzed"),
+        percent("full_score").alias("full_conversation_score"), percent("peak").alias("window_analysis_score"), percent("final_score").alias("final_messages_score"),
+        "why_flagged", F.col("urls").alias("urls_found"), F.col("malicious").alias("vt_malicious"), F.col("flagged").alias("gsb_flagged"), "tone_urgency", "tone_fear", "tone_reward", "tone_threat", "scam_type",
+    )
+
+
 def conversation_verdict(risk: Column) -> Column:
     return F.when(risk >= 43, "SCAM").when(risk >= 30, "SUSPICIOUS").otherwise("LEGIT")
 

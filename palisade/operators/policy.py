@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import rules
+from palisade.functions.text import MAX_CHARS, MIN_CHARS, non_ascii_share
 
 SCAM, SUSPICIOUS = 0.60, 0.40
 TONES = ("tone_urgency", "tone_fear", "tone_reward", "tone_threat")
@@ -43,12 +44,12 @@ POLICY = (
     Rule("floor_reward_currency", "tone_reward >= 2 AND currency_symbol_count >= 2 AND NOT trusted", floor=0.72),
     Rule("floor_type_phrase", f"NOT trusted AND ((scam_type IN {_in(rules.STRONG_TYPES)} AND scam_phrase_score >= 2) OR (scam_type NOT IN {_in(rules.STRONG_TYPES)} AND scam_type IN {_in(rules.MILD_TYPES)} AND scam_phrase_score >= 1))", floor=0.72),
     Rule("floor_phrase2", "scam_phrase_score >= 2 AND NOT trusted", floor=0.72),
-    Rule("floor_investment_tone", "scam_type = 'investment' AND tone_reward >= 1 AND NOT trusted", floor=0.72),
+    Rule("floor_investment_tone", "scam_type = 'investment_scam' AND tone_reward >= 1 AND NOT trusted", floor=0.72),
     Rule("floor_url_phrase", "url_suspicious_keyword = 1 AND scam_phrase_score >= 1 AND NOT trusted", floor=0.72),
     Rule("floor_lookalike", "sender_impersonation_score >= 2 AND NOT trusted", floor=0.72),
     Rule("cap_otp", "otp AND malicious = 0 AND NOT flagged", cap=0.25),
-    Rule("floor_romance", f"romance >= 2 AND outreach >= 1 AND NOT trusted AND legit_phrase_score < 2 AND {CLEAN}", floor=0.72),
-    Rule("floor_romance_mild", f"NOT (romance >= 2 AND outreach >= 1 AND NOT trusted AND legit_phrase_score < 2 AND {CLEAN}) AND romance >= 1 AND outreach >= 1 AND scam_type = 'romance' AND p < 0.45D AND NOT trusted", floor=0.45),
+    Rule("floor_romance", f"romance >= 2 AND outreach >= 1 AND NOT trusted AND legit_phrase_score < 2 AND malicious = 0 AND NOT flagged", floor=0.72),
+    Rule("floor_romance_mild", f"NOT (romance >= 2 AND outreach >= 1 AND NOT trusted AND legit_phrase_score < 2 AND malicious = 0 AND NOT flagged) AND romance >= 1 AND outreach >= 1 AND scam_type = 'romance_scam' AND p < 0.45D AND NOT trusted", floor=0.45),
     Rule("floor_soft_invest", "soft_invest >= 3 AND NOT trusted AND legit_phrase_score < 2", floor=0.72),
     Rule("floor_soft_invest_mild", "NOT (soft_invest >= 3 AND NOT trusted AND legit_phrase_score < 2) AND soft_invest >= 2 AND p < 0.45D AND NOT trusted", floor=0.45),
 )
@@ -86,28 +87,88 @@ def override_url(verdict: Column, confidence: Column) -> tuple[Column, Column]:
     return new, F.when(marked, F.greatest(confidence, F.lit(50.0))).when(ip, F.greatest(confidence, F.lit(55.0))).otherwise(confidence)
 
 
-#: Reason codes in order, with their conditions.
+#: Reason codes in order of weight, with their conditions: a strong and a weak form of a signal exclude each other.
 REASONS = (
-    ("url_flagged", "flagged"),
-    ("url_malicious", "malicious >= 1"),
-    ("url_ip", "url_has_ip = 1"),
-    ("url_tld", "url_suspicious_tld = 1"),
-    ("url_keyword", "url_suspicious_keyword = 1 AND NOT trusted"),
-    ("impersonation", "sender_impersonation_score >= 1"),
-    ("phrases", "scam_phrase_score >= 1"),
-    ("urgency", "tone_urgency >= 1"),
-    ("fear", "tone_fear >= 1"),
-    ("reward", "tone_reward >= 1"),
+    ("dangerous_link", "malicious > 0 OR flagged"),
+    ("ip_link", "url_has_ip = 1"),
+    ("fake_company_link", "sender_impersonation_score >= 2"),
+    ("odd_suffix_link", "url_suspicious_tld = 1"),
+    ("unsolicited_contact", "romance >= 2"),
+    ("vague_returns", "soft_invest >= 3"),
+    ("strong_urgency", "tone_urgency >= 2"),
+    ("urgency", "tone_urgency = 1"),
+    ("strong_fear", "tone_fear >= 2"),
+    ("fear", "tone_fear = 1"),
+    ("strong_reward", "tone_reward >= 2"),
+    ("reward", "tone_reward = 1"),
     ("threat", "tone_threat >= 1"),
-    ("romance", "romance >= 2 AND outreach >= 1"),
-    ("investment", "soft_invest >= 2"),
+    ("known_phrases", "scam_phrase_score >= 2"),
+    ("known_phrase", "scam_phrase_score = 1"),
+)
+#: The dashboard's list: everything that holds.
+DASHBOARD = (
+    ("urgency", "tone_urgency > 0"),
+    ("fear", "tone_fear > 0"),
+    ("reward", "tone_reward > 0"),
+    ("threat", "tone_threat > 0"),
+    ("known_phrases", "scam_phrase_score > 0"),
+    ("impersonation", "sender_impersonation_score > 0"),
+    ("ip_link", "url_has_ip = 1"),
+    ("odd_suffix_link", "url_suspicious_tld = 1"),
+    ("link_keyword", "url_suspicious_keyword = 1"),
+    ("flagged_link", "flagged"),
+    ("malicious_link", "malicious > 0 AND NOT flagged"),
+    ("near_known_scams", "proximity_score > 0.65D"),
 )
 
 
-def why_flagged(first: int | None = 3, reasons: tuple[tuple[str, str], ...] = REASONS) -> Column:
-    """The first reasons that hold, joined by a bar; all of them without ``first``."""
+def _held(reasons: tuple[tuple[str, str], ...], otherwise: Column) -> Column:
     held = F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(code)) for code, cond in reasons]))
-    return F.array_join(F.slice(held, 1, first) if first else held, "|")
+    return F.when(F.size(held) > 0, held).otherwise(otherwise)
+
+
+def why_flagged(first: int = 3, reasons: tuple[tuple[str, str], ...] = REASONS, default_type: str = rules.DEFAULT_TYPE) -> Column:
+    """The first reasons that hold, joined by a bar. Without any, a verdict other than legit is explained by its type."""
+    by_type = F.when(F.col("scam_type") != default_type, F.array(F.concat(F.lit("like_"), "scam_type"))).otherwise(F.array(F.lit("subtle_patterns")))
+    none = F.when(F.col("verdict") == "LEGIT", F.expr("cast(array() as array<string>)")).otherwise(by_type)
+    return F.array_join(F.slice(_held(reasons, none), 1, first), "|")
+
+
+def dashboard_reasons(reasons: tuple[tuple[str, str], ...] = DASHBOARD) -> Column:
+    by_nearness = F.when(F.col("proximity_score") > 0.50, F.lit("proximity_elevated")).otherwise(F.lit("subtle_patterns"))
+    none = F.array(F.when(F.col("verdict") == "LEGIT", F.lit("none")).otherwise(by_nearness))
+    return F.array_join(_held(reasons, none), "|")
+
+
+def coefficient(place: int) -> float:
+    """A stored coefficient of a numeric feature, by its place: of either sign."""
+    return 0.25 * (place + 1) * (-1) ** place
+
+
+def prediction_record(means: dict[str, float]) -> dict[str, Column]:
+    """The 25 fields, from the columns of :func:`verdicts`, ``text``, ``leet``, ``urls`` and ``proximity_score``. Lists are
+    joined by blanks or bars; the normalised text is given by its digest, contributions in units of 0.0001."""
+    short = F.char_length(F.trim("text")) < MIN_CHARS
+    key, n = F.col("message_id") % 3 != 0, F.col("n_urls")  # every third message is checked without a key
+    second = ~F.col("flagged") & (F.col("malicious") + F.col("suspicious") > 0)
+    number = lambda k: F.col("proximity_score") * 0.5 if k == "proximity_scam_score" else F.col(k)
+    parts = [F.concat(F.lit(f"{k}="), F.round((number(k) - mean) * F.lit(coefficient(j)) * 10000).cast("long").cast("string")) for j, (k, mean) in enumerate(means.items())]
+    warned = F.array_compact(F.array(
+        F.when(short, "too_short"), F.when(~short & (F.char_length("text") > MAX_CHARS), "long_text"), F.when(~short & (non_ascii_share(F.col("text")) > 0.30), "non_english"),
+        F.when(~short & (n > 0) & ~key & ~second, "reputation_skipped"),
+    ))
+
+    def unless(c: Column | str, none=0) -> Column:
+        return F.when(short, F.lit(none)).otherwise(c if isinstance(c, Column) else F.col(c))
+
+    return {
+        "verdict": unless("verdict", "TOO_SHORT"), "confidence": unless("confidence", 0.0), "threshold_used": F.lit(SUSPICIOUS), "scam_type": unless("scam_type", None), "why_flagged": unless("why_flagged", None),
+        **{t: unless(t) for t in TONES}, **{k: unless(k) for k in ("url_suspicious_tld", "url_suspicious_keyword", "url_has_ip")},
+        "scam_phrase_score": unless("scam_phrase_score"), "sender_impersonation": unless("sender_impersonation_score"), "proximity_score": unless("proximity_score", 0.0), "urls_found": unless(F.array_join("urls", " "), ""),
+        "gsb_flagged": unless("flagged", None), "gsb_threat_type": unless(F.when(F.col("flagged"), "SOCIAL_ENGINEERING"), None), "gsb_attempted": unless((n > 0) & key, None),
+        "vt_malicious": unless("malicious"), "vt_suspicious": unless("suspicious"), "vt_attempted": unless(second, None),
+        "normalized_text": F.md5(unless("leet", "")), "feature_contributions": unless(F.array_join(F.array(*parts), " "), ""), "warnings": F.array_join(warned, "|"),
+    }
 
 
 def verdicts(df: DataFrame, prob: str = "prob") -> DataFrame:
@@ -118,7 +179,7 @@ def verdicts(df: DataFrame, prob: str = "prob") -> DataFrame:
     v, c = override_reputation(F.col("verdict"), F.col("confidence"))
     out = out.withColumns({"verdict": v, "confidence": c})
     v, c = override_url(F.col("verdict"), F.col("confidence"))
-    return out.withColumns({"verdict": v, "confidence": c}).withColumn("why_flagged", F.when(F.col("verdict") != "LEGIT", why_flagged()).otherwise(""))
+    return out.withColumns({"verdict": v, "confidence": c}).withColumn("why_flagged", why_flagged())
 
 
 def display_confidence(verdict: Column, confidence: Column) -> Column:

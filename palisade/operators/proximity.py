@@ -1,16 +1,14 @@
-"""Nearest neighbours by cosine, exact in blocks of a bounded size, and approximate by hashing."""
+"""Nearest neighbours by cosine: exact in blocks, and approximate by cells around centres."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reference vectors in one broadcast block.
-BLOCK = 50_000
+#: Reference and query vectors that one task compares.
+BLOCK, CHUNK = 10_000, 2_000
 
 
 def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -24,38 +22,46 @@ def _unit(values: pd.Series) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def class_knn(queries: DataFrame, references: DataFrame, k: int = 10, *, id_col: str = "vec_id", col: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """(id, ref_id, similarity, rank) of the k most similar references; ties go to the lesser id.
+def _nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(id, ref_id, similarity, rank) from (cell, part, id, v) on both sides: the vectors of a cell and part meet in a task,
+    which gives k candidates for each query; the k best of those few are kept."""
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": q["id"][:0], "ref_id": q["id"][:0], "similarity": np.zeros(0)})
+        r = r.sort_values("id", kind="stable")
+        ids, mine = r["id"].to_numpy(), q["id"].to_numpy()
+        sims = np.round(_unit(q["v"]) @ _unit(r["v"]).T, 12)
+        if exclude_self:
+            sims[mine[:, None] == ids[None, :]] = -2
+        m = min(k, len(ids))
+        least = np.partition(sims, len(ids) - m, axis=1)[:, len(ids) - m]  # ties at the edge: the lesser id first
+        rows, cols = np.nonzero(sims >= least[:, None])
+        out = pd.DataFrame({"id": mine[rows], "ref_id": ids[cols], "similarity": sims[rows, cols], "row": rows})
+        out = out.sort_values(["row", "similarity", "ref_id"], ascending=[True, False, True], kind="stable").groupby("row", sort=False).head(m)
+        return out.loc[out["similarity"] > -2, ["id", "ref_id", "similarity"]]
+
+    found = queries.groupBy("cell", "part", "chunk").cogroup(references.groupBy("cell", "part", "chunk")).applyInPandas(best, f"id {kind}, ref_id {kind}, similarity double")
+    ordered = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("ref_id")))), 1, k)  # k a part
+    top = found.groupBy("id").agg(ordered.alias("top")).select("id", F.posexplode("top").alias("pos", "n"))
+    return top.select("id", F.col("n.ref_id").alias("ref_id"), (-F.col("n.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+
+
+def _meet(queries: DataFrame, references: DataFrame, cells: dict[int, int] | None, n_queries: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt over parts of cells (of references) and chunks (of queries); each side is repeated for the other's."""
+    chunks = max(1, -(-n_queries // CHUNK))
+    parts = F.lit(max(1, -(-max(cells.values(), default=1) // BLOCK)))
+    q = queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    r = references.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    return q, r
 
-    References are broadcast in blocks of at most BLOCK; each block gives k candidates for each query, and the k
-    best of those few are kept.
-    """
-    n = references.count()
-    blocks = -(-n // BLOCK)
-    dim_type = queries.schema[id_col].dataType.simpleString()
-    parts = None
-    for b in range(blocks):
-        rows = references.select(id_col, col).where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).orderBy(id_col).toPandas()
-        held = queries.sparkSession.sparkContext.broadcast((rows[id_col].to_numpy(), _unit(rows[col])))
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, matrix = held.value
-            for pdf in batches:
-                sims = np.round(_unit(pdf[col]) @ matrix.T, 12)
-                if exclude_self:
-                    sims[pdf[id_col].to_numpy()[:, None] == ids[None, :]] = -2
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                m = top.shape[1]
-                out = pd.DataFrame({"id": np.repeat(pdf[id_col].to_numpy(), m), "ref_id": ids[top].ravel(), "similarity": np.take_along_axis(sims, top, 1).ravel()})
-                yield out[out["similarity"] > -2]
-
-        found = queries.select(id_col, col).mapInPandas(best, f"id {dim_type}, ref_id {dim_type}, similarity double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return queries.sparkSession.createDataFrame([], f"{id_col} {dim_type}, ref_id {dim_type}, similarity double, rank int")
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("ref_id")))), 1, k)
-    top = parts.groupBy("id").agg(ordered.alias("top")).select("id", F.posexplode("top").alias("pos", "n"))
-    return top.select(F.col("id").alias(id_col), F.col("n.ref_id").alias("ref_id"), (-F.col("n.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+
+def class_knn(queries: DataFrame, references: DataFrame, k: int = 10, *, id_col: str = "vec_id", col: str = "embedding", exclude_self: bool = False) -> DataFrame:
+    """(id, ref_id, similarity, rank) of the k most similar references; ties go to the lesser id. Blocks of references
+    and chunks of queries meet in tasks; nothing passes through the driver."""
+    q, r = (df.select(F.lit(0).alias("cell"), F.col(id_col).alias("id"), F.col(col).alias("v")) for df in (queries, references))
+    return _nearest(*_meet(q, r, {0: r.count()}, q.count()), k, exclude_self).withColumnRenamed("id", id_col)
 
 
 def proximity_scores(queries: DataFrame, scam: DataFrame, legit: DataFrame, k: int = 10, *, id_col: str = "vec_id", scale: float = 1.0) -> DataFrame:
@@ -71,16 +77,29 @@ def similar_messages(queries: DataFrame, references: DataFrame, texts: DataFrame
     return joined.select(id_col, "ref_id", F.round("similarity", 4).alias("similarity"), "rank", "snippet")
 
 
-def knn_approx(queries: DataFrame, references: DataFrame, k: int = 10, *, id_col: str = "vec_id", col: str = "embedding", distance: float = 1.2, seed: int = 42) -> DataFrame:
-    """Bucketed random projections on unit vectors, then the exact k best among the candidates."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: Rows that centres are fitted on, centres, and the share of them that a query looks at.
+FIT_ROWS, CENTRES, PROBED = 10_000, 64, 0.5
+
 
-    def vectors(df: DataFrame) -> DataFrame:
-        return l2_normalize(df.select(id_col, col), col).select(id_col, array_to_vector(F.col(col)).alias("v"))
+def knn_approx(queries: DataFrame, references: DataFrame, k: int = 10, *, id_col: str = "vec_id", col: str = "embedding", centres: int = CENTRES, probed: float = PROBED, seed: int = 42) -> DataFrame:
+    """The k best references among those of the cells that are nearest to a query. Centres are fitted on about FIT_ROWS rows
+    by hash; every reference is in the cell of its nearest centre. Queries with fewer than k there are compared with all."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=6, seed=seed).fit(vectors(references))
-    pairs = model.approxSimilarityJoin(vectors(queries), vectors(references), distance, "d")
-    near = pairs.select(F.col(f"datasetA.{id_col}").alias("id"), F.col(f"datasetB.{id_col}").alias("ref_id"), (F.lit(1.0) - F.col("d") * F.col("d") / 2).alias("similarity"))
-    top = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "ref_id"))), 1, k).alias("top"))
-    return top.select("id", F.posexplode("top").alias("pos", "n")).select(F.col("id").alias(id_col), F.col("n.ref_id").alias("ref_id"), (-F.col("n.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    n = references.count()
+    unit = l2_normalize(references.select(F.col(id_col).alias("id"), F.col(col).alias("v")), "v")
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, FIT_ROWS / max(n, 1)) * (1 << 30)))
+    model = KMeans(k=min(centres, max(2, n // (4 * k))), seed=seed, featuresCol="x", predictionCol="cell").fit(unit.where(draw).select(array_to_vector("v").alias("x")))
+    points = np.stack(model.clusterCenters())  # a few vectors: a literal of the plan
+    places = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(float(x)) for x in p]).alias("at")) for c, p in enumerate(points)])
+    reach = lambda v: F.transform(places, lambda p: F.struct(F.aggregate(F.zip_with(v, p["at"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), p["cell"].alias("number")))
+    held = unit.select(F.array_min(reach(F.col("v")))["number"].alias("cell"), "id", "v")
+    asked = l2_normalize(queries.select(F.col(id_col).alias("id"), F.col(col).alias("v")), "v")
+    near = F.slice(F.sort_array(reach(F.col("v"))), 1, max(1, int(len(points) * probed + 0.5)))
+    asked = asked.select(F.explode(near).alias("c"), "id", "v").select(F.col("c.number").alias("cell"), "id", "v")
+    largest = held.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
+    found = _nearest(*_meet(asked, held, {0: largest}, queries.count()), k, False).withColumnRenamed("id", id_col).persist()
+    few = queries.select(id_col).join(found.groupBy(id_col).count().where(F.col("count") >= min(k, n)), id_col, "left_anti")
+    rest = queries.join(few, id_col, "left_semi")
+    return found.join(few, id_col, "left_anti").unionByName(class_knn(rest, references, k, id_col=id_col, col=col))

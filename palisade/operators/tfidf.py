@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A short list of words that are left out of word terms.
-STOP = tuple("the of and to in a is that it for on was be with as this by are at from or an not have has".split())
+from palisade.functions.text import tokens
+
+WORD = r"[\p{L}\p{N}_]{2,}"
+#: Common English words that are left out of word terms.
+STOP = tuple(
+    """the of and to in a is that it for on was be with as this by are at from or an not have has had but they you he she we his her their its our my your me him them us who whom which what when where why how
+    all any both each few more most other some such no nor only own same so than too very can will just should now do does did doing am were been being having if because until while about against between into through
+    during before after above below up down out off over under again further then once here there also may might must would could shall""".split()
+)
 
 
 def word_terms(text: Column, stop: tuple[str, ...] = STOP) -> Column:
-    """Words of two letters and more, without stop words, and pairs of neighbours among what is left."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop))
+    """Words of two letters, digits or underscores and more in any script, without stop words, and pairs of neighbours
+    among what is left."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*stop))
 
     def with_pairs(w: Column) -> Column:
         after = F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
@@ -22,8 +30,8 @@ def word_terms(text: Column, stop: tuple[str, ...] = STOP) -> Column:
 
 
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside words that are padded with a blank on both sides."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    """Character n-grams inside words (all between blanks, with signs) that are padded with a blank on both sides."""
+    words = F.transform(tokens(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of_size(n: int):
         """All pieces of n characters of a padded word; shorter words give none."""
@@ -38,8 +46,9 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(*[cut(w) for cut in sizes])))
 
 
-def term_counts(docs: DataFrame, terms: Column, id_col: str = "doc_id") -> DataFrame:
-    return docs.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, terms: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf). Texts are dealt by id, which then serves counting and the norms; a document's terms stay together."""
+    return docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def fit_vocabulary(counts: DataFrame, n_docs: int, size: int) -> DataFrame:
@@ -57,7 +66,7 @@ def weigh(counts: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id") -> D
 
 
 def tfidf(docs: DataFrame, terms: Column, size: int, id_col: str = "doc_id") -> DataFrame:
-    counts = term_counts(docs, terms, id_col)
+    counts = term_counts(docs, terms, id_col).persist()  # read for the vocabulary and for the weights
     return weigh(counts, fit_vocabulary(counts, docs.count(), size), id_col)
 
 

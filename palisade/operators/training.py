@@ -72,10 +72,6 @@ def estimators(n: int) -> dict:
     }
 
 
-def train_all(train: DataFrame) -> dict:
-    return {name: est.fit(train) for name, est in estimators(train.count()).items()}
-
-
 def probabilities(model, df: DataFrame, id_col: str = "message_id") -> DataFrame:
     return model.transform(df).select(id_col, "label", vector_to_array("probability")[1].alias("prob"), F.col("prediction").cast("int").alias("pred"))
 
@@ -126,11 +122,12 @@ def contribution_topk(contributions: DataFrame, k: int = 12, id_col: str = "mess
     return top.select(id_col, (F.col("pos") + 1).alias("rank"), F.col("e.feature").alias("feature"), F.col("e.contribution").alias("contribution"))
 
 
-def artefact_sink(model: PipelineModel, threshold: float, path: str) -> None:
-    """A fitted pipeline, and its threshold as a table beside it."""
+def artefact_sink(model: PipelineModel, threshold: float | None, path: str) -> None:
+    """A fitted pipeline, and its threshold as a table beside it; without a threshold, the older format of a bare model."""
     spark = SparkSession.getActiveSession()
     model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(float(threshold),)], "threshold double").write.mode("overwrite").parquet(f"{path}/threshold")
+    if threshold is not None:
+        spark.createDataFrame([(float(threshold),)], "threshold double").write.mode("overwrite").parquet(f"{path}/threshold")
 
 
 def artefact_source(path: str, default: float = 0.5) -> tuple[PipelineModel, float]:

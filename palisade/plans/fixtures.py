@@ -16,18 +16,18 @@ CUES = (
     "Check https://paypa1-secure.com and https://paypal-support.xyz/confirm please",
     "See https://bit.ly/abc123 for info",
     "Get $500 and €300 guaranteed profit, double your bitcoin investment and claim the bonus",
-    "Your code is 482913. Do not share it with anyone.",
+    "Your code is 482913. Do not share this code with anyone, it is a one-time code.",
     "Your appointment is confirmed, receipt attached, thank you for your order",
     "We will file a lawsuit and the police will arrest you if you fail to pay",
     "Hi dear, I saw your profile, are you single? I am a widow stationed abroad",
-    "My uncle taught me crypto trading and I made a great return, let me show you how",
+    "My uncle taught me crypto trading and I made a great return, let me show you how, just DM me",
     "🎉 Congratulations 🎁 you are selected 💰",
     "<b>Click</b> <a href=x>here</a> to unlock",
     "Y0ur acc0unt h4s been l1mited, v3rify n0w @ bank",
     "Work from home and earn $300 per day, no experience needed, why wait?",
     "Your parcel is held at customs, pay the delivery fee at http://usps-track.top/pay",
     "IRS notice: tax refund pending, submit your SSN at https://irs-refund.click",
-    "Contact billing@mail.example.com or visit example.org for help",
+    "Contact billing@mail.example.com or visit example.org for help, log in at paypal-verify.com/login (see irs.gov/help).",
     "Your computer has a virus, call Microsoft support now",
     "Final warning: your insurance will be cancelled unless you confirm",
     "I have no fear and without worry; nothing is urgent. Hi dear, nice to meet you, true love",
@@ -49,7 +49,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left")
     return rows.select(
         F.col("doc_id").alias("message_id"),
-        F.concat(F.substring("text", 1, 5000), F.lit(" "), cue).alias("text"),
+        F.concat("text", F.lit(" "), cue).alias("text"),
         "source",
         F.col("lang").alias("channel"),
         F.coalesce("toxic", F.lit(0)).alias("label"),
@@ -59,14 +59,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CASES = " ".join(f"WHEN {k} THEN {quoted(c)}" for k, c in enumerate(CUES))
 MESSAGES = f"""messages AS (
-  SELECT d.doc_id AS message_id, substring(d.text, 1, 5000) || ' ' || CASE d.doc_id % {len(CUES)} {_CASES} END AS text,
+  SELECT d.doc_id AS message_id, d.text || ' ' || CASE d.doc_id % {len(CUES)} {_CASES} END AS text,
     d.source, d.lang AS channel, coalesce(l.toxic, 0) AS label, CAST((d.doc_id * 37) % 100 AS DOUBLE) / 100.0 AS prob
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def contained(col: str, cues: tuple[str, ...] | dict[str, int]) -> str:
     weights = cues if isinstance(cues, dict) else dict.fromkeys(cues, 1)
-    return "(" + " + ".join(f"{w} * CAST(contains({col}, {quoted(c)}) AS INT)" for c, w in weights.items()) + ")"
+    phrases = ", ".join(quoted(c) for c, w in weights.items() for _ in range(w))
+    return f"len(list_filter([{phrases}], lambda phrase: contains({col}, phrase)))"
 
 
 def matching(col: str, patterns: tuple[str, ...]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import features, rules, text, tone, urls
-from palisade.operators import policy, reputation
+from palisade.operators import policy, proximity, reputation
 from palisade.plans import fixtures as fx
 from palisade.plans.fixtures import messages, quoted
 
@@ -16,23 +16,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _column(name: str, make: Callable[[], Column | dict[str, Column]], sql: str | dict[str, str] | None, low: bool = False) -> None:
-    """One query: columns made from ``text`` (and ``low``, its lower case, behind a cheap projection)."""
+_EDGES = "regexp_replace({0}, '^[!-/:-@\\[-`{{-~]+|[!-/:-@\\[-`{{-~]+$', '', 'g')"
+
+
+def parts_sql(source: str = "messages") -> str:
+    """CTEs that end in ``m``: the rows of a table with what features are made of."""
+    return f"""m0 AS (SELECT *, lower(text) AS low, {fx.words('text')} AS words, regexp_extract_all(text, {quoted(urls.EXPLICIT)}) AS explicit,
+  regexp_extract_all(text, {quoted('(?i)' + urls.bare_pattern())}) AS bare, regexp_extract_all(text, {quoted(urls.mail_or_bare_pattern())}) AS found FROM {source}),
+m1 AS (SELECT * EXCLUDE (found), list_transform(words, lambda w: {_EDGES.format('lower(w)')}) AS bare_words, list_concat(explicit, list_transform(list_filter(found, lambda u: NOT starts_with(u, '@') AND NOT contains(array_to_string(explicit, ' '), u)),
+  lambda u: CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://' || u END)) AS l FROM m0),
+m AS MATERIALIZED (SELECT * EXCLUDE (l), list_filter(l, lambda x, i: list_position(l, x) = i) AS urls FROM m1)"""
+
+
+def _column(name: str, make: Callable[[], Column | dict[str, Column]], sql: str | dict[str, str] | None) -> None:
+    """One query: columns made from ``text`` and the columns of :func:`features.with_parts`."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = make()
-        rows = messages(spark, sf_dir).withColumn("low", F.lower("text"))
+        rows = features.with_parts(messages(spark, sf_dir))
         return rows.select("message_id", *[c.alias(n) for n, c in (made if isinstance(made, dict) else {name: made}).items()])
 
     QUERIES[name] = run
     if sql is not None:
         cols = ", ".join(f"{s} AS {n}" for n, s in (sql if isinstance(sql, dict) else {name: sql}).items())
-        ORACLE_SQL[name] = f"WITH {fx.MESSAGES}, m AS (SELECT *, lower(text) AS low FROM messages) SELECT message_id, {cols} FROM m"
+        ORACLE_SQL[name] = f"WITH {fx.MESSAGES}, {parts_sql()} SELECT message_id, {cols} FROM m"
 
 
 def _t() -> Column:
     return F.col("text")
 
+
 # --- normalisation
 _EMOJI = "text"
 for _sign, _word in rules.EMOJI.items():
@@ -67,23 +80,14 @@ def _basic_sql(col: str, cues: tuple[str, ...], digits: int | None) -> dict[str,
         "has_url": f"CAST({url} > 0 AS INT)",
         "url_count": url,
         "exclamation_count": fx.count(col, "!"),
-        "uppercase_ratio": fix(fx.ratio(fx.count(col, "[A-Z]"), n)),
-        "digit_ratio": fix(fx.ratio(fx.count(col, "[0-9]"), n)),
+        "uppercase_ratio": fix(fx.ratio(fx.count(col, text.UPPER), n)),
+        "digit_ratio": fix(fx.ratio(fx.count(col, text.DIGIT), n)),
         "urgency_score": fx.contained(f"lower({col})", cues),
     }
 
 
-def _serve() -> dict[str, Column]:
-    """Statistics of the leet-normalised text; links are taken from the text as it came."""
-    stats, raw = text.basic_features(text.leet_normalize(_t()), rules.CUES, None), text.basic_features(_t())
-    out = {k: F.round(c, 9) if k.endswith("ratio") else c for k, c in stats.items()}
-    return out | {k: raw[k] for k in ("has_url", "url_count")}
-
-
 _column("basic_features", lambda: text.basic_features(_t()), _basic_sql("text", rules.CUES, 4))
 _column("basic_features_gap", lambda: text.basic_features(_t(), rules.CUES_GAP), _basic_sql("text", rules.CUES_GAP, 4))
-_column("inference_features", _serve, _basic_sql(_LEET.format("text"), rules.CUES, None) | {k: v for k, v in _basic_sql("text", rules.CUES, 4).items() if k in ("has_url", "url_count")})
-
 # --- tone
 TONE_SQL = {f"tone_{n}": fx.unnegated("low", p, rules.NEGATORS) for n, p in rules.TONE.items()}
 for _name, _patterns in rules.TONE.items():
@@ -93,27 +97,48 @@ _column("negation_window", lambda: tone.tone("low", _PROBE), fx.unnegated("low",
 _column("tone_legacy", lambda: tone.tones_legacy(F.col("low")), {f"tone_{n}": fx.contained("low", w) for n, w in rules.TONE_LEGACY.items()})
 
 
+_CLEAN = _BLANK.format(_SHORT.format(_HTML.format(_EMOJI)))
+_NORM = f"n AS MATERIALIZED (SELECT *, lower({_CLEAN}) AS clean, {_LEET.format(_CLEAN)} AS leet FROM m)"
+
+
+def _normalised(df: DataFrame) -> DataFrame:
+    """Adds ``clean`` (lower case of the preprocessed text) and ``leet``: what serving reads."""
+    rows = df.withColumn("prepared", text.preprocess_text(_t(), nfkc=False))
+    return rows.withColumns({"clean": F.lower("prepared"), "leet": text.leet_normalize(F.col("prepared"))}).drop("prepared")
+
+
+def merged_tones() -> dict[str, Column]:
+    return {f"tone_{n}": F.greatest(tone.tone("clean", p), tone.tone("leet", p)) for n, p in rules.TONE.items()}
+
+
+MERGED_SQL = {f"tone_{n}": f"greatest({fx.unnegated('clean', p, rules.NEGATORS)}, {fx.unnegated('leet', p, rules.NEGATORS)})" for n, p in rules.TONE.items()}
+
+
 def tone_merge_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = messages(spark, sf_dir).select("message_id", F.lower("text").alias("low"), text.leet_normalize(_t()).alias("leet"))
-    made = rows.select("message_id", *[F.greatest(tone.tone("low", p), tone.tone("leet", p)).alias(f"tone_{n}") for n, p in rules.TONE.items()])
-    return made
+    return _normalised(messages(spark, sf_dir)).select("message_id", *[c.alias(k) for k, c in merged_tones().items()])
 
 
-QUERIES["tone_merge_max"] = tone_merge_max
-_MERGED = ", ".join(f"greatest({fx.unnegated('low', p, rules.NEGATORS)}, {fx.unnegated('leet', p, rules.NEGATORS)}) AS tone_{n}" for n, p in rules.TONE.items())
-ORACLE_SQL["tone_merge_max"] = f"WITH {fx.MESSAGES}, m AS (SELECT *, lower(text) AS low, {_LEET.format('text')} AS leet FROM messages) SELECT message_id, {_MERGED} FROM m"
+def inference_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the leet-normalised text; links are taken from the text as it came; urgency is the merged tone's."""
+    rows = _normalised(urls.with_links(messages(spark, sf_dir)))
+    stats = {k: F.round(c, 9) if k.endswith("ratio") else c for k, c in text.basic_features(F.col("leet"), digits=None).items()}
+    stats |= {"has_url": (F.size("urls") > 0).cast("int"), "url_count": F.size("urls"), "urgency_score": merged_tones()["tone_urgency"]}
+    return rows.select("message_id", *[c.alias(k) for k, c in stats.items()])
 
-# --- links
-_URLS = f"regexp_extract_all(text, {quoted(urls.EXPLICIT)})"
 
+QUERIES |= {"tone_merge_max": tone_merge_max, "inference_features": inference_features}
+ORACLE_SQL["tone_merge_max"] = f"WITH {fx.MESSAGES}, {parts_sql()}, {_NORM} SELECT message_id, {', '.join(f'{q} AS {k}' for k, q in MERGED_SQL.items())} FROM n"
+_INFER = _basic_sql("leet", rules.CUES, None) | {"has_url": "CAST(len(urls) > 0 AS INT)", "url_count": "len(urls)", "urgency_score": MERGED_SQL["tone_urgency"]}
+ORACLE_SQL["inference_features"] = f"WITH {fx.MESSAGES}, {parts_sql()}, {_NORM} SELECT message_id, {', '.join(f'{q} AS {k}' for k, q in _INFER.items())} FROM n"
 
+# --- links
 def _host(u: str) -> str:
     rest = f"regexp_replace(lower({u}), '^[a-z][a-z0-9+.-]*://', '')"
     return f"regexp_replace(regexp_extract({rest}, '^(?:[^/?#@]*@)?([^/:?#]*)', 1), '^www[.]', '')"
 
 
-def _any(test: str, over: str = _URLS, var: str = "u") -> str:
-    return f"len(list_filter({over}, lambda {var}: {test})) > 0"
+def _any(test: str, over: str = "urls") -> str:
+    return f"len(list_filter({over}, lambda u: {test})) > 0"
 
 
 def _ends(host: str, names: tuple[str, ...], dot: str = "") -> str:
@@ -124,29 +149,28 @@ def _under(host: str, names: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"{host} = {quoted(n)} OR suffix({host}, {quoted('.' + n)})" for n in names) + ")"
 
 
-_PAIR = "regexp_extract(lower(u), 'https?://(?:www[.])?([a-z0-9-]+[.][a-z0-9-]+)', 1)"
-_FAKE = f"({fx.contained(_host('u'), rules.HOST_ACTIONS)} > 0 OR " + " OR ".join(f"(contains({_host('u')}, {quoted(b)}) AND NOT {_under(_host('u'), d)})" for b, d in rules.BRANDS.items()) + ")"
-_IP = "regexp_matches(text, 'https?://[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')"
+_PAIRS = f"list_transform(regexp_extract_all(text, {quoted(urls.PAIR)}, 1), lambda h: lower(h))"
+_FAKE = f"(regexp_matches({_host('u')}, {quoted('|'.join(rules.HOST_ACTIONS))}) OR " + " OR ".join(f"(contains({_host('u')}, {quoted(b)}) AND NOT {_under(_host('u'), d)})" for b, d in rules.BRANDS.items()) + ")"
 URL_SQL = {
-    "url_suspicious_tld": f"CAST({_any(_ends(_PAIR, rules.TLDS))} AS INT)",
-    "url_suspicious_keyword": f"CAST({_any(fx.contained('lower(u)', rules.URL_KEYWORDS) + ' > 0')} AS INT)",
-    "url_has_ip": f"CAST({_IP} AS INT)",
+    "url_suspicious_tld": f"CAST({_any(_ends('u', rules.TLDS), _PAIRS)} AS INT)",
+    "url_suspicious_keyword": f"CAST({_any('regexp_matches(lower(u), ' + quoted('|'.join(rules.URL_KEYWORDS)) + ')', 'list_concat(explicit, bare)')} AS INT)",
+    "url_has_ip": f"CAST(regexp_matches(text, {quoted(urls.IP)}) AS INT)",
 }
-_TRUSTED = f"(len({_URLS}) > 0 AND len(list_filter({_URLS}, lambda u: NOT {_under(_host('u'), rules.TRUSTED)})) = 0)"
-EXPLICIT = lambda: urls.explicit_urls(_t())
-_column("extract_urls_explicit", EXPLICIT, _URLS)
-_column("extract_urls", lambda: urls.extract_urls(_t()), None)
-_column("url_suspicious_tld", lambda: urls.has_suspicious_tld(EXPLICIT()).cast("int"), URL_SQL["url_suspicious_tld"])
-_column("url_suspicious_keyword", lambda: urls.has_keyword(EXPLICIT()).cast("int"), URL_SQL["url_suspicious_keyword"])
-_column("url_has_ip", lambda: urls.has_ip(_t()).cast("int"), URL_SQL["url_has_ip"])
-_column("lookalike_domain", lambda: F.exists(EXPLICIT(), lambda u: urls.lookalike(u)), _any(_FAKE))
-_column("trusted_all", lambda: urls.trusted_all(EXPLICIT()), _TRUSTED)
+_TRUSTED = f"(len(urls) > 0 AND len(list_filter(urls, lambda u: NOT {_under(_host('u'), rules.TRUSTED)})) = 0)"
+_flags = lambda: urls.url_flags(F.col("explicit"), F.col("bare"), _t())
+_column("extract_urls_explicit", lambda: F.col("explicit"), "explicit")
+_column("extract_urls", lambda: F.col("urls"), "urls")
+for _name in URL_SQL:
+    _column(_name, lambda n=_name: _flags()[n], URL_SQL[_name])
+_column("lookalike_domain", lambda: F.exists("urls", lambda u: urls.lookalike(u)), _any(_FAKE))
+_column("trusted_all", lambda: urls.trusted_all(F.col("urls")), _TRUSTED)
+_OLD_PAIRS = f"regexp_extract_all(low, {quoted(urls.PAIR)}, 1)"
 _LEGACY = {
-    "url_suspicious_tld": f"CAST({_any(_ends(_host('u'), rules.TLDS_LEGACY))} AS INT)",
-    "url_suspicious_keyword": f"CAST({_any(fx.contained(_host('u'), rules.URL_KEYWORDS_LEGACY) + ' > 0')} AS INT)",
+    "url_suspicious_tld": f"CAST({_any(_ends('u', rules.TLDS_LEGACY), _OLD_PAIRS)} AS INT)",
+    "url_suspicious_keyword": f"CAST({_any('regexp_matches(lower(u), ' + quoted('|'.join(rules.URL_KEYWORDS_LEGACY)) + ')', _OLD_PAIRS)} AS INT)",
     "url_has_ip": URL_SQL["url_has_ip"],
 }
-_column("url_features_legacy", lambda: urls.url_flags_legacy(EXPLICIT(), _t()), _LEGACY)
+_column("url_features_legacy", lambda: urls.url_flags_legacy(_t()), _LEGACY)
 
 
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +178,12 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reputation.url_explode(messages(spark, sf_dir).select("message_id", urls.explicit_urls(_t()).alias("urls")))
+    return reputation.url_explode(urls.with_links(messages(spark, sf_dir)).select("message_id", "urls"))
 
 
 QUERIES |= {"url_host": url_host, "url_explode": url_explode}
 ORACLE_SQL["url_host"] = f"SELECT page_id, {_host('url')} AS host FROM pages"
-_LINKS = f"links AS (SELECT message_id, k - 1 AS pos, ({_URLS})[k] AS url FROM messages, unnest(range(1, least(len({_URLS}), 3) + 1)) AS t(k))"
+_LINKS = f"{parts_sql()}, links AS (SELECT message_id, k - 1 AS pos, urls[k] AS url FROM m, unnest(range(1, least(len(urls), 3) + 1)) AS t(k))"
 ORACLE_SQL["url_explode"] = f"WITH {fx.MESSAGES}, {_LINKS} SELECT message_id, CAST(pos AS INT) AS pos, url FROM links"
 
 
@@ -192,9 +216,14 @@ def url_reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reputation_attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a key for one service: whether each was asked, and a warning where the other was skipped."""
-    rows = messages(spark, sf_dir).select("message_id", F.size(urls.explicit_urls(_t())).alias("n"))
-    return rows.select("message_id", (F.col("n") > 0).alias("gsb_attempted"), F.lit(False).alias("vt_attempted"), F.when(F.col("n") > 0, "second check skipped").alias("warning"))
+    """With a key for the first service: it is asked about any link; the second counts as asked where its counts of a link
+    that is not flagged are above 0; a warning where there are links and neither was."""
+    rows = urls.with_links(messages(spark, sf_dir)).select("message_id", F.size("urls").alias("n"))
+    found = reputation.url_explode(urls.with_links(messages(spark, sf_dir)).select("message_id", "urls")).join(reputation.fresh(url_reputation(spark, sf_dir), ASOF), "url", "left")
+    asked = found.groupBy("message_id").agg(F.max(~F.coalesce("flagged", F.lit(False)) & (F.coalesce(F.col("malicious") + F.col("suspicious"), F.lit(0)) > 0)).alias("vt"))
+    rows = rows.join(asked, "message_id", "left").withColumn("key", F.col("message_id") % 3 != 0)  # every third without a key
+    gsb, vt = (F.col("n") > 0) & F.col("key"), F.coalesce("vt", F.lit(False))
+    return rows.select("message_id", gsb.alias("gsb_attempted"), vt.alias("vt_attempted"), F.when((F.col("n") > 0) & ~gsb & ~vt, "checks skipped").alias("warning"))
 
 
 QUERIES |= {"reputation_freshness": reputation_freshness, "url_reputation_join": url_reputation_join, "reputation_attempt_flags": reputation_attempt_flags}
@@ -204,80 +233,98 @@ j AS (SELECT message_id, pos, coalesce(flagged, false) AS flagged, coalesce(mali
 SELECT message_id, bool_or(flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 1 ELSE malicious END) AS BIGINT) AS malicious,
   CAST(sum(CASE WHEN flagged THEN 0 ELSE suspicious END) AS BIGINT) AS suspicious,
   arg_max(threat_type, CASE WHEN flagged THEN pos END) AS threat_type, count(*) AS n_urls FROM j GROUP BY message_id"""
-ORACLE_SQL["reputation_attempt_flags"] = f"WITH {fx.MESSAGES} SELECT message_id, len({_URLS}) > 0 AS gsb_attempted, false AS vt_attempted, CASE WHEN len({_URLS}) > 0 THEN 'second check skipped' END AS warning FROM messages"
+ORACLE_SQL["reputation_attempt_flags"] = f"""WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION},
+asked AS (SELECT message_id, bool_or(NOT coalesce(flagged, false) AND coalesce(malicious + suspicious, 0) > 0) AS vt FROM links LEFT JOIN latest ON links.url = latest.url GROUP BY message_id),
+a AS (SELECT m.message_id, len(urls) AS n, len(urls) > 0 AND m.message_id % 3 <> 0 AS g, coalesce(vt, false) AS v FROM m LEFT JOIN asked ON m.message_id = asked.message_id)
+SELECT message_id, g AS gsb_attempted, v AS vt_attempted, CASE WHEN n > 0 AND NOT g AND NOT v THEN 'checks skipped' END AS warning FROM a"""
 
 # --- engineered features
-_EDGES = "regexp_replace({0}, '^[!-/:-@\\[-`{{-~]+|[!-/:-@\\[-`{{-~]+$', '', 'g')"
-_N = f"len({fx.words('text')})"
-_SYLLABLES = "CASE WHEN length(regexp_replace(lower(w), '[^a-z]', '', 'g')) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(regexp_replace(regexp_replace(lower(w), '[^a-z]', '', 'g'), 'e$', ''), '[aeiouy]+')), 1) END"
-_SYLL_SUM = f"coalesce(list_sum(list_transform({fx.words('text')}, lambda w: {_SYLLABLES})), 0)"
+_SYLLABLES = "CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(regexp_replace(w, '([aeiou])e$', '\\1'), '[aeiou]+')), 1) END"
+_SYLL_SUM = f"coalesce(list_sum(list_transform(bare_words, lambda w: {_SYLLABLES})), 0)"
 _SENT = "greatest(len(string_split_regex(text, '[.!?]+')), 1)"
 FEATURE_SQL = {
-    "avg_word_length": f"round({fx.ratio('list_sum(list_transform(' + fx.words('text') + ', lambda w: length(' + _EDGES.format('w') + ')))', _N)}, 6)",
-    "capitalized_word_count": f"len(list_filter({fx.words('text')}, lambda w: length(w) >= 2 AND w = upper(w) AND w <> lower(w)))",
+    "avg_word_length": f"round({fx.ratio('list_sum(list_transform(bare_words, lambda w: length(w)))', 'len(words)')}, 4)",
+    "capitalized_word_count": "len(list_filter(words, lambda w: length(w) >= 2 AND w = upper(w) AND w <> lower(w)))",
     "scam_phrase_score": fx.contained("low", rules.PHRASES),
     "legit_phrase_score": fx.contained("low", rules.LEGIT_PHRASES),
     "sender_impersonation_score": f"least(CAST({fx.contained('low', rules.IMPERSONATED)} > 0 AND {fx.contained('low', rules.IMPERSONATION_ACTIONS)} > 0 AS INT) + 2 * CAST({_any(_FAKE)} AS INT), 3)",
-    "punctuation_density": f"round({fx.ratio(fx.count('text', '[!-/:-@' + chr(92) + '[-`{-~]'), 'length(text)')}, 6)",
+    "punctuation_density": f"round({fx.ratio(fx.count('text', '[!-/:-@' + chr(92) + '[-`{-~]'), 'length(text)')}, 4)",
     "question_mark_count": fx.count("text", "[?]"),
     "currency_symbol_count": fx.count("text", "[$€£¥]"),
-    "readability_score": f"round(CASE WHEN {_N} = 0 THEN 0.0 ELSE least(greatest(CAST(206.835 AS DOUBLE) - CAST(1.015 AS DOUBLE) * (CAST({_N} AS DOUBLE) / {_SENT}) - CAST(84.6 AS DOUBLE) * (CAST({_SYLL_SUM} AS DOUBLE) / {_N}), 0.0), 100.0) END, 6)",
-    "unique_word_ratio": f"round({fx.ratio('len(list_distinct(list_transform(' + fx.words('text') + ', lambda w: ' + _EDGES.format('lower(w)') + ')))', _N)}, 6)",
+    "readability_score": f"round(CASE WHEN len(words) = 0 THEN 0.0 ELSE least(greatest(CAST(206.835 AS DOUBLE) - CAST(1.015 AS DOUBLE) * (CAST(len(words) AS DOUBLE) / {_SENT}) - CAST(84.6 AS DOUBLE) * (CAST({_SYLL_SUM} AS DOUBLE) / len(words)), 0.0), 100.0) END, 2)",
+    "unique_word_ratio": f"round({fx.ratio('len(list_distinct(bare_words))', 'len(words)')}, 4)",
 }
-_ROUNDED = ("avg_word_length", "punctuation_density", "readability_score", "unique_word_ratio")
+DIGITS = {"avg_word_length": 4, "punctuation_density": 4, "readability_score": 2, "unique_word_ratio": 4}
 
 
 def _engineered() -> dict[str, Column]:
-    return {k: F.round(c, 6) if k in _ROUNDED else c for k, c in features.engineered("text").items()}
+    return {k: F.round(c, DIGITS[k]) if k in DIGITS else c for k, c in features.engineered().items()}
 
 
 for _name in FEATURE_SQL:
     _column(_name, lambda n=_name: _engineered()[n], FEATURE_SQL[_name])
-_column("syllable_count", lambda: F.aggregate(F.transform(text.tokens(_t()), features.syllable_count), F.lit(0), lambda a, x: a + x), f"CAST({_SYLL_SUM} AS BIGINT)")
+_column("syllable_count", lambda: F.aggregate(F.transform("bare_words", features.syllable_count), F.lit(0), lambda a, x: a + x), f"CAST({_SYLL_SUM} AS BIGINT)")
 _column("feature_frame", lambda: _engineered() | tone.tones("low"), FEATURE_SQL | URL_SQL | TONE_SQL)
 _TYPES = {f"type_{n}": fx.matching("low", p) for n, p in rules.SCAM_TYPES.items()}
 _BEST = f"greatest({', '.join(_TYPES.values())})"
 _TYPE = "CASE " + f"WHEN {_BEST} = 0 THEN '{rules.DEFAULT_TYPE}' " + " ".join(f"WHEN {s} = {_BEST} THEN {quoted(n[5:])}" for n, s in _TYPES.items()) + " END"
 _column("scam_type_score", lambda: {f"type_{n}": c for n, c in features.type_scores(F.col("low")).items()}, _TYPES)
 _column("scam_type", lambda: features.scam_type(features.type_scores(F.col("low"))), _TYPE)
-_ROMANCE, _SOFT = fx.contained("low", rules.ROMANCE), fx.contained("low", rules.SOFT_INVEST)
-_OUTREACH = fx.contained("low", rules.ROMANCE[: rules.OUTREACH])
+_ROMANCE, _SOFT = fx.matching("low", rules.ROMANCE), fx.matching("low", rules.SOFT_INVEST)
+_OUTREACH = fx.matching("low", rules.ROMANCE[: rules.OUTREACH])
 _column("romance_opener_score", lambda: {"hits": features.opener_hits(F.col("low"), rules.ROMANCE), "outreach": features.opener_hits(F.col("low"), rules.ROMANCE[: rules.OUTREACH])}, {"hits": _ROMANCE, "outreach": _OUTREACH})
 _column("soft_invest_score", lambda: features.opener_hits(F.col("low"), rules.SOFT_INVEST), _SOFT)
-_OTP = "(regexp_matches(low, '(?:^|[^0-9])(?:[0-9]{6}|[0-9]{3}-[0-9]{3})(?:[^0-9]|$)') AND contains(low, 'do not share'))"
+_OTP = f"(regexp_matches(low, {quoted(features.OTP)}) AND contains(low, 'do not share'))"
 _column("otp_signal", lambda: features.otp_signal(F.col("low")), _OTP)
 
 
 # --- policy
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every input of the policy. Costly columns are made once, below a projection that the policy reads."""
-    low, found = F.col("low"), urls.explicit_urls(_t())
-    rows = messages(spark, sf_dir).withColumn("low", F.lower("text")).withColumn("urls", found)
-    names = ("scam_phrase_score", "legit_phrase_score", "sender_impersonation_score", "currency_symbol_count")
-    made = features.engineered("text")
-    n = F.size("urls")
-    return rows.select(
-        "message_id", "label", "source", "channel", "prob", n.alias("n_urls"),
-        *[made[k].alias(k) for k in (*names, *URL_SQL)],
-        *[c.alias(k) for k, c in tone.tones("low").items()],
+#: Numeric features of the models, in order; proximity comes from vectors.
+NUMERIC = (
+    "text_length", "word_count", "has_url", "url_count", "exclamation_count", "uppercase_ratio", "digit_ratio", "urgency_score", *policy.TONES, *URL_SQL, "scam_phrase_score", "sender_impersonation_score",
+    "avg_word_length", "capitalized_word_count", "punctuation_density", "question_mark_count", "currency_symbol_count", "readability_score", "unique_word_ratio", "proximity_scam_score", "legit_phrase_score",
+)
+
+
+def signals_of(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Every input of the policy that comes from a text, beside some columns. What features are made of is made once."""
+    low, links = F.col("low"), F.size("urls")
+    basic = {k: c for k, c in text.basic_features(_t()).items() if k not in ("has_url", "url_count", "word_count")}
+    made = basic | {"word_count": F.size("words"), "has_url": (links > 0).cast("int"), "url_count": links} | _engineered() | tone.tones("low")
+    return features.with_parts(rows).select(
+        *keep, "urls", links.alias("n_urls"),
+        *[c.alias(k) for k, c in made.items()],
         urls.trusted_all(F.col("urls")).alias("trusted"),
         features.scam_type(features.type_scores(low)).alias("scam_type"),
         features.opener_hits(low, rules.ROMANCE).alias("romance"),
         features.opener_hits(low, rules.ROMANCE[: rules.OUTREACH]).alias("outreach"),
         features.opener_hits(low, rules.SOFT_INVEST).alias("soft_invest"),
         features.otp_signal(low).alias("otp"),
-        ((F.col("message_id") % 41 == 0) & (n > 0)).alias("flagged"),
-        F.when(n > 0, F.col("message_id") % 13 % 3).otherwise(0).alias("malicious"),
-        F.when(n > 0, (F.col("message_id") % 7 == 0).cast("int")).otherwise(0).alias("suspicious"),
     )
 
 
-_SIGNALS = f"""{fx.MESSAGES}, m AS (SELECT *, lower(text) AS low FROM messages),
-signals AS MATERIALIZED (SELECT message_id, label, source, channel, prob, len({_URLS}) AS n_urls,
-  {', '.join(f'{s} AS {n}' for n, s in (FEATURE_SQL | URL_SQL | TONE_SQL).items())},
-  {_TRUSTED} AS trusted, {_TYPE} AS scam_type, {_ROMANCE} AS romance, {_OUTREACH} AS outreach, {_SOFT} AS soft_invest, {_OTP} AS otp,
-  (message_id % 41 = 0 AND len({_URLS}) > 0) AS flagged, CASE WHEN len({_URLS}) > 0 THEN message_id % 13 % 3 ELSE 0 END AS malicious,
-  CASE WHEN len({_URLS}) > 0 THEN CAST(message_id % 7 = 0 AS INT) ELSE 0 END AS suspicious FROM m)"""
+def signals_sql(keep: str, source: str = "m") -> str:
+    basic = {k: q for k, q in _basic_sql("text", rules.CUES, 4).items() if k not in ("has_url", "url_count", "word_count")}
+    made = basic | {"word_count": "len(words)", "has_url": "CAST(len(urls) > 0 AS INT)", "url_count": "len(urls)"} | FEATURE_SQL | URL_SQL | TONE_SQL
+    return f"""SELECT {keep}, urls, len(urls) AS n_urls, {', '.join(f'{q} AS {k}' for k, q in made.items())},
+  {_TRUSTED} AS trusted, {_TYPE} AS scam_type, {_ROMANCE} AS romance, {_OUTREACH} AS outreach, {_SOFT} AS soft_invest, {_OTP} AS otp FROM {source}"""
+
+
+def signals(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The messages' signals, with made-up reputation of their links."""
+    rows = signals_of(messages(spark, sf_dir), ("message_id", "label", "source", "channel", "prob", *keep))
+    n, k = F.col("n_urls"), F.col("message_id")
+    return rows.withColumns({
+        "flagged": (k % 41 == 0) & (n > 0),
+        "malicious": F.when(n > 0, k % 13 % 3).otherwise(0),
+        "suspicious": F.when(n > 0, (k % 7 == 0).cast("int")).otherwise(0),
+    })
+
+
+_MADE = """(message_id % 41 = 0 AND n_urls > 0) AS flagged, CASE WHEN n_urls > 0 THEN message_id % 13 % 3 ELSE 0 END AS malicious,
+  CASE WHEN n_urls > 0 THEN CAST(message_id % 7 = 0 AS INT) ELSE 0 END AS suspicious"""
+_SIGNALS = f"""{fx.MESSAGES}, {parts_sql()}, s0 AS MATERIALIZED ({signals_sql('message_id, label, source, channel, prob, text')}),
+signals AS (SELECT *, {_MADE} FROM s0)"""
 
 
 def _duck(sql: str) -> str:
@@ -289,18 +336,43 @@ def _duck(sql: str) -> str:
 
 _FOLD = "q0 AS (SELECT *, prob AS p FROM signals)"
 for _k, _rule in enumerate(policy.POLICY, 1):
-    _FOLD += f", q{_k} AS (SELECT * EXCLUDE (p), {_duck(_rule.sql('p'))} AS p, {_duck(_rule.sql('p'))} AS p_{_rule.name} FROM q{_k - 1})"
+    _FOLD += f", q{_k} AS {'MATERIALIZED ' * (_k % 3 == 0)}(SELECT * EXCLUDE (p), {_duck(_rule.sql('p'))} AS p, {_duck(_rule.sql('p'))} AS p_{_rule.name} FROM q{_k - 1})"
 _LAST = f"q{len(policy.POLICY)}"
-_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {quoted(code)} END" for code, cond in policy.REASONS) + "], lambda x: x IS NOT NULL)"
-VERDICTS = f"""{_SIGNALS}, {_FOLD},
-v0 AS (SELECT *, CASE WHEN p >= CAST(0.60 AS DOUBLE) THEN 'SCAM' WHEN p >= CAST(0.40 AS DOUBLE) THEN 'SUSPICIOUS' ELSE 'LEGIT' END AS tier, round(least(greatest(p * 100.0, 2.0), 98.0), 2) AS pct FROM {_LAST}),
-v1 AS (SELECT *, CASE WHEN flagged OR malicious >= 2 THEN 'SCAM' WHEN malicious = 1 AND tier = 'LEGIT' THEN 'SUSPICIOUS' ELSE tier END AS v,
+def reasons_sql(reasons: tuple[tuple[str, str], ...], none: str) -> str:
+    held = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {quoted(code)} END" for code, cond in reasons) + "], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({held}) > 0 THEN {held} ELSE {none} END"
+
+
+_TIERED = "CASE WHEN p >= CAST(0.60 AS DOUBLE) THEN 'SCAM' WHEN p >= CAST(0.40 AS DOUBLE) THEN 'SUSPICIOUS' ELSE 'LEGIT' END AS tier, round(least(greatest(p * 100.0, 2.0), 98.0), 2) AS pct"
+
+
+def verdicts_sql(fold: str = _FOLD, last: str = _LAST) -> str:
+    """CTEs from the folded policy to ``verdicts``."""
+    return f"""{fold},
+v0 AS MATERIALIZED (SELECT *, {_TIERED} FROM {last}),
+v1 AS MATERIALIZED (SELECT *, CASE WHEN flagged OR malicious >= 2 THEN 'SCAM' WHEN malicious = 1 AND tier = 'LEGIT' THEN 'SUSPICIOUS' ELSE tier END AS v,
   CASE WHEN flagged THEN greatest(pct, 85.0) WHEN malicious >= 2 THEN greatest(pct, 75.0) WHEN malicious = 1 AND tier = 'LEGIT' THEN greatest(pct, 55.0) ELSE pct END AS c FROM v0),
-v2 AS (SELECT *, v = 'LEGIT' AND n_urls > 0 AND NOT trusted AS base, url_suspicious_tld = 1 OR url_suspicious_keyword = 1 AS marked FROM v1),
-verdicts AS (SELECT *, CASE WHEN base AND (marked OR url_has_ip = 1) THEN 'SUSPICIOUS' ELSE v END AS verdict,
+v2 AS MATERIALIZED (SELECT *, v = 'LEGIT' AND n_urls > 0 AND NOT trusted AS base, url_suspicious_tld = 1 OR url_suspicious_keyword = 1 AS marked FROM v1),
+verdicts AS MATERIALIZED (SELECT *, CASE WHEN base AND (marked OR url_has_ip = 1) THEN 'SUSPICIOUS' ELSE v END AS verdict,
   CASE WHEN base AND marked THEN greatest(c, 50.0) WHEN base AND url_has_ip = 1 THEN greatest(c, 55.0) ELSE c END AS confidence FROM v2)"""
 
 
+_NO_REASON = f"CASE WHEN verdict = 'LEGIT' THEN [] WHEN scam_type <> '{rules.DEFAULT_TYPE}' THEN ['like_' || scam_type] ELSE ['subtle_patterns'] END"
+WHY = f"array_to_string(({reasons_sql(policy.REASONS, _NO_REASON)})[1:3], '|')"
+_NO_DASHBOARD = "CASE WHEN verdict = 'LEGIT' THEN ['none'] WHEN proximity_score > CAST(0.50 AS DOUBLE) THEN ['proximity_elevated'] ELSE ['subtle_patterns'] END"
+VERDICTS = f"{_SIGNALS}, {verdicts_sql()}"
+#: Mean similarity to the ten nearest vectors of the scam class, by message; 0 without a vector.
+PROXIMITY = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings),
+near AS (SELECT vec_id, avg(similarity) AS scam FROM (SELECT a.vec_id, list_inner_product(a.e, b.e) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM u a, u b WHERE b.label < 5) WHERE rank <= 10 GROUP BY vec_id),
+scored AS (SELECT verdicts.*, round(coalesce(near.scam, 0.0), 4) AS proximity_score FROM verdicts LEFT JOIN near ON near.vec_id = verdicts.message_id)"""
+
+
+def with_proximity(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    vectors = fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    near = proximity.class_knn(vectors, vectors.where("label < 5")).groupBy(F.col("vec_id").alias("message_id")).agg(F.avg("similarity").alias("scam"))
+    return rows.join(near, "message_id", "left").withColumn("proximity_score", F.round(F.coalesce("scam", F.lit(0.0)), 4)).drop("scam")
+
+
 def _policy_query(rule: policy.Rule) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return policy.apply_policy(signals(spark, sf_dir)).select("message_id", F.round(f"p_{rule.name}", 6).alias("p"))
@@ -329,14 +401,40 @@ def override_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def why_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir).select("message_id", policy.why_flagged().alias("why_flagged"))
+    return policy.verdicts(signals(spark, sf_dir)).select("message_id", "why_flagged")
 
 
 def dashboard_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir).select("message_id", policy.why_flagged(None).alias("reasons"))
+    rows = with_proximity(spark, sf_dir, policy.verdicts(signals(spark, sf_dir)))
+    return rows.select("message_id", policy.dashboard_reasons().alias("reasons"))
+
+
+def prediction_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 25 fields for each message. A text below 20 characters has the record of a message that is too short."""
+    rows = signals(spark, sf_dir, ("text",))
+    means = {k: float(j % 5) for j, k in enumerate(NUMERIC)}  # a stored scaler and stored coefficients
+    rows = with_proximity(spark, sf_dir, policy.verdicts(rows))
+    return _normalised(rows).select("message_id", *[c.alias(k) for k, c in policy.prediction_record(means).items()])
+
+
+def _record_sql() -> str:
+    short, n = "length(trim(text)) < 20", "NULL"
+    zero = lambda q, none="0": f"CASE WHEN {short} THEN {none} ELSE {q} END"
+    number = lambda k: "proximity_score * CAST(0.5 AS DOUBLE)" if k == "proximity_scam_score" else k
+    contributions = [f"'{k}=' || CAST(CAST(round(({number(k)} - {j % 5}.0) * {policy.coefficient(j)!r} * 10000) AS BIGINT) AS VARCHAR)" for j, k in enumerate(NUMERIC)]
+    warned = f"""array_to_string(list_filter([CASE WHEN {short} THEN 'too_short' END, CASE WHEN NOT {short} AND length(text) > 5000 THEN 'long_text' END,
+      CASE WHEN NOT {short} AND ({_SHARE}) > 0.30 THEN 'non_english' END, CASE WHEN NOT {short} AND n_urls > 0 AND message_id % 3 = 0 AND NOT (NOT flagged AND malicious + suspicious > 0) THEN 'reputation_skipped' END], lambda x: x IS NOT NULL), '|')"""
+    fields = {
+        "verdict": zero("verdict", "'TOO_SHORT'"), "confidence": zero("confidence", "0.0"), "threshold_used": "CAST(0.4 AS DOUBLE)", "scam_type": zero("scam_type", n), "why_flagged": zero(WHY, n),
+        **{t: zero(t) for t in policy.TONES}, **{k: zero(k) for k in URL_SQL}, "scam_phrase_score": zero("scam_phrase_score"), "sender_impersonation": zero("sender_impersonation_score"),
+        "proximity_score": zero("proximity_score", "0.0"), "urls_found": zero("array_to_string(urls, ' ')", "''"), "gsb_flagged": zero("flagged", n), "gsb_threat_type": zero("CASE WHEN flagged THEN 'SOCIAL_ENGINEERING' END", n),
+        "gsb_attempted": zero("n_urls > 0 AND message_id % 3 <> 0", n), "vt_malicious": zero("malicious"), "vt_suspicious": zero("suspicious"), "vt_attempted": zero("NOT flagged AND malicious + suspicious > 0", n),
+        "normalized_text": zero("md5(leet)", "md5('')"), "feature_contributions": zero("array_to_string([" + ", ".join(contributions) + "], ' ')", "''"), "warnings": warned,
+    }
+    normal = f"scored_norm AS (SELECT *, {_LEET.format(_CLEAN)} AS leet FROM scored)"
+    return f"WITH {VERDICTS}, {PROXIMITY}, {normal} SELECT message_id, {', '.join(f'{q} AS {k}' for k, q in fields.items())} FROM scored_norm"
 
 
-_RECORD = ("verdict", "confidence", "scam_type", "scam_phrase_score", "sender_impersonation_score", "trusted", "n_urls")
 QUERIES |= {
     "verdict_tier": lambda s, d: _tiers(s, d).select("message_id", "verdict"),
     "confidence_pct": lambda s, d: _tiers(s, d).select("message_id", "confidence"),
@@ -344,14 +442,14 @@ QUERIES |= {
     "override_url": _final("verdict", "confidence"),
     "why_flagged": why_flagged,
     "dashboard_reasons": dashboard_reasons,
-    "prediction_record": _final(*_RECORD, "why_flagged"),
+    "prediction_record": prediction_record,
 }
 ORACLE_SQL |= {
     "verdict_tier": f"WITH {VERDICTS} SELECT message_id, tier AS verdict FROM verdicts",
     "confidence_pct": f"WITH {VERDICTS} SELECT message_id, pct AS confidence FROM verdicts",
     "override_reputation": f"WITH {VERDICTS} SELECT message_id, v AS verdict, c AS confidence FROM verdicts",
     "override_url": f"WITH {VERDICTS} SELECT message_id, verdict, confidence FROM verdicts",
-    "why_flagged": f"WITH {_SIGNALS} SELECT message_id, array_to_string(({_REASONS})[1:3], '|') AS why_flagged FROM signals",
-    "dashboard_reasons": f"WITH {_SIGNALS} SELECT message_id, array_to_string({_REASONS}, '|') AS reasons FROM signals",
-    "prediction_record": f"WITH {VERDICTS} SELECT message_id, {', '.join(_RECORD)}, CASE WHEN verdict <> 'LEGIT' THEN array_to_string(({_REASONS})[1:3], '|') ELSE '' END AS why_flagged FROM verdicts",
+    "why_flagged": f"WITH {VERDICTS} SELECT message_id, {WHY} AS why_flagged FROM verdicts",
+    "dashboard_reasons": f"WITH {VERDICTS}, {PROXIMITY} SELECT message_id, {_duck('array_to_string(' + reasons_sql(policy.DASHBOARD, _NO_DASHBOARD))}, '|') AS reasons FROM scored",
+    "prediction_record": _record_sql(),
 }

@@ -119,7 +119,7 @@ _add("failure_listing", lambda s, d: evaluation.failure_listing(outcomes(s, d)),
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.perturb_text(messages(spark, sf_dir).select("message_id", F.substring("text", 1, 200).alias("text")))
+    return evaluation.perturb_text(messages(spark, sf_dir).select("message_id", "text"))
 
 
 def variant_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def variant_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHARS = "list_filter(string_split(t, ''), lambda c: c <> '')"
 _MIX = f"array_to_string(list_transform({_CHARS}, lambda c, i: CASE WHEN i % 2 = 1 THEN translate(c, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE lower(c) END), '')"
-_VARIANTS = f"""{fx.MESSAGES}, cut AS (SELECT message_id, substring(text, 1, 200) AS t FROM messages), variants AS (
+_VARIANTS = f"""{fx.MESSAGES}, cut AS (SELECT message_id, text AS t FROM messages), variants AS (
 SELECT message_id, 'original' AS variant, t AS variant_text FROM cut UNION ALL SELECT message_id, 'leet', translate(lower(t), 'oieas', '01345') FROM cut
 UNION ALL SELECT message_id, 'spaced', array_to_string({_CHARS}, ' ') FROM cut UNION ALL SELECT message_id, 'mixed', {_MIX} FROM cut
 UNION ALL SELECT message_id, 'hyphenated', array_to_string({_CHARS}, '-') FROM cut)"""

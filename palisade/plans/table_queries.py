@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions import rules, text
-from palisade.operators import conversations, corpus, proximity, tfidf, training
+from palisade.operators import conversations, corpus, policy, proximity, tfidf, training
 from palisade.plans import fixtures as fx
+from palisade.plans import message_queries as mq
 from palisade.plans.fixtures import messages, quoted, read
 from palisade.plans.report_queries import rounded
 from palisade.sources import feeds
@@ -29,6 +30,8 @@ def scratch(spark: SparkSession) -> str:
     """A new place in the shared folder of spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="palisade-")
@@ -102,8 +105,10 @@ _add("feed_csv_scan", feed_csv_scan, _FEED + "5000")
 def chat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chats as exported text: by id, bracketed lines, dashed lines, or bare lines."""
     turns = read(spark, sf_dir, "conversations").withColumn("said", F.regexp_replace("text", "[\r\n]+", " "))
-    stamp = F.format_string("01/02/2024, 10:%02d", (F.col("turn") % 60).cast("int"))
-    line = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("["), stamp, F.lit("] "), "role", F.lit(": "), "said")).when(F.col("conv_id") % 3 == 1, F.concat(stamp, F.lit(" - "), "role", F.lit(": "), "said")).otherwise(F.col("said"))
+    minute, way = F.format_string("10:%02d", (F.col("turn") % 60).cast("int")), F.col("conv_id") % 4
+    bracket = F.concat(F.when(way == 3, "01/02/2024,").otherwise("01/02/2024, "), minute, F.when(way == 1, ":07").when(way == 2, " PM").when(way == 3, ":07 AM").otherwise(""))
+    dash = F.concat(F.lit("01/02/2024, "), minute, F.when(way % 2 == 1, " PM").otherwise(""))
+    line = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("["), bracket, F.lit("] "), "role", F.lit(": "), "said")).when(F.col("conv_id") % 3 == 1, F.concat(dash, F.lit(" - "), "role", F.lit(": "), "said")).otherwise(F.col("said"))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
@@ -115,11 +120,13 @@ def conversation_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), F.char_length(F.regexp_replace("text", r"\s+$", "")).alias("n"))
 
 
-_EXPORT = """lines AS (SELECT conv_id, turn, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS said, role FROM conversations), exports AS (
-SELECT conv_id, string_agg(CASE WHEN conv_id % 3 = 0 THEN '[01/02/2024, 10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || '] ' || role || ': ' || said
-WHEN conv_id % 3 = 1 THEN '01/02/2024, 10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ' - ' || role || ': ' || said ELSE said END, chr(10) ORDER BY turn) AS text FROM lines GROUP BY conv_id)"""
+_MINUTE = "'10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0')"
+_BRACKET = f"CASE WHEN conv_id % 4 = 3 THEN '01/02/2024,' ELSE '01/02/2024, ' END || {_MINUTE} || CASE conv_id % 4 WHEN 1 THEN ':07' WHEN 2 THEN ' PM' WHEN 3 THEN ':07 AM' ELSE '' END"
+_DASH = f"'01/02/2024, ' || {_MINUTE} || CASE WHEN conv_id % 2 = 1 THEN ' PM' ELSE '' END"
+_EXPORT = f"""lines AS (SELECT conv_id, turn, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS said, role, {_BRACKET} AS bracket, {_DASH} AS dash FROM conversations), exports AS (
+SELECT conv_id, string_agg(CASE WHEN conv_id % 3 = 0 THEN '[' || bracket || '] ' || role || ': ' || said WHEN conv_id % 3 = 1 THEN dash || ' - ' || role || ': ' || said ELSE said END, chr(10) ORDER BY turn) AS text FROM lines GROUP BY conv_id)"""
 _add("conversation_file_scan", conversation_file_scan, f"WITH {_EXPORT} SELECT conv_id, length(regexp_replace(trim(text), '\\s+$', '')) AS n FROM exports WHERE trim(text) <> '' AND length(trim(text)) <= 100000")
-_add("parse_chat_export", lambda s, d: conversations.parse_chat_export(chat_exports(s, d)), f"""WITH {_EXPORT}, r AS (SELECT conv_id, turn, '01/02/2024, 10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') AS timestamp, role AS sender, trim(said) AS text FROM lines WHERE conv_id % 3 < 2
+_add("parse_chat_export", lambda s, d: conversations.parse_chat_export(chat_exports(s, d)), f"""WITH {_EXPORT}, r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN bracket ELSE dash END AS timestamp, role AS sender, trim(said) AS text FROM lines WHERE conv_id % 3 < 2 AND trim(said) <> ''
 UNION ALL SELECT conv_id, turn, '', 'Unknown', trim(said) FROM lines WHERE conv_id % 3 = 2 AND length(trim(said)) > 10)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS turn, timestamp, sender, text FROM r""")
 
@@ -134,29 +141,44 @@ for _kind, _name in (("full", "full_text_score"), ("window", "message_windows"),
     _add(_name, lambda s, d, k=_kind: conversations.segments(_chats(s, d)).where(F.col("kind") == k).select("conv_id", "start", F.char_length("text").alias("n_chars"), F.md5("text").alias("digest")), f"WITH {_SEGMENTS} SELECT conv_id, start, length(text) AS n_chars, md5(text) AS digest FROM segments WHERE kind = '{_kind}'")
 
 
-def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cheap rule score as confidence: how much of the first 5,000 characters are vowels."""
-    t = F.substring("text", 1, text.MAX_CHARS)
-    conf = F.when(F.char_length("text") < text.MIN_CHARS, 0.0).otherwise(F.regexp_count(t, F.lit("[aeiou]")) / F.char_length(t))
-    return conversations.segments(_chats(spark, sf_dir)).withColumn("conf", F.round(conf, 4))
+def cued_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chats' turns, each with a cue by its place, so that the policy has something to find."""
+    cue = F.element_at(F.array(*[F.lit(c) for c in fx.CUES]), ((F.col("conv_id") + F.col("turn")) % len(fx.CUES) + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), cue).alias("text"))
 
 
-_RISK = f"""{_SEGMENTS}, s AS (SELECT *, round(CASE WHEN length(text) < 20 THEN 0.0 ELSE CAST(len(regexp_extract_all(substring(text, 1, 5000), '[aeiou]')) AS DOUBLE) / length(substring(text, 1, 5000)) END, 4) AS conf FROM segments),
+def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the chats scored by the verdict policy; the probability before it adds up what was found."""
+    rows = mq.signals_of(conversations.segments(conversations.by_chat(cued_turns(spark, sf_dir))), ("conv_id", "kind", "start", "n", "text"))
+    found = F.col("tone_urgency") + F.col("tone_fear") + F.col("tone_reward") + F.col("tone_threat")
+    prob = F.least(F.lit(0.95), F.lit(0.05) + F.lit(0.10) * found + F.lit(0.12) * F.col("scam_phrase_score") + F.lit(0.15) * F.col("url_suspicious_keyword"))
+    rows = rows.withColumns({"prob": F.round(prob, 6), "flagged": F.lit(False), "malicious": F.lit(0), "suspicious": F.lit(0)})
+    conf = F.when(F.char_length(F.trim("text")) < text.MIN_CHARS, 0.0).otherwise(F.col("confidence") / 100)
+    return policy.verdicts(rows).withColumn("conf", conf)
+
+
+_CUED = "conversations AS (SELECT conv_id, turn, text || ' ' || CASE (conv_id + turn) % " + str(len(fx.CUES)) + f" {fx._CASES} END AS text FROM main.conversations)"
+_RISK = f"""{_CUED}, {_SEGMENTS}, {mq.parts_sql('segments')}, s0 AS MATERIALIZED ({mq.signals_sql('conv_id, kind, start, n, text')}),
+signals AS MATERIALIZED (SELECT *, false AS flagged, 0 AS malicious, 0 AS suspicious, round(least(CAST(0.95 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.10 AS DOUBLE) * (tone_urgency + tone_fear + tone_reward + tone_threat) + CAST(0.12 AS DOUBLE) * scam_phrase_score + CAST(0.15 AS DOUBLE) * url_suspicious_keyword), 6) AS prob FROM s0),
+{mq.verdicts_sql()}, s AS (SELECT *, CASE WHEN length(trim(text)) < 20 THEN 0.0 ELSE confidence / 100 END AS conf, {mq.WHY} AS why_flagged FROM verdicts),
 p AS (SELECT conv_id, max(n) AS n_turns, max(CASE WHEN kind = 'full' THEN conf END) AS full_score, coalesce(max(CASE WHEN kind = 'window' THEN least(conf * (CAST(start AS DOUBLE) / n + 1.0), 1.0) END), 0.0) AS peak, max(CASE WHEN kind = 'final' THEN conf END) AS final FROM s GROUP BY conv_id),
-risk AS (SELECT conv_id, n_turns, full_score, round(peak, 6) AS peak, coalesce(final, full_score) AS final_score, round((CAST(0.40 AS DOUBLE) * full_score + CAST(0.35 AS DOUBLE) * peak + CAST(0.25 AS DOUBLE) * coalesce(final, full_score)) * 100, 1) AS risk FROM p),
+risk AS (SELECT conv_id, n_turns, full_score, peak, coalesce(final, full_score) AS final_score, round((CAST(0.40 AS DOUBLE) * full_score + CAST(0.35 AS DOUBLE) * peak + CAST(0.25 AS DOUBLE) * coalesce(final, full_score)) * 100, 1) AS risk FROM p),
 verdict AS (SELECT *, CASE WHEN risk >= 43 THEN 'SCAM' WHEN risk >= 30 THEN 'SUSPICIOUS' ELSE 'LEGIT' END AS verdict FROM risk)"""
 _risk = lambda s, d: conversations.conversation_risk(segment_scores(s, d))
-_add("window_peak", lambda s, d: _risk(s, d).select("conv_id", "peak"), f"WITH {_RISK} SELECT conv_id, peak FROM verdict")
+_add("window_peak", lambda s, d: _risk(s, d).select("conv_id", "peak"), f"WITH {_RISK} SELECT conv_id, round(peak, 6) AS peak FROM verdict")
 _add("conversation_risk", lambda s, d: _risk(s, d).select("conv_id", "risk"), f"WITH {_RISK} SELECT conv_id, risk FROM verdict")
 _add("conversation_verdict", lambda s, d: _risk(s, d).select("conv_id", "verdict"), f"WITH {_RISK} SELECT conv_id, verdict FROM verdict")
-_add("conversation_record", _risk, f"WITH {_RISK} SELECT * FROM verdict")
+_add("conversation_record", lambda s, d: conversations.conversation_record(_risk(s, d), cued_turns(s, d)).withColumn("urls_found", F.array_join("urls_found", " ")), f"""WITH {_RISK}
+SELECT v.conv_id, v.verdict AS overall_verdict, v.risk AS risk_score, (SELECT count(*) FROM main.conversations c WHERE c.conv_id = v.conv_id) AS total_messages, n_turns AS messages_analyzed, round(full_score * 100, 1) AS full_conversation_score,
+  round(peak * 100, 1) AS window_analysis_score, round(final_score * 100, 1) AS final_messages_score, why_flagged, array_to_string(urls, ' ') AS urls_found, malicious AS vt_malicious, flagged AS gsb_flagged, tone_urgency, tone_fear, tone_reward, tone_threat, scam_type
+FROM verdict v JOIN s ON s.conv_id = v.conv_id AND s.kind = 'full'""")
 _expected = lambda s, d: _risk(s, d).withColumn("expected", F.when(F.col("conv_id") % 2 == 0, "LEGIT").otherwise("SCAM"))
 _add("conversation_suite", lambda s, d: conversations.conversation_suite(_expected(s, d)), f"WITH {_RISK}, e AS (SELECT verdict, CASE WHEN conv_id % 2 = 0 THEN 'LEGIT' ELSE 'SCAM' END AS expected FROM verdict) SELECT count(*) AS n, count(*) FILTER (WHERE verdict = expected) AS passed, count(*) FILTER (WHERE verdict = expected AND expected = 'SCAM') AS scam_passed, count(*) FILTER (WHERE verdict = expected AND expected = 'LEGIT') AS legit_passed FROM e")
 
 # --- TF-IDF
 _STOP = ", ".join(map(quoted, tfidf.STOP))
-_WT = f"ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w FROM documents), t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws)"
-_CT = "ws AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) || ' ' AS w FROM documents), t AS (SELECT doc_id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substring(w, i, n))))) AS term FROM ws)"
+_WT = f"ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {quoted(tfidf.WORD)}), lambda w: w NOT IN ({_STOP})) AS w FROM documents), t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws)"
+_CT = "ws AS (SELECT doc_id, ' ' || unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM documents), t AS (SELECT doc_id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substring(w, i, n))))) AS term FROM ws)"
 
 
 def _tfidf_sql(terms: str, size: int, fit: str = "true") -> str:
@@ -168,7 +190,7 @@ SELECT raw.doc_id, term, round(w / norm, 6) AS weight FROM raw JOIN nm ON raw.do
 
 def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on even ids, applied to all."""
-    counts = tfidf.term_counts(read(spark, sf_dir, "documents"), tfidf.word_terms(F.col("text")))
+    counts = tfidf.term_counts(read(spark, sf_dir, "documents"), tfidf.word_terms(F.col("text"))).persist()
     even = read(spark, sf_dir, "documents").where("doc_id % 2 = 0")
     return tfidf.weigh(counts, tfidf.fit_vocabulary(counts.where("doc_id % 2 = 0"), even.count(), 2000))
 
@@ -256,16 +278,20 @@ def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.assemble_features(numeric(spark, sf_dir), NUMERIC).select("message_id", vector_to_array("features").alias("features"))
 
 
-def artefact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipeline saved with its threshold, loaded and applied."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def artefact_roundtrip(threshold: float | None):
+    """A pipeline saved with its threshold, or alone as older versions did; then loaded and applied."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorAssembler
+
+        rows, path = numeric(spark, sf_dir).persist(), scratch(spark)
+        training.artefact_sink(Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows), threshold, path)
+        model, found = training.artefact_source(path)
+        return training.probabilities(model, rows).select("message_id", "prob", F.lit(found).alias("threshold"))
 
-    rows, path = numeric(spark, sf_dir), scratch(spark)
-    training.artefact_sink(Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows), 0.47, path)
-    model, threshold = training.artefact_source(path)
-    return training.probabilities(model, rows).select("message_id", "prob", F.lit(threshold).alias("threshold"))
+    return run
 
 
 COEFFICIENTS = {c: 0.25 * (k + 1) * (-1) ** k for k, c in enumerate(NUMERIC)}
@@ -280,30 +306,51 @@ _add("random_search_rf", random_search_rf)
 _add("stratified_cv", stratified_cv)
 _add("feature_importance_topk", feature_importance_topk)
 _add("assemble_features", assemble_features)
-_add("artefact_sink", artefact_roundtrip)
-_add("artefact_source", artefact_roundtrip)
+_add("artefact_sink", artefact_roundtrip(0.47))
+_add("artefact_source", artefact_roundtrip(None))
 
 
 # --- streams
 _events = lambda s, d: read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-_add("stream_dedup_ttl", lambda s, d: streams.dedup_ttl_batch(_events(s, d), "ts", ["user_id", "event_type"], 6 * 3600, "event_id").select("event_id"), """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+_TTL = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
 w AS (SELECT event_id, user_id, event_type, t, k, t AS last, true AS keep FROM e WHERE k = 1 UNION ALL
 SELECT e.event_id, e.user_id, e.event_type, e.t, e.k, CASE WHEN e.t - w.last >= 21600000000 THEN e.t ELSE w.last END, e.t - w.last >= 21600000000 FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.k = w.k + 1)
-SELECT event_id FROM w WHERE keep""")
+SELECT event_id FROM w WHERE keep"""
+
+
+def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream form over four appends in order of time, each read as a batch of its own."""
+    events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    edges = events.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
+    source, n = scratch(spark), 4
+    place = sum((F.unix_micros("ts") > e).cast("int") for e in map(F.lit, map(int, edges)))
+    for k in range(4):
+        events.where(place == k).repartition(n, "user_id", "event_type").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(source)
+    return drained(streams.dedup_ttl_stream(stream, "ts", ["user_id", "event_type"], 6 * 3600, "event_id"), spark).select("event_id")
+
+
+_add("stream_dedup_ttl", stream_dedup_ttl, _TTL)
+_add("dedup_ttl_batch", lambda s, d: streams.dedup_ttl_batch(_events(s, d), "ts", ["user_id", "event_type"], 6 * 3600, "event_id").select("event_id"), _TTL)
 _VAL = "WITH v AS (SELECT doc_id, length(trim(coalesce(text, ''))) AS n FROM documents) SELECT doc_id, n, CASE WHEN n = 0 THEN 'empty' WHEN n < 20 THEN 'too_short' WHEN n > 5000 THEN 'too_long' END AS reason FROM v"
 _add("request_validation", lambda s, d: streams.request_validation(read(s, d, "documents").select("doc_id", "text")).select("doc_id", F.char_length("text").alias("n"), "reason"), _VAL)
 
 
-def through_stream(df: DataFrame, change, spark: SparkSession) -> DataFrame:
-    """Runs ``change`` over the table as a stream of files until all are read; the result is what the sink holds."""
-    source, sink, state = scratch(spark), scratch(spark), scratch(spark)
-    df.write.parquet(source)
-    stream = change(spark.readStream.schema(df.schema).parquet(source))
+def drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Runs a stream until all that is there is read; the result is what the sink holds."""
+    sink, state = scratch(spark), scratch(spark)
     query = stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(sink)
     query.awaitTermination()
     return spark.read.schema(T.StructType(stream.schema.fields)).parquet(sink)
 
 
+def through_stream(df: DataFrame, change, spark: SparkSession) -> DataFrame:
+    """``change`` over the table as a stream of files."""
+    source = scratch(spark)
+    df.write.parquet(source)
+    return drained(change(spark.readStream.schema(df.schema).parquet(source)), spark)
+
+
 _add("stream_score", lambda s, d: through_stream(messages(s, d).select("message_id", "text"), streams.stream_score, s).drop("text"), "WITH " + fx.MESSAGES + " SELECT message_id, " + ", ".join(f"{q} AS {n}" for n, q in _basic_sql("text", rules.CUES, 4).items()) + " FROM messages")
 
 

@@ -29,11 +29,6 @@ def stream_score(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.withColumns(basic_features(F.col(text)))
 
 
-def dedup_within(messages: DataFrame, ts: str, key: str, delay: str = "1 hour") -> DataFrame:
-    """Drops repeats of a key within the watermark. What it keeps depends on micro-batches; see :func:`dedup_exact`."""
-    return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
 #: Rows of a key from which it is cut into time slices of about so many rows.
 SLICE = 4_000
 
@@ -108,26 +103,27 @@ def dedup_ttl_batch(events: DataFrame, ts: str, key: list[str], seconds: int, id
     return rows.select(*key, F.explode(step).alias(id_col))
 
 
-def dedup_exact(events: DataFrame, ts: str, key: str, seconds: int) -> DataFrame:
-    """The greedy time to live on a stream: state is the time of the last kept row of a key, dropped after its life."""
+def dedup_ttl_stream(events: DataFrame, ts: str, key: list[str], seconds: int, id_col: str, delay: str = "1 hour") -> DataFrame:
+    """The greedy time to live on a stream: the state of a key is the time of its last kept row, dropped when the watermark
+    has passed its life. Rows of a key must come in order of time from batch to batch, or within ``delay``."""
 
     def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches), ignore_index=True).sort_values([ts, id_col], kind="stable")
         held = []
-        for at, x in enumerate(rows[ts].astype("int64") / 1e9 if rows[ts].dtype.kind == "i" else rows[ts].map(lambda v: v.timestamp())):
-            if x - last >= seconds:
+        for at, x in zip(rows.index, (rows[ts].astype("datetime64[us]").astype("int64")).tolist(), strict=True):
+            if last is None or x - last >= seconds * 1_000_000:
                 last = x
                 held.append(at)
         state.update((last,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield rows.iloc[held]
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[held]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-    return events.groupBy(key).applyInPandasWithState(keep, schema, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(keep, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_reputation_join(links: DataFrame, reputation: DataFrame, ts: str, hours: int = 24) -> DataFrame:

@@ -23,6 +23,7 @@ def test_negation_window(spark, message, n):
 
 
 def test_text_normalisation(spark):
+    assert one(spark, "🆓 ⚠️", lambda: text.preprocess_text(F.col("text"))) == "free warning"
     assert one(spark, "a 🎁 <b>x</b>  https://bit.ly/q y", lambda: text.preprocess_text(F.col("text"))) == "a gift x SHORTURL y"
     assert one(spark, "ﬁ", lambda: text.normalize_nfkc(F.col("text"))) == "fi"
     assert one(spark, None, lambda: text.normalize_nfkc(F.col("text"))) == ""
@@ -55,7 +56,13 @@ def test_policy_keeps_bounds(spark):
     df = spark.range(101).select((F.col("id") / 100.0).alias("prob"), *[F.lit(v).alias(k) for k, v in cols.items()], F.lit("general_spam").alias("scam_type"), F.lit(False).alias("trusted"), F.lit(False).alias("otp"), F.lit(False).alias("flagged"))
     rows = policy.verdicts(df).collect()
     assert all(r["p"] >= 0.72 and r["verdict"] == "SCAM" and 2 <= r["confidence"] <= 98 for r in rows)
-    assert rows[0]["why_flagged"] == "phrases"
+    assert {r["why_flagged"] for r in rows} == {"known_phrases"}
+    plain = df.withColumn("scam_phrase_score", F.lit(0)).withColumn("prob", F.lit(0.9))
+    assert {r["why_flagged"] for r in policy.verdicts(plain).collect()} == {"subtle_patterns"}
+    assert {r["why_flagged"] for r in policy.verdicts(plain.withColumn("scam_type", F.lit("phishing"))).collect()} == {"like_phishing"}
+    assert {r["why_flagged"] for r in policy.verdicts(plain.withColumn("prob", F.lit(0.1))).collect()} == {""}
+    many = df.withColumns({"url_has_ip": F.lit(1), "sender_impersonation_score": F.lit(2), "url_suspicious_tld": F.lit(1), "malicious": F.lit(1)})
+    assert policy.verdicts(many).first()["why_flagged"] == "dangerous_link|ip_link|fake_company_link"
 
 
 @pytest.mark.parametrize(("n", "final", "starts"), [(1, 0, [0]), (2, 1, [0, 1]), (5, 3, [0, 2, 4]), (90, 62, list(range(0, 90, 2)))])
@@ -67,9 +74,127 @@ def test_windows(spark, n, final, starts):
 
 
 def test_chat_formats(spark):
-    chats = spark.createDataFrame([(1, "[1/2/2024, 10:00] A: hi\n[1/2/2024, 10:01] B: there"), (2, "1/2/2024, 10:00 - A: hi"), (3, "a plain line of text\nshort")], "conv_id long, text string")
-    got = {(r["conv_id"], r["turn"]): (r["sender"], r["text"]) for r in conversations.parse_chat_export(chats).collect()}
-    assert got == {(1, 0): ("A", "hi"), (1, 1): ("B", "there"), (2, 0): ("A", "hi"), (3, 0): ("Unknown", "a plain line of text")}
+    texts = [
+        "[1/2/2024, 10:00] A: hi\n[1/2/2024, 10:01] B: there",
+        "1/2/2024, 10:00 - A: hi",
+        "a plain line of text\nshort",
+        "[1/2/2024, 10:00:33 AM] A: one: two\n[1/2/24,10:00] B B: three",
+        "1/2/2024, 10:00 PM - A: hi",
+    ]
+    chats = spark.createDataFrame(list(enumerate(texts, 1)), "conv_id long, text string")
+    got = {(r["conv_id"], r["turn"]): (r["timestamp"], r["sender"], r["text"]) for r in conversations.parse_chat_export(chats).collect()}
+    assert got == {
+        (1, 0): ("1/2/2024, 10:00", "A", "hi"), (1, 1): ("1/2/2024, 10:01", "B", "there"), (2, 0): ("1/2/2024, 10:00", "A", "hi"), (3, 0): ("", "Unknown", "a plain line of text"),
+        (4, 0): ("1/2/2024, 10:00:33 AM", "A", "one: two"), (4, 1): ("1/2/24,10:00", "B B", "three"), (5, 0): ("1/2/2024, 10:00 PM", "A", "hi"),
+    }
+
+
+@pytest.mark.parametrize(("word", "n"), [("maple", 2), ("table", 2), ("agree", 2), ("the", 1), ("queue", 1), ("banana!", 3), ("rhythm", 1), ("idea", 2), ("don't", 1)])
+def test_syllables(spark, word, n):
+    assert one(spark, word, lambda: features.syllable_count(features.bare_word(F.col("text")))) == n
+
+
+@pytest.mark.parametrize(
+    ("message", "found"),
+    [
+        ("see http://y.com/z] now", ["http://y.com/z"]),
+        ("it's http://a.com/o'brien and http://a.zz/q|x", ["http://a.com/o'brien", "http://a.zz/q"]),
+        ("log in at paypal-verify.com/login or irs.gov", ["https://paypal-verify.com/login", "https://irs.gov"]),
+        ("me@bank.com and me@mail.bank.com", ["https://bank.com"]),
+        ("http://x.com and x.com and shop.co.uk/a", ["http://x.com", "https://shop.co.uk/a"]),
+        ("no.suffix here. None", []),
+        (None, None),
+    ],
+)
+def test_links(spark, message, found):
+    assert one(spark, message, lambda: urls.extract_urls(F.col("text"))) == found
+
+
+def test_bare_hosts_reach_every_scorer(spark):
+    df = spark.createDataFrame([(1, "log in at paypal-verify.com/login"), (2, "see irs.gov"), (3, "write to me@example.org please")], "message_id long, text string")
+    got = {r["message_id"]: r for r in features.with_parts(df).select("message_id", *[c.alias(k) for k, c in features.engineered().items()]).collect()}
+    assert got[1]["url_suspicious_keyword"] == 1 and got[1]["sender_impersonation_score"] == 3
+    assert got[2]["url_suspicious_keyword"] == 0 and got[2]["sender_impersonation_score"] == 0
+    assert got[3]["url_suspicious_keyword"] == 0
+
+
+def test_rules_have_word_borders(spark):
+    kind = lambda m: one(spark, m, lambda: features.scam_type(features.type_scores(F.col("low"))))
+    assert kind("the first thing to wonder about") == rules.DEFAULT_TYPE
+    assert one(spark, "I wonder what wonders", lambda: tone.tone("low", rules.TONE["reward"])) == 0
+    assert one(spark, "you won, you have won", lambda: tone.tone("low", rules.TONE["reward"])) == 2
+    assert kind("my uncle taught me to trade and showed you how i invest") == "pig_butchering"
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 20 = 0")
+    exact = {(r["vec_id"], r["ref_id"]) for r in proximity.class_knn(asked, df).collect()}
+    found = {(r["vec_id"], r["ref_id"]) for r in proximity.knn_approx(asked, df).collect()}
+    assert len(exact) == len(found) == 400 and len(exact & found) >= 0.9 * len(exact)
+    few = proximity.knn_approx(asked, df.where("vec_id < 4")).groupBy("vec_id").count().collect()
+    assert len(few) == 40 and all(r["count"] == 4 for r in few)
+
+
+def test_neighbours_across_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(3)]) for k in range(60)]  # many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    read = lambda: sorted((r["vec_id"], r["rank"], r["ref_id"]) for r in proximity.class_knn(df, df, 5).collect())
+    whole = read()
+    monkeypatch.setattr(proximity, "BLOCK", 16)
+    monkeypatch.setattr(proximity, "CHUNK", 25)
+    assert read() == whole and len(whole) == 300
+
+
+def test_time_to_live_stream_over_batches(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(k, "a" if k % 3 else None, t0 + datetime.timedelta(minutes=7 * k + (k % 5))) for k in range(120)]
+    schema = "event_id int, k string, ts timestamp"
+    want = {r["event_id"] for r in streams.dedup_ttl_batch(spark.createDataFrame(rows, schema), "ts", ["k"], 3600, "event_id").collect()}
+    for at in range(0, 120, 30):
+        spark.createDataFrame(rows[at : at + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def drain():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        kept = streams.dedup_ttl_stream(stream, "ts", ["k"], 3600, "event_id")
+        kept.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return [r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+
+    got = drain()
+    assert len(got) == len(want) and set(got) == want
+    assert sorted(drain()) == sorted(got)  # started again, it replays nothing
+    late = [(200, "a", t0 + datetime.timedelta(days=2)), (201, "a", t0 + datetime.timedelta(days=2, minutes=30))]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert set(drain()) == want | {200}
+
+
+def test_bare_models_get_the_default_threshold(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(k, k % 2, float(k % 2) + k / 100) for k in range(20)], "message_id long, label int, x double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LogisticRegression(maxIter=5)]).fit(df)
+    for name, threshold, found in (("new", 0.3, 0.3), ("old", None, 0.5)):
+        training.artefact_sink(model, threshold, str(tmp_path / name))
+        loaded, t = training.artefact_source(str(tmp_path / name))
+        assert t == found and [r["prob"] for r in training.probabilities(loaded, df).collect()] == [r["prob"] for r in training.probabilities(model, df).collect()]
+
+
+def test_record_of_a_short_text(spark):
+    from palisade.plans import message_queries as mq
+
+    df = spark.createDataFrame([(1, "short", 0.5), (2, "act now, verify your account at http://paypal-login.xyz/a", 0.5)], "message_id long, text string, prob double")
+    rows = mq.signals_of(df, ("message_id", "text", "prob")).withColumns({"flagged": F.lit(False), "malicious": F.lit(0), "suspicious": F.lit(0)})
+    rows = policy.verdicts(rows).withColumns({"leet": text.leet_normalize(F.col("text")), "proximity_score": F.lit(0.0)})
+    got = [r for r in rows.select(*[c.alias(k) for k, c in policy.prediction_record({"text_length": 0.0}).items()]).collect()]
+    assert len(got[0]) == 25
+    short, long = sorted(got, key=lambda r: r["verdict"] != "TOO_SHORT")
+    assert short["warnings"] == "too_short" and short["scam_type"] is None and short["vt_malicious"] == 0 and short["gsb_flagged"] is None
+    assert long["verdict"] == "SCAM" and long["why_flagged"].startswith("fake_company_link|odd_suffix_link") and long["urls_found"] == "http://paypal-login.xyz/a"
 
 
 def test_auc_with_ties_and_bounds(spark):
