@@ -17,28 +17,34 @@ from palisade.llm.toxicity import fit_toxicity, reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, fitted on the labelled rows among them, finds toxic go."""
+    """Documents that the grammar, fitted on the labelled rows among them, finds toxic (0.7 and above) go. Null texts stay;
+    repeated rows go or stay alike; equal scores are treated alike; texts are read whole; no documents, or no labels of
+    both kinds: the starter grammar decides; all columns are kept."""
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"), F.lit(True))
     return reject_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of least id stays."""
+    """Of each class of near copies the document of least id stays. Rows with that id all stay, as do rows without id or
+    without words; an empty table stays empty; all columns are kept."""
     return keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly benchmark text go."""
+    """Benchmark passages are cut out; documents of which more than half the words are benchmark text go, exactly half
+    stays. Null texts stay null; without items nothing changes; repeated rows are treated alike; the length is set anew."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by marks."""
+    """Secrets are replaced by marks, overlapping ones by one. Null texts stay null; repeated rows are treated alike; the
+    length is set anew; all other columns are kept."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in packed sequences."""
+    """Token pieces with their places in packed sequences. Null and empty texts are one piece (the end); repeated rows are
+    packed each; no documents give no pieces; other columns are left out."""
     return pack(docs, byte_tokenizer())
 
 
