@@ -2,16 +2,18 @@
 
 The words of every document run through the automaton, which keeps the longest match that ends at each word. Where
 it reaches ``window`` words, a window of some item ends; the state then tells which items hold it. Items are taken in
-blocks of bounded size, one automaton for each; a pass holds a few, so the items may outgrow memory.
+blocks of bounded size, one automaton for each, built in tasks; a pass holds a few, so the items may outgrow memory.
 
 Defined cases: null texts have no words; items without words, without text or without id are left out; an item
 shorter than the window is one window of its own length; repeated items count once by id; repeated documents give
-repeated rows; an empty table of items gives no hits; columns besides id and text are ignored by
+repeated rows; windows that lie on each other count their words once; documents of any length are read whole; an empty
+table of documents gives an empty result, one of items no hits; columns besides id and text are ignored by
 :func:`contamination` and kept by :func:`decontaminate`, except for a length column, which is set anew.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import WORD_TABLE, cut, small_batches, utf8, words_of
+from palisade.llm.common import WORD_TABLE, cut, kept, small_batches, utf8, words_of
 
 WINDOW = 10
 #: Bytes of item text in one automaton.
@@ -130,29 +132,36 @@ class Automaton:
                 spans.append((start, i))
 
 
-def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list:
-    """Broadcast automata, each of about BLOCK_BYTES of item text."""
+def built(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame | None, int]:
+    """(block, data): pickled automata of about BLOCK_BYTES of item text each, built in tasks; and how many there are."""
     items = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[text_col].alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    sc = benchmark.sparkSession.sparkContext
-    out = []
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        out.append(sc.broadcast(Automaton([(r["id"], words_of(r["text"])) for r in part.toLocalIterator()], window)))
-    return out
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = Automaton([(i, words_of(t)) for i, t in zip(pdf["id"], pdf["text"], strict=True)], window)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [pickle.dumps(made)]})
+
+    if not n:
+        return None, 0
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+    return kept(dealt.groupBy("block").applyInPandas(build, "block long, data binary")), n
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, out_col: str, *, clean: bool = False, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Adds a struct of n_words, spans (flat starts and ends in words, merged), items (ids whose windows occur) and,
-    with ``clean``, the text without the spans."""
+    with ``clean``, the text without the spans. The automata of one pass are broadcast: RESIDENT at most."""
     small_batches(docs.sparkSession)
-    blocks = _blocks(benchmark, window, item_col, item_text_col)
-    groups = [blocks[k : k + RESIDENT] for k in range(0, len(blocks), RESIDENT)] or [[]]
-    rows = docs
-    for k, group in enumerate(groups):
-        old = F.col(out_col) if k else F.lit(None).cast(_HITS)
-        rows = (cut(rows) if k else rows).withColumn(out_col, _hits(group, clean and k == len(groups) - 1)(F.col(text_col), old))
+    automata, n = built(benchmark, window, item_col, item_text_col)
+    rows, group, starts = docs, [], range(0, n, RESIDENT) or [0]
+    for k in starts:
+        if k:
+            rows = cut(rows)
+            for old in group:
+                old.unpersist()
+        held = automata.where((F.col("block") >= k) & (F.col("block") < k + RESIDENT)).collect() if n else []
+        group = [docs.sparkSession.sparkContext.broadcast(pickle.loads(r["data"])) for r in held]
+        before = F.col(out_col) if k else F.lit(None).cast(_HITS)
+        rows = rows.withColumn(out_col, _hits(group, clean and k == starts[-1])(F.col(text_col), before))
     return rows
 
 

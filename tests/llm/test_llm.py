@@ -233,6 +233,17 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_in_several_passes(spark, monkeypatch):
+    rng = random.Random(20)
+    items = [(k, " ".join(f"w{rng.randint(0, 30)}" for _ in range(14))) for k in range(12)]
+    docs = [(k, f"a b {items[k % 12][1]} c " + " ".join(f"w{rng.randint(0, 30)}" for _ in range(30))) for k in range(24)] + [(99, None)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(str, decontamination.contamination(df, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 120)
+    monkeypatch.setattr(decontamination, "RESIDENT", 2)
+    assert sorted(map(str, decontamination.contamination(df, bench).collect())) == whole
+
+
 def test_decontaminate_cuts_spans(spark):
     passage = " ".join(f"p{k}" for k in range(12))
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
@@ -603,6 +614,46 @@ def test_empty_tables(spark, docs):
     assert language_id.predict_language(none, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("rows", ["empty", "clashing"])
+def test_stages_take_empty_tables_and_clashing_columns(spark, rows):
+    schema = "doc_id long, text string, n_chars int, __hits string, __gone long, run int, guest string, class_id int, bucket int, score string"
+    data = [] if rows == "empty" else [(k % 7, f"some words number {k % 7} and more of them {'x' * k}", 3, "h", 5, 1, "g", 2, 9, "s") for k in range(10)] + [(None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(data, schema)
+    bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    model = toxicity.ToxicityModel(toxicity.Grammar({t: 1.0 for t in toxicity.INSULTS}), toxicity.PRIOR)
+    for out in (toxicity.reject_toxic(df, model), decontamination.decontaminate(df, bench), secret_scan.redact(df)):
+        assert out.columns == df.columns and out.count() == len(data)
+    assert jaccard_join.keep_one_of_each(df).columns == df.columns
+    assert bin_completion.pack(df, queries.byte_tokenizer()).count() == len(data)
+    for out in (imatch.fingerprints(df), secret_scan.secret_spans(df), lm_score.lm_scores(df, F.lit(True)), language_id.predict_language(df.withColumn("lang", F.lit("aa")), F.lit(True))):
+        assert out.count() == len(data)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage against a plain version of it on a small fixture, up to the packing's choice of sequences."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    fresh = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage, copy = fresh(14), fresh(60)
+    rows = [(k, fresh(30) + (" you idiot, you moron" if k % 6 == 0 else "")) for k in range(60)]
+    rows += [(100, copy), (101, copy), (102, copy + " tail"), (103, f"{fresh(40)} {passage} end"), (104, passage), (105, "note: password=abcdEFGH1234567 end"), (106, ""), (107, None)]
+    docs = [(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(" idiot" in (t or "")), 1) for i, t in rows], "doc_id long, toxic long, quality long").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {i: t for i, t in rows if " idiot" not in (t or "")}
+    for i in (101, 102, 104):  # copies; mostly benchmark text
+        del kept[i]
+    kept[103] = kept[103].replace(passage, "")
+    kept[105] = "note: [assign removed] end"
+    model, got = token_ids.TokenIds(*queries.byte_tokenizer()), corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    want = {i: model.encode(t or "") + b"\x02\0\0\0" for i, t in kept.items()}
+    assert dict(zip(got["doc_id"], got["ids_crc32"])) == {i: zlib.crc32(x) for i, x in want.items()} and len(got) == len(want)
+    least = bin_completion.fewest([len(x) // 4 for x in want.values()], 1024)
+    assert got["sequence_id"].nunique() == least and got.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
