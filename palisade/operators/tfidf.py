@@ -58,6 +58,11 @@ def fit_vocabulary(counts: DataFrame, n_docs: int, size: int) -> DataFrame:
     return kept.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
+def indexed(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary, whose size is a parameter, with the place of each term in order of name."""
+    return vocabulary.withColumn("place", F.row_number().over(Window.orderBy("term")) - 1)
+
+
 def weigh(counts: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Sublinear term frequency x idf, unit length by document. The vocabulary's size is a parameter, so it is broadcast."""
     raw = counts.join(F.broadcast(vocabulary), "term").withColumn("w", (F.log("tf") + 1.0) * F.col("idf"))

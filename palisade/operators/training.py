@@ -7,8 +7,8 @@ import random
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,8 +59,21 @@ def fold_column(df: DataFrame, k: int = 5, *, id_col: str = "message_id", label:
     return df.withColumn("fold", F.pmod(F.row_number().over(part), F.lit(k)).cast("int"))
 
 
-def assemble_features(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(df)
+def assemble_features(numeric: DataFrame, columns: list[str], blocks: list[tuple[DataFrame, int]], *, id_col: str = "message_id", out: str = "features") -> DataFrame:
+    """Adds one sparse vector to each row: the blocks (rows of id, place, weight; and the block's size) side by side, then
+    the numeric columns. Spark makes no sparse vectors from arrays, so a small Python function does."""
+    size, parts, base = sum(n for _, n in blocks) + len(columns), None, 0
+    for rows, n in blocks:
+        one = rows.select(F.col(id_col), (F.col("place") + base).cast("int").alias("place"), F.col("weight").cast("double"))
+        parts, base = (one if parts is None else parts.unionByName(one)), base + n
+    held = parts.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("text_part"))  # a text's terms
+
+    @F.udf(returnType=VectorUDT())
+    def vector(terms, numbers):
+        at = [t["place"] for t in terms or ()] + list(range(base, size))
+        return Vectors.sparse(size, at, [t["weight"] for t in terms or ()] + [float(x) for x in numbers])
+
+    return numeric.join(held, id_col, "left").withColumn(out, vector("text_part", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns]))).drop("text_part")
 
 
 def estimators(n: int) -> dict:
@@ -89,7 +102,8 @@ def random_search_rf(train: DataFrame, draws: int = 5, folds: int = 3, seed: int
     rf, rng = RandomForestClassifier(seed=seed), random.Random(seed)
     maps = [ParamGridBuilder().baseOn({rf.getParam(k): rng.choice(v) for k, v in grid.items()}).build()[0] for _ in range(draws)]
     metric = MulticlassClassificationEvaluator(metricName="f1")
-    fitted = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=metric, numFolds=folds, parallelism=4, seed=seed).fit(train)
+    rows = fold_column(train, folds)  # even within each label
+    fitted = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=metric, numFolds=folds, foldCol="fold", parallelism=4, seed=seed).fit(rows)
     return fitted.bestModel, fitted.avgMetrics
 
 

@@ -362,8 +362,9 @@ WHY = f"array_to_string(({reasons_sql(policy.REASONS, _NO_REASON)})[1:3], '|')"
 _NO_DASHBOARD = "CASE WHEN verdict = 'LEGIT' THEN ['none'] WHEN proximity_score > CAST(0.50 AS DOUBLE) THEN ['proximity_elevated'] ELSE ['subtle_patterns'] END"
 VERDICTS = f"{_SIGNALS}, {verdicts_sql()}"
 #: Mean similarity to the ten nearest vectors of the scam class, by message; 0 without a vector.
-PROXIMITY = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings),
-near AS (SELECT vec_id, avg(similarity) AS scam FROM (SELECT a.vec_id, list_inner_product(a.e, b.e) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM u a, u b WHERE b.label < 5) WHERE rank <= 10 GROUP BY vec_id),
+NEAR = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings),
+near AS (SELECT vec_id, avg(similarity) AS scam FROM (SELECT a.vec_id, list_inner_product(a.e, b.e) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM u a, u b WHERE b.label < 5) WHERE rank <= 10 GROUP BY vec_id)"""
+PROXIMITY = NEAR + """,
 scored AS (SELECT verdicts.*, round(coalesce(near.scam, 0.0), 4) AS proximity_score FROM verdicts LEFT JOIN near ON near.vec_id = verdicts.message_id)"""
 
 

@@ -198,16 +198,18 @@ def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("word_tfidf", lambda s, d: tfidf.tfidf(read(s, d, "documents"), tfidf.word_terms(F.col("text")), 5000), _tfidf_sql(_WT, 5000))
 _add("char_tfidf", lambda s, d: tfidf.tfidf(read(s, d, "documents"), tfidf.char_terms(F.col("text")), 3000), _tfidf_sql(_CT, 3000))
 _add("tfidf_transform", tfidf_transform, _tfidf_sql(_WT, 2000, "doc_id % 2 = 0"))
-NUMERIC = ["text_length", "word_count", "exclamation_count", "uppercase_ratio", "digit_ratio", "urgency_score"]
+NUMERIC = list(mq.NUMERIC)
 
 
 def numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).select("message_id", "label", *[c.cast("double").alias(n) for n, c in text.basic_features(F.col("text")).items() if n in NUMERIC])
+    """The 26 numeric features of each message. They are read more than once, so they are kept."""
+    rows = mq.with_proximity(spark, sf_dir, mq.signals_of(messages(spark, sf_dir), ("message_id", "label", "text")))
+    rows = rows.withColumn("proximity_scam_score", F.col("proximity_score") * 0.5)
+    return rows.select("message_id", "label", "text", *[F.col(c).cast("double").alias(c) for c in NUMERIC]).persist()
 
 
-from palisade.plans.message_queries import _basic_sql  # noqa: E402
-
-_NUM = f"{fx.MESSAGES}, f AS MATERIALIZED (SELECT message_id, label, {', '.join(f'CAST({s} AS DOUBLE) AS {n}' for n, s in _basic_sql('text', rules.CUES, 4).items() if n in NUMERIC)} FROM messages)"
+_NUM = f"""{fx.MESSAGES}, {mq.parts_sql()}, s0 AS MATERIALIZED ({mq.signals_sql('message_id, label, text')}), {mq.NEAR},
+f AS MATERIALIZED (SELECT message_id, label, {', '.join(f"CAST({'round(coalesce(near.scam, 0.0), 4) * CAST(0.5 AS DOUBLE)' if c == 'proximity_scam_score' else c} AS DOUBLE) AS {c}" for c in NUMERIC)} FROM s0 LEFT JOIN near ON near.vec_id = s0.message_id)"""
 _Z = ", ".join(f"round(({c} - (SELECT avg({c}) FROM f)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM f), 6) AS {c}" for c in NUMERIC)
 _add("scale_numeric", lambda s, d: tfidf.scale_numeric(numeric(s, d), NUMERIC), f"WITH {_NUM} SELECT message_id, {_Z} FROM f")
 
@@ -230,52 +232,95 @@ _add("similar_messages", lambda s, d: proximity.similar_messages(_vec(s, d), _ve
 _add("knn_approx", lambda s, d: proximity.knn_approx(_vec(s, d).where("vec_id % 100 = 0"), _vec(s, d)))
 
 # --- models
-_split = lambda s, d: training.stratified_split(numeric(s, d))
-_SPLIT = f"{_NUM}, h AS (SELECT message_id, label, CAST('0x' || substring(md5('42:' || CAST(message_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k, count(*) OVER (PARTITION BY label) AS n FROM h)"
+_split = lambda s, d: training.stratified_split(messages(s, d).select("message_id", "label"))
+_SPLIT = f"{fx.MESSAGES}, h AS (SELECT message_id, label, CAST('0x' || substring(md5('42:' || CAST(message_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM messages), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k, count(*) OVER (PARTITION BY label) AS n FROM h)"
 _add("stratified_split", lambda s, d: _split(s, d).select("message_id", "label", "is_test"), f"WITH {_SPLIT} SELECT message_id, label, k <= round_even(n * 0.2, 0) AS is_test FROM r")
 
 
+#: Sizes of the vocabularies of the model matrix.
+WORD_TERMS, CHAR_TERMS = 5_000, 3_000
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The messages with their vectors: words, characters, scaled numeric features. Also the names of all places."""
+    rows = numeric(spark, sf_dir)
+    n, names, blocks = rows.count(), [], []
+    for prefix, terms, size in (("", tfidf.word_terms(F.col("text")), WORD_TERMS), ("char_", tfidf.char_terms(F.col("text")), CHAR_TERMS)):
+        counts = tfidf.term_counts(rows, terms, "message_id").persist()
+        vocabulary = tfidf.indexed(tfidf.fit_vocabulary(counts, n, size)).persist()
+        weights = tfidf.weigh(counts, vocabulary.select("term", "idf"), "message_id").join(F.broadcast(vocabulary.select("term", "place")), "term")
+        found = [r["term"] for r in vocabulary.orderBy("place").select("term").collect()]
+        names += [prefix + t for t in found]
+        blocks.append((weights, len(found)))
+    scaled = tfidf.scale_numeric(rows, NUMERIC).join(rows.select("message_id", "label"), "message_id")
+    return training.assemble_features(scaled, NUMERIC, blocks).persist(), names + NUMERIC
+
+
 def fitted(spark: SparkSession, sf_dir: str, name: str):
-    rows = training.assemble_features(_split(spark, sf_dir), NUMERIC).persist()
+    rows, names = matrix(spark, sf_dir)
+    rows = training.stratified_split(rows).persist()
     train = rows.where("not is_test")
-    return training.estimators(train.count())[name].fit(train), rows
+    return training.estimators(train.count())[name].fit(train), rows, names
 
 
 def _model_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, rows = fitted(spark, sf_dir, name)
+        model, rows, _ = fitted(spark, sf_dir, name)
         return training.probabilities(model, rows.where("is_test"))
 
     return run
 
 
 def isotonic_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, rows = fitted(spark, sf_dir, "lr")
+    model, rows, _ = fitted(spark, sf_dir, "lr")
     scored = training.probabilities(model, rows)
     return training.isotonic_calibrate(scored.where("message_id % 2 = 0"), scored.where("message_id % 2 = 1")).select("message_id", "raw", "calibrated")
 
 
 def random_search_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training.assemble_features(_split(spark, sf_dir), NUMERIC)
-    model, scores = training.random_search_rf(rows.where("not is_test").persist(), draws=2, grid={"numTrees": [10, 20], "maxDepth": [3, 5]})
+    """Five draws from the grid; small forests keep the search short."""
+    rows, _ = matrix(spark, sf_dir)
+    grid = {"numTrees": [5, 10, 20], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"], "maxBins": [16, 32]}
+    _, scores = training.random_search_rf(training.stratified_split(rows).where("not is_test").persist(), draws=5, grid=grid)
     return spark.createDataFrame([(k, float(x), k == scores.index(max(scores))) for k, x in enumerate(scores)], "draw int, f1 double, best boolean")
 
 
 def stratified_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training.assemble_features(numeric(spark, sf_dir), NUMERIC)
+    rows, _ = matrix(spark, sf_dir)
     scores = training.stratified_cv(rows, training.estimators(rows.count())["dt"])
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(scores)], "fold int, f1 double")
 
 
 def feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = fitted(spark, sf_dir, "rf")
-    return training.feature_importance_topk(spark, model, NUMERIC)
+    model, _, names = fitted(spark, sf_dir, "rf")
+    return training.feature_importance_topk(spark, model, names)
 
 
 def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each vector: entries and sums of its word and character parts, and some scaled numbers."""
     from pyspark.ml.functions import vector_to_array
 
-    return training.assemble_features(numeric(spark, sf_dir), NUMERIC).select("message_id", vector_to_array("features").alias("features"))
+    rows, names = matrix(spark, sf_dir)
+    n_words = names.index("char_" + next(n for n in names if n.startswith("char_"))[5:])
+    v, n_text = vector_to_array("features"), len(names) - len(NUMERIC)
+    out = rows.select("message_id", F.slice(v, 1, n_words).alias("w"), F.slice(v, n_words + 1, n_text - n_words).alias("c"), F.slice(v, n_text + 1, len(NUMERIC)).alias("z"))
+    some = lambda k: F.size(F.filter(k, lambda x: x != 0)).cast("long")
+    total = lambda k: F.round(F.aggregate(k, F.lit(0.0), lambda a, x: a + x), 4)
+    return out.select("message_id", some("w").alias("n_words"), total("w").alias("words"), some("c").alias("n_chars"), total("c").alias("chars"), F.round(F.col("z")[0], 4).alias("first"), F.round(F.col("z")[len(NUMERIC) - 1], 4).alias("last"))
+
+
+def _block_sql(name: str, terms: str, size: int) -> str:
+    terms = terms.replace("doc_id", "message_id").replace("documents", "messages").replace("ws AS", f"ws_{name} AS").replace("FROM ws)", f"FROM ws_{name})").replace("t AS (SELECT", f"t_{name} AS (SELECT")
+    return f"""{terms}, c_{name} AS (SELECT message_id, term, count(*) AS tf FROM t_{name} GROUP BY message_id, term),
+voc_{name} AS (SELECT term, ln((1.0 + (SELECT count(*) FROM messages)) / (1.0 + count(*))) + 1.0 AS idf FROM c_{name} GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {size}),
+raw_{name} AS (SELECT message_id, (ln(tf) + 1.0) * idf AS w FROM c_{name} JOIN voc_{name} USING (term)),
+{name} AS (SELECT message_id, count(*) AS n, sum(w) / sqrt(sum(w * w)) AS total FROM raw_{name} GROUP BY message_id)"""
+
+
+_SOME_Z = [f"round(({c} - (SELECT avg({c}) FROM f)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM f), 4) AS {k}" for c, k in ((NUMERIC[0], "first"), (NUMERIC[-1], "last"))]
+_ASSEMBLED = f"""WITH {_NUM}, {_block_sql('wb', _WT, WORD_TERMS)}, {_block_sql('cb', _CT, CHAR_TERMS)}
+SELECT f.message_id, coalesce(wb.n, 0) AS n_words, round(coalesce(wb.total, 0.0), 4) AS words, coalesce(cb.n, 0) AS n_chars, round(coalesce(cb.total, 0.0), 4) AS chars, {', '.join(_SOME_Z)}
+FROM f LEFT JOIN wb ON f.message_id = wb.message_id LEFT JOIN cb ON f.message_id = cb.message_id"""
 
 
 def artefact_roundtrip(threshold: float | None):
@@ -286,7 +331,7 @@ def artefact_roundtrip(threshold: float | None):
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import VectorAssembler
 
-        rows, path = numeric(spark, sf_dir).persist(), scratch(spark)
+        rows, path = numeric(spark, sf_dir), scratch(spark)
         training.artefact_sink(Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows), threshold, path)
         model, found = training.artefact_source(path)
         return training.probabilities(model, rows).select("message_id", "prob", F.lit(found).alias("threshold"))
@@ -294,7 +339,7 @@ def artefact_roundtrip(threshold: float | None):
     return run
 
 
-COEFFICIENTS = {c: 0.25 * (k + 1) * (-1) ** k for k, c in enumerate(NUMERIC)}
+COEFFICIENTS = {c: policy.coefficient(k) for k, c in enumerate(NUMERIC)}
 _contrib = lambda s, d: training.feature_contributions(tfidf.scale_numeric(numeric(s, d), NUMERIC), COEFFICIENTS)
 _CON = f"{_NUM}, z AS (SELECT message_id, {_Z.replace(', 6) AS', ', 12) AS')} FROM f), con AS (" + " UNION ALL ".join(f"SELECT message_id, '{c}' AS feature, round({c} * CAST({b} AS DOUBLE), 4) AS contribution FROM z" for c, b in COEFFICIENTS.items()) + ")"
 _add("feature_contributions", lambda s, d: _contrib(s, d).select("message_id", F.explode("contributions").alias("feature", "contribution")), f"WITH {_CON} SELECT * FROM con")
@@ -305,7 +350,7 @@ _add("isotonic_calibrate", isotonic_calibrate)
 _add("random_search_rf", random_search_rf)
 _add("stratified_cv", stratified_cv)
 _add("feature_importance_topk", feature_importance_topk)
-_add("assemble_features", assemble_features)
+_add("assemble_features", assemble_features, _ASSEMBLED)
 _add("artefact_sink", artefact_roundtrip(0.47))
 _add("artefact_source", artefact_roundtrip(None))
 
@@ -351,7 +396,7 @@ def through_stream(df: DataFrame, change, spark: SparkSession) -> DataFrame:
     return drained(change(spark.readStream.schema(df.schema).parquet(source)), spark)
 
 
-_add("stream_score", lambda s, d: through_stream(messages(s, d).select("message_id", "text"), streams.stream_score, s).drop("text"), "WITH " + fx.MESSAGES + " SELECT message_id, " + ", ".join(f"{q} AS {n}" for n, q in _basic_sql("text", rules.CUES, 4).items()) + " FROM messages")
+_add("stream_score", lambda s, d: through_stream(messages(s, d).select("message_id", "text"), streams.stream_score, s).drop("text"), "WITH " + fx.MESSAGES + " SELECT message_id, " + ", ".join(f"{q} AS {n}" for n, q in mq._basic_sql("text", rules.CUES, 4).items()) + " FROM messages")
 
 
 def stream_reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
