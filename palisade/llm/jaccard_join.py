@@ -13,7 +13,7 @@ no bucket is capped and none must fit in one task. Pairs are never written out:
 node's count and its least neighbour.
 
 Defined cases: texts without words (null, empty, signs only) have no links; repeated rows and equal texts link with
-each other; rows without id keep a null class and no links; an empty table gives an empty result; long texts are
+each other; a similarity of exactly the threshold links; a class is named by its least id; rows without id keep a null class and no links; an empty table gives an empty result; long texts are
 taken whole; columns besides id and text are ignored by :func:`similarity_classes` and kept by
 :func:`keep_one_of_each`. Sets are compared by 32-bit hashes of shingles: two different shingles of a pair agree with
 probability 2**-32.
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import cut, hash_words, kept, mix64, small_batches, stretches, utf8
+from palisade.llm.common import cut, hash_words, kept, mix64, packed, small_batches, stretches, unpacked, utf8
 from palisade.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,8 +38,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 REPEATS = 6.0
 #: Share of the pairs at the threshold that are found, by calculation; one run gives 0.9974.
 RECALL = 0.997
-#: Nodes in a bucket from which it is split, and nodes in a block of what is left.
-SPLIT, BLOCK = 512, 256
+#: Nodes in a bucket from which it is split; nodes, and shingles, in a block of what is left.
+SPLIT, BLOCK, BLOCK_SHINGLES = 1_024, 1_024, 1_000_000
 _STEP = np.uint64(0x100000001B3)
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -73,6 +73,15 @@ def node_of(shingles: np.ndarray) -> bytes | None:
     return np.array([a, b], np.uint64).tobytes()
 
 
+def packed_set(shingles: np.ndarray) -> bytes:
+    """The set as steps between sorted 32-bit hashes."""
+    return packed(np.diff(np.unique(shingles >> np.uint64(32)), prepend=np.uint64(0)))
+
+
+def opened_set(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data)[0], dtype=np.uint64).astype("<u4")
+
+
 def miss_rate() -> float:
     """Probability at most that a run misses a pair at the threshold: it shares no pick, or each is a bucket whose
     split misses it in turn, each by a salt of its own."""
@@ -160,7 +169,7 @@ def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     left, right = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
     if left != right:
         group = group.sort_values("block", kind="stable")
-    sets = [np.frombuffer(s, "<u4") for s in group["shingles"]]
+    sets = [opened_set(s) for s in group["shingles"]]
     cut_at = int((group["block"] == left).sum())
     if left == right:
         i, j = linked(sets, None, threshold)
@@ -231,17 +240,18 @@ def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, recall: f
     nodes = kept(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     chosen = nodes.select("node", "rep", "copies")
     runs = range(runs_for(recall))
-    found = _scan(docs, id_col, text_col, "paths array<array<long>>", lambda s: [[r, key] for r in runs for key in picks(s, threshold, r)])
-    picked = found.join(chosen.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", F.explode("paths").alias("path"))
+    found = _scan(docs, id_col, text_col, "paths array<array<long>>", lambda s: [[len(s)], *([r, key] for r in runs for key in picks(s, threshold, r))])
+    picked = found.join(chosen.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node"])
+    picked = picked.select("node", F.col("paths")[0][0].alias("size"), F.explode(F.slice("paths", 2, F.greatest(F.size("paths") - 1, F.lit(1)))).alias("path"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     leaves = kept(_leaves(picked, texts, chosen.select("node", F.col("rep").alias("id")), threshold))
-    shared = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "members"))).alias("found"))
+    shared = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "members", "weight"))).alias("found"))
     needed = shared.join(_needless(shared), "node", "left")
     needed = needed.withColumn("leaves", F.col("found.leaf")).withColumn("found", F.filter("found", lambda x: F.col("needless").isNull() | ~F.array_contains(F.col("needless"), x["leaf"])))
     wanted = chosen.join(needed.where(F.size("found") > 0), "node").select("node", F.col("rep").alias("id"), "copies", "found", "leaves")
-    sets = _scan(docs, id_col, text_col, "shingles binary", lambda s: np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
+    sets = _scan(docs, id_col, text_col, "shingles binary", packed_set)
     member = sets.join(wanted, ["node", "id"]).withColumn("f", F.explode("found"))
-    blocks = F.ceil(F.col("f.members") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("f.members") / F.lit(BLOCK), F.least(F.col("f.weight") / F.lit(BLOCK_SHINGLES), F.col("f.members")))).cast("int")
     member = member.select("node", "copies", "shingles", "leaves", F.col("f.leaf").alias("leaf"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "copies", "shingles", "leaves", "leaf", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
@@ -251,12 +261,12 @@ def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, recall: f
 
 
 def _leaves(picked: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
-    """(node, leaf, members) of every bucket with two nodes or more, large ones split where that halves the work."""
+    """(node, leaf, members, weight) of every bucket with two nodes or more, large ones split where that halves the work."""
     done = []
     while True:
         named = picked.withColumn("leaf", F.element_at("path", -1))
-        sizes = named.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
-        held = kept(named.join(sizes, "leaf").select("node", "path", "leaf", "members"))
+        sizes = named.groupBy("leaf").agg(F.count("*").alias("members"), F.sum("size").alias("weight")).where("members > 1")
+        held = kept(named.join(sizes, "leaf").select("node", "size", "path", "leaf", "members", "weight"))
         large = held.where(F.col("members") > SPLIT)
         if large.isEmpty():
             done.append(held)
@@ -268,11 +278,11 @@ def _leaves(picked: DataFrame, texts: DataFrame, ids: DataFrame, threshold: floa
         split = kept(wholes.join(work, "leaf", "left").where(F.coalesce("work", F.lit(0.0)) <= F.col("m") * F.col("m") / 2).select("leaf"))
         done.append(held.join(split, "leaf", "left_anti"))
         picked = below.join(split, F.element_at("path", -2) == F.col("leaf"), "left_semi")
-    return reduce(DataFrame.unionByName, [d.select("node", "leaf", "members") for d in done])
+    return reduce(DataFrame.unionByName, [d.select("node", "leaf", "members", "weight") for d in done])
 
 
 def _below(large: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
-    """(node, path) for the fresh picks of the nodes of large buckets."""
+    """(node, size, path) for the fresh picks of the nodes of large buckets."""
     wanted = large.groupBy("node").agg(F.collect_list("path").alias("paths")).join(ids, "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,10 +292,10 @@ def _below(large: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float)
                 rows = []
                 for node, paths, s in zip(part["node"], part["paths"], shingle_sets(part["text"].tolist()), strict=True):
                     if node_of(s) == node:  # another text may have the same id
-                        rows += [(node, [*path, key]) for path in map(np.ndarray.tolist, paths) for key in picks_below(s, path, threshold)]
-                yield pd.DataFrame(rows, columns=["node", "path"])
+                        rows += [(node, len(s), [*path, key]) for path in map(np.ndarray.tolist, paths) for key in picks_below(s, path, threshold)]
+                yield pd.DataFrame(rows, columns=["node", "size", "path"])
 
-    return texts.join(wanted, "id").select("node", "paths", "text").mapInPandas(run, "node binary, path array<long>").distinct()
+    return texts.join(wanted, "id").select("node", "paths", "text").mapInPandas(run, "node binary, size long, path array<long>").distinct()
 
 
 def _needless(shared: DataFrame) -> DataFrame:
