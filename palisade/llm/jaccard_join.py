@@ -9,7 +9,7 @@ are small or a split does not halve the work. A pair is missed with a probabilit
 at any depth (:func:`miss_rate`, 0.252 %); runs with new salts are repeated until that of all runs is within ``recall``.
 A bucket whose members are all in one other is left out. Small buckets are compared by brute force; what is still large
 (near copies, which no shingle splits) is cut into blocks, and every pair of blocks is compared in a task of its own, so
-no bucket is capped and none must fit in one task. Pairs are never written out: a task counts links and returns each
+no bucket is capped and none must fit in one task. Texts and sets are joined by shuffles at every size; only the ids of the nodes of large buckets, up to FILTER of them, are broadcast. Pairs are never written out: a task counts links and returns each
 node's count and its least neighbour.
 
 Defined cases: texts without words (null, empty, signs only) have no links; repeated rows and equal texts link with
@@ -40,6 +40,8 @@ REPEATS = 6.0
 RECALL = 0.997
 #: Nodes in a bucket from which it is split; nodes, and shingles, in a block of what is left.
 SPLIT, BLOCK, BLOCK_SHINGLES = 1_024, 1_024, 1_000_000
+#: Nodes up to which their ids are broadcast as a filter of the texts (8 bytes each).
+FILTER = 1_000_000
 _STEP = np.uint64(0x100000001B3)
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -250,7 +252,7 @@ def similarity_links(docs: DataFrame, *, threshold: float = THRESHOLD, recall: f
     needed = needed.withColumn("leaves", F.col("found.leaf")).withColumn("found", F.filter("found", lambda x: F.col("needless").isNull() | ~F.array_contains(F.col("needless"), x["leaf"])))
     wanted = chosen.join(needed.where(F.size("found") > 0), "node").select("node", F.col("rep").alias("id"), "copies", "found", "leaves")
     sets = _scan(docs, id_col, text_col, "shingles binary", packed_set)
-    member = sets.join(wanted, ["node", "id"]).withColumn("f", F.explode("found"))
+    member = sets.join(wanted.hint("merge"), ["node", "id"]).withColumn("f", F.explode("found"))
     blocks = F.ceil(F.greatest(F.col("f.members") / F.lit(BLOCK), F.least(F.col("f.weight") / F.lit(BLOCK_SHINGLES), F.col("f.members")))).cast("int")
     member = member.select("node", "copies", "shingles", "leaves", F.col("f.leaf").alias("leaf"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -283,7 +285,9 @@ def _leaves(picked: DataFrame, texts: DataFrame, ids: DataFrame, threshold: floa
 
 def _below(large: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
     """(node, size, path) for the fresh picks of the nodes of large buckets."""
-    wanted = large.groupBy("node").agg(F.collect_list("path").alias("paths")).join(ids, "node")
+    wanted = kept(large.groupBy("node").agg(F.collect_list("path").alias("paths")).join(ids, "node"))
+    if wanted.count() <= FILTER:  # then only their texts are shuffled; beyond, all are
+        texts = texts.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -295,7 +299,7 @@ def _below(large: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float)
                         rows += [(node, len(s), [*path, key]) for path in map(np.ndarray.tolist, paths) for key in picks_below(s, path, threshold)]
                 yield pd.DataFrame(rows, columns=["node", "size", "path"])
 
-    return texts.join(wanted, "id").select("node", "paths", "text").mapInPandas(run, "node binary, size long, path array<long>").distinct()
+    return texts.join(wanted.hint("merge"), "id").select("node", "paths", "text").mapInPandas(run, "node binary, size long, path array<long>").distinct()
 
 
 def _needless(shared: DataFrame) -> DataFrame:
