@@ -147,9 +147,10 @@ def test_packing_deals_repeated_rows_apart(spark, monkeypatch):
     assert len(got) == 400 and (got["sequence_id"].to_numpy() >> 32).max() > 0 and got.groupby("sequence_id")["length"].sum().max() == 8
 
 
-def test_packed_ids_round_trip(spark, docs):
+def test_packed_ids_round_trip(spark, docs, tmp_path):
     paths = queries.byte_tokenizer()
-    rows = token_output.packed_ids(docs, paths, capacity=32).collect()
+    token_output.write_packed(token_output.packed_ids(docs, paths, capacity=32), str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
     model, parts = token_ids.TokenIds(*paths), {}
     for r in rows:
         ids = np.frombuffer(r["ids"], "<u2")
