@@ -58,6 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one like it, that no column has (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: the plan above it is never run again, even after an executor is lost."""
     shared_dir(df.sparkSession)

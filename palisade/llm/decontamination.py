@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import WORD_TABLE, cut, kept, small_batches, utf8, words_of
+from palisade.llm.common import WORD_TABLE, cut, kept, small_batches, unused, utf8, words_of
 
 WINDOW = 10
 #: Bytes of item text in one automaton.
@@ -231,9 +231,10 @@ def remove_spans(text: str, flat: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The same columns: hit words are cut out of a text; rows with over ``max_coverage`` of their words hit go."""
-    rows = with_hits(docs, benchmark, "__hits", clean=True, window=window, text_col=text_col)
-    rows = rows.where(F.expr(_N_HIT.format("__hits")) <= F.col("__hits.n_words") * F.lit(max_coverage))
-    out = rows.withColumn(text_col, F.col("__hits.clean"))
+    hits = unused("hits", docs.columns)
+    rows = with_hits(docs, benchmark, hits, clean=True, window=window, text_col=text_col)
+    rows = rows.where(F.expr(_N_HIT.format(hits)) <= F.col(f"{hits}.n_words") * F.lit(max_coverage))
+    out = rows.withColumn(text_col, F.col(f"{hits}.clean"))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(docs.columns)

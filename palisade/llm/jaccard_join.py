@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import cut, hash_words, kept, mix64, packed, small_batches, stretches, unpacked, utf8
+from palisade.llm.common import cut, hash_words, kept, mix64, packed, small_batches, stretches, unpacked, unused, utf8
 from palisade.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -334,5 +334,6 @@ def similarity_classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_col:
 def keep_one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose id is the least of its class. Rows repeated with one id all stay."""
     classes = similarity_classes(docs, threshold=threshold, id_col=id_col, text_col=text_col)
-    gone = classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    name = unused("gone", docs.columns)
+    gone = classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

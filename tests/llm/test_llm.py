@@ -617,7 +617,7 @@ def test_empty_tables(spark, docs):
 
 @pytest.mark.parametrize("rows", ["empty", "clashing"])
 def test_stages_take_empty_tables_and_clashing_columns(spark, rows):
-    schema = "doc_id long, text string, n_chars int, __hits string, __gone long, run int, guest string, class_id int, bucket int, score string"
+    schema = "doc_id long, text string, n_chars int, hits string, gone long, run int, guest string, class_id int, bucket int, score string"
     data = [] if rows == "empty" else [(k % 7, f"some words number {k % 7} and more of them {'x' * k}", 3, "h", 5, 1, "g", 2, 9, "s") for k in range(10)] + [(None, None, None, None, None, None, None, None, None, None)]
     df = spark.createDataFrame(data, schema)
     bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
