@@ -18,6 +18,7 @@ from palisade.llm.secret_scan import secret_spans
 from palisade.llm.token_counts import token_counts
 from palisade.llm.token_output import packed_ids
 from palisade.llm.toxicity import fit_toxicity, score_toxicity
+from palisade.llm.vector_codes import vector_codes
 
 
 def vocabulary(name: str) -> str:
@@ -84,6 +85,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packed_ids": op2_packed_ids,
@@ -95,12 +100,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op13_ball_codes": op13_ball_codes,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_NEAREST = """
+  SELECT vec_id, part, x, arg_min(e, d * 64 + e) AS e, min(d) AS d
+  FROM (SELECT p.vec_id, p.part, p.x, c.e, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts AS p JOIN {books} AS c ON p.part = c.part)
+  GROUP BY vec_id, part, x"""
+_BOOKS = """
+  SELECT part, e, coalesce(n.x, {books}.x) AS x FROM {books} LEFT JOIN (
+    SELECT part, e, list(m ORDER BY i) AS x FROM (
+      SELECT part, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM {codes}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY part, e, i) GROUP BY part, e) AS n USING (part, e)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_ball_codes": f"""
+WITH vectors AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, part, q[part * (len(q) // 16) + 1 : (part + 1) * (len(q) // 16)] AS x FROM vectors, unnest(range(16)) AS t(part)),
+books0 AS (SELECT part, e, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 64),
+codes0 AS ({_NEAREST.format(books='books0')}),
+books1 AS ({_BOOKS.format(books='books0', codes='codes0')}),
+codes1 AS ({_NEAREST.format(books='books1')}),
+books2 AS ({_BOOKS.format(books='books1', codes='codes1')}),
+codes2 AS ({_NEAREST.format(books='books2')}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM codes2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM books2) AS codebooks_sha256
+FROM coded JOIN vectors USING (vec_id)""",
     "op10_decontamination": f"""
 WITH items AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 windows AS (
