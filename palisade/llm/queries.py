@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.bin_completion import pack
+from palisade.llm.collocations import collocations
 from palisade.llm.common import fold, read
 from palisade.llm.decontamination import contamination
 from palisade.llm.imatch import fingerprints
@@ -85,6 +86,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_ball_codes": op13_ball_codes,
 }
 
@@ -116,6 +122,26 @@ _BOOKS = """
       SELECT part, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM {codes}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY part, e, i) GROUP BY part, e) AS n USING (part, e)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]'),
+    lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) AS w FROM documents),
+grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM pieces, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+halves AS MATERIALIZED (
+  SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 :], ' ') AS tail FROM candidates, unnest(range(1, k)) AS t(j)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, h.f AS l, r.f AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (h.f + r.f) AS BIGINT) AS score
+  FROM halves AS c JOIN f AS h ON h.lang = c.lang AND h.phrase = c.head JOIN f AS r ON r.lang = c.lang AND r.phrase = c.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS most FROM candidates, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM best AS b LEFT JOIN inner_parts AS p ON p.lang = b.lang AND p.phrase = b.phrase WHERE p.most IS NULL OR 100 * p.most < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op13_ball_codes": f"""
 WITH vectors AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
