@@ -15,6 +15,7 @@ from palisade.llm.imatch import fingerprints
 from palisade.llm.jaccard_join import similarity_classes
 from palisade.llm.language_id import predict_language
 from palisade.llm.lm_score import lm_scores
+from palisade.llm.repeats import deduplicated
 from palisade.llm.secret_scan import secret_spans
 from palisade.llm.token_counts import token_counts
 from palisade.llm.token_output import packed_ids
@@ -86,6 +87,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_collocations": op12_collocations,
     "op13_ball_codes": op13_ball_codes,
 }
@@ -122,6 +128,22 @@ _BOOKS = """
       SELECT part, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM {codes}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY part, e, i) GROUP BY part, e) AS n USING (part, e)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_suffix_dedup": """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, b * 500 AS base, substr(h, b * 1000 + 1, 1098) AS s FROM docs, unnest(range(0, len(h) // 1000 + 1)) AS t(b)),
+windows AS (SELECT doc_id, base + i AS p, substr(s, 2 * i + 1, 100) AS g FROM blocks, unnest(range(0, least(500, len(s) // 2 - 49))) AS t(i)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, p FROM windows JOIN firsts USING (g) WHERE first < doc_id),
+marked AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS new FROM gone),
+numbered AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, k),
+edges AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last
+  FROM edges JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)""",
     "op12_collocations": f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]'),
