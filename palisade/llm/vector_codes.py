@@ -192,7 +192,8 @@ def vector_codes(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     found, books = encode(df, id_col=id_col, vector_col=vector_col, label_col=label_col, **how)
     hexed: Callable = lambda codes: F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
     rows = kept(found.select("id", "label", hexed(F.col("codes")).alias("code"), "error"))
-    sums = rows.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of")
+    total = F.least(F.sum(F.col("error").cast("decimal(20, 0)")), F.lit(LARGEST)).cast("long")
+    sums = rows.groupBy("label").agg(total.alias("label_error")).withColumnRenamed("label", "of")
     if sums.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         sums = F.broadcast(sums)
     return rows.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
