@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import rules
+from palisade.functions.phrases import phrase_scores
 from palisade.functions.text import count_contained, count_matching, guarded, share, tokens
 from palisade.functions.urls import lookalike, url_flags, with_links
 
+PHRASE_SCORES = {"scam": dict.fromkeys(rules.PHRASES, 1), "legit": rules.LEGIT_PHRASES}
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 _EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 
@@ -63,8 +65,9 @@ def type_scores(low: Column, types: dict[str, tuple[str, ...]] = rules.SCAM_TYPE
 
 def scam_type(scores: dict[str, Column], default: str = rules.DEFAULT_TYPE) -> Column:
     """The type with most matching patterns; ties go to the type declared first, no match to the default."""
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, (name, s) in enumerate(scores.items())]))
-    return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(default))
+    options = [F.struct(s.alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, (name, s) in enumerate(scores.items())]
+    none = F.struct(F.lit(0).alias("score"), F.lit(1).alias("rank"), F.lit(default).alias("name"))  # before all types without a match
+    return F.array_max(F.array(*options, none))["name"]  # read once, so that no pattern is matched twice
 
 
 def opener_hits(low: Column, patterns: tuple[str, ...]) -> Column:
@@ -80,9 +83,9 @@ def otp_signal(low: Column) -> Column:
 
 def with_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds what the features are made of, each once: ``low``, links, ``words`` and ``bare_words``. Steps that read a
-    costly column more than once keep it as a column of a projection of its own."""
+    costly column more than once keep it as a column of a projection of its own. Phrases of all scores are found together."""
     rows = with_links(df.withColumns({"low": F.lower(text_col), "words": tokens(F.col(text_col))}), text_col)
-    return rows.withColumn("bare_words", F.transform("words", bare_word))
+    return rows.withColumns({"bare_words": F.transform("words", bare_word), "phrases": phrase_scores(F.col("low"), PHRASE_SCORES)})
 
 
 def engineered(text_col: str = "text") -> dict[str, Column]:
@@ -91,8 +94,8 @@ def engineered(text_col: str = "text") -> dict[str, Column]:
     return {
         "avg_word_length": avg_word_length(bare),
         "capitalized_word_count": capitalized_word_count(words),
-        "scam_phrase_score": count_contained(low, rules.PHRASES),
-        "legit_phrase_score": count_contained(low, rules.LEGIT_PHRASES),
+        "scam_phrase_score": F.col("phrases.scam"),
+        "legit_phrase_score": F.col("phrases.legit"),
         "sender_impersonation_score": sender_impersonation_score(low, F.col("urls")),
         "punctuation_density": punctuation_density(text),
         "question_mark_count": F.regexp_count(text, F.lit("[?]")),

@@ -68,12 +68,15 @@ def non_ascii_share(text: Column) -> Column:
 
 
 def count_contained(text: Column, cues: tuple[str, ...] | dict[str, int]) -> Column:
-    """Sum of weights of the listed phrases that occur, each once. ``text`` is lower case."""
+    """Sum of weights of the listed phrases that occur, each once. ``text`` is lower case. For long lists see
+    :mod:`palisade.functions.phrases`."""
     weights = cues if isinstance(cues, dict) else dict.fromkeys(cues, 1)
     if not weights:
         return F.lit(0)
-    phrases = [cue for cue, weight in weights.items() for _ in range(weight)]
-    return F.size(F.filter(F.array(*[F.lit(c) for c in phrases]), lambda c: F.contains(text, c)))
+    total = F.lit(0)
+    for cue, weight in weights.items():
+        total = total + F.contains(text, F.lit(cue)).cast("int") * weight
+    return F.coalesce(total, F.lit(0))
 
 
 def count_matching(text: Column, patterns: tuple[str, ...]) -> Column:

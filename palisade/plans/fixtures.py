@@ -12,12 +12,12 @@ CUES = (
     "This is not urgent, do not worry, never act now.",
     "You have won a cash prize of $5000, claim your reward today!!!",
     "Visit http://192.168.10.5/login to update your details",
-    "Your statement is ready at https://www.chase.com/statements thank you for your business",
+    "Your statement is ready at https://www.wikipedia.org/statements thank you for your business",
     "Check https://paypa1-secure.com and https://paypal-support.xyz/confirm please",
     "See https://bit.ly/abc123 for info",
     "Get $500 and €300 guaranteed profit, double your bitcoin investment and claim the bonus",
     "Your code is 482913. Do not share this code with anyone, it is a one-time code.",
-    "Your appointment is confirmed, receipt attached, thank you for your order",
+    "Your appointment is confirmed, receipt attached, thank you for your order, no action is needed",
     "We will file a lawsuit and the police will arrest you if you fail to pay",
     "Hi dear, I saw your profile, are you single? I am a widow stationed abroad",
     "My uncle taught me crypto trading and I made a great return, let me show you how, just DM me",
