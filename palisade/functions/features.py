@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import rules
-from palisade.functions.phrases import phrase_scores
+from palisade.functions.phrases import Scores, phrase_scores
 from palisade.functions.text import count_contained, count_matching, guarded, share, tokens
 from palisade.functions.urls import lookalike, url_flags, with_links
 
@@ -81,11 +81,11 @@ def otp_signal(low: Column) -> Column:
     return low.rlike(OTP) & F.contains(low, F.lit("do not share"))
 
 
-def with_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
+def with_parts(df: DataFrame, text_col: str = "text", scores: Scores = PHRASE_SCORES) -> DataFrame:
     """Adds what the features are made of, each once: ``low``, links, ``words`` and ``bare_words``. Steps that read a
     costly column more than once keep it as a column of a projection of its own. Phrases of all scores are found together."""
     rows = with_links(df.withColumns({"low": F.lower(text_col), "words": tokens(F.col(text_col))}), text_col)
-    return rows.withColumns({"bare_words": F.transform("words", bare_word), "phrases": phrase_scores(F.col("low"), PHRASE_SCORES)})
+    return rows.withColumns({"bare_words": F.transform("words", bare_word), "phrases": phrase_scores(F.col("low"), scores)})
 
 
 def engineered(text_col: str = "text") -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import rules
@@ -62,6 +62,12 @@ def leet_normalize(text: Column) -> Column:
     return F.translate(F.lower(text), *rules.LEET)
 
 
+def normalised(df: DataFrame, text_col: str = "text", nfkc: bool = True) -> DataFrame:
+    """Adds ``clean`` (lower case of the preprocessed text) and ``leet``: what serving reads."""
+    rows = df.withColumn("__prepared", preprocess_text(F.col(text_col), nfkc=nfkc))
+    return rows.withColumns({"clean": F.lower("__prepared"), "leet": leet_normalize(F.col("__prepared"))}).drop("__prepared")
+
+
 def non_ascii_share(text: Column) -> Column:
     n = F.char_length(text)
     return F.when(n > 0, F.lit(1.0) - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / n).otherwise(0.0)

@@ -140,34 +140,59 @@ def dashboard_reasons(reasons: tuple[tuple[str, str], ...] = DASHBOARD) -> Colum
     return F.array_join(_held(reasons, none), "|")
 
 
-def coefficient(place: int) -> float:
-    """A stored coefficient of a numeric feature, by its place: of either sign."""
-    return 0.25 * (place + 1) * (-1) ** place
-
-
-def prediction_record(means: dict[str, float]) -> dict[str, Column]:
-    """The 25 fields, from the columns of :func:`verdicts`, ``text``, ``leet``, ``urls`` and ``proximity_score``. Lists are
-    joined by blanks or bars; the normalised text is given by its digest, contributions in units of 0.0001."""
+#: What each reason code says to a reader; {link} is the message's first link.
+REASON_TEXTS = {
+    "dangerous_link": "A link service lists {link} as dangerous.",
+    "ip_link": "The address of {link} is a bare number; companies use names.",
+    "fake_company_link": "{link} borrows the name of a company that does not own it.",
+    "odd_suffix_link": "{link} ends in a suffix that is cheap to register and often abused.",
+    "unsolicited_contact": "A stranger opens a personal talk, which often precedes a request for money.",
+    "vague_returns": "Gains are hinted at without terms, and a private answer is asked for.",
+    "strong_urgency": "The text presses for action at once, several times.",
+    "urgency": "The text presses for action at once.",
+    "strong_fear": "Loss of an account or of access is threatened several times.",
+    "fear": "Loss of an account or of access is threatened.",
+    "strong_reward": "Prizes or sure gains are promised several times.",
+    "reward": "A prize or a sure gain is promised.",
+    "threat": "The text threatens with police, courts or exposure.",
+    "known_phrases": "Several phrases are common in known fraud.",
+    "known_phrase": "One phrase is common in known fraud.",
+    "subtle_patterns": "No single sign stands out, but the text as a whole resembles known fraud.",
+}
+
+
+def reason_texts(codes: str = "why_flagged", urls: str = "urls", texts: dict[str, str] = REASON_TEXTS) -> Column:
+    """The sentences of a row's reason codes, in their order. Codes ``like_<type>`` name the type."""
+    table = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    link = F.coalesce(F.get(urls, F.lit(0)), F.lit("a link"))
+    like = lambda c: F.concat(F.lit("The text reads like a case of "), F.replace(F.substring(c, 6, 100), F.lit("_"), F.lit(" ")), F.lit("."))
+    each = F.filter(F.split(F.coalesce(codes, F.lit("")), "[|]"), lambda c: c != "")
+    return F.transform(each, lambda c: F.when(F.startswith(c, F.lit("like_")), like(c)).otherwise(F.replace(F.coalesce(F.try_element_at(table, c), c), F.lit("{link}"), link)))
+
+
+def prediction_record() -> dict[str, Column]:
+    """The 25 fields, lists as arrays and contributions as a map, from the columns of :func:`verdicts` and ``text``, ``leet``
+    (the normalised text), ``urls``, ``proximity_score``, ``contributions``, ``threat_type`` and ``key_present`` (whether the
+    first link service could be asked). Texts below the least length have a record of their own."""
     short = F.char_length(F.trim("text")) < MIN_CHARS
-    key, n = F.col("message_id") % 3 != 0, F.col("n_urls")  # every third message is checked without a key
+    key, n = F.coalesce("key_present", F.lit(False)), F.col("n_urls")
     second = ~F.col("flagged") & (F.col("malicious") + F.col("suspicious") > 0)
-    number = lambda k: F.col("proximity_score") * 0.5 if k == "proximity_scam_score" else F.col(k)
-    parts = [F.concat(F.lit(f"{k}="), F.round((number(k) - mean) * F.lit(coefficient(j)) * 10000).cast("long").cast("string")) for j, (k, mean) in enumerate(means.items())]
     warned = F.array_compact(F.array(
         F.when(short, "too_short"), F.when(~short & (F.char_length("text") > MAX_CHARS), "long_text"), F.when(~short & (non_ascii_share(F.col("text")) > 0.30), "non_english"),
         F.when(~short & (n > 0) & ~key & ~second, "reputation_skipped"),
     ))
+    no_list, no_map = F.array().cast("array<string>"), F.create_map().cast("map<string,double>")
 
     def unless(c: Column | str, none=0) -> Column:
-        return F.when(short, F.lit(none)).otherwise(c if isinstance(c, Column) else F.col(c))
+        return F.when(short, none if isinstance(none, Column) else F.lit(none)).otherwise(c if isinstance(c, Column) else F.col(c))
 
     return {
         "verdict": unless("verdict", "TOO_SHORT"), "confidence": unless("confidence", 0.0), "threshold_used": F.lit(SUSPICIOUS), "scam_type": unless("scam_type", None), "why_flagged": unless("why_flagged", None),
         **{t: unless(t) for t in TONES}, **{k: unless(k) for k in ("url_suspicious_tld", "url_suspicious_keyword", "url_has_ip")},
-        "scam_phrase_score": unless("scam_phrase_score"), "sender_impersonation": unless("sender_impersonation_score"), "proximity_score": unless("proximity_score", 0.0), "urls_found": unless(F.array_join("urls", " "), ""),
-        "gsb_flagged": unless("flagged", None), "gsb_threat_type": unless(F.when(F.col("flagged"), "SOCIAL_ENGINEERING"), None), "gsb_attempted": unless((n > 0) & key, None),
+        "scam_phrase_score": unless("scam_phrase_score"), "sender_impersonation": unless("sender_impersonation_score"), "proximity_score": unless("proximity_score", 0.0), "urls_found": unless("urls", no_list),
+        "gsb_flagged": unless("flagged", None), "gsb_threat_type": unless(F.when(F.col("flagged"), F.col("threat_type")), None), "gsb_attempted": unless((n > 0) & key, None),
         "vt_malicious": unless("malicious"), "vt_suspicious": unless("suspicious"), "vt_attempted": unless(second, None),
-        "normalized_text": F.md5(unless("leet", "")), "feature_contributions": unless(F.array_join(F.array(*parts), " "), ""), "warnings": F.array_join(warned, "|"),
+        "normalized_text": unless("leet", ""), "feature_contributions": unless("contributions", no_map), "warnings": warned,
     }
 
 

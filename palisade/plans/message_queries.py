@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import features, rules, text, tone, urls
-from palisade.operators import policy, proximity, reputation
+from palisade.operators import policy, proximity, reputation, serving
+from palisade.operators import signals as signals_ops
+from palisade.operators.signals import NUMERIC
 from palisade.plans import fixtures as fx
 from palisade.plans.fixtures import messages, quoted
 
@@ -102,9 +105,7 @@ _NORM = f"n AS MATERIALIZED (SELECT *, lower({_CLEAN}) AS clean, {_LEET.format(_
 
 
 def _normalised(df: DataFrame) -> DataFrame:
-    """Adds ``clean`` (lower case of the preprocessed text) and ``leet``: what serving reads."""
-    rows = df.withColumn("prepared", text.preprocess_text(_t(), nfkc=False))
-    return rows.withColumns({"clean": F.lower("prepared"), "leet": text.leet_normalize(F.col("prepared"))}).drop("prepared")
+    return text.normalised(df, nfkc=False)
 
 
 def merged_tones() -> dict[str, Column]:
@@ -228,11 +229,11 @@ def reputation_attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"reputation_freshness": reputation_freshness, "url_reputation_join": url_reputation_join, "reputation_attempt_flags": reputation_attempt_flags}
 ORACLE_SQL["reputation_freshness"] = f"WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION} SELECT url, flagged, threat_type, malicious, suspicious FROM latest"
-ORACLE_SQL["url_reputation_join"] = f"""WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION},
-j AS (SELECT message_id, pos, coalesce(flagged, false) AS flagged, coalesce(malicious, 0) AS malicious, coalesce(suspicious, 0) AS suspicious, threat_type FROM links LEFT JOIN latest ON links.url = latest.url)
-SELECT message_id, bool_or(flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 1 ELSE malicious END) AS BIGINT) AS malicious,
+_ROLLED = """SELECT message_id, bool_or(flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 1 ELSE malicious END) AS BIGINT) AS malicious,
   CAST(sum(CASE WHEN flagged THEN 0 ELSE suspicious END) AS BIGINT) AS suspicious,
-  arg_max(threat_type, CASE WHEN flagged THEN pos END) AS threat_type, count(*) AS n_urls FROM j GROUP BY message_id"""
+  arg_max(threat_type, CASE WHEN flagged THEN pos END) AS threat_type, count(*) AS n_urls
+  FROM (SELECT message_id, pos, coalesce(flagged, false) AS flagged, coalesce(malicious, 0) AS malicious, coalesce(suspicious, 0) AS suspicious, threat_type FROM links LEFT JOIN latest ON links.url = latest.url) GROUP BY message_id"""
+ORACLE_SQL["url_reputation_join"] = f"WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION} {_ROLLED}"
 ORACLE_SQL["reputation_attempt_flags"] = f"""WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION},
 asked AS (SELECT message_id, bool_or(NOT coalesce(flagged, false) AND coalesce(malicious + suspicious, 0) > 0) AS vt FROM links LEFT JOIN latest ON links.url = latest.url GROUP BY message_id),
 a AS (SELECT m.message_id, len(urls) AS n, len(urls) > 0 AND m.message_id % 3 <> 0 AS g, coalesce(vt, false) AS v FROM m LEFT JOIN asked ON m.message_id = asked.message_id)
@@ -254,17 +255,10 @@ FEATURE_SQL = {
     "readability_score": f"round(CASE WHEN len(words) = 0 THEN 0.0 ELSE least(greatest(CAST(206.835 AS DOUBLE) - CAST(1.015 AS DOUBLE) * (CAST(len(words) AS DOUBLE) / {_SENT}) - CAST(84.6 AS DOUBLE) * (CAST({_SYLL_SUM} AS DOUBLE) / len(words)), 0.0), 100.0) END, 2)",
     "unique_word_ratio": f"round({fx.ratio('len(list_distinct(bare_words))', 'len(words)')}, 4)",
 }
-DIGITS = {"avg_word_length": 4, "punctuation_density": 4, "readability_score": 2, "unique_word_ratio": 4}
-
-
-def _engineered() -> dict[str, Column]:
-    return {k: F.round(c, DIGITS[k]) if k in DIGITS else c for k, c in features.engineered().items()}
-
-
 for _name in FEATURE_SQL:
-    _column(_name, lambda n=_name: _engineered()[n], FEATURE_SQL[_name])
+    _column(_name, lambda n=_name: signals_ops.engineered()[n], FEATURE_SQL[_name])
 _column("syllable_count", lambda: F.aggregate(F.transform("bare_words", features.syllable_count), F.lit(0), lambda a, x: a + x), f"CAST({_SYLL_SUM} AS BIGINT)")
-_column("feature_frame", lambda: _engineered() | tone.tones("low"), FEATURE_SQL | URL_SQL | TONE_SQL)
+_column("feature_frame", lambda: signals_ops.engineered() | tone.tones("low"), FEATURE_SQL | URL_SQL | TONE_SQL)
 _TYPES = {f"type_{n}": fx.matching("low", p) for n, p in rules.SCAM_TYPES.items()}
 _BEST = f"greatest({', '.join(_TYPES.values())})"
 _TYPE = "CASE " + f"WHEN {_BEST} = 0 THEN '{rules.DEFAULT_TYPE}' " + " ".join(f"WHEN {s} = {_BEST} THEN {quoted(n[5:])}" for n, s in _TYPES.items()) + " END"
@@ -279,30 +273,6 @@ _column("otp_signal", lambda: features.otp_signal(F.col("low")), _OTP)
 
 
 # --- policy
-#: Numeric features of the models, in order; proximity comes from vectors.
-NUMERIC = (
-    "text_length", "word_count", "has_url", "url_count", "exclamation_count", "uppercase_ratio", "digit_ratio", "urgency_score", *policy.TONES, *URL_SQL, "scam_phrase_score", "sender_impersonation_score",
-    "avg_word_length", "capitalized_word_count", "punctuation_density", "question_mark_count", "currency_symbol_count", "readability_score", "unique_word_ratio", "proximity_scam_score", "legit_phrase_score",
-)
-
-
-def signals_of(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Every input of the policy that comes from a text, beside some columns. What features are made of is made once."""
-    low, links = F.col("low"), F.size("urls")
-    basic = {k: c for k, c in text.basic_features(_t()).items() if k not in ("has_url", "url_count", "word_count")}
-    made = basic | {"word_count": F.size("words"), "has_url": (links > 0).cast("int"), "url_count": links} | _engineered() | tone.tones("low")
-    return features.with_parts(rows).select(
-        *keep, "urls", links.alias("n_urls"),
-        *[c.alias(k) for k, c in made.items()],
-        urls.trusted_all(F.col("urls")).alias("trusted"),
-        features.scam_type(features.type_scores(low)).alias("scam_type"),
-        features.opener_hits(low, rules.ROMANCE).alias("romance"),
-        features.opener_hits(low, rules.ROMANCE[: rules.OUTREACH]).alias("outreach"),
-        features.opener_hits(low, rules.SOFT_INVEST).alias("soft_invest"),
-        features.otp_signal(low).alias("otp"),
-    )
-
-
 def signals_sql(keep: str, source: str = "m") -> str:
     basic = {k: q for k, q in _basic_sql("text", rules.CUES, 4).items() if k not in ("has_url", "url_count", "word_count")}
     made = basic | {"word_count": "len(words)", "has_url": "CAST(len(urls) > 0 AS INT)", "url_count": "len(urls)"} | FEATURE_SQL | URL_SQL | TONE_SQL
@@ -312,7 +282,7 @@ def signals_sql(keep: str, source: str = "m") -> str:
 
 def signals(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The messages' signals, with made-up reputation of their links."""
-    rows = signals_of(messages(spark, sf_dir), ("message_id", "label", "source", "channel", "prob", *keep))
+    rows = signals_ops.with_signals(messages(spark, sf_dir), ("message_id", "label", "source", "channel", "prob", *keep))
     n, k = F.col("n_urls"), F.col("message_id")
     return rows.withColumns({
         "flagged": (k % 41 == 0) & (n > 0),
@@ -410,30 +380,63 @@ def dashboard_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message_id", policy.dashboard_reasons().alias("reasons"))
 
 
+#: A stored score of the numeric features, by rule: typical means and deviations, coefficients of either sign.
+_TYPICAL = {"text_length": (2_500.0, 3_000.0), "word_count": (400.0, 500.0), "readability_score": (60.0, 30.0), "avg_word_length": (6.0, 2.0), "unique_word_ratio": (0.8, 0.25)}
+LINEAR = [(c, *_TYPICAL.get(c, (0.0, 2.0)), round(0.6 / (1 + j % 4) * (-1) ** (j % 5 == 3), 3)) for j, c in enumerate(NUMERIC)]
+
+
+def stored_model(spark: SparkSession, sf_dir: str, path: str) -> PipelineModel:
+    """The serving set, written as one pipeline and read back: rules, neighbours of the scam class, the linear score."""
+    neighbours = serving.NeighbourProximity().fit(fx.read(spark, sf_dir, "embeddings").select("embedding", "label"))
+    PipelineModel([serving.MessageFeatures(), neighbours, serving.ScaledProximity(), serving.LinearRisk(LINEAR, -1.0)]).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(message_id, text, embedding, key_present): every third message is checked without a key."""
+    vectors = fx.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
+    return messages(spark, sf_dir).select("message_id", "text").join(vectors, "message_id", "left").withColumn("key_present", F.col("message_id") % 3 != 0)
+
+
+def known_links(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    reputation.fresh(url_reputation(spark, sf_dir), ASOF).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def flat_record(record: DataFrame) -> DataFrame:
+    """The record with its map as sorted text, which can be compared."""
+    units = lambda k, v: F.concat(k, F.lit("="), F.round(v * 100).cast("long").cast("string"))  # hundredths: the engines round ties apart
+    return record.withColumn("feature_contributions", F.array_sort(F.transform(F.map_entries("feature_contributions"), lambda e: units(e["key"], e["value"]))))
+
+
 def prediction_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 25 fields for each message. A text below 20 characters has the record of a message that is too short."""
-    rows = signals(spark, sf_dir, ("text",))
-    means = {k: float(j % 5) for j, k in enumerate(NUMERIC)}  # a stored scaler and stored coefficients
-    rows = with_proximity(spark, sf_dir, policy.verdicts(rows))
-    return _normalised(rows).select("message_id", *[c.alias(k) for k, c in policy.prediction_record(means).items()])
+    model, links = stored_model(spark, sf_dir, fx.scratch(spark)), known_links(spark, sf_dir, fx.scratch(spark))
+    return flat_record(serving.score(arriving(spark, sf_dir), model, links, nfkc=False))
 
 
 def _record_sql() -> str:
     short, n = "length(trim(text)) < 20", "NULL"
     zero = lambda q, none="0": f"CASE WHEN {short} THEN {none} ELSE {q} END"
-    number = lambda k: "proximity_score * CAST(0.5 AS DOUBLE)" if k == "proximity_scam_score" else k
-    contributions = [f"'{k}=' || CAST(CAST(round(({number(k)} - {j % 5}.0) * {policy.coefficient(j)!r} * 10000) AS BIGINT) AS VARCHAR)" for j, k in enumerate(NUMERIC)]
-    warned = f"""array_to_string(list_filter([CASE WHEN {short} THEN 'too_short' END, CASE WHEN NOT {short} AND length(text) > 5000 THEN 'long_text' END,
-      CASE WHEN NOT {short} AND ({_SHARE}) > 0.30 THEN 'non_english' END, CASE WHEN NOT {short} AND n_urls > 0 AND message_id % 3 = 0 AND NOT (NOT flagged AND malicious + suspicious > 0) THEN 'reputation_skipped' END], lambda x: x IS NOT NULL), '|')"""
+    double = lambda x: f"CAST({x!r} AS DOUBLE)"
+    scaled = {c: f"((CAST({c} AS DOUBLE) - {double(m)}) / {double(s)} * {double(b)})" for c, m, s, b in LINEAR}
+    contributions = [f"'{k}=' || CAST(CAST(round(round({q}, 4) * 100) AS BIGINT) AS VARCHAR)" for k, q in scaled.items()]
+    warned = f"""list_filter([CASE WHEN {short} THEN 'too_short' END, CASE WHEN NOT {short} AND length(text) > 5000 THEN 'long_text' END,
+      CASE WHEN NOT {short} AND ({_SHARE}) > 0.30 THEN 'non_english' END, CASE WHEN NOT {short} AND n_urls > 0 AND message_id % 3 = 0 AND NOT (NOT flagged AND malicious + suspicious > 0) THEN 'reputation_skipped' END], lambda x: x IS NOT NULL)"""
     fields = {
         "verdict": zero("verdict", "'TOO_SHORT'"), "confidence": zero("confidence", "0.0"), "threshold_used": "CAST(0.4 AS DOUBLE)", "scam_type": zero("scam_type", n), "why_flagged": zero(WHY, n),
         **{t: zero(t) for t in policy.TONES}, **{k: zero(k) for k in URL_SQL}, "scam_phrase_score": zero("scam_phrase_score"), "sender_impersonation": zero("sender_impersonation_score"),
-        "proximity_score": zero("proximity_score", "0.0"), "urls_found": zero("array_to_string(urls, ' ')", "''"), "gsb_flagged": zero("flagged", n), "gsb_threat_type": zero("CASE WHEN flagged THEN 'SOCIAL_ENGINEERING' END", n),
+        "proximity_score": zero("proximity_score", "0.0"), "urls_found": zero("urls", "[]"), "gsb_flagged": zero("flagged", n), "gsb_threat_type": zero("CASE WHEN flagged THEN threat_type END", n),
         "gsb_attempted": zero("n_urls > 0 AND message_id % 3 <> 0", n), "vt_malicious": zero("malicious"), "vt_suspicious": zero("suspicious"), "vt_attempted": zero("NOT flagged AND malicious + suspicious > 0", n),
-        "normalized_text": zero("md5(leet)", "md5('')"), "feature_contributions": zero("array_to_string([" + ", ".join(contributions) + "], ' ')", "''"), "warnings": warned,
+        "normalized_text": zero("leet", "''"), "feature_contributions": zero("list_sort([" + ", ".join(contributions) + "])", "[]"), "warnings": warned,
     }
-    normal = f"scored_norm AS (SELECT *, {_LEET.format(_CLEAN)} AS leet FROM scored)"
-    return f"WITH {VERDICTS}, {PROXIMITY}, {normal} SELECT message_id, {', '.join(f'{q} AS {k}' for k, q in fields.items())} FROM scored_norm"
+    made = f"""{fx.MESSAGES}, {_LINKS}, s0 AS MATERIALIZED ({signals_sql('message_id, label, source, channel, text')}), {_REPUTATION}, rep AS ({_ROLLED}), {NEAR},
+s1 AS MATERIALIZED (SELECT s0.*, coalesce(rep.flagged, false) AS flagged, coalesce(rep.malicious, 0) AS malicious, coalesce(rep.suspicious, 0) AS suspicious, rep.threat_type,
+  round(coalesce(near.scam, 0.0), 4) AS proximity_score, round(coalesce(near.scam, 0.0), 4) * CAST(0.5 AS DOUBLE) AS proximity_scam_score
+  FROM s0 LEFT JOIN rep ON rep.message_id = s0.message_id LEFT JOIN near ON near.vec_id = s0.message_id),
+signals AS MATERIALIZED (SELECT *, round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({' + '.join(scaled.values())} - CAST(1.0 AS DOUBLE)))), 4) AS prob FROM s1)"""
+    normal = f"scored_norm AS (SELECT *, {_LEET.format(_CLEAN)} AS leet FROM verdicts)"
+    return f"WITH {made}, {verdicts_sql()}, {normal} SELECT message_id, {', '.join(f'{q} AS {k}' for k, q in fields.items())} FROM scored_norm"
 
 
 QUERIES |= {

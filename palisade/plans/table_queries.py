@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions import rules, text
-from palisade.operators import conversations, corpus, policy, proximity, tfidf, training
+from palisade.operators import conversations, corpus, policy, proximity, serving, tfidf, training
 from palisade.plans import fixtures as fx
 from palisade.plans import message_queries as mq
-from palisade.plans.fixtures import messages, quoted, read
+from palisade.plans.fixtures import messages, quoted, read, scratch
+from palisade.operators.signals import with_signals
 from palisade.plans.report_queries import rounded
 from palisade.sources import feeds
 from palisade.streaming import streams
@@ -26,19 +25,6 @@ def _add(name: str, run, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new place in the shared folder of spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/query-{uuid.uuid4().hex}"
-
-
 # --- corpus
 def corpus_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).withColumn("channel_id", F.expr("CASE channel WHEN 'en' THEN 1 WHEN 'fr' THEN 3 WHEN 'de' THEN 4 ELSE 5 END")).withColumn("source_id", F.expr("cast(substring(source, 4) as int)"))
@@ -149,7 +135,7 @@ def cued_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the chats scored by the verdict policy; the probability before it adds up what was found."""
-    rows = mq.signals_of(conversations.segments(conversations.by_chat(cued_turns(spark, sf_dir))), ("conv_id", "kind", "start", "n", "text"))
+    rows = with_signals(conversations.segments(conversations.by_chat(cued_turns(spark, sf_dir))), ("conv_id", "kind", "start", "n", "text"))
     found = F.col("tone_urgency") + F.col("tone_fear") + F.col("tone_reward") + F.col("tone_threat")
     prob = F.least(F.lit(0.95), F.lit(0.05) + F.lit(0.10) * found + F.lit(0.12) * F.col("scam_phrase_score") + F.lit(0.15) * F.col("url_suspicious_keyword"))
     rows = rows.withColumns({"prob": F.round(prob, 6), "flagged": F.lit(False), "malicious": F.lit(0), "suspicious": F.lit(0)})
@@ -203,7 +189,7 @@ NUMERIC = list(mq.NUMERIC)
 
 def numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 26 numeric features of each message. They are read more than once, so they are kept."""
-    rows = mq.with_proximity(spark, sf_dir, mq.signals_of(messages(spark, sf_dir), ("message_id", "label", "text")))
+    rows = mq.with_proximity(spark, sf_dir, with_signals(messages(spark, sf_dir), ("message_id", "label", "text")))
     rows = rows.withColumn("proximity_scam_score", F.col("proximity_score") * 0.5)
     return rows.select("message_id", "label", "text", *[F.col(c).cast("double").alias(c) for c in NUMERIC]).persist()
 
@@ -323,23 +309,35 @@ SELECT f.message_id, coalesce(wb.n, 0) AS n_words, round(coalesce(wb.total, 0.0)
 FROM f LEFT JOIN wb ON f.message_id = wb.message_id LEFT JOIN cb ON f.message_id = cb.message_id"""
 
 
-def artefact_roundtrip(threshold: float | None):
-    """A pipeline saved with its threshold, or alone as older versions did; then loaded and applied."""
+def serving_set(spark: SparkSession, sf_dir: str, path: str):
+    """The serving set fitted on the messages and written; (fitted pipeline, messages)."""
+    from pyspark.ml.classification import LogisticRegression
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import VectorAssembler
+    labels = messages(spark, sf_dir).select("message_id", "label")
+    rows = mq.arriving(spark, sf_dir).join(labels, "message_id")
+    model = serving.fit_serving(rows, _vec(spark, sf_dir).select("embedding", "label"), LogisticRegression(maxIter=20, regParam=0.001, standardization=False))
+    model.write().overwrite().save(path)
+    return model, rows
 
-        rows, path = numeric(spark, sf_dir), scratch(spark)
-        training.artefact_sink(Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows), threshold, path)
-        model, found = training.artefact_source(path)
-        return training.probabilities(model, rows).select("message_id", "prob", F.lit(found).alias("threshold"))
 
-    return run
+def artefact_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored serving set holds, by stage and table."""
+    path = scratch(spark)
+    model, _ = serving_set(spark, sf_dir, path)
+    return spark.createDataFrame(serving.inventory(model, path), "place int, stage string, table string, n long")
 
 
-COEFFICIENTS = {c: policy.coefficient(k) for k, c in enumerate(NUMERIC)}
+def artefact_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and decisions of all messages under the serving set as it is loaded from its folder."""
+    from pyspark.ml import PipelineModel
+
+    path = scratch(spark)
+    _, rows = serving_set(spark, sf_dir, path)
+    loaded = PipelineModel.load(path)
+    return loaded.transform(rows).select("message_id", "prob", "positive", F.lit(loaded.stages[-1].threshold).alias("threshold"))
+
+
+COEFFICIENTS = {c: 0.25 * (k + 1) * (-1) ** k for k, c in enumerate(NUMERIC)}
 _contrib = lambda s, d: training.feature_contributions(tfidf.scale_numeric(numeric(s, d), NUMERIC), COEFFICIENTS)
 _CON = f"{_NUM}, z AS (SELECT message_id, {_Z.replace(', 6) AS', ', 12) AS')} FROM f), con AS (" + " UNION ALL ".join(f"SELECT message_id, '{c}' AS feature, round({c} * CAST({b} AS DOUBLE), 4) AS contribution FROM z" for c, b in COEFFICIENTS.items()) + ")"
 _add("feature_contributions", lambda s, d: _contrib(s, d).select("message_id", F.explode("contributions").alias("feature", "contribution")), f"WITH {_CON} SELECT * FROM con")
@@ -351,8 +349,8 @@ _add("random_search_rf", random_search_rf)
 _add("stratified_cv", stratified_cv)
 _add("feature_importance_topk", feature_importance_topk)
 _add("assemble_features", assemble_features, _ASSEMBLED)
-_add("artefact_sink", artefact_roundtrip(0.47))
-_add("artefact_source", artefact_roundtrip(None))
+_add("artefact_sink", artefact_sink)
+_add("artefact_source", artefact_source)
 
 
 # --- streams
@@ -396,7 +394,17 @@ def through_stream(df: DataFrame, change, spark: SparkSession) -> DataFrame:
     return drained(change(spark.readStream.schema(df.schema).parquet(source)), spark)
 
 
-_add("stream_score", lambda s, d: through_stream(messages(s, d).select("message_id", "text"), streams.stream_score, s).drop("text"), "WITH " + fx.MESSAGES + " SELECT message_id, " + ", ".join(f"{q} AS {n}" for n, q in mq._basic_sql("text", rules.CUES, 4).items()) + " FROM messages")
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record over a stream of two appends, each read as a batch of its own, under a pipeline that was stored before."""
+    model, links, source = mq.stored_model(spark, sf_dir, scratch(spark)), mq.known_links(spark, sf_dir, scratch(spark)), scratch(spark)
+    rows = mq.arriving(spark, sf_dir)
+    for k in range(2):
+        rows.where(F.col("message_id") % 2 == k).repartition(4).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    return mq.flat_record(drained(streams.stream_score(stream, model, links, nfkc=False), spark))
+
+
+_add("stream_score", stream_score, mq.ORACLE_SQL["prediction_record"])
 
 
 def stream_reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palisade.functions.text import MAX_CHARS, MIN_CHARS, basic_features
+from palisade.functions.text import MAX_CHARS, MIN_CHARS
+from palisade.operators.serving import score
 
 
 def message_key(text: Column) -> Column:
@@ -24,9 +26,9 @@ def request_validation(df: DataFrame, text: str = "text", low: int = MIN_CHARS,
     return df.withColumn(text, t).withColumn("reason", F.when(n == 0, "empty").when(n < low, "too_short").when(n > high, "too_long"))
 
 
-def stream_score(messages: DataFrame, text: str = "text") -> DataFrame:
-    """The same columns as in batch; stateless, so it runs in append mode."""
-    return messages.withColumns(basic_features(F.col(text)))
+def stream_score(messages: DataFrame, model: Transformer, reputation: DataFrame, **how) -> DataFrame:
+    """The record of each arriving message under a stored pipeline, as in batch; stateless, so it runs in append mode."""
+    return score(messages, model, reputation, **how)
 
 
 #: Rows of a key from which it is cut into time slices of about so many rows.

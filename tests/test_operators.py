@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import features, rules, text, tone, urls
 from palisade.operators import conversations, corpus, evaluation, policy, proximity, tfidf, training
+from palisade.operators.signals import with_signals
 from palisade.streaming import streams
 
 
@@ -185,16 +186,14 @@ def test_bare_models_get_the_default_threshold(spark, tmp_path):
 
 
 def test_record_of_a_short_text(spark):
-    from palisade.plans import message_queries as mq
-
     df = spark.createDataFrame([(1, "short", 0.5), (2, "act now, verify your account at http://paypal-login.xyz/a", 0.5)], "message_id long, text string, prob double")
-    rows = mq.signals_of(df, ("message_id", "text", "prob")).withColumns({"flagged": F.lit(False), "malicious": F.lit(0), "suspicious": F.lit(0)})
-    rows = policy.verdicts(rows).withColumns({"leet": text.leet_normalize(F.col("text")), "proximity_score": F.lit(0.0)})
-    got = [r for r in rows.select(*[c.alias(k) for k, c in policy.prediction_record({"text_length": 0.0}).items()]).collect()]
+    rows = with_signals(df, ("message_id", "text", "prob")).withColumns({"flagged": F.lit(False), "malicious": F.lit(0), "suspicious": F.lit(0)})
+    rows = policy.verdicts(rows).withColumns({"leet": text.leet_normalize(F.col("text")), "proximity_score": F.lit(0.0), "key_present": F.lit(True), "threat_type": F.lit(None).cast("string"), "contributions": F.create_map(F.lit("a"), F.lit(0.5))})
+    got = rows.select(*[c.alias(k) for k, c in policy.prediction_record().items()]).collect()
     assert len(got[0]) == 25
     short, long = sorted(got, key=lambda r: r["verdict"] != "TOO_SHORT")
-    assert short["warnings"] == "too_short" and short["scam_type"] is None and short["vt_malicious"] == 0 and short["gsb_flagged"] is None
-    assert long["verdict"] == "SCAM" and long["why_flagged"].startswith("fake_company_link|odd_suffix_link") and long["urls_found"] == "http://paypal-login.xyz/a"
+    assert short["warnings"] == ["too_short"] and short["feature_contributions"] == {} and short["urls_found"] == [] and short["scam_type"] is None and short["vt_malicious"] == 0 and short["gsb_flagged"] is None
+    assert long["verdict"] == "SCAM" and long["why_flagged"].startswith("fake_company_link|odd_suffix_link") and long["urls_found"] == ["http://paypal-login.xyz/a"] and long["feature_contributions"] == {"a": 0.5}
 
 
 def test_auc_with_ties_and_bounds(spark):
