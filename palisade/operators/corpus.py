@@ -38,9 +38,11 @@ def new_messages(existing: DataFrame, batch: DataFrame, *, text: str = "text", p
     return first.join(existing.select(text).distinct(), text, "left_anti")
 
 
-def with_next_ids(rows: DataFrame, top: int, *, pos: str = "pos", id_col: str = "message_id", parts: int = 64) -> DataFrame:
-    """Dense ids from top + 1 in order of ``pos``. Rows are ranked inside ranges; only range sizes meet in one place."""
-    edges = rows.agg(F.percentile_approx(pos, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+def with_next_ids(rows: DataFrame, top: int, *, pos: str = "pos", id_col: str = "message_id", range_rows: int = 200_000) -> DataFrame:
+    """Dense ids from top + 1 in order of ``pos``. Rows are ranked inside ranges of about ``range_rows`` rows; only range sizes
+    meet in one place."""
+    parts = min(10_000, 1 + rows.count() // range_rows)  # at 10,000 the ranges grow instead
+    edges = rows.agg(F.percentile_approx(pos, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"] or []
     cut = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<long>")
     ranged = rows.withColumn("__r", F.size(F.filter(cut, lambda e: e < F.col(pos))))
     sizes = ranged.groupBy("__r").count()
@@ -71,6 +73,22 @@ def label_balance_report(before: DataFrame, appended: DataFrame, label: str = "l
     )
 
 
-def embedding_todo(messages: DataFrame, embedded: DataFrame, id_col: str = "message_id") -> DataFrame:
-    """Messages that have no stored vector yet."""
-    return messages.join(embedded.select(id_col), id_col, "left_anti")
+def content_hash(text: str = "text"):
+    """What a stored vector remembers of its text; null texts are empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def embedding_plan(messages: DataFrame, stored: DataFrame, *, rebuild: bool = False, id_col: str = "message_id", text: str = "text", hash_col: str = "content_hash") -> DataFrame:
+    """(id, action) for every id of either table: ``new`` texts, ``changed`` ones (stored under another hash, or ``rebuild``),
+    ``kept`` ones and ``gone`` ones, which have no text any more. An id that stands several times is judged by its least hash."""
+    now = messages.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(content_hash(text)).alias("now"))
+    then = stored.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.coalesce(hash_col, F.lit(""))).alias("then"))
+    action = F.when(F.col("now").isNull(), "gone").when(F.col("then").isNull(), "new").when(F.lit(rebuild) | (F.col("now") != F.col("then")), "changed").otherwise("kept")
+    return now.join(then, id_col, "full").select(id_col, action.alias("action"))
+
+
+def embedding_upsert(stored: DataFrame, fresh: DataFrame, plan: DataFrame, *, id_col: str = "message_id") -> DataFrame:
+    """The stored table after a plan: kept rows as they are, new and changed ones from ``fresh``, gone ones left out."""
+    held = stored.join(plan.where("action = 'kept'").select(id_col), id_col, "left_semi")
+    made = fresh.join(plan.where("action in ('new', 'changed')").select(id_col), id_col, "left_semi")
+    return held.unionByName(made.select(*stored.columns))

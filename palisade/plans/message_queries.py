@@ -208,8 +208,9 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY
 
 
 def reputation_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reputation.fresh(url_reputation(spark, sf_dir), ASOF)
-    return found.select("url", "flagged", "threat_type", "malicious", "suspicious")
+    """Each message's links with what was known of them at the message's own time, if it was known in the day before."""
+    at = F.expr("timestampadd(MINUTE, cast(message_id * 17 % 5760 as int), timestamp'2024-01-08 00:00:00')")
+    return reputation.known_before(url_explode(spark, sf_dir).withColumn("ts", at), url_reputation(spark, sf_dir), "ts").drop("checked_at")
 
 
 def url_reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +229,11 @@ def reputation_attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"reputation_freshness": reputation_freshness, "url_reputation_join": url_reputation_join, "reputation_attempt_flags": reputation_attempt_flags}
-ORACLE_SQL["reputation_freshness"] = f"WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION} SELECT url, flagged, threat_type, malicious, suspicious FROM latest"
+ORACLE_SQL["reputation_freshness"] = f"""WITH {fx.MESSAGES}, {_LINKS}, {_REPUTATION},
+dated AS (SELECT message_id, url, TIMESTAMP '2024-01-08 00:00:00' + to_minutes(CAST(message_id * 17 % 5760 AS INT)) AS ts FROM links),
+found AS (SELECT d.message_id, d.url, ts, r.* EXCLUDE (url) FROM dated d ASOF LEFT JOIN reputation r ON r.url = d.url AND d.ts >= r.checked_at)
+SELECT message_id, url, CASE WHEN checked_at >= ts - INTERVAL 24 HOURS THEN flagged END AS flagged, CASE WHEN checked_at >= ts - INTERVAL 24 HOURS THEN threat_type END AS threat_type,
+  CASE WHEN checked_at >= ts - INTERVAL 24 HOURS THEN malicious END AS malicious, CASE WHEN checked_at >= ts - INTERVAL 24 HOURS THEN suspicious END AS suspicious FROM found"""
 _ROLLED = """SELECT message_id, bool_or(flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 1 ELSE malicious END) AS BIGINT) AS malicious,
   CAST(sum(CASE WHEN flagged THEN 0 ELSE suspicious END) AS BIGINT) AS suspicious,
   arg_max(threat_type, CASE WHEN flagged THEN pos END) AS threat_type, count(*) AS n_urls

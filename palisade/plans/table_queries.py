@@ -67,7 +67,18 @@ def label_balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("label_balance_report", label_balance_report, f"WITH {fx.MESSAGES} SELECT count(*) FILTER (WHERE message_id % 3 <> 0) AS n_before, count(*) AS n_after, count(*) FILTER (WHERE label = 1) AS scam_after, count(*) FILTER (WHERE label = 0) AS legit_after FROM messages")
-_add("embedding_reuse", lambda s, d: corpus.embedding_todo(read(s, d, "documents").select(F.col("doc_id").alias("message_id")), read(s, d, "embeddings").select(F.col("vec_id").alias("message_id"))), "SELECT doc_id AS message_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be embedded, from the hashes that stored vectors remember: every seventh text has changed since, and
+    every eleventh vector is of a text that is gone."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text")
+    then = F.when(F.col("message_id") % 7 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"))
+    stored = docs.join(vectors, "message_id").select(F.when(F.col("message_id") % 11 == 5, F.col("message_id") + 10**9).otherwise(F.col("message_id")).alias("message_id"), then.alias("text"))
+    return corpus.embedding_plan(docs, stored.select("message_id", corpus.content_hash().alias("content_hash")))
+
+
+_add("embedding_reuse", embedding_reuse, """WITH v AS (SELECT vec_id FROM embeddings), stored AS (SELECT doc_id + CASE WHEN doc_id % 11 = 5 THEN 1000000000 ELSE 0 END AS id, sha256(text || CASE WHEN doc_id % 7 = 3 THEN '!' ELSE '' END) AS h FROM documents JOIN v ON vec_id = doc_id)
+SELECT coalesce(d.doc_id, s.id) AS message_id, CASE WHEN d.doc_id IS NULL THEN 'gone' WHEN s.id IS NULL THEN 'new' WHEN s.h <> sha256(d.text) THEN 'changed' ELSE 'kept' END AS action FROM documents d FULL JOIN stored s ON s.id = d.doc_id""")
 
 
 def feed_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,18 +373,24 @@ SELECT event_id FROM w WHERE keep"""
 
 
 def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream form over four appends in order of time, each read as a batch of its own."""
-    events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    """The stream over four appends in order of time, each read as a batch of its own: every event with the record of the one
+    that was scored for it."""
+    events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", F.to_json(F.struct(F.col("event_id").alias("scored"), "value")).alias("record"))
     edges = events.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
     source, n = scratch(spark), 4
     place = sum((F.unix_micros("ts") > e).cast("int") for e in map(F.lit, map(int, edges)))
     for k in range(4):
         events.where(place == k).repartition(n, "user_id", "event_type").write.mode("append").parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(source)
-    return drained(streams.dedup_ttl_stream(stream, "ts", ["user_id", "event_type"], 6 * 3600, "event_id"), spark).select("event_id")
+    spark.conf.set(*streams.ROCKS)
+    found = drained(streams.reuse_ttl_stream(stream, "ts", ["user_id", "event_type"], 6 * 3600, "event_id", "record"), spark)
+    return found.select("event_id", "reused", F.get_json_object("record", "$.scored").cast("long").alias("scored"), F.round(F.get_json_object("record", "$.value").cast("double"), 6).alias("value"))
 
 
-_add("stream_dedup_ttl", stream_dedup_ttl, _TTL)
+_REUSE = _TTL.replace("t AS last, true AS keep FROM e", "t AS last, event_id AS scored, true AS keep FROM e").replace("ELSE w.last END,", "ELSE w.last END, CASE WHEN e.t - w.last >= 21600000000 THEN e.event_id ELSE w.scored END,").replace(
+    "SELECT event_id FROM w WHERE keep", "SELECT w.event_id, NOT keep AS reused, scored, round(s.value, 6) AS value FROM w JOIN events s ON s.event_id = w.scored"
+)
+_add("stream_dedup_ttl", stream_dedup_ttl, _REUSE)
 _add("dedup_ttl_batch", lambda s, d: streams.dedup_ttl_batch(_events(s, d), "ts", ["user_id", "event_type"], 6 * 3600, "event_id").select("event_id"), _TTL)
 _VAL = "WITH v AS (SELECT doc_id, length(trim(coalesce(text, ''))) AS n FROM documents) SELECT doc_id, n, CASE WHEN n = 0 THEN 'empty' WHEN n < 20 THEN 'too_short' WHEN n > 5000 THEN 'too_long' END AS reason FROM v"
 _add("request_validation", lambda s, d: streams.request_validation(read(s, d, "documents").select("doc_id", "text")).select("doc_id", F.char_length("text").alias("n"), "reason"), _VAL)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.functions.text import MAX_CHARS, MIN_CHARS
@@ -46,7 +47,7 @@ def time_slices(events: DataFrame, ts: str, key: list[str], id_col: str) -> Data
     same = [F.col(k).eqNullSafe(F.col(f"__key{j}")) for j, k in enumerate(key)]
     cut = F.col("__width").isNotNull()
     place = F.when(cut, F.floor((F.col("__t") - F.col("__low")) / F.col("__width"))).otherwise(F.lit(0)).cast("long")
-    return rows.join(F.broadcast(hot), same, "left").select(*key, "__t", "__i", place.alias("__slice"), cut.alias("__cut"))
+    return rows.join(hot, same, "left").select(*key, "__t", "__i", place.alias("__slice"), cut.alias("__cut"))
 
 
 def slice_map(times: np.ndarray, life: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +129,55 @@ def dedup_ttl_stream(events: DataFrame, ts: str, key: list[str], seconds: int, i
     return events.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(keep, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Reuse(StatefulProcessor):
+    """For each key: when its last scored row came, and that row's record. The state goes when its life is over."""
+
+    def __init__(self, ts: str, id_col: str, record: str, life: int):
+        self.ts, self.id_col, self.record, self.life = ts, id_col, record, life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "at long, record string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.id_col], kind="stable")
+        before = at, record = tuple(self.held.get()) if self.held.exists() else (None, None)
+        reused, records = [], []
+        for x, new in zip(pdf[self.ts].astype("datetime64[us]").astype("int64").tolist(), pdf[self.record].tolist(), strict=True):
+            again = at is not None and x - at < self.life
+            if not again:
+                at, record = x, new
+            reused.append(again)
+            records.append(record)
+        if (at, record) != before:
+            self.held.update((at, record))
+            self.handle.registerTimer(max((at + self.life) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pdf.assign(**{self.record: records, "reused": reused})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.held.get() if self.held.exists() else None
+        if held is not None and (held[0] + self.life) // 1000 <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
+            self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that value state and timers need.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def reuse_ttl_stream(rows: DataFrame, ts: str, key: list[str], seconds: int, id_col: str, record: str, delay: str = "1 hour") -> DataFrame:
+    """Each row with the record (a text column, such as JSON) of the scored row that stands for it, and ``reused``: a row is
+    scored anew if no scored row of its key is less than ``seconds`` older, else it has that row's record. The time of a key runs
+    from its scored row; repeats do not renew it. Rows of a key must come in order of time from batch to batch, or within
+    ``delay``; the rows of one batch are put in order. The session must use the state store of :data:`ROCKS`."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", reused boolean"
+    by = rows.withWatermark(ts, delay).groupBy(*key)
+    return by.transformWithStateInPandas(Reuse(ts, id_col, record, seconds * 1_000_000), outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
 def stream_reputation_join(links: DataFrame, reputation: DataFrame, ts: str, hours: int = 24) -> DataFrame:
     """Stream of links left-joined with a static reputation table; stale rows count as unknown."""
     young = F.col("checked_at") >= F.col(ts) - F.expr(f"INTERVAL {hours} HOURS")
