@@ -62,3 +62,37 @@ def corpus_summary(df: DataFrame, label: str = "label", length: str = "text_leng
 
 def detection_rate(df: DataFrame, kind: str = "scam_type", flag: str = "detected") -> DataFrame:
     return df.groupBy(kind).agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("double")).alias("rate"))
+
+
+#: Size of the quantile sketches: ranks are off by about 0.4 % at most (99 % confidence), on about 10 KB a sketch.
+SKETCH_K = 1_024
+
+
+def quantile_sketches(df: DataFrame, value: str, *by: str, k: int = SKETCH_K) -> DataFrame:
+    """(by.., n, least, greatest, sketch) of a whole-number column: a row a group that can be stored and merged later, over days
+    or other groups. Nulls are left out; a group of nulls alone has no row."""
+    v = F.col(value).cast("long")
+    return df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.kll_sketch_agg_bigint(v, F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketches of coarser groups; no value is read again."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def box_from_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """As :func:`box_stats`, within the sketches' error: a quartile is some value of the group whose rank is near."""
+    at = lambda p: F.kll_sketch_get_quantile_bigint("sketch", F.lit(p)).cast("double")
+    q = sketches.select(*by, at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    spread = (F.col("q3") - F.col("q1")) * 1.5
+    return q.withColumns({"low": F.col("q1") - spread, "high": F.col("q3") + spread})
+
+
+def histogram_from_sketches(sketches: DataFrame, bins: int, *by: str) -> DataFrame:
+    """(by.., bin, n): equal bins between the least and the greatest value of all groups, with counts from ranks at the edges,
+    each within the sketches' error."""
+    ends = sketches.agg(F.min("least").alias("lo"), F.max("greatest").alias("hi")).first()
+    lo, width = ends["lo"] or 0, ((ends["hi"] or 0) - (ends["lo"] or 0)) or 1
+    below = lambda i: F.when(F.lit(i) >= bins, F.lit(1.0)).otherwise(F.kll_sketch_get_rank_bigint("sketch", F.lit(-(-width * i // bins) + lo - 1).cast("long")))
+    counts = F.array(*[F.struct(F.lit(i).alias("bin"), F.round((below(i + 1) - (below(i) if i else F.lit(0.0))) * F.col("n")).cast("long").alias("n")) for i in range(bins)])
+    return sketches.select(*by, F.inline(F.filter(counts, lambda c: c["n"] > 0)))

@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine: exact in blocks, and approximate by cells around centres."""
+"""Exact nearest neighbours by cosine, in blocks; :mod:`palisade.operators.vector_index` has approximate ones."""
 
 from __future__ import annotations
 
@@ -75,31 +75,3 @@ def similar_messages(queries: DataFrame, references: DataFrame, texts: DataFrame
     near = class_knn(queries, references, k, id_col=id_col)
     joined = near.join(texts.select(F.col(id_col).alias("ref_id"), F.substring(text_col, 1, 150).alias("snippet")), "ref_id")
     return joined.select(id_col, "ref_id", F.round("similarity", 4).alias("similarity"), "rank", "snippet")
-
-
-#: Rows that centres are fitted on, centres, and the share of them that a query looks at.
-FIT_ROWS, CENTRES, PROBED = 10_000, 64, 0.5
-
-
-def knn_approx(queries: DataFrame, references: DataFrame, k: int = 10, *, id_col: str = "vec_id", col: str = "embedding", centres: int = CENTRES, probed: float = PROBED, seed: int = 42) -> DataFrame:
-    """The k best references among those of the cells that are nearest to a query. Centres are fitted on about FIT_ROWS rows
-    by hash; every reference is in the cell of its nearest centre. Queries with fewer than k there are compared with all."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = references.count()
-    unit = l2_normalize(references.select(F.col(id_col).alias("id"), F.col(col).alias("v")), "v")
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, FIT_ROWS / max(n, 1)) * (1 << 30)))
-    model = KMeans(k=min(centres, max(2, n // (4 * k))), seed=seed, featuresCol="x", predictionCol="cell").fit(unit.where(draw).select(array_to_vector("v").alias("x")))
-    points = np.stack(model.clusterCenters())  # a few vectors: a literal of the plan
-    places = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(float(x)) for x in p]).alias("at")) for c, p in enumerate(points)])
-    reach = lambda v: F.transform(places, lambda p: F.struct(F.aggregate(F.zip_with(v, p["at"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), p["cell"].alias("number")))
-    held = unit.select(F.array_min(reach(F.col("v")))["number"].alias("cell"), "id", "v")
-    asked = l2_normalize(queries.select(F.col(id_col).alias("id"), F.col(col).alias("v")), "v")
-    near = F.slice(F.sort_array(reach(F.col("v"))), 1, max(1, int(len(points) * probed + 0.5)))
-    asked = asked.select(F.explode(near).alias("c"), "id", "v").select(F.col("c.number").alias("cell"), "id", "v")
-    largest = held.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
-    found = _nearest(*_meet(asked, held, {0: largest}, queries.count()), k, False).withColumnRenamed("id", id_col).persist()
-    few = queries.select(id_col).join(found.groupBy(id_col).count().where(F.col("count") >= min(k, n)), id_col, "left_anti")
-    rest = queries.join(few, id_col, "left_semi")
-    return found.join(few, id_col, "left_anti").unionByName(class_knn(rest, references, k, id_col=id_col, col=col))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import features, rules, text, tone, urls
-from palisade.operators import policy, proximity, reputation, serving
+from palisade.operators import domains, policy, proximity, reputation, serving
 from palisade.operators import signals as signals_ops
 from palisade.operators.signals import NUMERIC
 from palisade.plans import fixtures as fx
@@ -165,6 +165,21 @@ for _name in URL_SQL:
     _column(_name, lambda n=_name: _flags()[n], URL_SQL[_name])
 _column("lookalike_domain", lambda: F.exists("urls", lambda u: urls.lookalike(u)), _any(_FAKE))
 _column("trusted_all", lambda: urls.trusted_all(F.col("urls")), _TRUSTED)
+
+
+def trusted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a table of domains, here the default ones."""
+    table = spark.createDataFrame([(d,) for d in rules.TRUSTED], "domain string")
+    return domains.trusted_by_table(urls.with_links(messages(spark, sf_dir)).select("message_id", "urls"), table).select("message_id", F.col("trusted").alias("trusted_all"))
+
+
+def lookalike_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a table of brands and their domains."""
+    table = spark.createDataFrame([(b, d) for b, own in rules.BRANDS.items() for d in own], "brand string, domain string")
+    return domains.lookalike_by_table(urls.with_links(messages(spark, sf_dir)).select("message_id", "urls"), table).select("message_id", F.col("lookalike").alias("lookalike_domain"))
+
+
+QUERIES |= {"trusted_all": trusted_all, "lookalike_domain": lookalike_domain}
 _OLD_PAIRS = f"regexp_extract_all(low, {quoted(urls.PAIR)}, 1)"
 _LEGACY = {
     "url_suspicious_tld": f"CAST({_any(_ends('u', rules.TLDS_LEGACY), _OLD_PAIRS)} AS INT)",

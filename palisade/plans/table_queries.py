@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions import rules, text
-from palisade.operators import conversations, corpus, policy, proximity, serving, tfidf, training
+from palisade.operators import conversations, corpus, policy, proximity, serving, tfidf, training, vector_index
 from palisade.plans import fixtures as fx
 from palisade.plans import message_queries as mq
 from palisade.plans.fixtures import messages, quoted, read, scratch
 from palisade.operators.signals import with_signals
 from palisade.plans.report_queries import rounded
-from palisade.sources import feeds
+from palisade.sources import chat_files, feeds
 from palisade.streaming import streams
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -110,11 +110,16 @@ def chat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chats written as one text file each and read back."""
-    path = scratch(spark)
-    chat_exports(spark, sf_dir).select(F.concat("text", F.lit("\n")).alias("value"), "conv_id").write.partitionBy("conv_id").text(path)
-    kept, _ = feeds.conversation_file_scan(spark, path)
-    return kept.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), F.char_length(F.regexp_replace("text", r"\s+$", "")).alias("n"))
+    """Chats written as files of several kinds, and read back with the reasons of those that are rejected: of ten ids one has
+    no text, one has too much and one is of a wrong type."""
+    path, kind = scratch(spark), F.col("conv_id") % 10
+    said = F.when(kind == 7, F.lit(" ")).when(kind == 8, F.repeat(F.rpad(F.lit("x"), 1_000, "y"), 101)).otherwise(F.col("text"))
+    chats = chat_exports(spark, sf_dir).select(F.concat(said, F.lit("\n")).alias("value"), "conv_id")
+    chats.where("conv_id % 10 <> 9").write.partitionBy("conv_id").text(path)
+    chats.where("conv_id % 10 = 9").write.mode("append").partitionBy("conv_id").json(path)
+    chat_files.register(spark)
+    rows = spark.read.format("palisade_chats").option("path", path).load()
+    return rows.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), F.char_length("text").alias("n"), "reason")
 
 
 _MINUTE = "'10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0')"
@@ -122,7 +127,9 @@ _BRACKET = f"CASE WHEN conv_id % 4 = 3 THEN '01/02/2024,' ELSE '01/02/2024, ' EN
 _DASH = f"'01/02/2024, ' || {_MINUTE} || CASE WHEN conv_id % 2 = 1 THEN ' PM' ELSE '' END"
 _EXPORT = f"""lines AS (SELECT conv_id, turn, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS said, role, {_BRACKET} AS bracket, {_DASH} AS dash FROM conversations), exports AS (
 SELECT conv_id, string_agg(CASE WHEN conv_id % 3 = 0 THEN '[' || bracket || '] ' || role || ': ' || said WHEN conv_id % 3 = 1 THEN dash || ' - ' || role || ': ' || said ELSE said END, chr(10) ORDER BY turn) AS text FROM lines GROUP BY conv_id)"""
-_add("conversation_file_scan", conversation_file_scan, f"WITH {_EXPORT} SELECT conv_id, length(regexp_replace(trim(text), '\\s+$', '')) AS n FROM exports WHERE trim(text) <> '' AND length(trim(text)) <= 100000")
+_add("conversation_file_scan", conversation_file_scan, f"""WITH {_EXPORT}, r AS (SELECT conv_id, regexp_replace(trim(text), '\\s+$', '') AS text,
+CASE WHEN conv_id % 10 = 9 THEN 'type' WHEN conv_id % 10 = 8 THEN 'length' WHEN conv_id % 10 = 7 OR trim(text) = '' THEN 'empty' WHEN length(trim(text)) > 100000 THEN 'length' END AS reason FROM exports)
+SELECT conv_id, CASE WHEN reason IS NULL THEN length(text) END AS n, reason FROM r""")
 _add("parse_chat_export", lambda s, d: conversations.parse_chat_export(chat_exports(s, d)), f"""WITH {_EXPORT}, r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN bracket ELSE dash END AS timestamp, role AS sender, trim(said) AS text FROM lines WHERE conv_id % 3 < 2 AND trim(said) <> ''
 UNION ALL SELECT conv_id, turn, '', 'Unknown', trim(said) FROM lines WHERE conv_id % 3 = 2 AND length(trim(said)) > 10)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS turn, timestamp, sender, text FROM r""")
@@ -226,7 +233,15 @@ _PROX = f"{_UNIT}, s AS (SELECT vec_id, avg(similarity) * 0.5 AS scam FROM ({_kn
 _add("proximity_scores", _prox, f"WITH {_PROX} SELECT vec_id, round(scam, 6) AS scam, round(legit, 6) AS legit, round(delta, 6) AS delta FROM prox")
 _add("proximity_by_label", lambda s, d: _prox(s, d).join(_vec(s, d).select("vec_id", (F.col("label") < 5).cast("int").alias("is_scam")), "vec_id").groupBy("is_scam").agg(*[F.avg(c).alias(c) for c in ("scam", "legit", "delta")]), f"WITH {_PROX} SELECT CAST(label < 5 AS INT) AS is_scam, round(avg(scam), 6) AS scam, round(avg(legit), 6) AS legit, round(avg(delta), 6) AS delta FROM prox JOIN embeddings e ON prox.vec_id = e.vec_id GROUP BY 1")
 _add("similar_messages", lambda s, d: proximity.similar_messages(_vec(s, d), _vec(s, d).where("label < 5"), read(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")), f"WITH {_UNIT}, n AS ({_knn_sql('b.label < 5', 3)}) SELECT n.vec_id, ref_id, round(similarity, 4) AS similarity, rank, substring(text, 1, 150) AS snippet FROM n JOIN documents d ON d.doc_id = n.ref_id")
-_add("knn_approx", lambda s, d: proximity.knn_approx(_vec(s, d).where("vec_id % 100 = 0"), _vec(s, d)))
+def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every vector whose id is divisible by 100 among all vectors, from an index that was stored before."""
+    path = scratch(spark)
+    vector_index.build(_vec(spark, sf_dir), path)
+    found = vector_index.search(_vec(spark, sf_dir).where("vec_id % 100 = 0"), vector_index.load(spark, path))
+    return found.select("vec_id", "ref_id", "similarity", "rank")
+
+
+_add("knn_approx", knn_approx)
 
 # --- models
 _split = lambda s, d: training.stratified_split(messages(s, d).select("message_id", "label"))

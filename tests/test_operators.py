@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import features, rules, text, tone, urls
-from palisade.operators import conversations, corpus, evaluation, policy, proximity, tfidf, training
+from palisade.operators import conversations, corpus, evaluation, policy, proximity, tfidf, training, vector_index
 from palisade.operators.signals import with_signals
 from palisade.streaming import streams
 
@@ -35,7 +35,7 @@ def test_extract_urls(spark):
     found = one(spark, "see http://a.com/x and b.org, mail me@c.com, again b.org", lambda: urls.extract_urls(F.col("text")))
     assert found == ["http://a.com/x", "https://b.org"]
     assert one(spark, "no link", lambda: urls.trusted_all(urls.explicit_urls(F.col("text")))) is False
-    assert one(spark, "https://www.chase.com/a", lambda: urls.trusted_all(urls.explicit_urls(F.col("text")))) is True
+    assert one(spark, "https://www.irs.gov/a", lambda: urls.trusted_all(urls.explicit_urls(F.col("text")))) is True
     assert one(spark, "https://chase.com.evil.top", lambda: urls.trusted_all(urls.explicit_urls(F.col("text")))) is False
 
 
@@ -127,16 +127,15 @@ def test_rules_have_word_borders(spark):
     assert kind("my uncle taught me to trade and showed you how i invest") == "pig_butchering"
 
 
-def test_approximate_neighbours_recall(spark):
+def test_approximate_neighbours_recall(spark, tmp_path):
     rng = random.Random(5)
     rows = [(k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(800)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = df.where("vec_id % 20 = 0")
     exact = {(r["vec_id"], r["ref_id"]) for r in proximity.class_knn(asked, df).collect()}
-    found = {(r["vec_id"], r["ref_id"]) for r in proximity.knn_approx(asked, df).collect()}
-    assert len(exact) == len(found) == 400 and len(exact & found) >= 0.9 * len(exact)
-    few = proximity.knn_approx(asked, df.where("vec_id < 4")).groupBy("vec_id").count().collect()
-    assert len(few) == 40 and all(r["count"] == 4 for r in few)
+    index = vector_index.build(df, str(tmp_path / "i"))
+    found = {(r["vec_id"], r["ref_id"]) for r in vector_index.search(asked, index).collect()}
+    assert len(exact) == 400 and len(exact & found) >= 0.9 * len(exact)
 
 
 def test_neighbours_across_blocks(spark, monkeypatch):
