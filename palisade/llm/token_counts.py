@@ -50,7 +50,7 @@ class RankMerger:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), np.array(made, np.int64)
         self._check_order(np.array(left), np.array(right))
         split = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(split)
+        self.pattern = regex.compile(_as_the_library(split), regex.V1)
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)")
         self.cache: dict[str, int] = {}
 
@@ -139,8 +139,26 @@ class RankMerger:
         return [specials + sum(map(known.__getitem__, found)) for specials, found in rows]
 
 #: Lower case where str.lower() looks at neighbours or knows no such letter yet.
-_LATER = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7DC: 0x019B}
-_ODD = re.compile("[\u03a3\ua7cb\ua7dc]")
+_LATER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+_LATER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_ODD = re.compile("[" + "".join(map(chr, _LATER)) + "]")
+#: Ranges of letters, then of numbers, that the library's tables do not have yet.
+_UNKNOWN = (
+    "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A-11B0A 11DB0-11DDB 11DF1-11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168 1D6A6-1D6A6 "
+    "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+    "11DE0-11DE9 1246F-1246F 12475-1247F 12550-12686 16FF4-16FF6"
+)
+
+
+def _as_the_library(pattern: str) -> str:
+    """The pre-tokeniser's pattern with what the library takes for letters and numbers."""
+    unknown = "[" + "".join(f"\\U{int(a, 16):08X}-\\U{int(b, 16):08X}" for a, b in (r.split("-") for r in _UNKNOWN.split())) + "]"
+    other = r"[^\s\p{L}\p{N}]"
+    parts = [part.replace(r"[\p{L}]", rf"[\p{{L}}--{unknown}]").replace(r"[\p{N}]", rf"[\p{{N}}--{unknown}]") for part in pattern.split(other)]
+    return f"[{other}||{unknown}]".join(parts)
+
+
 #: White space of the pre-tokeniser's pattern; str.split() would also split at four control characters.
 _SPACE = regex.compile(r"[\t-\r \x85\p{Z}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")

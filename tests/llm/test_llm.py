@@ -45,6 +45,17 @@ def test_token_counts_match_the_library(spark, docs):
     assert all(r["n_tokens"] == 0 and r["n_bytes"] == 0 for r in got if r["doc_id"] in (61, 62))
 
 
+def test_token_counts_match_the_library_on_all_planes():
+    import tokenizers
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, own, rng = tokenizers.Tokenizer.from_file(path), token_counts.RankMerger(path), random.Random(11)
+    odd = [chr(int(r.split("-")[0], 16)) for r in token_counts._UNKNOWN.split()] + [chr(c) for c in token_counts._LATER]
+    anywhere = lambda: chr(rng.choice([rng.randint(0x20, 0xD7FF), rng.randint(0xE000, 0x10FFFF), rng.randint(0x10000, 0x1FFFF)]))
+    texts = ["".join(rng.choice([anywhere(), rng.choice(odd), rng.choice(["a", "'s", "1", " ", "é", "\u0301", "İ"])]) for _ in range(rng.randint(1, 12))) for _ in range(8_000)]
+    assert own.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_ids_match_the_library():
     import tokenizers
 
