@@ -70,7 +70,6 @@ _SHARE = "CASE WHEN length(text) > 0 THEN 1.0 - CAST(length(regexp_replace(text,
 _column("non_ascii_warning", lambda: {"non_ascii": F.round(text.non_ascii_share(_t()), 6), "warned": text.non_ascii_share(_t()) > 0.30}, {"non_ascii": f"round({_SHARE}, 6)", "warned": f"({_SHARE}) > 0.30"})
 _column("display_confidence", lambda: {"shown": F.round(policy.display_confidence(policy.verdict_tier(F.col("prob")), F.col("prob") * 100), 6)}, {"shown": "round(greatest(least(CASE WHEN prob >= 0.4 THEN prob * 100 ELSE 100.0 - prob * 100 END, 100.0), 0.0), 6)"})
 _column("score_band", lambda: policy.score_band(F.col("prob") * 100), "CASE WHEN prob * 100 < 26 THEN 'low' WHEN prob * 100 < 51 THEN 'moderate' WHEN prob * 100 < 75 THEN 'high' ELSE 'critical' END")
-_column("proximity_band", lambda: policy.proximity_band(F.col("prob")), "CASE WHEN prob > CAST(0.65 AS DOUBLE) THEN 'high' WHEN prob > CAST(0.45 AS DOUBLE) THEN 'medium' ELSE 'low' END")
 
 
 # --- basic statistics
@@ -364,6 +363,16 @@ def with_proximity(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFra
     return rows.join(near, "message_id", "left").withColumn("proximity_score", F.round(F.coalesce("scam", F.lit(0.0)), 4)).drop("scam")
 
 
+def proximity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_proximity(spark, sf_dir, messages(spark, sf_dir).select("message_id"))
+    return rows.select("message_id", policy.proximity_band(F.col("proximity_score")).alias("proximity_band"))
+
+
+QUERIES["proximity_band"] = proximity_band
+ORACLE_SQL["proximity_band"] = f"""WITH {NEAR}, s AS (SELECT doc_id AS message_id, round(coalesce(near.scam, 0.0), 4) AS x FROM documents LEFT JOIN near ON near.vec_id = doc_id)
+SELECT message_id, CASE WHEN x > CAST(0.65 AS DOUBLE) THEN 'high' WHEN x > CAST(0.45 AS DOUBLE) THEN 'medium' ELSE 'low' END AS proximity_band FROM s"""
+
+
 def _policy_query(rule: policy.Rule) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return policy.apply_policy(signals(spark, sf_dir)).select("message_id", F.round(f"p_{rule.name}", 6).alias("p"))

@@ -153,19 +153,36 @@ def _hist_sql(value: str, bins: int) -> str:
 
 _length = lambda s, d: messages(s, d).withColumn("n_chars", F.char_length("text"))
 _add("text_length_hist", lambda s, d: analytics.histogram(_length(s, d), "n_chars", 60, "label", clip=3000.0), f"WITH {fx.MESSAGES}, {_hist_sql('least(length(text), 3000)', 60)}")
-_add("proximity_hist", lambda s, d: analytics.histogram(messages(s, d), "prob", 60, "label"), f"WITH {fx.MESSAGES}, {_hist_sql('prob', 60)}")
-_add("confidence_hist", lambda s, d: analytics.confidence_hist(messages(s, d).withColumn("confidence", F.round(F.col("prob") * 100, 4))), f"WITH {fx.MESSAGES}, c AS (SELECT label, CAST(least(floor(round(prob * 100, 4) / 10), 9) AS INT) AS decile, count(*) AS n FROM messages GROUP BY 1, 2) SELECT label, decile, n, round(n * 100.0 / sum(n) OVER (PARTITION BY label), 6) AS pct FROM c")
-_CORR = ["text_length", "word_count", "exclamation_count", "uppercase_ratio", "digit_ratio", "urgency_score", "label"]
+
+
+def proximity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each message's nearness to the scam class, by label."""
+    return analytics.histogram(mq.with_proximity(spark, sf_dir, messages(spark, sf_dir).select("message_id", "label")), "proximity_score", 60, "label")
+
+
+def confidence_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the policy's confidence, after all overrides."""
+    return analytics.confidence_hist(policy.verdicts(mq.signals(spark, sf_dir)))
+
+
+_NEAR_SCORES = f"{mq.NEAR}, messages_near AS (SELECT m.*, round(coalesce(near.scam, 0.0), 4) AS proximity_score FROM messages m LEFT JOIN near ON near.vec_id = m.message_id)"
+_add("proximity_hist", proximity_hist, f"WITH {fx.MESSAGES}, {_NEAR_SCORES}, {_hist_sql('proximity_score', 60)}".replace("AS v FROM messages)", "AS v FROM messages_near)"))
+_add("confidence_hist", confidence_hist, f"WITH {mq.VERDICTS}, c AS (SELECT label, CAST(least(floor(confidence / 10), 9) AS INT) AS decile, count(*) AS n FROM verdicts GROUP BY 1, 2) SELECT label, decile, n, round(n * 100.0 / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE), 6) AS pct FROM c")
+#: The columns of the correlation table.
+_CORR = [
+    "text_length", "word_count", "has_url", "url_count", "exclamation_count", "uppercase_ratio", "digit_ratio", "urgency_score", "tone_urgency", "tone_fear", "tone_reward", "tone_threat",
+    "url_suspicious_tld", "url_suspicious_keyword", "url_has_ip", "scam_phrase_score", "sender_impersonation_score", "proximity_scam_score", "label",
+]
 
 
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = messages(spark, sf_dir)
-    return analytics.corr_matrix(rows.select("label", *[c.alias(n) for n, c in text.basic_features(F.col("text")).items()]), _CORR)
+    rows = mq.with_proximity(spark, sf_dir, mq.signals(spark, sf_dir)).withColumn("proximity_scam_score", F.col("proximity_score") * 0.5)
+    return analytics.corr_matrix(rows, _CORR)
 
 
-_BASIC = ", ".join(f"{s} AS {n}" for n, s in mq._basic_sql("text", mq.rules.CUES, 4).items())
-_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 2) AS r FROM f" for a in _CORR for b in _CORR)
-_add("corr_matrix", corr_matrix, f"WITH {fx.MESSAGES}, f AS MATERIALIZED (SELECT label, {_BASIC} FROM messages) {_PAIRS}")
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 2) END AS r FROM f" for a in _CORR for b in _CORR)
+_add("corr_matrix", corr_matrix, f"""WITH {mq._SIGNALS}, {mq.NEAR}, f AS MATERIALIZED (SELECT {', '.join(f's.{c}' for c in _CORR if c != 'proximity_scam_score')},
+  round(coalesce(near.scam, 0.0), 4) * CAST(0.5 AS DOUBLE) AS proximity_scam_score FROM signals s LEFT JOIN near ON near.vec_id = s.message_id) {_PAIRS}""")
 
 
 def word_count_box(spark: SparkSession, sf_dir: str) -> DataFrame:
