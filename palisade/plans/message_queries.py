@@ -203,8 +203,12 @@ ORACLE_SQL["url_explode"] = f"WITH {fx.MESSAGES}, {_LINKS} SELECT message_id, CA
 
 
 def url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two checks of each distinct link of the messages, by the link's length."""
-    links = url_explode(spark, sf_dir).select("url").distinct()
+    return reputation_by_rule(url_explode(spark, sf_dir))
+
+
+def reputation_by_rule(rows: DataFrame) -> DataFrame:
+    """Two checks of each distinct link, by the link's length."""
+    links = rows.select("url").distinct()
     n = F.char_length("url")
     old = links.select("url", (n % 2 == 0).alias("flagged"), F.lit("OLD").alias("threat_type"), (n % 4).alias("malicious"), (n % 3).alias("suspicious"), F.expr("timestamp'2024-01-01 00:00:00'").alias("checked_at"))
     at = F.expr("timestampadd(HOUR, cast(char_length(url) % 48 as int), timestamp'2024-01-09 00:00:00')")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.functions import rules, text
-from palisade.operators import conversations, corpus, policy, proximity, serving, tfidf, training, vector_index
+from palisade.functions import rules, text, urls
+from palisade.operators import conversations, corpus, policy, proximity, reputation, serving, tfidf, training, vector_index
 from palisade.plans import fixtures as fx
 from palisade.plans import message_queries as mq
 from palisade.plans.fixtures import messages, quoted, read, scratch
@@ -152,18 +152,26 @@ def cued_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of the chats scored by the verdict policy; the probability before it adds up what was found."""
-    rows = with_signals(conversations.segments(conversations.by_chat(cued_turns(spark, sf_dir))), ("conv_id", "kind", "start", "n", "text"))
+    """Segments of the chats scored by the verdict policy; the probability before it adds up what was found. Links are
+    checked in the full text and in the final part, not in windows."""
+    parts = conversations.segments(conversations.by_chat(cued_turns(spark, sf_dir)))
+    linked = urls.with_links(parts.where("kind <> 'window'")).select(F.explode(F.slice("urls", 1, reputation.FIRST)).alias("url"))
+    path = scratch(spark)
+    reputation.fresh(mq.reputation_by_rule(linked), mq.ASOF).write.parquet(path)
+    rows = with_signals(parts, ("conv_id", "kind", "start", "n", "text"))
     found = F.col("tone_urgency") + F.col("tone_fear") + F.col("tone_reward") + F.col("tone_threat")
     prob = F.least(F.lit(0.95), F.lit(0.05) + F.lit(0.10) * found + F.lit(0.12) * F.col("scam_phrase_score") + F.lit(0.15) * F.col("url_suspicious_keyword"))
-    rows = rows.withColumns({"prob": F.round(prob, 6), "flagged": F.lit(False), "malicious": F.lit(0), "suspicious": F.lit(0)})
+    rows = rows.withColumns({"prob": F.round(prob, 6), "checked": F.when(F.col("kind") == "window", F.array().cast("array<string>")).otherwise(F.col("urls"))})
+    rows = reputation.looked_up(rows, spark.read.parquet(path), "checked").drop("checked")
     conf = F.when(F.char_length(F.trim("text")) < text.MIN_CHARS, 0.0).otherwise(F.col("confidence") / 100)
     return policy.verdicts(rows).withColumn("conf", conf)
 
 
 _CUED = "conversations AS (SELECT conv_id, turn, text || ' ' || CASE (conv_id + turn) % " + str(len(fx.CUES)) + f" {fx._CASES} END AS text FROM main.conversations)"
 _RISK = f"""{_CUED}, {_SEGMENTS}, {mq.parts_sql('segments')}, s0 AS MATERIALIZED ({mq.signals_sql('conv_id, kind, start, n, text')}),
-signals AS MATERIALIZED (SELECT *, false AS flagged, 0 AS malicious, 0 AS suspicious, round(least(CAST(0.95 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.10 AS DOUBLE) * (tone_urgency + tone_fear + tone_reward + tone_threat) + CAST(0.12 AS DOUBLE) * scam_phrase_score + CAST(0.15 AS DOUBLE) * url_suspicious_keyword), 6) AS prob FROM s0),
+links AS (SELECT conv_id, kind, start, k - 1 AS pos, urls[k] AS url FROM m, unnest(range(1, least(len(urls), 3) + 1)) AS t(k) WHERE kind <> 'window'), {mq._REPUTATION},
+rep AS ({mq._ROLLED.replace('message_id', 'conv_id, kind, start')}),
+signals AS MATERIALIZED (SELECT s0.*, coalesce(rep.flagged, false) AS flagged, coalesce(rep.malicious, 0) AS malicious, coalesce(rep.suspicious, 0) AS suspicious, round(least(CAST(0.95 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.10 AS DOUBLE) * (tone_urgency + tone_fear + tone_reward + tone_threat) + CAST(0.12 AS DOUBLE) * scam_phrase_score + CAST(0.15 AS DOUBLE) * url_suspicious_keyword), 6) AS prob FROM s0 LEFT JOIN rep ON rep.conv_id = s0.conv_id AND rep.kind = s0.kind AND rep.start = s0.start),
 {mq.verdicts_sql()}, s AS (SELECT *, CASE WHEN length(trim(text)) < 20 THEN 0.0 ELSE confidence / 100 END AS conf, {mq.WHY} AS why_flagged FROM verdicts),
 p AS (SELECT conv_id, max(n) AS n_turns, max(CASE WHEN kind = 'full' THEN conf END) AS full_score, coalesce(max(CASE WHEN kind = 'window' THEN least(conf * (CAST(start AS DOUBLE) / n + 1.0), 1.0) END), 0.0) AS peak, max(CASE WHEN kind = 'final' THEN conf END) AS final FROM s GROUP BY conv_id),
 risk AS (SELECT conv_id, n_turns, full_score, peak, coalesce(final, full_score) AS final_score, round((CAST(0.40 AS DOUBLE) * full_score + CAST(0.35 AS DOUBLE) * peak + CAST(0.25 AS DOUBLE) * coalesce(final, full_score)) * 100, 1) AS risk FROM p),
