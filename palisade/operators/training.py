@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stratified_split(df: DataFrame, test_share: float = 0.2, *, id_col: str = "message_id", label: str = "label", seed: int = 42) -> DataFrame:
@@ -61,19 +64,24 @@ def fold_column(df: DataFrame, k: int = 5, *, id_col: str = "message_id", label:
 
 def assemble_features(numeric: DataFrame, columns: list[str], blocks: list[tuple[DataFrame, int]], *, id_col: str = "message_id", out: str = "features") -> DataFrame:
     """Adds one sparse vector to each row: the blocks (rows of id, place, weight; and the block's size) side by side, then
-    the numeric columns. Spark makes no sparse vectors from arrays, so a small Python function does."""
+    the numeric columns. Spark makes no sparse vectors from arrays, so batches are written as the vectors' own structs."""
     size, parts, base = sum(n for _, n in blocks) + len(columns), None, 0
     for rows, n in blocks:
         one = rows.select(F.col(id_col), (F.col("place") + base).cast("int").alias("place"), F.col("weight").cast("double"))
         parts, base = (one if parts is None else parts.unionByName(one)), base + n
-    held = parts.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("text_part"))  # a text's terms
-
-    @F.udf(returnType=VectorUDT())
-    def vector(terms, numbers):
-        at = [t["place"] for t in terms or ()] + list(range(base, size))
-        return Vectors.sparse(size, at, [t["weight"] for t in terms or ()] + [float(x) for x in numbers])
-
-    return numeric.join(held, id_col, "left").withColumn(out, vector("text_part", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns]))).drop("text_part")
+    terms = F.sort_array(F.collect_list(F.struct("place", "weight")))  # a text's terms
+    held = parts.groupBy(id_col).agg(terms.alias("__t")).select(id_col, F.col("__t.place").alias("__at"), F.col("__t.weight").alias("__w"))
+    numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    rows = numeric.join(held, id_col, "left").select(*numeric.columns, F.coalesce(F.concat("__at", F.sequence(F.lit(base), F.lit(size - 1))), F.sequence(F.lit(base), F.lit(size - 1))).alias("__at"), F.concat(F.coalesce("__w", F.array().cast("array<double>")), numbers).alias("__w"))
+    kept = numeric.columns
+
+    def vectors(batches):
+        for batch in batches:
+            n = batch.num_rows
+            sparse = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), batch.column("__at"), batch.column("__w")]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.StructArray.from_arrays(sparse, ["type", "size", "indices", "values"])], [*kept, out])
+
+    return rows.mapInArrow(vectors, T.StructType([*numeric.schema.fields, T.StructField(out, VectorUDT())]))
 
 
 def estimators(n: int) -> dict:
