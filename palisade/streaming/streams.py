@@ -141,7 +141,7 @@ class Reuse(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.id_col], kind="stable")
-        before = at, record = tuple(self.held.get()) if self.held.exists() else (None, None)
+        before = at, record = tuple(self.held.get() or (None, None))
         reused, records = [], []
         for x, new in zip(pdf[self.ts].astype("datetime64[us]").astype("int64").tolist(), pdf[self.record].tolist(), strict=True):
             again = at is not None and x - at < self.life
@@ -155,7 +155,7 @@ class Reuse(StatefulProcessor):
         yield pdf.assign(**{self.record: records, "reused": reused})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.held.get() if self.held.exists() else None
+        held = self.held.get()
         if held is not None and (held[0] + self.life) // 1000 <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
             self.held.clear()
         return iter(())
