@@ -57,9 +57,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt over all cores; larger tables are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(message_id, text, source, channel, label, prob): documents with a cue, labels, and a made-up probability."""
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    docs, labels = dealt(read(spark, sf_dir, "documents"), "doc_id"), read(spark, sf_dir, "labels")
     cue = F.element_at(F.array(*[F.lit(c) for c in CUES]), (F.col("doc_id") % len(CUES) + 1).cast("int"))
     rows = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left")
     return rows.select(
