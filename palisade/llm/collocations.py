@@ -7,8 +7,8 @@ frequencies the parse. Phrases are counted once in each distinct chunk, times it
 belong to the next chunk and are left to it.
 
 The dictionary lies in blocks, by a hash of the chunk. Each block sends its distinct word pairs as hashes with weights to
-buckets, which return those that reach the least count; hashes that fall together only let more through. A phrase can be
-frequent only if all its pairs are, so blocks then give exact counts, by text, for the words and for phrases of such pairs.
+buckets, which return those that reach the least count; hashes that fall together only let more through. Pairs of an overlap
+are asked for with no weight, since phrases run into it. A phrase can be frequent only if all its pairs are, so blocks then give exact counts, by text, for the words and for phrases of such pairs.
 Hot chunks and phrases are summed before every shuffle; nothing is broadcast or held by the driver.
 
 Defined cases: a null text is empty; a null language is ``und`` (and falls together with a language of that name); pieces
@@ -136,9 +136,9 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST, most_words: int = MOST
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, weights = [], []
         for _, b in blocks_of(pdf):
-            own = b.own[b.pairs()[0]]
-            hashes.append(b.pair_hash[own])
-            weights.append(b.weight[b.pairs()[0]][own])
+            at = b.pairs()[0]  # pairs of the overlap count elsewhere, but the answer is wanted here too: phrases run into it
+            hashes.append(b.pair_hash)
+            weights.append(np.where(b.own[at], b.weight[at], 0))
         h, w = np.concatenate(hashes), np.concatenate(weights)
         bucket, low = h % np.uint64(n), h >> (np.uint64(64) - _BITS)
         order = np.lexsort((low, bucket))

@@ -118,6 +118,16 @@ def test_collocations_match_brute_force(spark, block_bytes):
     assert sorted(map(tuple, got)) == phrases(rows, 30, 40)
 
 
+def test_collocations_that_run_into_the_next_block(spark):
+    names = [f"w{k}" for k in range(200)]
+    w = collocations.Words(" ".join(names).encode())
+    starts = [x for x, t in zip(names, w.trigger) if t]
+    others = [x for x, t in zip(names, w.trigger) if not t]
+    rows = [(k, f"{others[2 * j]} {others[2 * j + 1]} {starts[j % len(starts)]} {others[-1 - j]}", "xx") for j in range(20) for k in range(40)]
+    got = collocations.collocations(table(spark, rows), block_bytes=200).collect()
+    assert sorted(map(tuple, got)) == phrases(rows, 30, 2000)
+
+
 def test_collocations_of_an_empty_table(spark):
     assert collocations.collocations(table(spark, []).limit(0)).collect() == []
 
