@@ -78,6 +78,31 @@ def test_large_families_are_dealt_out_by_window(monkeypatch):
     assert dealt == repeats.sorted_bucket(sent, 50)
 
 
+def test_repeats_of_a_table_that_is_read_in_another_order_each_time(spark):
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abc ") for _ in range(90)) for _ in range(12)]
+    rows = [(2**60 + k, "".join(rng.sample(parts, 4)) + f" {k}", "xx") for k in range(200)]
+
+    def shuffled(frames):
+        for pdf in frames:
+            yield pdf.sample(frac=1, random_state=random.SystemRandom().randrange(2**31))
+
+    docs = table(spark, rows).select("doc_id", "text")
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast("string")).coalesce(1).mapInPandas(shuffled, "doc_id string, text string")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # as where a shuffle's parts come from several machines
+    try:
+        got = repeats.deduplicated(docs, block_bytes=4_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert Counter(map(tuple, got)) == without_repeats(rows, repeats.LENGTH)
+
+
+def test_large_ids_stay_beside_rows_without_id(spark):
+    rows = [(None, "x" * 60, "xx")] + [(2**60 + k, "y" * 55 + str(k % 3), "xx") for k in range(6)]
+    got = repeats.deduplicated(table(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == without_repeats(rows, repeats.LENGTH)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.deduplicated(table(spark, []).limit(0)).collect() == []
 
