@@ -266,3 +266,29 @@ def test_greedy_time_to_live_cuts_large_keys(spark, monkeypatch):
     assert {r["event_id"] for r in streams.dedup_ttl_batch(df, "ts", ["k"], 3600, "event_id").collect()} == want
     sizes = streams.time_slices(df, "ts", ["k"], "event_id").groupBy("k", "__slice").count().agg(F.max("count")).first()[0]
     assert sizes < 120  # no array holds a whole key
+
+
+def test_one_pattern_for_many(spark):
+    import random
+    import re as python_re
+
+    families = [*rules.TONE.values(), *rules.SCAM_TYPES.values(), rules.ROMANCE, rules.SOFT_INVEST, (r"\b(?:a)?b\b", r"\b(?:x)|(?:y)\b", r"\b(?:[qr]s)\b", r"\b(?:c?d(?:e|f))\b")]
+    rng, words = random.Random(2), []
+    for p in (p for f in families for p in f):
+        words += python_re.sub(r"\\.|[^a-z0-9 ]+", " ", p.replace("[0-9]+", "7")).split()
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + rng.choice(["", "s", ".", "_", "\n", "é"]) for _ in range(3_000)]
+    lines += ["you have won", "xact now", "act now", "act nowx", "$5 bonus", "earn $5", "ab", "b", "y", "zy", "qs", "cde", "df", "", "é act fast"]
+    for family in families:
+        joined, each = python_re.compile(text.any_of(family)), [python_re.compile(p) for p in family]
+        assert [bool(joined.search(x)) for x in lines] == [any(p.search(x) for p in each) for x in lines]
+    frame = spark.createDataFrame([(x,) for x in lines], "t string")
+    for family in families[:6]:
+        assert frame.where(F.col("t").rlike(text.any_of(family)) != (text.count_matching(F.col("t"), family) > 0)).count() == 0
+
+
+def test_documents_of_one_row_group_are_dealt_over_all_cores(spark):
+    from palisade.plans.fixtures import dealt
+
+    rows = spark.range(0, 1_000, 1, 1).unionByName(spark.range(0, 0, 1, 20))  # many splits, one with rows
+    sizes = [len(x) for x in dealt(rows, "id").rdd.glom().collect()]
+    assert sum(sizes) == 1_000 and max(sizes) < 300
