@@ -292,3 +292,51 @@ def test_documents_of_one_row_group_are_dealt_over_all_cores(spark):
     rows = spark.range(0, 1_000, 1, 1).unionByName(spark.range(0, 0, 1, 20))  # many splits, one with rows
     sizes = [len(x) for x in dealt(rows, "id").rdd.glom().collect()]
     assert sum(sizes) == 1_000 and max(sizes) < 300
+
+
+def test_patterns_are_found_by_their_pieces(spark):
+    from palisade.functions import patterns
+
+    assert patterns.needles(r"\b(?:urgent(?:ly)?)\b") == {"urgent"}
+    assert patterns.needles(r"\b(?:dear|darling)\b") == {"ear", "arling"}
+    assert patterns.needles("[0-9]+") == set()
+    rng, words = random.Random(5), "your account card is was suspended locked not never urgent urgently dear double act now 24 hours within you won have".split()
+    lines = [" ".join(rng.choices(words, k=9)) for _ in range(300)] + ["", "urgent\x01not urgent"]
+    families = features.MARKS | {"any": patterns.Family(("[0-9]+", "a|b?"))}
+    finder, every = patterns.Finder(families), patterns.Finder(families)
+    every.always = list(range(len(every.rules)))  # all patterns on all texts
+    assert [finder.counts(x) for x in lines] == [every.counts(x) for x in lines]
+    assert one(spark, "your account\u2028 is blocked", lambda: tone.tone("low", rules.TONE["fear"])) == 1  # a dot is any sign but a line feed
+    assert one(spark, None, lambda: features.opener_hits(F.col("low"), rules.ROMANCE)) is None
+
+
+def test_terms_of_a_text_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "Red  green, red\tx"), (2, "green blue")], "doc_id long, text string")
+    got = tfidf.tfidf(df, tfidf.char_terms(F.col("text")), 100)
+    assert "hashpartitioning(doc_id" not in got._jdf.queryExecution().toString()
+    held = {r["term"] for r in got.where("doc_id = 1").collect()}
+    assert {" re", "n, ", " x ", "reen,"} <= held and not any(t[1:-1].count(" ") for t in held)
+    assert {r["term"] for r in tfidf.tfidf(df, tfidf.word_terms(F.col("text")), 100).where("doc_id = 1").collect()} == {"red", "green", "red green", "green red"}
+
+
+def test_character_terms_by_keys_equal_those_by_pieces():
+    from collections import Counter
+
+    rng = random.Random(3)
+    letters = "abcdé ü\x00 日本\U0001f600. "
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(60))).split(" ")) for _ in range(80)] + ["", " ", "a", " ab", "".join(map(chr, range(0x4E00, 0x5E10)))]
+    tf, df = Counter(), Counter()
+    for t in texts:
+        found = tfidf.Terms("char").counts(t)
+        tf.update(found)
+        df.update(found.keys())
+    got_tf, got_df = Counter(), Counter()
+    for terms, n, docs in tfidf.char_totals(texts):
+        got_tf.update(dict(zip(terms, n, strict=True)))
+        got_df.update(dict(zip(terms, docs, strict=True)))
+    assert (got_tf, got_df) == (tf, df)
+    places = {t: i for i, t in enumerate(sorted(tf)[::3])}
+    plain = tfidf.Terms("char", places)
+    for t in texts:
+        at, n = plain.arrays(t)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == plain.counts(t) and at.tolist() == sorted(at.tolist())
