@@ -62,3 +62,17 @@ def test_hot_lists_are_cut_into_chunks(spark, tmp_path, monkeypatch):
 
 def test_an_empty_table_has_no_index(spark, tmp_path):
     assert vector_index.build(spark.createDataFrame([(1, None, "x", 1)], SCHEMA), str(tmp_path / "e")) is None
+
+
+def test_many_queries_are_compared_a_few_at_a_time(built, monkeypatch):
+    import pandas as pd
+
+    _, index, _ = built
+    q = np.random.default_rng(2).normal(size=(600, 24))
+    pdf = pd.DataFrame({"id": range(600), "v": list(q / np.linalg.norm(q, axis=1, keepdims=True))})
+    seen, bars = [], type(index).bars
+    monkeypatch.setattr(type(index), "bars", lambda self, x: seen.append(len(x)) or bars(self, x))
+    chunks = dict.fromkeys(range(len(index.centres)), 1)
+    got = pd.concat(vector_index.asked_lists(index, pdf, chunks))
+    assert max(seen) <= vector_index.ASKED and sum(seen) == 600
+    assert got["id"].nunique() == 600 and len(got) == 600 * index.probes
