@@ -146,3 +146,26 @@ def test_repeats_on_a_stream_have_the_first_record(spark, tmp_path):
     got = {r["event_id"]: (r["record"], r["reused"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {0: ("r0", False), 1: ("r0", True), 2: ("r2", False), 3: ("r0", True), 4: ("r4", False), 5: ("r4", True), 6: ("r6", False), 7: ("r4", True), 8: ("r8", False), 9: ("r6", True)}
     assert got == want
+
+
+def test_keys_of_a_bucket_share_a_state(spark, tmp_path):
+    """One bucket holds all keys, null ones and long ones among them; a state is read and written once a batch, not once a key."""
+    spark.conf.set(*streams.ROCKS)
+    big = (1 << 53) + 1
+    rows = [(big + k, [None, big, big + 1, 7][k % 4], ["x", None][k // 4 % 2], T0 + datetime.timedelta(minutes=k), f"r{k}") for k in range(160)]
+    df = spark.createDataFrame(rows, "event_id long, user long, kind string, ts timestamp, record string")
+    for part in (df.where(f"event_id < {big + 80}"), df.where(f"event_id >= {big + 80}")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.reuse_ttl_stream(stream, "ts", ["user", "kind"], 3600, "event_id", "record", buckets=1)
+    assert out.schema.simpleString() == "struct<event_id:bigint,user:bigint,kind:string,ts:timestamp,record:string,reused:boolean>"
+    query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 6
+    last, want = {}, {}
+    for i, user, kind, at, record in rows:
+        again = (user, kind) in last and at - last[user, kind][0] < datetime.timedelta(hours=1)
+        if not again:
+            last[user, kind] = (at, record)
+        want[i] = (user, kind, last[user, kind][1], again)
+    assert {r["event_id"]: (r["user"], r["kind"], r["record"], r["reused"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
