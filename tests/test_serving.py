@@ -131,3 +131,11 @@ def test_reasons_as_sentences(spark):
     assert "http://1.2.3.4/a" in got[0][0] and got[0][1] == policy.REASON_TEXTS["urgency"]
     assert got[1] == ["The text reads like a case of romance scam."] and got[2] == got[3] == []
     assert set(policy.REASON_TEXTS) == {code for code, _ in policy.REASONS} | {"subtle_patterns"}
+
+
+def test_contributions_are_rounded_as_their_sql_does(spark):
+    """0.06495 x 10,000 is 649.4999... in doubles."""
+    df = spark.createDataFrame([(0.2598, 57, 800)], "a double, n int, size int")
+    stage = serving.LinearRisk([("a", 0.0, 2.0, 0.5)], 0.0)
+    assert stage.transform(df).first()["contributions"] == {"a": 0.0649}
+    assert df.select(text.rounded(text.share(F.col("n"), F.col("size")), 4).alias("x")).first()["x"] == 0.0712
