@@ -1,6 +1,7 @@
 import json
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -139,3 +140,25 @@ def test_contributions_are_rounded_as_their_sql_does(spark):
     stage = serving.LinearRisk([("a", 0.0, 2.0, 0.5)], 0.0)
     assert stage.transform(df).first()["contributions"] == {"a": 0.0649}
     assert df.select(text.rounded(text.share(F.col("n"), F.col("size")), 4).alias("x")).first()["x"] == 0.0712
+
+
+def test_pieces_are_cut_once_for_a_word(monkeypatch):
+    """Counts equal those of all terms one by one, and a word that repeats is not cut again."""
+    texts = ["Alpha beta alpha", "", "a  été beta beta \U0001f600", "alpha alpha alpha"]
+    cut, pieces = [], serving._pieces
+    want_tf, want_df = Counter(), Counter()
+    for t in texts:
+        want_tf.update(serving.terms_of(t, "char"))
+        want_df.update(set(serving.terms_of(t, "char")))
+    monkeypatch.setattr(serving, "_pieces", lambda w: cut.append(w) or pieces(w))
+    counter, known = serving.PieceCounter(), {p: k + 3 for k, p in enumerate(sorted(want_tf)) if k % 2}
+    for t in texts:
+        counter.add(t)
+    got = {r.term: (r.tf, r.df) for r in counter.counts().itertuples()}
+    assert got == {p: (n, want_df[p]) for p, n in want_tf.items()}
+    assert sorted(cut) == sorted({w for t in texts for w in t.lower().split()})
+    places = serving.PiecePlaces(known, len(want_tf) + 3)
+    for t in texts:
+        at, n = places(t)
+        want = sorted((known[p], c) for p, c in Counter(p for w in t.lower().split() for p in pieces(w)).items() if p in known)
+        assert list(zip(at.tolist(), n.tolist(), strict=True)) == want
