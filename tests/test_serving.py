@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -162,3 +163,27 @@ def test_pieces_are_cut_once_for_a_word(monkeypatch):
         at, n = places(t)
         want = sorted((known[p], c) for p, c in Counter(p for w in t.lower().split() for p in pieces(w)).items() if p in known)
         assert list(zip(at.tolist(), n.tolist(), strict=True)) == want
+
+
+def test_all_vectors_of_the_class_are_neighbours(spark, tmp_path):
+    """Of 20,600 vectors each one counts, in blocks, from the fitted stage and from the stored one."""
+    rng = np.random.default_rng(3)
+    known = rng.normal(size=(20_600, 4)).astype(np.float32)
+    vectors = spark.createDataFrame(pd.DataFrame({"embedding": known.tolist(), "label": np.arange(len(known)) % 5}), "embedding array<float>, label int")
+    others = spark.createDataFrame([([9.0, 9.0, 9.0, 9.0], 5), ([9.0, 9.0, 9.0, 8.0], None), (None, 1)], vectors.schema)
+    stage = serving.NeighbourProximity().fit(vectors.unionByName(others))
+    assert sum(stage.sizes) == len(known) and len(stage.blocks) > 1
+    stage.write().overwrite().save(str(tmp_path / "n"))
+    loaded = serving.NeighbourProximityModel.load(str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n" / "vectors")).count() == len(known)
+    asked = rng.normal(size=(50, 4)).astype(np.float32)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)] + [(50, None), (51, [0.0] * 4)], "id int, embedding array<float>")
+    unit = known.astype(np.float64) / np.linalg.norm(known.astype(np.float64), axis=1, keepdims=True)
+    s = asked.astype(np.float64) @ unit.T / np.linalg.norm(asked.astype(np.float64), axis=1, keepdims=True)
+    want = [*np.sort(s, axis=1)[:, -10:].mean(axis=1), 0.0, 0.0]
+    for model in (stage, loaded):
+        got = {r["id"]: r["proximity_score"] for r in model.transform(queries).collect()}
+        assert np.allclose([got[k] for k in range(52)], want, atol=6e-5)
+    few = serving.NeighbourProximity().fit(vectors.limit(3))
+    assert abs(few.transform(queries).where("id = 0").first()["proximity_score"]) <= 1
+    assert serving.NeighbourProximity().fit(vectors.limit(0)).transform(queries).where("proximity_score <> 0").count() == 0
