@@ -80,3 +80,13 @@ def test_counts_hold_what_weights_need(spark):
 def test_the_search_forms_all_forests_of_its_grid(rows):
     model, scores = training.random_search_rf(rows, draws=2, folds=2, grid={"numTrees": [2, 3], "maxDepth": [2, 3], "maxBins": [8, 16]})
     assert len(scores) == 2 and all(0.5 < s <= 1 for s in scores) and isinstance(model, ForestModel)
+
+
+def test_the_query_searches_the_whole_grid(spark, rows, monkeypatch):
+    from palisade.plans import table_queries
+
+    asked = []
+    monkeypatch.setattr(table_queries, "vector_parts", lambda *_: (rows.withColumn("message_id", F.col("message_id")), []))
+    monkeypatch.setattr(training, "random_search_rf", lambda train, **how: asked.append(how) or (None, [0.5, 0.7]))
+    table_queries.random_search_rf(spark, "")
+    assert asked[0].get("grid") is None and asked[0]["draws"] == 5
