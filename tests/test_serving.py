@@ -187,3 +187,22 @@ def test_all_vectors_of_the_class_are_neighbours(spark, tmp_path):
     few = serving.NeighbourProximity().fit(vectors.limit(3))
     assert abs(few.transform(queries).where("id = 0").first()["proximity_score"]) <= 1
     assert serving.NeighbourProximity().fit(vectors.limit(0)).transform(queries).where("proximity_score <> 0").count() == 0
+
+
+def test_vocabularies_are_the_same_if_few_terms_are_held(spark, monkeypatch):
+    """A task holds a bounded number of words, of pairs and of pieces, however many there are; before it was a million of each."""
+    assert serving.MOST_COUNTED <= 100_000
+    texts = [(" ".join(f"w{(k * j) % 37}x" for j in range(1, 30)), float(k)) for k in range(40)]
+    df = spark.createDataFrame([*texts, (None, None), ("one", 1.0)], "text string, a double").coalesce(2)
+
+    def fitted():
+        stage = serving.MessageVectorizer()
+        stage._set(wordTerms=30, charTerms=40, numericCols=["a"])
+        return stage.fit(df)
+
+    want = fitted()
+    monkeypatch.setattr(serving, "MOST_COUNTED", 5)
+    got = fitted()
+    assert got.vocabulary == want.vocabulary and got.scales == want.scales
+    v = [r["features"].toArray() for r in got.transform(df).select("features").collect()]
+    assert all(np.isfinite(x).all() for x in v) and [x[:30].any() for x in v].count(False) == 2
